@@ -109,3 +109,30 @@ class Interner(dict):
             self.clear()
         value = self[key] = self.make(key)
         return value
+
+
+def sum_arrays(partials: DataFrame, dtype: str, fan_in: int = 64) -> list:
+    """Add up rows (key string, task int, data binary): zlib-packed numpy arrays of one
+    length per key. Rounds of at most ``fan_in`` rows a group, so no task gathers more than
+    that many arrays. Returns [(key, array)] on the driver: bounded by keys and length."""
+    import zlib
+
+    from pyspark.sql import functions as F
+
+    def add(rows):
+        total = None
+        for data in rows:
+            part = np.frombuffer(zlib.decompress(data), dtype=dtype)
+            total = part.copy() if total is None else np.add(total, part, out=total)
+        return total
+
+    def reduce(frame):
+        import pandas as pd
+
+        return pd.DataFrame({"key": [frame["key"].iloc[0]], "task": [int(frame["task"].iloc[0] // fan_in)], "data": [zlib.compress(add(frame["data"]).tobytes(), 1)]})
+
+    tasks = max(1, partials.rdd.getNumPartitions())
+    while tasks > 1:
+        partials = partials.groupBy("key", F.floor(F.col("task") / fan_in).alias("block")).applyInPandas(lambda frame: reduce(frame), "key string, task int, data binary")
+        tasks = -(-tasks // fan_in)
+    return [(r.key, add([r.data])) for r in partials.orderBy("key").collect()]

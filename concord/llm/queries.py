@@ -36,6 +36,15 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from concord.llm import langid, lm
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = langid.held_out(F.col("doc_id"), 7, 2)
+    model = lm.train(docs.where(~held & F.col("doc_id").isNotNull()))
+    return lm.score(docs, model).select(F.col("id").alias("doc_id"), langid.held_out(F.col("id"), 7, 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
+
+
 def op4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from concord.llm import records
 
@@ -43,6 +52,15 @@ def op4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_digests(index).withColumnRenamed("id", "doc_id")
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from concord.llm import langid
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs.where(~langid.held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()))
+    found = langid.identify(docs, model, with_spans=False)
+    return found.select(F.col("id").alias("doc_id"), langid.held_out(F.col("id")).alias("held_out"), F.col("lang").alias("lang_pred"), "score")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from concord.llm import wordpiece
 
@@ -64,7 +82,7 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_features(matroska.store_texts(_table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_bpe, op4_records, op8_token_counts, op9_licenses, op10_matroska)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_bpe, op3_lm, op4_records, op7_language, op8_token_counts, op9_licenses, op10_matroska)}
 
 SQL: dict[str, str] = {
     # the largest page_id of equal payloads is the response
