@@ -52,6 +52,19 @@ def op4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_digests(index).withColumnRenamed("id", "doc_id")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from concord.llm import decontam
+
+    index = decontam.build(_table(spark, sf_dir, "benchmark"))
+    return decontam.find_leaks(_table(spark, sf_dir, "documents"), index).withColumnRenamed("id", "doc_id")
+
+
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from concord.llm import jaccard
+
+    return jaccard.similar(_table(spark, sf_dir, "documents"), jaccard.Join(words=4, least=85, per=100)).withColumnRenamed("id", "doc_id")
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from concord.llm import langid
 
@@ -82,7 +95,7 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_features(matroska.store_texts(_table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_bpe, op3_lm, op4_records, op7_language, op8_token_counts, op9_licenses, op10_matroska)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_bpe, op3_lm, op4_records, op5_decontamination, op6_jaccard, op7_language, op8_token_counts, op9_licenses, op10_matroska)}
 
 SQL: dict[str, str] = {
     # the largest page_id of equal payloads is the response
