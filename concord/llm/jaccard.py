@@ -405,3 +405,11 @@ def similar(docs: DataFrame, join: Join, id_col: str = "doc_id", text_col: str =
     named = classes.join(labels, classes["rep"] == labels["id"], "left").select("h", F.coalesce("root", "rep").alias("root"))
     joined = sets.join(named, "h", "left")
     return joined.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("root"))).otherwise(F.col("id")).alias("component_id"))
+
+
+def representatives(docs: DataFrame, join: Join, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, that stand for their group: those with its smallest
+    id. Rows with an empty set or a null id stay; rows that repeat the id of one stay with it."""
+    found = similar(docs, join, id_col, text_col)
+    others = found.where("component_id != id").select(F.col("id").alias(id_col)).distinct()
+    return docs.join(others, docs[id_col].cast("bigint") == others[id_col], "left_anti")

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm._common import map_texts, slices, sum_arrays
+from concord.llm._common import filter_rows, map_texts, slices, sum_arrays
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 16
@@ -163,43 +163,73 @@ def viterbi(scores: np.ndarray, words: np.ndarray, lengths: np.ndarray, penalty:
 SCHEMA = "id bigint, lang string, score double, spans array<struct<lang:string,start:bigint,end:bigint>>"
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", penalty: float = 12.0, with_spans: bool = True) -> DataFrame:
-    """(id, lang, score, spans) of every whole text; span offsets count characters. The model
-    that is sent along is bounded: languages x 65,536 numbers."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    known: dict = {}
+class Labeller:
+    """Labels words with a model, remembering the scores of recent words."""
 
-    def run(ids, texts):
-        model = shared.value
-        count = len(model.languages)
+    def __init__(self, model: Model, penalty: float, limit: int = 300_000):
+        self.model, self.penalty, self.limit = model, penalty, limit
+        self.index: dict[str, int] = {}
+        self.scores = np.zeros((0, len(model.languages)), np.float32)
+
+    def __call__(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Language and score of each text, the label of every word, and word counts."""
+        count = len(self.model.languages)
         if not count:
-            return {"id": ids, "lang": ["und"] * len(ids), "score": [0.0] * len(ids), "spans": [[]] * len(ids)}
-        if not known or len(known["index"]) > 300_000:
-            known.update(index={}, scores=np.zeros((0, count), np.float32))
-        index = known["index"]
+            return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(0, np.int16), np.zeros(len(texts), np.int64)
+        if len(self.index) > self.limit:
+            self.index, self.scores = {}, self.scores[:0]
+        index = self.index
         found = [WORD.findall(t.lower()) if t else [] for t in texts]
         fresh = list(set().union(*found).difference(index))
         if fresh:
             index.update(zip(fresh, range(len(index), len(index) + len(fresh))))
-            known["scores"] = np.concatenate([known["scores"], model.score(fresh)])
+            self.scores = np.concatenate([self.scores, self.model.score(fresh)])
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         words = np.fromiter((index[w] for f in found for w in f), np.int64, int(lengths.sum()))
         letters = np.fromiter((len(w) for f in found for w in f), np.int64, len(words))
-        label = viterbi(known["scores"], words, lengths, penalty)
+        label = viterbi(self.scores, words, lengths, self.penalty)
         owner = np.repeat(np.arange(len(found)), lengths)
         share = np.bincount(owner * count + label, weights=letters, minlength=len(found) * count).reshape(-1, count)
-        best, total = share.argmax(axis=1), share.sum(axis=1)
-        score = share[np.arange(len(found)), best] / np.maximum(total, 1)
-        lang = [model.languages[b] if n else "und" for b, n in zip(best.tolist(), lengths.tolist())]
+        best = share.argmax(axis=1)
+        score = share[np.arange(len(found)), best] / np.maximum(share.sum(axis=1), 1)
+        lang = [self.model.languages[b] if n else "und" for b, n in zip(best.tolist(), lengths.tolist())]
+        return lang, score, label, lengths
+
+
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", penalty: float = 12.0, with_spans: bool = True) -> DataFrame:
+    """(id, lang, score, spans) of every whole text; span offsets count characters. The model
+    that is sent along is bounded: languages x 65,536 numbers."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    made: list[Labeller] = []
+
+    def run(ids, texts):
+        if not made:
+            made.append(Labeller(shared.value, penalty))
+        lang, score, label, lengths = made[0](texts)
         spans: list = [[]] * len(ids)
         if with_spans:
             ends = np.cumsum(lengths)
-            spans = [_spans(t, label[e - n : e], model.languages) if n else [] for t, n, e in zip(texts, lengths.tolist(), ends.tolist())]
+            spans = [_spans(t, label[e - n : e], shared.value.languages) if n else [] for t, n, e in zip(texts, lengths.tolist(), ends.tolist())]
         return {"id": ids, "lang": lang, "score": score.tolist(), "spans": spans}
 
     return map_texts(docs, id_col, text_col, SCHEMA, run, max_bytes=8 << 20)
 
 
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", penalty: float = 12.0, least_score: float = 0.5) -> DataFrame:
+    """The rows, with all their columns, whose text has a language that covers at least
+    ``least_score`` of its letters; ``und`` goes."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    made: list[Labeller] = []
+
+    def keep(texts):
+        if not made:
+            made.append(Labeller(shared.value, penalty))
+        lang, score, *_ = made[0](texts)
+        return [x != "und" and s >= least_score for x, s in zip(lang, score.tolist())]
+
+    return filter_rows(docs, text_col, keep)
+
+
 def _spans(text: str, label: np.ndarray, languages: tuple[str, ...]) -> list[dict]:
     places = [m.span() for m in WORD.finditer(text)]
     if len(places) != len(label):  # lower case has other word borders here

@@ -1,30 +1,57 @@
 """From raw documents to encoded training documents, in stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
-Parquet and read again as the next one's ``docs``.
+Parquet and read again as the next one's ``docs``. All but the last keep the columns of
+documents. Null texts have no language and go in the first stage.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from concord.llm import bpe
+from concord.llm import bpe, decontam, jaccard, langid
 from concord.llm._common import materialize
 from concord.llm.queries import tokenizer
 
+#: A document stays if one language covers at least this share of its letters.
+LEAST_LANGUAGE_SCORE = 0.5
+#: Near duplicates: word 5-grams, Jaccard similarity of 0.8 or more.
+NEAR = jaccard.Join(words=5, least=80, per=100)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told, learnt from their own labels."""
+    return langid.keep_identified(docs, langid.train(docs), least_score=LEAST_LANGUAGE_SCORE)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return jaccard.representatives(docs, NEAR)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no test item of ``benchmark``."""
+    return decontam.clean(docs, decontam.build(spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document that is left, and the text they decode to."""
     return bpe.encode_documents(docs, tokenizer("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
 
 
-STAGES = [("encoding", encoding)]
+STAGES = [
+    ("language ID", language_id),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("BPE encoding and decoding", encoding),
+]
 
-#: The stages learn and search in ways that SQL cannot express.
+#: Learning, joining by similarity and BPE are not SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``: (doc_id, ids, decoded)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for n, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
