@@ -355,11 +355,13 @@ def similar(docs: DataFrame, join: Join, id_col: str = "doc_id", text_col: str =
     sets, order = signatures(rows, join)
     classes = sets.where("n > 0 and id is not null").groupBy("h").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
     classes = materialize(classes, "jaccard-classes")
-    kept = rows.join(classes.select(F.col("rep").alias("id")).distinct(), "id").select("id", "text")
+    # both joins with the texts are merged at every size: what a small table could broadcast is
+    # as long as the table
+    kept = rows.join(classes.select(F.col("rep").alias("id")).distinct().hint("merge"), "id").select("id", "text")
     edges = meetings(first_regions(kept, order, join), join)
     regions = components(edges, "jaccard-regions").select(F.col("node").alias("id"), F.col("root").cast("string").alias("region"))
     sizes = classes.groupBy(F.col("rep").alias("id")).agg(F.sum("n").alias("n"))
-    cells = materialize(rows.join(materialize(regions.join(sizes, "id"), "jaccard-members"), "id").select("region", "id", "n", "text").where("text is not null"), "jaccard-cells")
+    cells = materialize(rows.join(materialize(regions.join(sizes, "id"), "jaccard-members").hint("merge"), "id").select("region", "id", "n", "text").where("text is not null"), "jaccard-cells")
     links, split = None, False
     parents: dict[str, int] = {}
     while True:
@@ -412,4 +414,4 @@ def representatives(docs: DataFrame, join: Join, id_col: str = "doc_id", text_co
     id. Rows with an empty set or a null id stay; rows that repeat the id of one stay with it."""
     found = similar(docs, join, id_col, text_col)
     others = found.where("component_id != id").select(F.col("id").alias(id_col)).distinct()
-    return docs.join(others, docs[id_col].cast("bigint") == others[id_col], "left_anti")
+    return docs.join(others.hint("merge"), docs[id_col].cast("bigint") == others[id_col], "left_anti")
