@@ -211,21 +211,21 @@ def report(spark, blocks, names, starts, r, m, present, values, comps, y, scores
     )
 
 
-def gcca(tables, nfac: int = 2, scale: bool = True, p_values: bool = True, scores: bool = False, method: str = "solve", lam=None) -> FitResult:
+def fit_complete(tables, nfac: int = 2, scale: bool = True, p_values: bool = True, scores: bool = False, method: str = "solve", lam=None) -> FitResult:
     """Complete cases: every individual is in every table."""
     return fit(tables, nfac, scale, p_values, scores, method, lam, missing="forbid")
 
 
-def mgcca(tables, nfac: int = 2, scale: bool = True, p_values: bool = True, scores: bool = False, method: str = "solve", lam=None, **more) -> FitResult:
+def fit_incomplete(tables, nfac: int = 2, scale: bool = True, p_values: bool = True, scores: bool = False, method: str = "solve", lam=None, **more) -> FitResult:
     """Individuals may be absent from tables."""
     return fit(tables, nfac, scale, p_values, scores, method, lam, **more)
 
 
-def mgcca_bd(tables, *args, outfile: str | None = None, **more) -> FitResult:
-    """As :func:`mgcca` for many variables: blocks are packed into arrays before they are
+def fit_packed(tables, *args, outfile: str | None = None, **more) -> FitResult:
+    """As :func:`fit_incomplete` for many variables: blocks are packed into arrays before they are
     aligned. ``outfile``: a folder to which the result is written."""
     packed = {k: Block(b.arrays(), b.variables, "id", "packed") for k, b in table_set(tables).items()}
-    out = mgcca(packed, *args, **more)
+    out = fit_incomplete(packed, *args, **more)
     if outfile:
         out.save(outfile)
     return out

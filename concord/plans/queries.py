@@ -148,42 +148,42 @@ def _eig(result) -> DataFrame:
 
 
 def complete_eig_1var(spark, sf):
-    return _eig(fits.gcca(order_blocks(spark, sf, two=False), nfac=2))
+    return _eig(fits.fit_complete(order_blocks(spark, sf, two=False), nfac=2))
 
 
 def complete_components_1var(spark, sf):
-    y = fits.gcca(order_blocks(spark, sf, two=False), nfac=1).y
+    y = fits.fit_complete(order_blocks(spark, sf, two=False), nfac=1).y
     return y.select("id", r6(F.col("comp1")).alias("comp1"))
 
 
 def complete_eig_2var(spark, sf):
-    return _eig(fits.gcca(order_blocks(spark, sf), nfac=2))
+    return _eig(fits.fit_complete(order_blocks(spark, sf), nfac=2))
 
 
 def complete_eig_packed(spark, sf):
-    return _eig(fits.mgcca_bd(order_blocks(spark, sf), nfac=2))
+    return _eig(fits.fit_packed(order_blocks(spark, sf), nfac=2))
 
 
 def incomplete_eig_1var(spark, sf):
-    return _eig(fits.mgcca(status_blocks(spark, sf), nfac=2))
+    return _eig(fits.fit_incomplete(status_blocks(spark, sf), nfac=2))
 
 
 def incomplete_components_1var(spark, sf):
-    return fits.mgcca(status_blocks(spark, sf), nfac=2).y.select("id", r6(F.col("comp1")).alias("comp1"), r6(F.col("comp2")).alias("comp2"))
+    return fits.fit_incomplete(status_blocks(spark, sf), nfac=2).y.select("id", r6(F.col("comp1")).alias("comp1"), r6(F.col("comp2")).alias("comp2"))
 
 
 def penalized_eig_1var(spark, sf):
-    return _eig(fits.mgcca(status_blocks(spark, sf), nfac=2, method="pen", lam=[75.0, 100.0]))
+    return _eig(fits.fit_incomplete(status_blocks(spark, sf), nfac=2, method="pen", lam=[75.0, 100.0]))
 
 
 def incomplete_eig_wide(spark, sf):
     blocks = embedding_blocks(spark, sf)
     kept = {k: Block(b.frame.where(F.pmod(F.xxhash64("id", F.lit(n)), F.lit(10)) > 0), b.variables, "id", "packed") for n, (k, b) in enumerate(blocks.items())}
-    return _eig(fits.mgcca(kept, nfac=4))
+    return _eig(fits.fit_incomplete(kept, nfac=4))
 
 
 def complete_eig_wide(spark, sf):
-    return _eig(fits.gcca(embedding_blocks(spark, sf), nfac=4))
+    return _eig(fits.fit_complete(embedding_blocks(spark, sf), nfac=4))
 
 
 def dual_fit(spark, sf):
@@ -194,21 +194,21 @@ def dual_fit(spark, sf):
 
 
 def scores_1var(spark, sf):
-    s = fits.mgcca(status_blocks(spark, sf), nfac=1, scores=True).scores
+    s = fits.fit_incomplete(status_blocks(spark, sf), nfac=1, scores=True).scores
     return s.select("table", "id", r6(F.col("comp1")).alias("comp1"))
 
 
 def cors(spark, sf):
-    return fits.mgcca(status_blocks(spark, sf), nfac=2).cors.select("table", "comp", r6(F.col("r")).alias("r"))
+    return fits.fit_incomplete(status_blocks(spark, sf), nfac=2).cors.select("table", "comp", r6(F.col("r")).alias("r"))
 
 
 def t_stat(spark, sf):
-    result = fits.mgcca(status_blocks(spark, sf), nfac=2)
+    result = fits.fit_incomplete(status_blocks(spark, sf), nfac=2)
     return result.cors.select("table", "comp", F.round(C.t_statistic(F.col("r"), result.n_ids), 4).alias("t"))
 
 
 def ave(spark, sf):
-    result = fits.mgcca(status_blocks(spark, sf), nfac=2)
+    result = fits.fit_incomplete(status_blocks(spark, sf), nfac=2)
     own = result.ave_x.select("table", "comp", r6(F.col("ave")).alias("ave"))
     return own.unionByName(result.ave_outer.select(F.lit("outer").alias("table"), "comp", r6(F.col("ave")).alias("ave")))
 
@@ -290,7 +290,7 @@ def grid(spark, sf):
 def loo_cv_1var(spark, sf):
     own = table(spark, sf, "embeddings")
     block = lambda k: Block.wide(own.select(F.col("vec_id").alias("id"), F.col("embedding")[k].cast("double").alias("v")))
-    _, out = tune.cv_gcca(block(0), block(1), [1.0, 200.0], [1.0, 50.0, 400.0], nfac=1)
+    _, out = tune.leave_one_out_grid(block(0), block(1), [1.0, 200.0], [1.0, 50.0, 400.0], nfac=1)
     return out.select("lambda1", "lambda2", r6(F.col("mean_ave")).alias("mean_ave"))
 
 
@@ -308,13 +308,13 @@ def ridge_looe(spark, sf):
 
 
 def plot_inds(spark, sf):
-    result = fits.mgcca(status_blocks(spark, sf), nfac=2)
+    result = fits.fit_incomplete(status_blocks(spark, sf), nfac=2)
     groups = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_mktsegment").alias("group"))
     return select.plot_individuals(result, groups).select("id", r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"), "group", "color")
 
 
 def plot_vars(spark, sf):
-    result = fits.mgcca(status_blocks(spark, sf), nfac=2)
+    result = fits.fit_incomplete(status_blocks(spark, sf), nfac=2)
     return select.plot_variables(result, ["price"], tables=["f", "o"]).select("table", "variable", r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"), "highlighted", "color")
 
 
@@ -329,7 +329,7 @@ def unit_circle(spark, sf):
 
 
 def save_load(spark, sf):
-    result = fits.mgcca(status_blocks(spark, sf), nfac=2)
+    result = fits.fit_incomplete(status_blocks(spark, sf), nfac=2)
     path = shared_path(spark, "fit")
     frames = store.read_fit(spark, path, result.save(path))
     return frames["cors"].select("table", "comp", r6(F.col("r")).alias("r"))
@@ -337,7 +337,7 @@ def save_load(spark, sf):
 
 def flagship(spark, sf):
     """Components shared by four embedding blocks, and how they relate to the first block."""
-    result = fits.gcca(embedding_blocks(spark, sf), nfac=2)
+    result = fits.fit_complete(embedding_blocks(spark, sf), nfac=2)
     return result.cors
 
 

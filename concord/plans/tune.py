@@ -40,7 +40,7 @@ def leave_out(moments: np.ndarray, sums: np.ndarray, m: int, row: np.ndarray) ->
     return centred / np.outer(sd, sd)
 
 
-def cv_gcca(x1: Block | DataFrame, x2: Block | DataFrame, grid1: list[float] | None = None, grid2: list[float] | None = None, nfac: int = 2) -> tuple[tuple[float, float], DataFrame]:
+def leave_one_out_grid(x1: Block | DataFrame, x2: Block | DataFrame, grid1: list[float] | None = None, grid2: list[float] | None = None, nfac: int = 2) -> tuple[tuple[float, float], DataFrame]:
     """The pair of penalties with the best mean outer explained variance over fits that leave
     out one individual each, and (lambda1, lambda2, mean_ave) of the whole grid. Both tables
     have the same individuals. Of equal pairs the first wins, lambda1 varying fastest.
@@ -87,7 +87,7 @@ def cv_gcca(x1: Block | DataFrame, x2: Block | DataFrame, grid1: list[float] | N
 
 def ridge_inverse(matrix: np.ndarray | None = None, lam: float = 1.0, eigen: tuple[np.ndarray, np.ndarray] | None = None, one_is_none: bool = False) -> np.ndarray:
     """Q diag(1 / (l + lam)) Q' of a symmetric matrix, negative eigenvalues taken as 0.
-    ``one_is_none``: a penalty of exactly 1 means none, as an older interface has it."""
+    ``one_is_none``: a penalty of exactly 1 means none."""
     if matrix is None and eigen is None:
         raise ValueError("a matrix or its eigenvalues and vectors are needed")
     values, vectors = eigen if matrix is None else np.linalg.eigh(matrix)

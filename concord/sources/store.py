@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from concord.model import Assay, AssaySet, Block, FitResult
-from concord.plans.fit import mgcca
+from concord.plans.fit import fit_incomplete
 
 
 def write_assays(assays: AssaySet, path: str) -> list[str]:
@@ -34,7 +34,7 @@ def read_tables(spark: SparkSession, path: str, names: list[str], id_col: str =
 
 def fit_from_path(spark: SparkSession, path: str, names: list[str], id_col: str = "id", **options) -> FitResult:
     """Fit the tables below ``path`` and write the result to its folder ``out``."""
-    result = mgcca(read_tables(spark, path, names, id_col), **options)
+    result = fit_incomplete(read_tables(spark, path, names, id_col), **options)
     result.save(f"{path}/out")
     return result
 

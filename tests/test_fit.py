@@ -95,8 +95,8 @@ def test_incomplete_fit_equals_dense(spark, widths, lam, scale):
     want = dense(tables, nfac, lam, scale)
     method = "penalized" if lam else "solve"
     wide = {f"t{n}": frame(spark, *t) for n, t in enumerate(tables)}
-    check(fits.mgcca(wide, nfac=nfac, scores=True, method=method, lam=lam, scale=scale), want, list(wide), nfac)
-    check(fits.mgcca_bd(wide, nfac=nfac, scores=True, method=method, lam=lam, scale=scale), want, list(wide), nfac)
+    check(fits.fit_incomplete(wide, nfac=nfac, scores=True, method=method, lam=lam, scale=scale), want, list(wide), nfac)
+    check(fits.fit_packed(wide, nfac=nfac, scores=True, method=method, lam=lam, scale=scale), want, list(wide), nfac)
 
 
 def test_many_variables_in_arrays(spark):
@@ -104,13 +104,13 @@ def test_many_variables_in_arrays(spark):
     tables = random_tables(rng, (60, 70), 190, 0.9)
     want = dense(tables, 3)
     blocks = {f"t{n}": Block.packed(spark.createDataFrame([(i, r.tolist()) for i, r in zip(*t)], "id string, x array<double>"), [f"v{k}" for k in range(t[1].shape[1])]) for n, t in enumerate(tables)}
-    check(fits.mgcca(blocks, nfac=3, scores=True), want, list(blocks), 3)
+    check(fits.fit_incomplete(blocks, nfac=3, scores=True), want, list(blocks), 3)
 
 
 def test_complete_fit_and_its_relation_to_the_other(spark):
     tables = random_tables(np.random.default_rng(3), (2, 3, 2), 30, 1)
     wide = [frame(spark, *t) for t in tables]
-    one, two = fits.gcca(wide, nfac=2, scores=True), fits.mgcca(wide, nfac=2)
+    one, two = fits.fit_complete(wide, nfac=2, scores=True), fits.fit_incomplete(wide, nfac=2)
     check(one, dense(tables, 2, complete=True), ["df1", "df2", "df3"], 2)
     assert np.allclose(one.eigenvalues, 3 * np.array(two.eigenvalues))
     a, b = ({r.id: (r.comp1, r.comp2) for r in f.y.collect()} for f in (one, two))
@@ -145,10 +145,10 @@ def test_solver_equals_dense(seed, widths, present, penalized):
 def test_order_and_unit_do_not_matter(spark):
     tables = random_tables(np.random.default_rng(9), (2, 2), 30, 0.8)
     wide = {"a": frame(spark, *tables[0]), "b": frame(spark, *tables[1])}
-    base = fits.mgcca(wide)
-    turned = fits.mgcca({"b": wide["b"].orderBy("x1"), "a": wide["a"].selectExpr("id", "x0 * 7 + 3 x0", "x1")})
+    base = fits.fit_incomplete(wide)
+    turned = fits.fit_incomplete({"b": wide["b"].orderBy("x1"), "a": wide["a"].selectExpr("id", "x0 * 7 + 3 x0", "x1")})
     assert np.allclose(base.eigenvalues, turned.eigenvalues)
-    small = fits.mgcca(wide, method="penalized", lam=[1e-9, 1e-9])
+    small = fits.fit_incomplete(wide, method="penalized", lam=[1e-9, 1e-9])
     assert np.allclose(base.eigenvalues, small.eigenvalues, atol=1e-8)
 
 
@@ -156,7 +156,7 @@ def test_dual_equals_primal(spark):
     rng = np.random.default_rng(4)
     tables = random_tables(rng, (8, 9), 14, 0.9)
     lam = [3.0, 4.0]
-    primal = fits.mgcca({f"t{n}": frame(spark, *t, [f"x{k}" for k in range(t[1].shape[1])]) for n, t in enumerate(tables)}, nfac=2, method="penalized", lam=lam)
+    primal = fits.fit_incomplete({f"t{n}": frame(spark, *t, [f"x{k}" for k in range(t[1].shape[1])]) for n, t in enumerate(tables)}, nfac=2, method="penalized", lam=lam)
     long = {f"t{n}": spark.createDataFrame([(f"x{k}", i, float(x[r, k])) for r, i in enumerate(ids) for k in range(x.shape[1])], "feature string, sample string, value double") for n, (ids, x) in enumerate(tables)}
     dual = fits.fit_dual(long, lam, nfac=2)
     assert np.allclose(primal.eigenvalues, dual.eigenvalues)
@@ -172,21 +172,21 @@ def test_errors(spark):
     tables = random_tables(np.random.default_rng(1), (2, 2), 12, 1)
     a, b = (frame(spark, *t) for t in tables)
     for call, words in [
-        (lambda: fits.mgcca([a, b], method="geninv"), "method"),
-        (lambda: fits.mgcca([a, b], method=""), "method"),
-        (lambda: fits.mgcca([a, b], method="penalized"), "lam"),
-        (lambda: fits.mgcca([a, b], method="penalized", lam=[1.0]), "lam"),
-        (lambda: fits.mgcca("x"), "list"),
-        (lambda: fits.mgcca([]), "no table"),
-        (lambda: fits.mgcca([a.selectExpr("id", "if(x0 > 0, x0, null) x0"), b]), "missing values in x0"),
-        (lambda: fits.mgcca([a.selectExpr("id", "if(x0 > 0, x0, double('NaN')) x0"), b]), "missing values"),
-        (lambda: fits.mgcca([a.selectExpr("id", "1.5D c", "x1"), b]), "c is constant"),
-        (lambda: fits.mgcca([a.selectExpr("id", "x0", "2 * x0 y"), b]), "df1"),
-        (lambda: fits.mgcca([a, b], nfac=5), "fewer than 5"),
-        (lambda: fits.mgcca([a.union(a.limit(1)), b]), "several rows"),
-        (lambda: fits.gcca([a.limit(9), b]), "complete"),
-        (lambda: fits.gcca([a.selectExpr("concat(id, 'z') id", "x0"), b]), "complete"),
-        (lambda: fits.mgcca([a, b], on_duplicate="first"), "order_col"),
+        (lambda: fits.fit_incomplete([a, b], method="geninv"), "method"),
+        (lambda: fits.fit_incomplete([a, b], method=""), "method"),
+        (lambda: fits.fit_incomplete([a, b], method="penalized"), "lam"),
+        (lambda: fits.fit_incomplete([a, b], method="penalized", lam=[1.0]), "lam"),
+        (lambda: fits.fit_incomplete("x"), "list"),
+        (lambda: fits.fit_incomplete([]), "no table"),
+        (lambda: fits.fit_incomplete([a.selectExpr("id", "if(x0 > 0, x0, null) x0"), b]), "missing values in x0"),
+        (lambda: fits.fit_incomplete([a.selectExpr("id", "if(x0 > 0, x0, double('NaN')) x0"), b]), "missing values"),
+        (lambda: fits.fit_incomplete([a.selectExpr("id", "1.5D c", "x1"), b]), "c is constant"),
+        (lambda: fits.fit_incomplete([a.selectExpr("id", "x0", "2 * x0 y"), b]), "df1"),
+        (lambda: fits.fit_incomplete([a, b], nfac=5), "fewer than 5"),
+        (lambda: fits.fit_incomplete([a.union(a.limit(1)), b]), "several rows"),
+        (lambda: fits.fit_complete([a.limit(9), b]), "complete"),
+        (lambda: fits.fit_complete([a.selectExpr("concat(id, 'z') id", "x0"), b]), "complete"),
+        (lambda: fits.fit_incomplete([a, b], on_duplicate="first"), "order_col"),
     ]:
         with pytest.raises(ValueError, match=words):
             call()
@@ -196,7 +196,7 @@ def test_duplicates_keep_the_first(spark):
     ids, x = random_tables(np.random.default_rng(2), (2,), 12, 1)[0]
     a = spark.createDataFrame([(i, *map(float, r), n) for n, (i, r) in enumerate(zip([*ids, ids[0]], [*x, x[3]]))], "id string, x0 double, x1 double, place int")
     b = frame(spark, ids, np.random.default_rng(3).normal(size=(12, 2))).selectExpr("*", "1 place")
-    out = fits.mgcca({"a": a, "b": b}, on_duplicate="first", order_col="place")
+    out = fits.fit_incomplete({"a": a, "b": b}, on_duplicate="first", order_col="place")
     assert out.n_ids == 12 and out.y.count() == 12
 
 

@@ -28,7 +28,7 @@ def result(spark):
     for n, w in enumerate((4, 3)):
         x = base[:, None] * rng.normal(size=w) + rng.normal(size=(30, w))
         frames.append(spark.createDataFrame([(i, *map(float, r)) for i, r in zip(ids, x)], "id string, " + ", ".join(f"v{n}{k} double" for k in range(w))))
-    return fits.mgcca({"a": frames[0], "b": frames[1]}, scores=True)
+    return fits.fit_incomplete({"a": frames[0], "b": frames[1]}, scores=True)
 
 
 def test_casts_and_nulls(spark):
@@ -178,7 +178,7 @@ def test_leave_one_out_grid(spark):
     x2[:, 0] += x1[:, 0]
     ids = [f"i{k}" for k in range(14)]
     frames = [spark.createDataFrame([(i, *map(float, r)) for i, r in zip(ids, x)], "id string, " + ", ".join(f"v{k} double" for k in range(x.shape[1]))) for x in (x1, x2)]
-    best, out = tune.cv_gcca(*frames, [0.5, 6.0], [1.0, 30.0])
+    best, out = tune.leave_one_out_grid(*frames, [0.5, 6.0], [1.0, 30.0])
     want = {}
     from tests.test_fit import dense
 
