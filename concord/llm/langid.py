@@ -192,8 +192,9 @@ class Labeller:
         share = np.bincount(owner * count + label, weights=letters, minlength=len(found) * count).reshape(-1, count)
         best = share.argmax(axis=1)
         score = share[np.arange(len(found)), best] / np.maximum(share.sum(axis=1), 1)
-        lang = [self.model.languages[b] if n else "und" for b, n in zip(best.tolist(), lengths.tolist())]
-        return lang, score, label, lengths
+        lettered = np.array([bool(t) and any(map(str.isalpha, t)) for t in texts])  # digits of other kinds are no letters
+        lang = [self.model.languages[b] if n else "und" for b, n in zip(best.tolist(), lettered.tolist())]
+        return lang, np.where(lettered, score, 0.0), label, lengths
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", penalty: float = 12.0, with_spans: bool = True) -> DataFrame:
@@ -209,7 +210,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         spans: list = [[]] * len(ids)
         if with_spans:
             ends = np.cumsum(lengths)
-            spans = [_spans(t, label[e - n : e], shared.value.languages) if n else [] for t, n, e in zip(texts, lengths.tolist(), ends.tolist())]
+            spans = [_spans(t, label[e - n : e], shared.value.languages) if n and x != "und" else [] for t, n, e, x in zip(texts, lengths.tolist(), ends.tolist(), lang)]
         return {"id": ids, "lang": lang, "score": score.tolist(), "spans": spans}
 
     return map_texts(docs, id_col, text_col, SCHEMA, run, max_bytes=8 << 20)

@@ -133,10 +133,10 @@ def test_languages(spark, sf):
     assert len(found) == len(want) and right >= 0.97 * len(want)
     by = {w.lang: w.text for w in want.values() if 300 < len(w.text) < 5000}
     mixed = by["en"] + "\n" + by["fr"] + "\n" + by["de"]
-    odd = spark.createDataFrame([(1, mixed, "x"), (2, None, None), (3, "", ""), (4, "12 -- 34", "en"), (None, "Привет мир", ""), (5, by["en"] * 60, "")], "doc_id bigint, text string, lang string")
+    odd = spark.createDataFrame([(1, mixed, "x"), (2, None, None), (3, "", ""), (4, "12 -- 34", "en"), (6, "² ½ 12", "en"), (None, "Привет мир", ""), (5, by["en"] * 60, "")], "doc_id bigint, text string, lang string")
     got = {r.id: r for r in langid.identify(odd, model).collect()}
     assert [s.lang for s in got[1].spans if s.end - s.start > 100] == ["en", "fr", "de"]
-    assert [(got[i].lang, got[i].score, got[i].spans) for i in (2, 3, 4)] == [("und", 0.0, [])] * 3
+    assert [(got[i].lang, got[i].score, got[i].spans) for i in (2, 3, 4, 6)] == [("und", 0.0, [])] * 4
     assert got[5].lang == "en" and 0 < got[1].score < 1 and got[None].lang in model.languages
     none = langid.train(odd.where("lang is null"))
     assert {r.lang for r in langid.identify(odd, none).collect()} == {"und"}
