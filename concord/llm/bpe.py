@@ -321,12 +321,17 @@ def encode_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 _encoders = Interner(Encoder, limit=4)
 
 
+def encoder_for(spec: str) -> Encoder:
+    """The encoder of this worker, shared by all its tasks because they call it by name."""
+    return _encoders[spec]
+
+
 def _mapped(docs, tokenizer_path, id_col, text_col, schema, finish):
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(ids, texts):
-        encoder = _encoders[spec.value]
+        encoder = encoder_for(spec.value)
         return finish(encoder, ids, encoder.encode_batch(texts))
 
     return map_texts(docs, id_col, text_col, schema, run, max_bytes=8 << 20)

@@ -101,6 +101,11 @@ class Shingler:
 _shinglers = Interner(Shingler, limit=8)
 
 
+def shingler_for(words: int) -> Shingler:
+    """The shingler of this worker, shared by all its tasks because they call it by name."""
+    return _shinglers[words]
+
+
 def signatures(docs: DataFrame, join: Join) -> tuple[DataFrame, np.ndarray]:
     """((id, n, h), order): set sizes and 128-bit digests of all rows, and for each hash
     bucket of shingles the logarithm of how many sets hold one of them."""
@@ -109,7 +114,7 @@ def signatures(docs: DataFrame, join: Join) -> tuple[DataFrame, np.ndarray]:
     keys = 64
 
     def run(batches):
-        shingler, seen = _shinglers[words], set()
+        shingler, seen = shingler_for(words), set()
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
             for part in slices(batch, 1, 8 << 20):
@@ -145,7 +150,7 @@ def first_regions(texts: DataFrame, order: np.ndarray, join: Join) -> DataFrame:
     schema = pa.schema([("shingle", pa.int64()), ("id", pa.int64()), ("n", pa.int64())])
 
     def run(batches):
-        shingler, rank = _shinglers[join.words], shared.value
+        shingler, rank = shingler_for(join.words), shared.value
         for batch in batches:
             for part in slices(batch, 1, 8 << 20):
                 found, ids, sizes = [], [], []
@@ -298,7 +303,7 @@ def _join_regions(rows: DataFrame, join: Join) -> DataFrame:
     schema = pa.schema([("id", pa.int64()), ("root", pa.int64())])
 
     def run(batches):
-        shingler = _shinglers[join.words]
+        shingler = shingler_for(join.words)
         region, ids, sets = None, [], []
 
         def flush():
@@ -327,7 +332,7 @@ def _cells(rows: DataFrame, pivots: dict[str, list[np.ndarray]], join: Join) ->
     schema = pa.schema([("region", pa.string()), ("id", pa.int64()), ("n", pa.int64()), ("text", pa.string())])
 
     def run(batches):
-        shingler = _shinglers[join.words]
+        shingler = shingler_for(join.words)
         for batch in batches:
             for part in slices(batch, 2, 8 << 20):
                 out = []

@@ -15,6 +15,7 @@ label or text teach nothing.
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -79,6 +80,7 @@ class Model:
     languages: tuple[str, ...]
     weights: np.ndarray
     allowed: np.ndarray
+    name: str = ""
 
     def score(self, words: list[str]) -> np.ndarray:
         """Words x languages: log likelihoods, centred; barred languages far below."""
@@ -124,7 +126,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", s
     weights = np.log((counts + smoothing) / (counts.sum(axis=1, keepdims=True) + smoothing * BUCKETS))
     allowed = (scripts >= script_share * np.maximum(1, scripts.sum(axis=1, keepdims=True))).T
     allowed[~allowed.any(axis=1)] = True  # a script that no language uses narrows nothing
-    return Model(tuple(k for k, _ in sums), weights.astype(np.float32), allowed)
+    return Model(tuple(k for k, _ in sums), weights.astype(np.float32), allowed, uuid.uuid4().hex)
 
 
 def viterbi(scores: np.ndarray, words: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarray:
@@ -197,16 +199,24 @@ class Labeller:
         return lang, np.where(lettered, score, 0.0), label, lengths
 
 
+_labellers: dict[tuple, Labeller] = {}
+
+
+def labeller_for(model: Model, penalty: float) -> Labeller:
+    """The labeller of this worker for a model, shared by all its tasks because they call it by name."""
+    if (model.name, penalty) not in _labellers:
+        _labellers.clear()
+        _labellers[model.name, penalty] = Labeller(model, penalty)
+    return _labellers[model.name, penalty]
+
+
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", penalty: float = 12.0, with_spans: bool = True) -> DataFrame:
     """(id, lang, score, spans) of every whole text; span offsets count characters. The model
     that is sent along is bounded: languages x 65,536 numbers."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    made: list[Labeller] = []
 
     def run(ids, texts):
-        if not made:
-            made.append(Labeller(shared.value, penalty))
-        lang, score, label, lengths = made[0](texts)
+        lang, score, label, lengths = labeller_for(shared.value, penalty)(texts)
         spans: list = [[]] * len(ids)
         if with_spans:
             ends = np.cumsum(lengths)
@@ -220,12 +230,9 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", penal
     """The rows, with all their columns, whose text has a language that covers at least
     ``least_score`` of its letters; ``und`` goes."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    made: list[Labeller] = []
 
     def keep(texts):
-        if not made:
-            made.append(Labeller(shared.value, penalty))
-        lang, score, *_ = made[0](texts)
+        lang, score, *_ = labeller_for(shared.value, penalty)(texts)
         return [x != "und" and s >= least_score for x, s in zip(lang, score.tolist())]
 
     return filter_rows(docs, text_col, keep)

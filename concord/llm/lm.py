@@ -331,7 +331,7 @@ def train(docs: DataFrame, text_col: str = "text", shard_tokens: int = SHARD) ->
 
     # pairs
     def count_pairs(batches):
-        coder, held, size = Coder(model), [], 0
+        coder, held, size = coder_for(model), [], 0
         for batch in batches:
             for part in slices(batch, 1, 4 << 20):
                 numbers, _, lengths = coder.numbers(part.column(1).to_pylist())
@@ -450,6 +450,18 @@ class Coder:
         return self.number[at], self.count[at], lengths
 
 
+_coders: dict[str, Coder] = {}
+
+
+def coder_for(model: Model) -> Coder:
+    """The coder of this worker for a model, shared by all its tasks because they call it by name."""
+    key = f"{model.words.folder} {len(model.statistics.names)}"
+    if key not in _coders:
+        _coders.clear()
+        _coders[key] = Coder(model)
+    return _coders[key]
+
+
 SCHEMA = "id bigint, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
@@ -457,12 +469,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """(id, n_tokens, n_known, base_score, score) of every whole text: log10 probabilities
     by add-one counts and by the model. Perplexity is 10 ** (-score / n_tokens)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # names and totals of shards
-    coders: dict = {}
 
     def run(ids, texts):
-        if not coders:
-            coders["one"] = Coder(shared.value)
-        coder, m = coders["one"], shared.value
+        m = shared.value
+        coder = coder_for(m)
         number, count, lengths = coder.numbers(texts)
         begins = np.cumsum(lengths) - lengths
         base = np.log10((count + 1) / (m.tokens + m.vocabulary + 1))

@@ -90,18 +90,26 @@ class PieceCounter:
         return pieces if state == 1 else 0
 
 
+_counts: dict[int, Interner] = {}
+
+
+def counts_for(key: int, vocabulary: tuple[list[str], list[str]]) -> Interner:
+    """The counts of recent words of this worker, shared by all its tasks because they call it by name."""
+    if key not in _counts:
+        _counts.clear()
+        _counts[key] = Interner(PieceCounter(*vocabulary).count)
+    return _counts[key]
+
+
 def piece_counts(docs: DataFrame, vocabulary: tuple[list[str], list[str]], id_col: str = "doc_id", text_col: str = "text", lower: bool = False) -> DataFrame:
     """(id, n_words, n_pieces, n_unknown) of every whole text. ``n_pieces`` counts an
     unknown word as one piece."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(vocabulary)  # bounded: a tokenizer's vocabulary
-    local: dict = {}
+    key = hash((tuple(vocabulary[0]), tuple(vocabulary[1])))
 
     def count(ids, texts):
-        if not local:
-            counter = PieceCounter(*shared.value)
-            local["count"] = Interner(counter.count)
-        known = local["count"].__getitem__
+        known = counts_for(key, shared.value).__getitem__
         words, pieces, unknown = [], [], []
         for text in texts:
             found = WORD.findall(text.lower() if lower else text) if text else []
