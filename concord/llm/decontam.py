@@ -259,7 +259,7 @@ def find_leaks(docs: DataFrame, index: list[Index], id_col: str = "doc_id", text
             columns = list(zip(*rows)) or [()] * 7
             return dict(zip(("id", "item_id", "score", "question_overlap", "answer_overlap", "first_word", "n_words"), ([ids[r] for r in columns[0]], *columns[1:])))
 
-        part = map_texts(docs, id_col, text_col, SCHEMA, run, max_bytes=8 << 20)
+        part = map_texts(docs, id_col, text_col, SCHEMA, run, max_bytes=2 << 20)
         out = part if out is None else out.unionByName(part)
     return docs.sparkSession.createDataFrame([], SCHEMA) if out is None else out
 
@@ -274,5 +274,5 @@ def clean(docs: DataFrame, index: list[Index], text_col: str = "text", limits: L
             leaky = {r[0] for r in shared.value.search(texts, limits)}
             return [n not in leaky for n in range(len(texts))]
 
-        docs = filter_rows(docs, text_col, keep)
+        docs = filter_rows(docs, text_col, keep, max_bytes=2 << 20)
     return docs

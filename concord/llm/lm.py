@@ -495,4 +495,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         total = np.add.reduceat(np.log10(p), begins)
         return {"id": ids, "n_tokens": lengths.tolist(), "n_known": np.add.reduceat((count > 0).astype(np.int64), begins).tolist(), "base_score": np.add.reduceat(base, begins).tolist(), "score": total.tolist()}
 
-    return map_texts(docs, id_col, text_col, SCHEMA, run, max_bytes=8 << 20)
+    return map_texts(docs, id_col, text_col, SCHEMA, run, max_bytes=2 << 20)
