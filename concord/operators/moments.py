@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -60,48 +62,58 @@ def partial(function, width: int):
     return run
 
 
-def column_stats(table: Block) -> dict[str, np.ndarray | int]:
-    """Rows, mean and sample deviation of each variable, and how many nulls or NaNs."""
+def _partial_stats(table: Block) -> DataFrame:
+    """Rows (v array<double>): row count, then missing, mean and sum of squared deviations
+    of each variable; one row for a wide table, one for each task of a packed one."""
     p = len(table.variables)
     if table.layout == "wide" and p <= WIDE:
-        frame = table.doubles()
-        aggs = [F.count(F.lit(1)).alias("n")]
-        for k in range(p):
-            c = F.col(f"v{k}")
-            aggs += [F.avg(c), F.stddev_samp(c), F.count_if(c.isNull() | F.isnan(c))]
-        row = frame.agg(*aggs).first()
-        values = np.array([np.nan if v is None else float(v) for v in row[1:]]).reshape(p, 3).T if p else np.zeros((3, 0))
-        return {"n": row[0], "mean": values[0], "sd": values[1], "bad": values[2].astype(int)}
+        columns = [F.col(f"v{k}") for k in range(p)]
+        aggs = [F.count(F.lit(1)), *(F.count_if(c.isNull() | F.isnan(c)) for c in columns), *(F.avg(c) for c in columns), *(F.var_pop(c) * F.count(c) for c in columns)]
+        return table.doubles().agg(F.array(*(a.cast("double") for a in aggs)).alias("v"))
 
     def sums(batches):
         n, bad, mean, m2 = 0, np.zeros(p), np.zeros(p), np.zeros(p)
         for batch in batches:
-            x = batch.column("x")
-            if x.null_count:
+            if batch.column("x").null_count:
                 raise ValueError("a row without values")
             rows = stack(batch, "x", p).astype(float)
-            if not len(rows):
-                continue
-            bad += np.isnan(rows).sum(axis=0)
-            k = len(rows)
-            own = rows.mean(axis=0)
-            delta = own - mean
-            m2 += ((rows - own) ** 2).sum(axis=0) + delta**2 * n * k / (n + k)
-            mean += delta * k / (n + k)
-            n += k
-        return np.concatenate([[n], bad, mean, m2]) if n else None
-
-    # sums of squares about a common origin lose digits, so the tasks' own means are merged
-    rows = table.arrays().mapInArrow(partial(sums, p), ROW).select("data").toLocalIterator()  # 3p + 1 numbers a task
-    n, bad, mean, m2 = 0, np.zeros(p), np.zeros(p), np.zeros(p)
-    for r in rows:
-        part = np.frombuffer(r["data"])
-        k, own, own2 = int(part[0]), part[1 + p : 1 + 2 * p], part[1 + 2 * p :]
-        delta = own - mean
-        m2 = m2 + own2 + delta**2 * n * k / (n + k)
-        mean = mean + delta * k / (n + k)
-        n, bad = n + k, bad + part[1 : 1 + p]
-    return {"n": n, "mean": mean, "sd": np.sqrt(m2 / (n - 1)) if n > 1 else np.full(p, np.nan), "bad": bad.astype(int)}
+            if len(rows):
+                own = rows.mean(axis=0)
+                bad += np.isnan(rows).sum(axis=0)
+                n, mean, m2 = _joined(n, mean, m2, len(rows), own, ((rows - own) ** 2).sum(axis=0))
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([[n], bad, mean, m2]).tolist()], pa.list_(pa.float64()))], names=["v"])
+
+    return table.arrays().mapInArrow(sums, "v array<double>")
+
+
+def _joined(n: int, mean, m2, k: int, own, own2):
+    """Counts, means and squared deviations of two parts together: parts about their own
+    means lose no digits."""
+    delta = own - mean
+    return n + k, mean + delta * k / (n + k), m2 + own2 + delta**2 * n * k / (n + k)
+
+
+def all_column_stats(tables: dict[str, Block]) -> dict[str, dict]:
+    """For each table: rows, mean and sample deviation of each variable, and how many of its
+    values are null or NaN. All tables are summed in one job."""
+    parts = [_partial_stats(t).select(F.lit(k).alias("t"), "v") for k, t in enumerate(tables.values())]
+    rows = reduce(DataFrame.unionByName, parts).collect()  # a row of 3p + 1 numbers for each task at most
+    out = {}
+    for k, (name, table) in enumerate(tables.items()):
+        p = len(table.variables)
+        n, bad, mean, m2 = 0, np.zeros(p), np.zeros(p), np.zeros(p)
+        for r in rows:
+            v = np.array([np.nan if x is None else x for x in r["v"]]) if r["t"] == k else np.zeros(1)
+            if v[0]:
+                bad = bad + v[1 : 1 + p]
+                n, mean, m2 = _joined(n, mean, m2, int(v[0]), v[1 + p : 1 + 2 * p], v[1 + 2 * p :])
+        out[name] = {"n": n, "mean": mean, "sd": np.sqrt(m2 / (n - 1)) if n > 1 else np.full(p, np.nan), "bad": bad.astype(int)}
+    return out
+
+
+def column_stats(table: Block) -> dict:
+    return all_column_stats({"": table})[""]
 
 
 def gram(frame: DataFrame, width: int, x_col: str = "x", weight: str | None = None) -> np.ndarray:

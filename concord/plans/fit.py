@@ -22,7 +22,7 @@ from concord.functions.columns import component
 from concord.functions.stats import correlation_p, p_value
 from concord.model import WIDE, Block, FitResult, table_set
 from concord.operators.align import aligned
-from concord.operators.moments import column_stats, gram, kernel, stack
+from concord.operators.moments import all_column_stats, gram, kernel, stack
 from concord.plans.solve import match_method, penalties, solve
 
 #: Up to this many variables a projection is a sum of columns; beyond, numpy in Arrow batches.
@@ -123,7 +123,7 @@ def fit(
         raise ValueError("nfac must be positive")
     if sum(widths) > DRIVER_LIMIT:
         raise ValueError(f"{sum(widths)} variables in all: more than {DRIVER_LIMIT}; use fit_dual on long assays")
-    stats = {k: column_stats(b) for k, b in blocks.items()}
+    stats = all_column_stats(blocks)
     checked(blocks, stats, scale)
     if missing == "forbid" and len({s["n"] for s in stats.values()}) > 1:
         raise ValueError("the tables differ in their rows: complete cases are required; see missing='allow'")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from concord.model import Block, table_set
 from concord.operators.align import aligned
-from concord.operators.moments import ROW, column_stats, gram, partial, stack, tree_sum
+from concord.operators.moments import ROW, all_column_stats, gram, partial, stack, tree_sum
 from concord.operators.prep import grid
 from concord.plans.fit import checked
 from concord.plans.solve import solve
@@ -48,7 +48,7 @@ def leave_one_out_grid(x1: Block | DataFrame, x2: Block | DataFrame, grid1: list
     Each row needs only the moments of all rows and itself, so rows are scored in parallel."""
     points = grid(grid1 or default_grid(), grid2 or default_grid())
     blocks = table_set({"x1": x1, "x2": x2} if isinstance(x1, Block) else [x1, x2])
-    stats = {k: column_stats(b) for k, b in blocks.items()}
+    stats = all_column_stats(blocks)
     checked(blocks, stats, True)
     if len({s["n"] for s in stats.values()}) > 1:
         raise ValueError("the tables differ in their rows: complete cases are required")
