@@ -19,6 +19,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from functools import cache
 
 import numpy as np
@@ -31,11 +32,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from concord.llm._common import Interner, materialize, shared_path, slices
+from concord.llm.bpe import byte_alphabet
 
 HEAD = struct.Struct("<QI")
 POLYNOMIAL = 0x82F63B78  # CRC-32C, reflected
 MASK_DELTA = 0xA282EAD8
 BLOCK = 64
+#: Fixed value: the pattern that byte-level BPE of this kind cuts texts with.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 # ---------------------------------------------------------------- CRC-32C
@@ -182,11 +186,14 @@ def deserialize(body: bytes) -> tuple[int | None, np.ndarray]:
 
 
 class LibraryEncoder:
-    """The tokenizers library behind a cache of chunks. Texts are cut before single
-    spaces, where a byte-level pattern always ends a piece; texts with spaces next to
-    other white space on both sides go to the library whole."""
+    """The tokenizers library behind caches. A byte-level pattern ends a piece before every
+    single space that a letter follows, so texts are cut there, and the chunks into the
+    pattern's pieces; pieces that are not known yet go to the library, many at once. A text
+    with a space before other white space, or with a special token, goes to it whole."""
+
+    def __init__(self, spec: str, limit: int = 800_000):
+        import json
 
-    def __init__(self, spec: str, limit: int = 400_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -194,63 +201,88 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cache: dict[str, bytes] = {}
         self.limit = limit
         self.size = self.tokenizer.get_vocab_size()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        import json
-
-        pre = json.loads(spec).get("pre_tokenizer") or {}
-        usual = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not json.loads(spec).get("normalizer")
-        self.mark = self.special[0] if len(self.special) == 1 and usual else None
-        self.mark_id = self.tokenizer.token_to_id(self.mark) if self.mark else None
-        self.odd = regex.compile(r"\s \s|\x00" + (f"|{regex.escape(self.mark)}" if self.mark else ""))
+        read = json.loads(spec)
+        pre = read.get("pre_tokenizer") or {}
+        self.usual = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not read.get("normalizer")
+        self.pattern = regex.compile(PIECES)
+        self.alphabet = byte_alphabet()
+        self.chunks: dict[str, bytes | None] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _fresh(self, chunks: list[str]) -> list[bytes]:
-        """Chunks joined by the special token, encoded at once and cut apart at its id."""
-        ids = np.array(self.tokenizer.encode(self.mark.join(chunks), add_special_tokens=False).ids, dtype="<u4")
-        cuts = np.flatnonzero(ids == self.mark_id)
-        if len(cuts) != len(chunks) - 1:
-            return self._whole(chunks)
-        data, edges = ids.tobytes(), [-1, *cuts.tolist(), len(ids)]
-        return [data[4 * a + 4 : 4 * b] for a, b in zip(edges, edges[1:])]
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Words, each with or without a space in front, that are one piece each: the
+        library's model merges their bytes, written in its alphabet."""
+        tokenize, alphabet = self.tokenizer.model.tokenize, self.alphabet
+        return [array("I", [t.id for t in tokenize(w.encode().decode("latin-1").translate(alphabet))]).tobytes() for w in words]
+
+    def _learn(self, fresh: set[str]) -> None:
+        """Put what ``fresh`` chunks encode to into the cache, and their pieces too."""
+        known, words, marked, mixed = self.chunks, [], [], []
+        for chunk in fresh:
+            word = chunk[1:] if chunk[0] == " " else chunk
+            if word.isalpha():
+                words.append(chunk)
+            elif chunk[-1] in ".,;:!?" and word[:-1].isalpha():
+                marked.append(chunk)
+            elif chunk[0] == " " and (not word or word[0].isspace()):
+                known[chunk] = None  # only the whole text can settle it
+            else:
+                mixed.append((chunk, self.pattern.findall(chunk)))
+        pieces = {c[:-1] for c in marked}.union(c[-1] for c in marked).union(*(p for _, p in mixed)).difference(known, fresh)
+        other = [p for p in pieces.union(c for c, p in mixed if len(p) == 1) if not (p[1:] if p[0] == " " else p).isalpha()]
+        words += pieces.difference(other)
+        known.update(zip(words, self._words(words)))
+        known.update(zip(other, self._whole(other)))
+        for chunk in marked:
+            known[chunk] = known[chunk[:-1]] + known[chunk[-1]]
+        for chunk, parts in mixed:
+            if len(parts) != 1:
+                known[chunk] = b"".join([known[p] for p in parts])
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids, four bytes each."""
-        if self.mark is None:
+        if not self.usual:
             return self._whole([t or "" for t in texts])
         out: list = [None] * len(texts)
         whole, split = [], []
         for n, text in enumerate(texts):
             if not text:
                 out[n] = b""
-            elif self.odd.search(text):
+            elif "\0" in text or any(x in text for x in self.special):
                 whole.append(n)
             else:
                 split.append((n, text.replace(" ", "\0 ").split("\0")))
-        for n, ids in zip(whole, self._whole([texts[n] for n in whole])):
-            out[n] = ids
-        cache = self.cache
-        fresh = set().union(*(c for _, c in split)).difference(cache)
-        if len(cache) + len(fresh) > self.limit:
-            cache.clear()
+        fresh = set().union(*(c for _, c in split)).difference(self.chunks)
+        if len(self.chunks) + len(fresh) > self.limit:
+            self.chunks.clear()
             fresh = set().union(*(c for _, c in split))
         fresh.discard("")
-        cache[""] = b""
-        fresh = list(fresh)
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
-            cache.update(zip(part, self._fresh(part)))
+        self.chunks[""] = b""
+        self._learn(fresh)
+        get = self.chunks.__getitem__
         for n, chunks in split:
-            out[n] = b"".join(map(cache.__getitem__, chunks))
+            try:
+                out[n] = b"".join(map(get, chunks))
+            except TypeError:  # a chunk that only the whole text can settle
+                whole.append(n)
+        for n, ids in zip(whole, self._whole([texts[n] for n in whole])):
+            out[n] = ids
         return out
 
 
 _encoders = Interner(LibraryEncoder, limit=4)
 
+
+def encoder_for(spec: str) -> LibraryEncoder:
+    """The encoder of this worker: tasks call this by name, so all of a worker's tasks share
+    its caches, which a task's own copy of a variable would not."""
+    return _encoders[spec]
+
 INDEX = "id bigint, part int, seq bigint, file string, offset bigint, length bigint, n_tokens bigint, start_in_part bigint"
 
 
@@ -266,7 +298,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def write(batches):
-        encoder = _encoders[spec.value]
+        encoder = encoder_for(spec.value)
         width = 2 if max(encoder.size, end_id + 1) <= 1 << 16 else 4
         end = np.array([end_id], dtype="<u4").tobytes()
         store, base = fs.FileSystem.from_uri(folder)
