@@ -31,6 +31,8 @@ from concord.llm._common import filter_rows, map_texts, slices, sum_arrays
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3, 4)
+#: Bytes of text that a worker handles at once: its words and their n-grams take many times that.
+SLICE = 2 << 20
 #: Unicode ranges of scripts: first code point and name; a range ends where the next begins.
 SCRIPTS: list[tuple[int, str]] = [
     (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0780, "other"),
@@ -100,7 +102,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", s
     def count(batches):
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, SLICE):
                 words: dict[str, Counter] = {}
                 for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     words.setdefault(lang, Counter()).update(WORD.findall(text.lower()))
@@ -168,7 +170,7 @@ SCHEMA = "id bigint, lang string, score double, spans array<struct<lang:string,s
 class Labeller:
     """Labels words with a model, remembering the scores of recent words."""
 
-    def __init__(self, model: Model, penalty: float, limit: int = 300_000):
+    def __init__(self, model: Model, penalty: float, limit: int = 200_000):
         self.model, self.penalty, self.limit = model, penalty, limit
         self.index: dict[str, int] = {}
         self.scores = np.zeros((0, len(model.languages)), np.float32)
@@ -223,7 +225,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             spans = [_spans(t, label[e - n : e], shared.value.languages) if n and x != "und" else [] for t, n, e, x in zip(texts, lengths.tolist(), ends.tolist(), lang)]
         return {"id": ids, "lang": lang, "score": score.tolist(), "spans": spans}
 
-    return map_texts(docs, id_col, text_col, SCHEMA, run, max_bytes=8 << 20)
+    return map_texts(docs, id_col, text_col, SCHEMA, run, max_bytes=SLICE)
 
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", penalty: float = 12.0, least_score: float = 0.5) -> DataFrame:
@@ -235,7 +237,7 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", penal
         lang, score, *_ = labeller_for(shared.value, penalty)(texts)
         return [x != "und" and s >= least_score for x, s in zip(lang, score.tolist())]
 
-    return filter_rows(docs, text_col, keep)
+    return filter_rows(docs, text_col, keep, max_bytes=SLICE)
 
 
 def _spans(text: str, label: np.ndarray, languages: tuple[str, ...]) -> list[dict]:
