@@ -65,6 +65,13 @@ def price_matrix(spark, sf) -> DataFrame:
     return cells.join(own, ["o_custkey", "o_orderpriority"], "left").select(F.col("o_custkey").cast("string").alias("feature"), F.col("o_orderpriority").alias("sample"), "value")
 
 
+def priority_totals(rows: DataFrame) -> DataFrame:
+    """(feature, sample, value = total) of rows of that form, 0 where a feature has no row of a sample."""
+    own = rows.groupBy("feature", "sample").agg(F.sum("value").alias("value"))
+    cells = own.select("feature").distinct().crossJoin(F.broadcast(own.select("sample").distinct()))  # a few samples
+    return cells.join(own, ["feature", "sample"], "left").select("feature", "sample", F.coalesce("value", F.lit(0.0)).alias("value"))
+
+
 def loadings(spark, sf) -> DataFrame:
     """Correlations of the first embedding dimensions, in tables a and b, with two others."""
     e = lambda k: F.col("embedding")[k].cast("double")
@@ -187,9 +194,11 @@ def complete_eig_wide(spark, sf):
 
 
 def dual_fit(spark, sf):
-    own = table(spark, sf, "embeddings").where("vec_id < 60")
-    long = own.select(F.col("vec_id").cast("string").alias("sample"), F.posexplode(F.col("embedding").cast("array<double>")).alias("k", "value"))
-    assays = {n: long.where(F.col("k") % 2 == k).select(F.concat(F.lit("e"), F.lpad("k", 2, "0")).alias("feature"), "sample", "value") for k, n in enumerate(("even", "odd"))}
+    """Order priorities as samples, whose number does not grow; all customers and all parts as features."""
+    orders = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("feature"), F.col("o_orderpriority").alias("sample"), F.col("o_totalprice").alias("value"))
+    lines = table(spark, sf, "lineitem").join(orders.select("o_orderkey", "sample"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = lines.select(F.col("l_partkey").cast("string").alias("feature"), "sample", F.col("l_extendedprice").alias("value"))
+    assays = {"customers": priority_totals(orders.drop("o_orderkey")), "parts": priority_totals(lines)}
     return _eig(fits.fit_dual(assays, lam=[5.0, 7.0], nfac=3))
 
 

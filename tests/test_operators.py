@@ -253,3 +253,20 @@ def test_contract(spark, sf):
         want = db.sql(queries.SQL[name]).fetchall()
         names = [d[0] for d in db.sql(queries.SQL[name]).description]
         assert sorted(map(str, map(tuple, got.select(*(f"`{n}`" for n in names)).collect()))) == sorted(map(str, want)), name
+
+
+def test_dual_fit_query_takes_all_rows(spark, sf):
+    pd = pytest.importorskip("pandas")
+    from concord.plans import queries
+
+    orders, lines = (pd.read_parquet(f"{sf}/{n}.parquet") for n in ("orders", "lineitem"))
+    lines = lines.merge(orders[["o_orderkey", "o_orderpriority"]], left_on="l_orderkey", right_on="o_orderkey")
+    total = np.zeros((5, 5))
+    for rows, key, value, lam in ((orders, "o_custkey", "o_totalprice", 5.0), (lines, "l_partkey", "l_extendedprice", 7.0)):
+        x = rows.pivot_table(index="o_orderpriority", columns=key, values=value, aggfunc="sum", fill_value=0.0).to_numpy(float)
+        assert x.shape == (5, rows[key].nunique())
+        z = (x - x.mean(axis=0)) / x.std(axis=0, ddof=1)
+        total += z @ z.T @ np.linalg.inv(z @ z.T + lam * np.eye(5)) / 2
+    want = np.sort(np.linalg.eigvalsh((total + total.T) / 2))[::-1][:3]
+    got = [r.eigenvalue for r in queries.QUERIES["dual_fit"](spark, sf).orderBy("comp").collect()]
+    assert np.allclose(got, want, atol=1e-6)
