@@ -222,8 +222,29 @@ def ave(spark, sf):
     return own.unionByName(result.ave_outer.select(F.lit("outer").alias("table"), "comp", r6(F.col("ave")).alias("ave")))
 
 
+def embedding_fit(spark, sf):
+    """Two components shared by four blocks that hold all embedding dimensions."""
+    return fits.fit_complete(embedding_blocks(spark, sf), nfac=2)
+
+
 def p_values(spark, sf):
-    return loading_p(spark, sf)
+    return embedding_fit(spark, sf).p_values
+
+
+def fit_top_vars_pos(spark, sf):
+    return select.top_vars(embedding_fit(spark, sf), 1, "pos", 3).select("table", "rank", "variable", r6(F.col("r")).alias("r"))
+
+
+def fit_top_vars_neg(spark, sf):
+    return select.top_vars(embedding_fit(spark, sf), 2, "neg", 9).select("table", "rank", "variable", r6(F.col("r")).alias("r"))
+
+
+def fit_top_vars_pcut(spark, sf):
+    return select.top_vars(embedding_fit(spark, sf), 1, "neg", pval_cut=CUT).select("table", "var_pos", "variable", r6(F.col("r")).alias("r"))
+
+
+def fit_significant_vars(spark, sf):
+    return select.significant(embedding_fit(spark, sf).p_values, CUT).select("variable", "table", "var_pos")
 
 
 def top_vars_pos(spark, sf):
@@ -350,7 +371,7 @@ def flagship(spark, sf):
     return result.cors
 
 
-QUERIES = {f.__name__: f for f in (zscore_block, scale_only_block, null_check, id_union, id_intersect, id_absent, align_zero_fill, presence_ksum, gram, weighted_cross_gram, complete_eig_1var, complete_components_1var, complete_eig_2var, complete_eig_packed, incomplete_eig_1var, incomplete_components_1var, penalized_eig_1var, incomplete_eig_wide, complete_eig_wide, dual_fit, scores_1var, cors, t_stat, ave, p_values, top_vars_pos, top_vars_neg, top_vars_pcut, significant_vars, chr_to_num, zero_to_null, drop_sparse_samples, transpose_assay, clean_ids, range_point, range_point_any_chrom, range_within, range_semi, knn_impute, grid, loo_cv_1var, ridge_solve, ridge_looe, plot_inds, plot_vars, label_of_largest, unit_circle, save_load)}
+QUERIES = {f.__name__: f for f in (zscore_block, scale_only_block, null_check, id_union, id_intersect, id_absent, align_zero_fill, presence_ksum, gram, weighted_cross_gram, complete_eig_1var, complete_components_1var, complete_eig_2var, complete_eig_packed, incomplete_eig_1var, incomplete_components_1var, penalized_eig_1var, incomplete_eig_wide, complete_eig_wide, dual_fit, scores_1var, cors, t_stat, ave, p_values, fit_top_vars_pos, fit_top_vars_neg, fit_top_vars_pcut, fit_significant_vars, top_vars_pos, top_vars_neg, top_vars_pcut, significant_vars, chr_to_num, zero_to_null, drop_sparse_samples, transpose_assay, clean_ids, range_point, range_point_any_chrom, range_within, range_semi, knn_impute, grid, loo_cv_1var, ridge_solve, ridge_looe, plot_inds, plot_vars, label_of_largest, unit_circle, save_load)}
 
 
 # ---------------------------------------------------------------- SQL

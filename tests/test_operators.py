@@ -270,3 +270,27 @@ def test_dual_fit_query_takes_all_rows(spark, sf):
     want = np.sort(np.linalg.eigvalsh((total + total.T) / 2))[::-1][:3]
     got = [r.eigenvalue for r in queries.QUERIES["dual_fit"](spark, sf).orderBy("comp").collect()]
     assert np.allclose(got, want, atol=1e-6)
+
+
+def test_ranked_and_tested_variables_are_all_64(spark, sf):
+    pd = pytest.importorskip("pandas")
+    from concord.functions.stats import correlation_p
+    from concord.plans import queries
+
+    x = np.stack(pd.read_parquet(f"{sf}/embeddings.parquet")["embedding"]).astype(float)
+    x = (x - x.mean(axis=0)) / x.std(axis=0, ddof=1)
+    blocks = np.split(x, 4, axis=1)
+    vectors = np.linalg.eigh(sum(b @ np.linalg.pinv(b) for b in blocks))[1][:, ::-1][:, :2]
+    products = x.T @ vectors
+    vectors *= np.sign(products[np.abs(products).argmax(axis=0), [0, 1]])
+    r = np.corrcoef(x.T, vectors.T)[:64, 64:]
+    p = correlation_p(r, len(x))
+    rows = lambda name: queries.QUERIES[name](spark, sf).collect()
+    tested = {(t.variable, t.comp): t.p for t in rows("p_values")}
+    assert set(tested) == {(f"e{v}", c) for v in range(64) for c in (1, 2)}
+    assert all(np.isclose(tested[f"e{v}", c + 1], p[v, c], rtol=1e-6, atol=1e-12) for v in range(64) for c in (0, 1))
+    for name, c, sign, n in (("fit_top_vars_pos", 0, -1, 3), ("fit_top_vars_neg", 1, 1, 9)):
+        want = {(f"b{b}", k + 1, f"e{16 * b + v}") for b in range(4) for k, v in enumerate(np.argsort(sign * r[16 * b : 16 * b + 16, c])[:n])}
+        assert {(t.table, t["rank"], t.variable) for t in rows(name)} == want
+    assert {t.variable for t in rows("fit_top_vars_pcut")} == {f"e{v}" for v in range(64) if r[v, 0] < 0 and p[v, 0] <= queries.CUT}
+    assert {t.variable for t in rows("fit_significant_vars")} == {f"e{v}" for v in range(64) if (p[v] < queries.CUT).any()}
