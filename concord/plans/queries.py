@@ -57,6 +57,14 @@ def embedding_blocks(spark, sf, blocks: int = 4, width: int = 16) -> dict[str, B
     return {f"b{n}": Block.packed(own.select("id", F.slice("x", n * width + 1, width).alias("x")), [f"e{n * width + k}" for k in range(width)]) for n in range(blocks)}
 
 
+def month_blocks(spark, sf) -> dict[str, Block]:
+    """A table for each order priority: customers with such orders, what they spent by month of the year."""
+    month = F.month("o_orderdate")
+    totals = F.array(*(F.sum(F.when(month == k, F.col("o_totalprice")).otherwise(0.0)) for k in range(1, 13)))
+    own = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("id"), "o_orderpriority").agg(totals.alias("x"))
+    return {f"p{p[0]}": Block.packed(own.where(F.col("o_orderpriority") == p), [f"m{k}" for k in range(1, 13)]) for p in PRIORITIES}
+
+
 def price_matrix(spark, sf) -> DataFrame:
     """(feature = customer, sample = priority, value = mean price), null where there is none."""
     own = table(spark, sf, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.avg("o_totalprice").alias("value"))
@@ -184,9 +192,7 @@ def penalized_eig_1var(spark, sf):
 
 
 def incomplete_eig_wide(spark, sf):
-    blocks = embedding_blocks(spark, sf)
-    kept = {k: Block(b.frame.where(F.pmod(F.xxhash64("id", F.lit(n)), F.lit(10)) > 0), b.variables, "id", "packed") for n, (k, b) in enumerate(blocks.items())}
-    return _eig(fits.fit_incomplete(kept, nfac=4))
+    return _eig(fits.fit_incomplete(month_blocks(spark, sf), nfac=4))
 
 
 def complete_eig_wide(spark, sf):

@@ -294,3 +294,25 @@ def test_ranked_and_tested_variables_are_all_64(spark, sf):
         assert {(t.table, t["rank"], t.variable) for t in rows(name)} == want
     assert {t.variable for t in rows("fit_top_vars_pcut")} == {f"e{v}" for v in range(64) if r[v, 0] < 0 and p[v, 0] <= queries.CUT}
     assert {t.variable for t in rows("fit_significant_vars")} == {f"e{v}" for v in range(64) if (p[v] < queries.CUT).any()}
+
+
+def test_incomplete_eig_wide_takes_all_rows(spark, sf):
+    pd = pytest.importorskip("pandas")
+    from concord.plans import queries
+
+    orders = pd.read_parquet(f"{sf}/orders.parquet")
+    ids = np.sort(orders.o_custkey.unique())
+    total, ksum, spent = np.zeros((len(ids), len(ids))), np.zeros(len(ids)), 0.0
+    for p in queries.PRIORITIES:
+        own = orders[orders.o_orderpriority == p]
+        x = own.pivot_table(index="o_custkey", columns=own.o_orderdate.dt.month, values="o_totalprice", aggfunc="sum", fill_value=0.0)
+        spent += x.to_numpy(float).sum()
+        z, at = ((x - x.mean()) / x.std()).to_numpy(float), np.searchsorted(ids, x.index)
+        assert z.shape[1] == 12
+        total[np.ix_(at, at)] += z @ np.linalg.pinv(z)
+        ksum[at] += 1
+    assert np.isclose(spent, orders.o_totalprice.sum()) and ksum.min() < 5
+    half = 1 / np.sqrt(ksum)
+    want = np.sort(np.linalg.eigvalsh(half[:, None] * total * half[None, :]))[::-1][:4]
+    got = [r.eigenvalue for r in queries.QUERIES["incomplete_eig_wide"](spark, sf).orderBy("comp").collect()]
+    assert np.allclose(got, want, atol=1e-6)
