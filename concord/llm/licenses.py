@@ -1,9 +1,10 @@
 """License scans by sentence rules.
 
-A text is cut into sentences, each is normalised and matched to a known licence-sentence
-identifier, and the run of identifiers is matched against ordered licence rules; the
-first rule that fits at a place wins and consumes its sentences. Sentences that speak of
-licensing but match nothing are counted as unknown.
+Comment marks are blanked out and wrapped lines joined, then a text is cut into sentences,
+each is normalised and matched to known licence-sentence identifiers, and the run of
+identifiers is matched against ordered licence rules; the first rule that fits at a place
+wins and consumes its sentences. Sentences that speak of licensing but match nothing are
+counted as unknown. Offsets are those of the text as it was.
 
 Null and empty texts have no licences. Null ids are kept; repeated rows are scanned again.
 """
@@ -18,18 +19,20 @@ from concord.llm._common import map_texts
 
 #: Sentence identifiers and the patterns of normalised sentences. Order matters.
 SENTENCES: list[tuple[str, str]] = [
-    ("spdx", r"spdx license identifier (?P<id>[a-z0-9.+-]+)"),
+    ("spdx", r"spdx license identifier "),
     ("apache-2-under", r"licensed under the apache license,? version 2(\.0)?"),
     ("apache-2-condition", r"you may not use this (file|work) except in compliance with the license"),
     ("apache-2-copy", r"you may obtain a copy of the license at"),
     ("apache-2-basis", r"unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an as is basis"),
     ("apache-2-terms", r"see the license for the specific language governing permissions and limitations"),
-    ("agpl-3-under", r"(under|by) (the terms of )?the gnu affero general public license,? (version|v\.?) ?3"),
+    ("agpl-3-under", r"(under|by) (the terms of )?the gnu affero general public license,? (as published by the free software foundation[,;]? )?(either )?(version|v\.?) ?3"),
     ("lgpl-under", r"(under|by) (the terms of )?the gnu (lesser|library) general public license,? (as published by the free software foundation[,;]? )?(either )?(version|v\.?) ?(?P<v>[23](\.[01])?)"),
     ("gpl-under", r"(under|by) (the terms of )?the gnu general public license,? (as published by the free software foundation[,;]? )?(either )?(version|v\.?) ?(?P<v>[23])(\.0)?"),
-    ("gpl-later", r"^(or )?(at your option )?any later version"),
-    ("gpl-warranty", r"this program is distributed in the hope that it will be useful, but without any warranty"),
+    ("gpl-later", r"(or )?(\(?at your option\)? )?any later version"),
+    ("gpl-warranty", r"this (program|library|software|file|package) is distributed in the hope that it will be useful, but without any warranty"),
     ("gpl-copy", r"you should have received a copy of the gnu (affero |lesser |library )?general public license"),
+    ("gpl-more", r"see the gnu (affero |lesser |library )?general public license for more details"),
+    ("gpl-see", r"if not, (see|write to) .{0,60}(gnu|free software foundation)"),
     ("mit-under", r"(licensed|released|distributed|available) under the (terms of the )?(mit|expat|x11) license"),
     ("mit-grant", r"permission is hereby granted, free of charge, to any person obtaining a copy"),
     ("mit-notice", r"the above copyright notice and this permission notice shall be included in all copies"),
@@ -53,14 +56,14 @@ SENTENCES: list[tuple[str, str]] = [
 RULES: list[tuple[str, tuple[str, ...]]] = [
     ("{id}", ("spdx",)),
     ("Apache-2.0", ("apache-2-under", "apache-2-condition?", "apache-2-copy?", "apache-2-basis?", "apache-2-terms?")),
-    ("AGPL-3.0", ("agpl-3-under", "gpl-later?", "gpl-warranty?", "gpl-copy?")),
-    ("LGPL-{v}", ("lgpl-under", "gpl-later?", "gpl-warranty?", "gpl-copy?")),
-    ("GPL-{v}.0", ("gpl-under", "gpl-later?", "gpl-warranty?", "gpl-copy?")),
+    ("AGPL-3.0", ("agpl-3-under", "gpl-later?", "gpl-warranty?", "gpl-more?", "gpl-copy?", "gpl-see?")),
+    ("LGPL-{v}", ("lgpl-under", "gpl-later?", "gpl-warranty?", "gpl-more?", "gpl-copy?", "gpl-see?")),
+    ("GPL-{v}.0", ("gpl-under", "gpl-later?", "gpl-warranty?", "gpl-more?", "gpl-copy?", "gpl-see?")),
     ("MIT", ("mit-under", "mit-grant?", "mit-notice?", "as-is?")),
     ("MIT", ("mit-grant", "mit-notice?", "as-is?")),
     ("ISC", ("isc-grant", "as-is?")),
-    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "as-is?")),
-    ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "as-is?")),
+    ("BSD-3-Clause", ("copyright?", "all-rights?", "bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "as-is?")),
+    ("BSD-2-Clause", ("copyright?", "all-rights?", "bsd-grant", "bsd-source", "bsd-binary", "as-is?")),
     ("BSD-{v}-Clause", ("bsd-under",)),
     ("MPL-2.0", ("mpl-2-under",)),
     ("CC0-1.0", ("cc0",)),
@@ -71,15 +74,54 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
 ]
 
 #: Every sentence pattern holds one of these, so a sentence without any needs no matching.
-TRIGGER = re.compile(r"licen[cs]|copyright|©|\(c\)|permission|redistribut|warrant|public domain|unencumbered|all rights|cc0|as.{0,3}is|endorse|later version|gnu |spdx|apache|law or agreed", re.I)
-_END = re.compile(r"(?<=[.!?])\s+|(?<!Identifier:)(?<=:)\s+|\s*\n\s*(?=\n|[A-Z*#/\-])|\n\s*\n")
+TRIGGER = re.compile(r"licen[cs]|copyright|©|\(c\)|permission|redistribut|warrant|public\W{1,40}domain|unencumbered|all\W{1,40}rights|cc0|as\W{0,40}is|as.{0,3}is|endorse|later\W{1,40}version|gnu\b|free\W{1,40}software\W{1,40}foundation|spdx|apache|law\W{1,40}or\W{1,40}agreed", re.I)
+_END = re.compile(r"(?<=[.!?])\s+|(?<!Identifier:)(?<=:)\s+|\s*\x1e\s*|\n\s*\n")
+#: Comment marks at the ends of a line.
+_OPEN = re.compile(r"[ \t]*(/\*+!?|<!--+|\(\*+|\{-|\"\"\"|\x27\x27\x27|\*+/|\*+\)|--+>|\*+(?![\w*])|//+!?|#+!?|--+(?!>)|;+|%+|\.\.(?=\s)|(?i:rem|dnl)\b|c(?= {2,}))")
+_CLOSE = re.compile(r"[ \t]*(\*+/|--+>|\*+\)|-\}|\"\"\"|\x27\x27\x27|(?<=\s)[*#;|]+)[ \t\r]*$")
+#: Lines that are a statement of their own, and items of lists.
+_OWN = re.compile(r"[ \t]*(Copyright\b(?=\s*(\(c\)|©|\d{4}|[A-Z]))|\([cC]\)\s*\d|©|\S*SPDX-License-Identifier:)")
+_ITEM = re.compile(r"[ \t]*-\s")
+_MARKED = re.compile(r"^[ \t]*(/\*|<!--|\(\*|\{-|\"\"\"|\x27\x27\x27|\*|//|#|--|;|%|\.\.|-\s|\([cC]\)|©|Copyright\b|rem\b|dnl\b|c  )|SPDX-License-Identifier:", re.M | re.I)
+_BLOCKS = {"/*": "*/", "<!": "->", "(*": "*)", "{-": "-}", '""': '""', "\x27\x27": "\x27\x27"}
 _COMPILED = [(name, re.compile(p)) for name, p in SENTENCES]
 _KINDS = {"attribution": "by", "noncommercial": "nc", "sharealike": "sa", "noderivatives": "nd", "noderivs": "nd"}
 _WORDS = {"two": "2", "three": "3", "four": "4"}
 
 
+def uncomment(text: str) -> str:
+    """The text, as long as before, with blanks for comment marks and the separator \x1e for
+    line ends that end a statement: beside notices, before list items, and where the kind
+    of comment changes."""
+    if not _MARKED.search(text):
+        return text
+    out, last, own, until = [], None, False, ""
+    for line in text.split("\n"):
+        kind = until and "block"
+        if m := _OPEN.match(line):
+            mark = m[1]
+            if not until and mark[:2] in _BLOCKS:
+                kind, until = "block", _BLOCKS[mark[:2]]
+                body = line[m.end() :]
+            else:
+                kind, body = kind or ("*" if mark[0] == "*" else mark[:2].lower()), line[m.end() :]
+                if until and mark[-2:] == until:
+                    until = ""
+            line = " " * m.end() + body
+        if until and until in line:
+            until = ""
+        if m := kind and _CLOSE.search(line):
+            line = line[: m.start()] + " " * (len(line) - m.start())
+        mine = bool(_OWN.match(line))
+        if out:
+            out.append("\x1e" if mine or own or kind != last or (not kind and _ITEM.match(line)) else "\n")
+        out.append(line)
+        last, own = kind, mine
+    return "".join(out)
+
+
 def sentences(text: str):
-    """(start, end) of each sentence."""
+    """(start, end) of each sentence of a text without comment marks."""
     at = 0
     for m in _END.finditer(text):
         if m.start() > at:
@@ -96,14 +138,53 @@ def normalise(sentence: str) -> str:
     return re.sub(r"\s+", " ", s).strip(" .!?:;")
 
 
-def identify(sentence: str) -> tuple[str, dict] | None:
-    """The identifier of a sentence and what it names; 'unknown' for one that only
-    mentions a licence; None for any other."""
+def expression(text: str, at: int = 0) -> tuple[str, int] | None:
+    """The longest SPDX expression of lower-case text from ``at`` on, and where it ends."""
+    tokens = [(m[0].rstrip(".:") or m[0], m.start(), m.end()) for m in re.finditer(r"[()]|[a-z0-9][a-z0-9.+:-]*|[^\s()]+", text[at:])]
+
+    def term(k: int):
+        if k < len(tokens) and tokens[k][0] == "(":
+            inner = anyof(k + 1)
+            return (f"({inner[0]})", inner[1] + 1) if inner and inner[1] < len(tokens) and tokens[inner[1]][0] == ")" else None
+        if k >= len(tokens) or not re.fullmatch(r"[a-z0-9][a-z0-9.+:-]*", tokens[k][0]) or tokens[k][0] in ("and", "or", "with"):
+            return None
+        return tokens[k][0], k + 1
+
+    def anyof(k: int):
+        left = term(k)
+        while left and left[1] < len(tokens) and tokens[left[1]][0] in ("and", "or", "with"):
+            right = term(left[1] + 1)
+            if not right:
+                break
+            left = f"{left[0]} {tokens[left[1]][0].upper()} {right[0]}", right[1]
+        return left
+
+    found = anyof(0)
+    return found and (found[0], at + tokens[found[1] - 1][2])
+
+
+def identifiers(sentence: str) -> list[tuple[str, dict]]:
+    """The identifiers of a sentence, in order, and what they name; only 'unknown' for one
+    that just mentions a licence."""
     s = normalise(sentence)
+    found: list[tuple[int, int, str, dict]] = []
     for name, pattern in _COMPILED:
-        if m := pattern.search(s):
-            return name, {k: v for k, v in m.groupdict().items() if v}
-    return ("unknown", {}) if re.search(r"\blicens", s) else None
+        for m in pattern.finditer(s):
+            a, b, named = m.start(), m.end(), {k: v for k, v in m.groupdict().items() if v}
+            if name == "spdx":
+                if not (whole := expression(s, b)):
+                    continue
+                named, b = {"id": whole[0]}, whole[1]
+            if all(b <= x[0] or a >= x[1] for x in found) and not (name == "copyright" and any(x[2] == name for x in found)):
+                found.append((a, b, name, named))
+    if found:
+        return [x[2:] for x in sorted(found, key=lambda x: x[0])]
+    return [("unknown", {})] if re.search(r"\blicens", s) else []
+
+
+def identify(sentence: str) -> tuple[str, dict] | None:
+    """The first identifier of a sentence."""
+    return next(iter(identifiers(sentence)), None)
 
 
 def _fill(name: str, named: dict) -> str:
@@ -126,11 +207,13 @@ def scan(text: str | None) -> tuple[list[tuple[str, int, int]], int]:
     """Licences found, (name, start, end) in order, and the number of unknown sentences."""
     if not text or not TRIGGER.search(text):
         return [], 0
-    run: list[tuple[str, dict, int, int, int]] = []
-    for n, (a, b) in enumerate(sentences(text)):
-        part = text[a:b]
-        if TRIGGER.search(part) and (found := identify(part)):
-            run.append((*found, a, b, n))
+    run: list[tuple[str, dict, int, int]] = []
+    clean = uncomment(text)
+    for a, b in sentences(clean):
+        part = clean[a:b]
+        if TRIGGER.search(part):
+            a, b = a + len(part) - len(part.lstrip()), b - len(part) + len(part.rstrip())
+            run += [(*found, a, b) for found in identifiers(part)]
     out, at = [], 0
     unknown = sum(r[0] == "unknown" for r in run)
     run = [r for r in run if r[0] != "unknown"]

@@ -127,3 +127,58 @@ def test_trigger_covers_all_patterns():
     examples = ["spdx license identifier mit", "you may obtain a copy of the license at", "unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an as is basis", "or any later version", "this program is distributed in the hope that it will be useful, but without any warranty", "neither the name of x may be used to endorse or promote products", "this is free and unencumbered software released into the public domain", "cc0", "all rights reserved", "(c) 2020", "the software is provided as is"]
     for e in examples:
         assert licenses.identify(e)[0] != "unknown" and licenses.TRIGGER.search(e)
+
+
+GPL = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+General Public License for more details.
+
+You should have received a copy of the GNU General Public License along
+with this program.  If not, see <https://www.gnu.org/licenses/>."""
+BSD = """Copyright (c) 2020, A. Author
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright
+   notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above
+   copyright notice, this list of conditions and the following disclaimer.
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS
+IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."""
+
+
+@pytest.mark.parametrize(("head", "mark", "tail"), [("", "", ""), ("/*\n", " * ", "\n */"), ("/*\n", "", "\n*/"), ("", "// ", ""), ("", "# ", ""), ("", "-- ", ""), ("", ";; ", ""), ("", "% ", ""), ("<!--\n", "  ", "\n-->"), ('"""\n', "", '\n"""'), ("", " * ", "")])
+def test_wrapped_headers_in_comments(head, mark, tail):
+    lesser = GPL.replace("General", "Lesser General").replace("version 2", "version 2.1").replace("This program", "This library")
+    affero = GPL.replace("General", "Affero General").replace("version 2", "version 3")
+    for body, want in ((GPL, "GPL-2.0"), (BSD, "BSD-3-Clause"), (lesser, "LGPL-2.1"), (affero, "AGPL-3.0")):
+        text = "int before;\n\n" + head + "\n".join((mark + x).rstrip() for x in body.split("\n")) + tail + "\n\nint after;\n"
+        found, unknown = licenses.scan(text)
+        assert [x[0] for x in found] == [want] and unknown == 0, text
+        part = text[found[0][1] : found[0][2]]
+        assert part.startswith(("Copyright", "you can", "This")) and part.endswith(("licenses/>.", "DISCLAIMED."))
+
+
+def test_wraps_before_capitals_and_statements_without_end_marks():
+    names = lambda t: [x[0] for x in licenses.scan(t)[0]]
+    assert names("It is licensed under the Apache\nLicense, Version 2.0.") == ["Apache-2.0"]
+    assert names("under the terms of the GNU\nGeneral Public License, version 3.") == ["GPL-3.0"]
+    assert names("Copyright 2020 A\nAll rights reserved\nReleased under the MIT License\nLicensed under the Apache License, Version 2.0") == ["Proprietary", "MIT", "Apache-2.0"]
+    assert licenses.scan("Copyright 2020 A\nMy own licence applies")[1] == 1
+
+
+@pytest.mark.parametrize(("text", "want"), [("(MIT OR Apache-2.0)", "(mit OR apache-2.0)"), ("GPL-2.0-only WITH Classpath-exception-2.0 AND (BSD-3-Clause OR ISC)", "gpl-2.0-only WITH classpath-exception-2.0 AND (bsd-3-clause OR isc)"), ("GPL-2.0+ OR", "gpl-2.0+"), ("MIT", "mit")])
+def test_spdx_expressions(text, want):
+    for line in (f"// SPDX-License-Identifier: {text}\nint x;", f"/* SPDX-License-Identifier: {text} */\nint x;", f"# SPDX-License-Identifier: {text}\n# more"):
+        assert [x[0] for x in licenses.scan(line)[0]] == [want]
