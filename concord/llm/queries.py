@@ -86,7 +86,7 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = licenses.scan_licenses(_table(spark, sf_dir, "documents"))
     names = F.array_join(F.array_sort(F.array_distinct(F.transform("licenses", lambda x: x["license"]))), ",")
-    return found.select(F.col("id").alias("doc_id"), names.alias("license_ids"), F.size("licenses").cast("bigint").alias("n_licenses"), "n_unknown", F.get("licenses", F.lit(0))["start"].alias("first_start"), F.get("licenses", F.lit(0))["end"].alias("first_end"))
+    return found.select(F.col("id").alias("doc_id"), names.alias("license_ids"), F.size("licenses").cast("bigint").alias("n_licenses"), "n_unknown", F.get("licenses", F.lit(0))["start"].alias("first_start"), F.get("licenses", F.lit(0))["end"].alias("first_end"), "licenses")
 
 
 def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -182,3 +182,12 @@ def test_wraps_before_capitals_and_statements_without_end_marks():
 def test_spdx_expressions(text, want):
     for line in (f"// SPDX-License-Identifier: {text}\nint x;", f"/* SPDX-License-Identifier: {text} */\nint x;", f"# SPDX-License-Identifier: {text}\n# more"):
         assert [x[0] for x in licenses.scan(line)[0]] == [want]
+
+
+def test_licence_query_keeps_every_place(spark, tmp_path):
+    text = "Released under the MIT License. Licensed under the Apache License, Version 2.0. Prose. Released under the MIT License."
+    spark.createDataFrame([(1, text), (2, None)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in queries.op9_licenses(spark, str(tmp_path)).collect()}
+    assert [(x.license, x.start, x.end) for x in rows[1].licenses] == licenses.scan(text)[0] and rows[2].licenses == []
+    assert [x.license for x in rows[1].licenses] == ["MIT", "Apache-2.0", "MIT"]
+    assert (rows[1].license_ids, rows[1].n_licenses, rows[1].first_end) == ("Apache-2.0,MIT", 3, rows[1].licenses[0].end)
