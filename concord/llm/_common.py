@@ -111,10 +111,12 @@ class Interner(dict):
         return value
 
 
-def sum_arrays(partials: DataFrame, dtype: str, fan_in: int = 64) -> list:
+def sum_arrays(partials: DataFrame, dtype: str, fan_in: int = 64, written: bool = False) -> list:
     """Add up rows (key string, task int, data binary): zlib-packed numpy arrays of one
     length per key. Rounds of at most ``fan_in`` rows a group, so no task gathers more than
-    that many arrays. Returns [(key, array)] on the driver: bounded by keys and length."""
+    that many arrays. Returns [(key, array)] on the driver: bounded by keys and length.
+    ``written``: the rows were written and read again, so their partitions are no longer the
+    tasks that numbered them, and the largest number is looked up."""
     import zlib
 
     from pyspark.sql import functions as F
@@ -131,11 +133,14 @@ def sum_arrays(partials: DataFrame, dtype: str, fan_in: int = 64) -> list:
 
         return pd.DataFrame({"key": [frame["key"].iloc[0]], "task": [int(frame["task"].iloc[0] // fan_in)], "data": [zlib.compress(add(frame["data"]).tobytes(), 1)]})
 
-    tasks = max(1, partials.rdd.getNumPartitions())
+    tasks = (partials.agg(F.max("task")).first()[0] or 0) + 1 if written else max(1, partials.rdd.getNumPartitions())
     while tasks > 1:
         partials = partials.groupBy("key", F.floor(F.col("task") / fan_in).alias("block")).applyInPandas(lambda frame: reduce(frame), "key string, task int, data binary")
         tasks = -(-tasks // fan_in)
-    return [(r.key, add([r.data])) for r in partials.orderBy("key").collect()]
+    rows = partials.orderBy("key").collect()
+    if len({r.key for r in rows}) < len(rows):
+        raise ValueError("several rows of a key are left: tasks have larger numbers than there are partitions")
+    return [(r.key, add([r.data])) for r in rows]
 
 
 def filter_rows(df: DataFrame, text_col: str, keep: Callable[[list], list], max_bytes: int = 8 << 20) -> DataFrame:

@@ -133,7 +133,7 @@ def signatures(docs: DataFrame, join: Join) -> tuple[DataFrame, np.ndarray]:
 
     rows = docs.mapInArrow(run, "id bigint, n bigint, h binary, key string, task int, data binary")
     rows = materialize(rows, "jaccard-sets")
-    counts = sum_arrays(rows.where("key is not null").select("key", "task", "data"), "<u4")
+    counts = sum_arrays(rows.where("key is not null").select("key", "task", "data"), "<u4", written=True)
     order = np.zeros(1 << SKETCH_BITS, np.uint8)
     if counts:
         total = np.concatenate([a for _, a in counts]).astype(np.float64)

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from concord.llm import _common
 
@@ -43,3 +44,15 @@ def test_shared_folder(spark):
     assert spark.read.parquet(path).count() == 3
     _common.delete_path(spark, path)
     assert _common.materialize(spark.range(4), "y").count() == 4
+
+
+@pytest.mark.parametrize("tasks", [3, 70])
+def test_sum_arrays_of_rows_read_again(spark, tmp_path, tasks):
+    rows = [(k, n, zlib.compress(np.array([n, 1], "<i8").tobytes())) for k in "ab" for n in range(tasks)]
+    spark.createDataFrame(rows, "key string, task int, data binary").coalesce(1).write.parquet(f"{tmp_path}/partials")
+    frame = spark.read.parquet(f"{tmp_path}/partials")
+    assert frame.rdd.getNumPartitions() < tasks
+    got = [(k, a.tolist()) for k, a in _common.sum_arrays(frame, "<i8", written=True)]
+    assert got == [(k, [tasks * (tasks - 1) // 2, tasks]) for k in "ab"]
+    with pytest.raises(ValueError, match="several rows"):
+        _common.sum_arrays(frame, "<i8")
