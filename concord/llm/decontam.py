@@ -2,18 +2,25 @@
 
 The test items are indexed: BM25 impacts, each divided by its item's best possible score,
 in posting lists whose blocks know their largest impact. Every passage of every text is a
-query. A vectorised bound by blocks of items rules out passages that cannot reach the
-threshold; block-max WAND retrieves all items above it for the others; what it retrieves
-is verified by the overlap of the item's question and of its answer with the passage.
-
-Passages are windows twice as long as the longest item, half of it apart, so that every
-item that a text holds lies whole in one of them. Null and empty texts hold nothing; null
-ids are kept in the result; repeated rows are reported again; items with a null or wordless
-text match nothing, and items of equal text match alike.
-
-The index is sent to the workers. Items are test sets, so it is small; a set of more than
-``max_index_bytes`` of text is cut into shards that are searched one after the other, with
-the statistics of the whole set.
+query, and all passages of a slice of texts advance together: block-max WAND with blocks of
+the same items in every list. Lists that cannot lift any item over the threshold never make
+a pivot; a block is opened for a passage only if the largest impacts of the passage's lists
+in it reach the threshold; the items in it that still can are scored whole, and all that
+reach the threshold are retrieved. What is retrieved is verified by the overlap of the
+item's question and of its answer with the passage.
+
+Passages are windows of two strides, one stride apart; the stride is the item's length
+rounded up to a power of two, so every item that a text holds lies whole in one of them, and
+a long item does not widen the windows of short ones. Of passages with equal scores the
+first is reported. Null and empty texts hold nothing; null ids are kept in the result;
+repeated rows are reported again; very long texts are searched whole, slice by slice; items
+with a null or wordless text match nothing, and items of equal text match alike. An empty
+table of texts, or of items, gives no rows. Other columns, whatever their names, are left
+out of the search and kept by :func:`clean`.
+
+The index is sent to the workers. Items are test sets of at most ``max_bytes`` of text in
+all, more is an error; a set of more than ``max_index_bytes`` is cut into shards that are
+searched one after the other, with the statistics of the whole set.
 """
 
 from __future__ import annotations
@@ -22,6 +29,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -31,7 +39,7 @@ from concord.llm._common import filter_rows, map_texts
 
 WORD = re.compile(r"\w+")
 K1, B = 1.2, 0.75
-BLOCK = 16  # postings in a block, and items in a block of the first bound
+BLOCK = 16  # items in a block
 SHORTEST = 32  # words that a stride has at least
 
 
@@ -74,165 +82,173 @@ def overlap(wanted: list[str], passage: list[str], n: int) -> float:
     return len(need & {tuple(passage[i : i + n]) for i in range(len(passage) - n + 1)}) / len(need)
 
 
+class Group:
+    """Items of about one length: lists of postings of their terms, in blocks of items.
+
+    ``items``: (text number, Counter of words, {word: impact}). Items are put in order by their
+    terms, so that alike ones share a block; a block holds the same items in every list and
+    knows each list's largest impact in it. Lists so common that together they give no item
+    half the threshold never make a pivot: a passage needs ``missing[item]`` from the others.
+    """
+
+    def __init__(self, numbers: list[int], impacts: list[dict[str, float]], stride: int, threshold: float):
+        self.stride = stride
+        spread = Counter(w for x in impacts for w in x)
+        # common terms, the most widespread first, while no item has half the threshold from them
+        share, self.common = np.zeros(len(numbers)), set()
+        holders: dict[str, list[int]] = defaultdict(list)
+        for n, x in enumerate(impacts):
+            for w in x:
+                holders[w].append(n)
+        for w in sorted(spread, key=lambda w: (-spread[w], w)):
+            more = share.copy()
+            more[holders[w]] += [impacts[n][w] for n in holders[w]]
+            if spread[w] < 3 or more.max() > threshold / 2:
+                break
+            share = more
+            self.common.add(w)
+        alike = [sorted((-spread[w], w) for w in x if w not in self.common and spread[w] > 1) for x in impacts]
+        order = sorted(range(len(numbers)), key=lambda n: (alike[n], n))
+        self.numbers = [numbers[n] for n in order]
+        self.impacts = [impacts[n] for n in order]
+        self.missing = threshold - share[order] - 1e-9
+        self.blocks = -(-len(order) // BLOCK)
+        self.bar = np.array([self.missing[k * BLOCK : (k + 1) * BLOCK].min() for k in range(self.blocks)])
+        lists: dict[str, list[tuple[int, float]]] = defaultdict(list)
+        for n, x in enumerate(self.impacts):
+            for w, v in x.items():
+                if w not in self.common:
+                    lists[w].append((n, v))
+        self.words = list(lists)
+        # parts: a list's postings in one block; list k has parts start[k]..start[k + 1]
+        start, block, most, first = [0], [], [], []
+        item, impact = [], []
+        for postings in lists.values():
+            last = None
+            for n, v in postings:
+                if n // BLOCK != last:
+                    last = n // BLOCK
+                    block.append(last)
+                    most.append(v)
+                    first.append(len(item))
+                most[-1] = max(most[-1], v)
+                item.append(n)
+                impact.append(v)
+            start.append(len(block))
+        self.start, self.block, self.most = np.array(start), np.array(block, dtype=np.int64), np.array(most)
+        self.first = np.array([*first, len(item)])
+        self.item, self.impact = np.array(item, dtype=np.int64), np.array(impact)
+
+    def candidates(self, terms: np.ndarray, passage: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(passage, item) pairs that may reach the threshold, for distinct (term, passage)."""
+        at, of = _ranges(self.start[terms], self.start[terms + 1])
+        if not len(at):
+            return at, at
+        key = passage[of] * self.blocks + self.block[at]
+        keys, back = np.unique(key, return_inverse=True)
+        live = np.bincount(back, weights=self.most[at]) >= self.bar[keys % self.blocks]
+        chosen = live[back]  # only blocks whose largest impacts reach the threshold are opened
+        posting, of = _ranges(self.first[at[chosen]], self.first[at[chosen] + 1])
+        pair = (key[chosen] // self.blocks)[of] * len(self.numbers) + self.item[posting]
+        pairs, back = np.unique(pair, return_inverse=True)
+        item = pairs % len(self.numbers)
+        full = np.bincount(back, weights=self.impact[posting], minlength=len(pairs)) >= self.missing[item]
+        return pairs[full] // len(self.numbers), item[full]
+
+    def score(self, item: int, words: set[str]) -> float:
+        """The whole score of an item for a passage's words."""
+        return sum(v for w, v in self.impacts[item].items() if w in words)
+
+
+def _ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges behind each other, and which range each is of."""
+    n = stop - start
+    of = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + start[of], of
+
+
 class Index:
-    """``items``: (id, text); ``df``, ``total`` and ``mean``: statistics of the whole set."""
+    """``items``: (id, text); ``df``, ``total`` and ``mean``: statistics of the whole set. Items
+    whose lengths round up to the same power of two are a group with windows of its own."""
 
     def __init__(self, items: list[tuple], df: Counter, total: int, mean: float, threshold: float):
         self.items = [(i, *question_and_answer(t)) for i, t in items]
         self.threshold = threshold
-        self.stride = SHORTEST
-        postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
+        groups: dict[int, tuple[list, list]] = {}
         for n, (_, text) in enumerate(items):
             words = words_of(text)
-            self.stride = max(self.stride, len(words))
             weight = {w: math.log(1 + (total - df[w] + 0.5) / (df[w] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * len(words) / mean)) for w, c in Counter(words).items()}
             best = sum(weight.values())
-            for w, x in weight.items():
-                postings[w].append((n, x / best))
-        self.terms = {w: k for k, w in enumerate(postings)}
-        self.lists = [([n for n, _ in p], [x for _, x in p]) for p in postings.values()]
-        self.top = [max(x) for _, x in self.lists]
-        #: (last item, largest impact) of each block of a list
-        self.blocks = [[(d[min(a + BLOCK, len(d)) - 1], max(x[a : a + BLOCK])) for a in range(0, len(d), BLOCK)] for d, x in self.lists]
-        # terms so frequent that no item gets more than half the threshold from them
-        share, common = np.zeros(len(items)), set()
-        for k in sorted(range(len(self.lists)), key=lambda k: -len(self.lists[k][0])):
-            more = share.copy()
-            more[self.lists[k][0]] += self.lists[k][1]
-            if len(self.lists[k][0]) < 3 or more.max() > threshold / 2:
-                break
-            share = more
-            common.add(k)
-        self.needed = threshold - (share.max() if len(share) else 0) - 1e-9
-        # for every other term: the blocks of items that hold it, and its largest impact there
-        start, where, most = [0], [], []
-        for k, (d, x) in enumerate(self.lists):
-            if k not in common:
-                here: dict[int, float] = {}
-                for n, v in zip(d, x):
-                    here[n // BLOCK] = max(here.get(n // BLOCK, 0), v)
-                where += here
-                most += here.values()
-            start.append(len(where))
-        self.start, self.where, self.most = np.array(start), np.array(where, dtype=np.int64), np.array(most)
-        self.groups = len(items) // BLOCK + 1
-
-    def suspects(self, terms: np.ndarray, passage: np.ndarray) -> np.ndarray:
-        """Passages whose distinct terms could reach the threshold within one block of
-        items. ``terms`` and ``passage`` run in parallel."""
-        distinct = np.unique(passage * len(self.lists) + terms)
-        passage, terms = distinct // len(self.lists), distinct % len(self.lists)
-        n = self.start[terms + 1] - self.start[terms]
-        if not n.sum():
-            return np.zeros(0, np.int64)
-        at = np.repeat(self.start[terms] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        key = np.repeat(passage, n) * self.groups + self.where[at]
-        keys, back = np.unique(key, return_inverse=True)
-        bound = np.bincount(back, weights=self.most[at])
-        return np.unique(keys[bound >= self.needed] // self.groups)
-
-    def retrieve(self, terms: set[int]) -> list[tuple[int, float]]:
-        """All (item, score) that reach the threshold for the distinct terms of a passage,
-        by block-max WAND."""
-        threshold = self.threshold - 1e-9
-        lists, top, blocks = self.lists, self.top, self.blocks
-        cursors = [[lists[t][0][0], t, 0] for t in terms]  # item, term, place
-        out = []
-
-        def forward(cursor, item):
-            docs, _ = lists[cursor[1]]
-            at = cursor[2]
-            while at < len(docs) and docs[at] < item:
-                block = at // BLOCK
-                if blocks[cursor[1]][block][0] < item:
-                    at = (block + 1) * BLOCK
-                else:
-                    at += 1
-            cursor[2] = at
-            cursor[0] = docs[at] if at < len(docs) else None
-
-        while cursors:
-            cursors.sort()
-            bound, pivot = 0.0, None
-            for k, c in enumerate(cursors):
-                bound += top[c[1]]
-                if bound >= threshold:
-                    pivot = k
-                    break
-            if pivot is None:
-                return out
-            item = cursors[pivot][0]
-            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
-                pivot += 1
-            bound, nearest = 0.0, cursors[pivot + 1][0] if pivot + 1 < len(cursors) else None
-            for c in cursors[: pivot + 1]:
-                own = blocks[c[1]]
-                block = c[2] // BLOCK
-                while block < len(own) and own[block][0] < item:
-                    block += 1
-                if block < len(own):
-                    bound += own[block][1]
-                    nearest = own[block][0] + 1 if nearest is None else min(nearest, own[block][0] + 1)
-            if bound < threshold:
-                to = max(item + 1, nearest if nearest is not None else item + 1)
-                for c in cursors[: pivot + 1]:
-                    forward(c, to)
-            else:
-                for c in cursors[: pivot + 1]:
-                    if c[0] < item:
-                        forward(c, item)
-                here = [c for c in cursors if c[0] == item]
-                score = sum(lists[c[1]][1][c[2]] for c in here)
-                if score >= threshold:
-                    out.append((item, score))
-                for c in here:
-                    forward(c, item + 1)
-            cursors = [c for c in cursors if c[0] is not None]
-        return out
+            numbers, impacts = groups.setdefault(stride_for(len(words)), ([], []))
+            numbers.append(n)
+            impacts.append({w: v / best for w, v in weight.items()})
+        self.groups = [Group(*groups[stride], stride, threshold) for stride in sorted(groups)]
+        self.terms: dict[str, int] = {}  # of all groups' lists that can make a pivot
+        for g in self.groups:
+            for w in g.words:
+                self.terms.setdefault(w, len(self.terms))
+        for g in self.groups:
+            g.own = np.full(len(self.terms), -1, np.int64)
+            g.own[[self.terms[w] for w in g.words]] = np.arange(len(g.words))
 
     def search(self, texts: list[str | None], limits: Limits) -> list[tuple]:
         """(row, item id, score, question overlap, answer overlap, first word, words) of each
-        item that a text holds, at the passage where its score is best."""
+        item that a text holds, at the passage where its score is best, the first of equals."""
         found = [words_of(t) for t in texts]
-        get = self.terms.get
-        terms, places, rows = [], [], []
-        stride, first_passage, count = self.stride, [], 0
-        for row, words in enumerate(found):
-            first_passage.append(count)
-            count += max(1, -(-len(words) // stride))
-            hits = [(k, n) for n, k in enumerate(map(get, words)) if k is not None]
-            terms += [k for k, _ in hits]
-            places += [n // stride for _, n in hits]
-            rows += [row] * len(hits)
-        if not terms:
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        get, absent = self.terms.get, repeat(-1)
+        hits = np.fromiter(chain.from_iterable(map(get, words, absent) for words in found), np.int64, int(lengths.sum()))
+        place = np.flatnonzero(hits >= 0)
+        if not len(place):
             return []
-        first = np.array(first_passage)
-        terms = np.array(terms)
-        passage = first[np.array(rows)] + np.array(places)
-        inner = np.array(places) > 0  # passage p covers strides p and p + 1
-        suspects = self.suspects(np.concatenate([terms, terms[inner]]), np.concatenate([passage, passage[inner] - 1]))
+        ends = np.cumsum(lengths)
+        row = np.searchsorted(ends, place, side="right")
+        terms, place = hits[place], place - (ends - lengths)[row]
         best: dict[tuple[int, int], tuple] = {}
-        for p in suspects.tolist():
-            row = int(np.searchsorted(first, p, side="right")) - 1
-            at = (p - first_passage[row]) * stride
-            words = found[row][at : at + 2 * stride]
-            for item, score in self.retrieve({k for k in map(get, words) if k is not None}):
-                identifier, question, answer = self.items[item]
-                q, a = overlap(question, words, 5), overlap(answer, words, 3)
-                if q >= limits.question and a >= limits.answer and (score > best.get((row, item), (0, 0, -1.0))[2]):
-                    best[row, item] = (row, identifier, score, q, a, at, len(words))
+        for g in self.groups:
+            own = g.own[terms]
+            mine = own >= 0
+            first = np.concatenate([[0], np.cumsum(np.maximum(1, -(-lengths // g.stride)))])
+            step = place[mine] // g.stride
+            late = first[row[mine]] + step  # passage p covers strides p and p + 1
+            inner = step > 0
+            held = np.sort(np.concatenate([late, late[inner] - 1]) * len(g.words) + np.concatenate([own[mine], own[mine][inner]]))
+            held = held[np.diff(held, prepend=-1) > 0]
+            passages, items = g.candidates(held % len(g.words), held // len(g.words))
+            last, inside = -1, set()
+            for p, item in zip(passages.tolist(), items.tolist()):
+                r = int(np.searchsorted(first, p, side="right")) - 1
+                at = int(p - first[r]) * g.stride
+                words = found[r][at : at + 2 * g.stride]
+                if p != last:
+                    last, inside = p, set(words)
+                score = g.score(item, inside)
+                n = g.numbers[item]
+                if score >= self.threshold - 1e-9 and score > best.get((r, n), (0, 0, -1.0))[2]:
+                    identifier, question, answer = self.items[n]
+                    q, a = overlap(question, words, 5), overlap(answer, words, 3)
+                    if q >= limits.question and a >= limits.answer:
+                        best[r, n] = (r, identifier, score, q, a, at, len(words))
         return list(best.values())
 
 
-def build(items: DataFrame, id_col: str = "item_id", text_col: str = "text", limits: Limits | None = None, max_index_bytes: int = 32 << 20) -> list[Index]:
-    """The index of all items, in shards of at most ``max_index_bytes`` of text (or one item)."""
+def stride_for(words: int) -> int:
+    """Half the length of the passages that an item of so many words is looked for in."""
+    return max(SHORTEST, 1 << (words - 1).bit_length())
+
+
+def build(items: DataFrame, id_col: str = "item_id", text_col: str = "text", limits: Limits | None = None, max_index_bytes: int = 32 << 20, max_bytes: int = 1 << 30) -> list[Index]:
+    """The index of all items, in shards of at most ``max_index_bytes`` of text (or one item);
+    ``ValueError`` for more than ``max_bytes`` in all, which bounds what the driver holds."""
     limits = limits or Limits()
     df: Counter = Counter()
-    shards, size, total, length = [[]], 0, 0, 0
+    shards, size, total, length, whole = [[]], 0, 0, 0, 0
     for r in items.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).orderBy("i", "t").toLocalIterator():
         words = words_of(r["t"])
         if not words:
             continue
+        if (whole := whole + len(r["t"])) > max_bytes:
+            raise ValueError(f"the items have more than {max_bytes} characters")
         df.update(set(words))
         total, length = total + 1, length + len(words)
         if size and size + len(r["t"]) > max_index_bytes:

@@ -1,5 +1,6 @@
 """The Jaccard join and benchmark decontamination against brute force."""
 
+import math
 import random
 import re
 from collections import Counter
@@ -98,30 +99,76 @@ def test_components(spark):
     assert got == {x: find(x) for x in linked}
 
 
-def test_wand_retrieves_all():
+def slow_leaks(texts, items, limits):
+    """The whole rule, slowly: (row, item, score, question, answer, first word) of the best window."""
+    words = {i: decontam.words_of(t) for i, t in items if decontam.words_of(t)}
+    df = Counter(w for x in words.values() for w in set(x))
+    mean, total, out = sum(map(len, words.values())) / max(1, len(words)), len(words), []
+    for row, text in enumerate(texts):
+        found = decontam.words_of(text)
+        for i, t in items:
+            if i not in words:
+                continue
+            times = Counter(words[i])
+            weight = {w: math.log(1 + (total - df[w] + 0.5) / (df[w] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(words[i]) / mean)) for w, c in times.items()}
+            stride, best = 32, None
+            while stride < len(words[i]):
+                stride *= 2
+            question, answer = decontam.question_and_answer(t)
+            for at in range(0, len(found), stride):
+                window = found[at : at + 2 * stride]
+                score = sum(x for w, x in weight.items() if w in window) / sum(weight.values())
+                q, a = decontam.overlap(question, window, 5), decontam.overlap(answer, window, 3)
+                if score >= limits.score - 1e-9 and q >= limits.question and a >= limits.answer and (best is None or score > best[2] + 1e-12):
+                    best = (row, i, score, q, a, at)
+            if best:
+                out.append(best)
+    return sorted((r, str(i), round(s, 9), q, a, at) for r, i, s, q, a, at in out)
+
+
+@pytest.mark.parametrize("limits", [decontam.Limits(), decontam.Limits(0.2, 0.0, 0.0), decontam.Limits(0.8, 0.3, 0.9)])
+def test_search_equals_the_whole_rule(limits):
     rnd = random.Random(8)
-    words = ["t%d" % n for n in range(60)]
+    words = ["t%d" % n for n in range(80)]
     for size in (1, 5, 90):
-        items = [(n, " ".join(rnd.choice(words[: rnd.choice([10, 60])]) for _ in range(rnd.randint(1, 25)))) for n in range(size)]
-        df = Counter(w for _, t in items for w in set(decontam.words_of(t)))
-        length = sum(len(decontam.words_of(t)) for _, t in items)
-        for threshold in (0.2, 0.5, 0.9):
-            index = decontam.Index(items, df, size, length / size, threshold)
-            for _ in range(60):
-                passage = [rnd.choice(words) for _ in range(rnd.randint(1, 50))]
-                if rnd.random() < 0.3:
-                    passage += decontam.words_of(rnd.choice(items)[1])
-                terms = {index.terms[w] for w in passage if w in index.terms}
-                scores = Counter()
-                for t in terms:
-                    for n, x in zip(*index.lists[t]):
-                        scores[n] += x
-                want = {n for n, x in scores.items() if x >= threshold - 1e-9}
-                got = index.retrieve(terms)
-                assert {n for n, _ in got} == want and all(abs(x - scores[n]) < 1e-9 for n, x in got)
-                if want:
-                    array = np.array([index.terms[w] for w in passage if w in index.terms])
-                    assert index.suspects(array, np.full(len(array), 7)).tolist() == [7]
+        items = [(n, ". ".join(" ".join(rnd.choice(words[: rnd.choice([10, 80])]) for _ in range(rnd.randint(1, 40))) for _ in range(rnd.randint(1, 3)))) for n in range(size)]
+        items += [(-1, items[0][1]), (-2, None), (-3, "?!")]  # ties and items without words
+        usable = [(i, t) for i, t in items if decontam.words_of(t)]
+        df = Counter(w for _, t in usable for w in set(decontam.words_of(t)))
+        mean = sum(len(decontam.words_of(t)) for _, t in usable) / len(usable)
+        index = decontam.Index(usable, df, len(usable), mean, limits.score)
+        texts = [None, "", "...", " ".join(rnd.choice(words) for _ in range(5000))]
+        for _ in range(25):
+            copy = decontam.words_of(rnd.choice(usable)[1])
+            for _ in range(rnd.randint(0, 6)):
+                copy[rnd.randrange(len(copy))] = rnd.choice(words)
+            texts.append(" ".join([rnd.choice(words) for _ in range(rnd.randint(0, 90))] + copy + [rnd.choice(words) for _ in range(rnd.randint(0, 60))]))
+        texts += texts[-3:]  # repeated rows
+        got = sorted((r, str(i), round(s, 9), q, a, at) for r, i, s, q, a, at, _ in index.search(texts, limits))
+        assert got == slow_leaks(texts, items, limits) and got
+
+
+def test_recall_of_planted_items(sf):
+    """Exact items and items with a tenth of their words changed, in the middle of other text."""
+    import pyarrow.parquet as pq
+
+    rnd = random.Random(5)
+    items = [(r["item_id"], r["text"]) for r in pq.read_table(f"{sf}/benchmark.parquet").to_pylist()]
+    df = Counter(w for _, t in items for w in set(decontam.words_of(t)))
+    index = decontam.Index(items, df, len(items), sum(len(decontam.words_of(t)) for _, t in items) / len(items), 0.5)
+    texts = [t for t in pq.read_table(f"{sf}/documents.parquet")["text"].to_pylist() if t and len(t) > 400]
+    exact, edited = [], []
+    for i, t in items:
+        host = rnd.choice(texts).split()
+        at = rnd.randrange(len(host))
+        words = t.split()
+        for n in rnd.sample(range(len(words)), len(words) // 10):
+            words[n] = "changed"
+        exact.append(" ".join([*host[:at], t, *host[at:]]))
+        edited.append(" ".join([*host[:at], *words, *host[at:]]))
+    for made, least in ((exact, 1.0), (edited, 0.6)):
+        hits = {(r[0], r[1]) for r in index.search(made, decontam.Limits())}
+        assert sum((n, i) in hits for n, (i, _) in enumerate(items)) >= least * len(items)
 
 
 def test_question_and_answer():
