@@ -46,11 +46,13 @@ SHORTEST = 32  # words that a stride has at least
 @dataclass(frozen=True)
 class Limits:
     """``score``: share of an item's best BM25 score; ``question`` and ``answer``: shares of
-    their word n-grams that the passage must hold."""
+    their word n-grams that the passage must hold, of ``question_words`` and ``answer_words``."""
 
     score: float = 0.5
     question: float = 0.5
     answer: float = 0.5
+    question_words: int = 3
+    answer_words: int = 2
 
 
 def words_of(text: str | None) -> list[str]:
@@ -226,7 +228,7 @@ class Index:
                 n = g.numbers[item]
                 if score >= self.threshold - 1e-9 and score > best.get((r, n), (0, 0, -1.0))[2]:
                     identifier, question, answer = self.items[n]
-                    q, a = overlap(question, words, 5), overlap(answer, words, 3)
+                    q, a = overlap(question, words, limits.question_words), overlap(answer, words, limits.answer_words)
                     if q >= limits.question and a >= limits.answer:
                         best[r, n] = (r, identifier, score, q, a, at, len(words))
         return list(best.values())
