@@ -2,7 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next one's ``docs``. All but the last keep the columns of
-documents. Null texts have no language and go in the first stage.
+documents. Null, empty and letterless texts have no language and go in the first stage.
+Repeated rows are one document to the second stage, which keeps or drops all rows of an id;
+of groups of near copies the smallest id stays, whatever ties there are. Very long texts go
+through whole. An empty table gives an empty result of the same columns, and columns beyond
+those of documents, whatever their names, are carried along to the last stage.
 """
 
 from __future__ import annotations
@@ -10,8 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from concord.llm import bpe, decontam, jaccard, langid
-from concord.llm._common import materialize
 from concord.llm.queries import tokenizer
+from concord.sources.paths import discard, materialize
 
 #: A document stays if one language covers at least this share of its letters.
 LEAST_LANGUAGE_SCORE = 0.5
@@ -54,7 +58,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``: (doc_id, ids, decoded)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for n, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if n < len(STAGES) - 1:
             docs = materialize(docs, f"pipeline-{name.replace(' ', '-')}")
+            discard(before)
     return docs
