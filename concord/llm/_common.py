@@ -2,54 +2,29 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-_fallback: list[str] = []
+from concord.sources.paths import delete_path, discard, materialize, shared_path  # noqa: F401
 
+_kept: dict[tuple, object] = {}
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session leaves it unset (tests on one machine) is a temporary
-    folder made, once for the process.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root.rstrip("/")
-    if not _fallback:
-        _fallback.append(tempfile.mkdtemp(prefix="concord-"))
-        atexit.register(shutil.rmtree, _fallback[0], ignore_errors=True)
-    return f"file://{_fallback[0]}"
-
-
-def shared_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: a cut in the
-    lineage that outlives any executor."""
-    spark = df.sparkSession
-    path = shared_path(spark, tag)
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    """Remove a folder through the Hadoop file system that owns it."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def kept(key: tuple, make: Callable):
+    """What a worker keeps between tasks: the value of ``make()`` under ``key``. There is one
+    at a time, so that a worker that turns to another stage or model lets the last one's
+    caches go; tasks reach it because they call this by name."""
+    if key not in _kept:
+        _kept.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _kept[key] = make()
+    return _kept[key]
 
 
 def slices(batch: pa.RecordBatch, column: int, max_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,8 @@ until no mergeable pair remains. :class:`Tree` does this for one long word;
 step. Words recur, so each worker remembers the ids of recent white-space-free chunks.
 
 Null texts are empty: no ids, and the empty text on decoding. Null ids are kept; repeated
-rows are encoded again. Special tokens that occur in a text become their own ids, as the
+rows are encoded again; very long texts are encoded whole; an empty table gives an empty
+result; other columns, whatever their names, are left out first. Special tokens that occur in a text become their own ids, as the
 tokenizers library has it by default.
 """
 
@@ -20,7 +21,7 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from concord.llm._common import Interner, map_texts
+from concord.llm._common import kept, map_texts
 
 NONE = np.int64(1) << 60
 
@@ -318,12 +319,9 @@ def encode_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     return _mapped(docs, tokenizer_path, id_col, text_col, "id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", digest)
 
 
-_encoders = Interner(Encoder, limit=4)
-
-
 def encoder_for(spec: str) -> Encoder:
-    """The encoder of this worker, shared by all its tasks because they call it by name."""
-    return _encoders[spec]
+    """The encoder of this worker, shared by all its tasks."""
+    return kept(("bpe", spec), lambda: Encoder(spec))
 
 
 def _mapped(docs, tokenizer_path, id_col, text_col, schema, finish):
@@ -334,4 +332,4 @@ def _mapped(docs, tokenizer_path, id_col, text_col, schema, finish):
         encoder = encoder_for(spec.value)
         return finish(encoder, ids, encoder.encode_batch(texts))
 
-    return map_texts(docs, id_col, text_col, schema, run, max_bytes=8 << 20)
+    return map_texts(docs, id_col, text_col, schema, run, max_bytes=2 << 20)

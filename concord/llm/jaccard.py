@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from concord.llm._common import Interner, materialize, slices, sum_arrays
+from concord.llm._common import Interner, kept, materialize, slices, sum_arrays
 
 U = np.uint64
 SKETCH_BITS = 22
@@ -98,12 +98,9 @@ class Shingler:
         return out
 
 
-_shinglers = Interner(Shingler, limit=8)
-
-
 def shingler_for(words: int) -> Shingler:
-    """The shingler of this worker, shared by all its tasks because they call it by name."""
-    return _shinglers[words]
+    """The shingler of this worker, shared by all its tasks."""
+    return kept(("jaccard", words), lambda: Shingler(words))
 
 
 def signatures(docs: DataFrame, join: Join) -> tuple[DataFrame, np.ndarray]:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm._common import filter_rows, map_texts, slices, sum_arrays
+from concord.llm._common import filter_rows, kept, map_texts, slices, sum_arrays
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 16
@@ -168,26 +168,34 @@ SCHEMA = "id bigint, lang string, score double, spans array<struct<lang:string,s
 
 
 class Labeller:
-    """Labels words with a model, remembering the scores of recent words."""
+    """Labels words with a model, remembering the scores of recent words: at most ``limit``
+    words and ``most_bytes`` of scores, or one slice's words if those are more."""
 
-    def __init__(self, model: Model, penalty: float, limit: int = 200_000):
-        self.model, self.penalty, self.limit = model, penalty, limit
+    def __init__(self, model: Model, penalty: float, limit: int = 200_000, most_bytes: int = 64 << 20):
+        self.model, self.penalty = model, penalty
+        self.limit = max(1, min(limit, most_bytes // (4 * max(1, len(model.languages)))))
         self.index: dict[str, int] = {}
-        self.scores = np.zeros((0, len(model.languages)), np.float32)
+        self.scores = np.zeros((min(self.limit, 1 << 14), len(model.languages)), np.float32)
 
     def __call__(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Language and score of each text, the label of every word, and word counts."""
         count = len(self.model.languages)
         if not count:
             return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(0, np.int16), np.zeros(len(texts), np.int64)
-        if len(self.index) > self.limit:
-            self.index, self.scores = {}, self.scores[:0]
         index = self.index
         found = [WORD.findall(t.lower()) if t else [] for t in texts]
-        fresh = list(set().union(*found).difference(index))
+        fresh = set().union(*found).difference(index)
+        if len(index) + len(fresh) > self.limit and index:
+            index.clear()
+            fresh = set().union(*found)
         if fresh:
-            index.update(zip(fresh, range(len(index), len(index) + len(fresh))))
-            self.scores = np.concatenate([self.scores, self.model.score(fresh)])
+            fresh, at = list(fresh), len(index)
+            index.update(zip(fresh, range(at, at + len(fresh))))
+            if len(index) > len(self.scores):  # doubled, so that growing copies each score twice at most
+                grown = np.zeros((max(len(index), min(self.limit, 2 * len(self.scores))), count), np.float32)
+                grown[:at] = self.scores[:at]
+                self.scores = grown
+            self.scores[at : len(index)] = self.model.score(fresh)
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         words = np.fromiter((index[w] for f in found for w in f), np.int64, int(lengths.sum()))
         letters = np.fromiter((len(w) for f in found for w in f), np.int64, len(words))
@@ -201,15 +209,9 @@ class Labeller:
         return lang, np.where(lettered, score, 0.0), label, lengths
 
 
-_labellers: dict[tuple, Labeller] = {}
-
-
 def labeller_for(model: Model, penalty: float) -> Labeller:
-    """The labeller of this worker for a model, shared by all its tasks because they call it by name."""
-    if (model.name, penalty) not in _labellers:
-        _labellers.clear()
-        _labellers[model.name, penalty] = Labeller(model, penalty)
-    return _labellers[model.name, penalty]
+    """The labeller of this worker for a model, shared by all its tasks."""
+    return kept(("langid", model.name, penalty), lambda: Labeller(model, penalty))
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", penalty: float = 12.0, with_spans: bool = True) -> DataFrame:

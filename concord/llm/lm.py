@@ -30,7 +30,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm._common import map_texts, materialize, shared_path, slices
+from concord.llm._common import kept, map_texts, materialize, shared_path, slices
 
 #: Tokens for which a shard is meant.
 SHARD = 1 << 20
@@ -450,16 +450,9 @@ class Coder:
         return self.number[at], self.count[at], lengths
 
 
-_coders: dict[str, Coder] = {}
-
-
 def coder_for(model: Model) -> Coder:
-    """The coder of this worker for a model, shared by all its tasks because they call it by name."""
-    key = f"{model.words.folder} {len(model.statistics.names)}"
-    if key not in _coders:
-        _coders.clear()
-        _coders[key] = Coder(model)
-    return _coders[key]
+    """The coder of this worker for a model, shared by all its tasks."""
+    return kept(("lm", model.words.folder, len(model.statistics.names)), lambda: Coder(model))
 
 
 SCHEMA = "id bigint, n_tokens bigint, n_known bigint, base_score double, score double"

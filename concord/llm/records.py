@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from concord.llm._common import Interner, materialize, shared_path, slices
+from concord.llm._common import kept, materialize, shared_path, slices
 from concord.llm.bpe import byte_alphabet
 
 HEAD = struct.Struct("<QI")
@@ -275,13 +275,10 @@ class LibraryEncoder:
         return out
 
 
-_encoders = Interner(LibraryEncoder, limit=4)
-
-
 def encoder_for(spec: str) -> LibraryEncoder:
-    """The encoder of this worker: tasks call this by name, so all of a worker's tasks share
-    its caches, which a task's own copy of a variable would not."""
-    return _encoders[spec]
+    """The encoder of this worker, shared by all its tasks."""
+    return kept(("records", spec), lambda: LibraryEncoder(spec))
+
 
 INDEX = "id bigint, part int, seq bigint, file string, offset bigint, length bigint, n_tokens bigint, start_in_part bigint"
 
