@@ -1,21 +1,24 @@
 """N-gram Jaccard join: groups of documents whose shingle sets are similar, exactly.
 
-The join works in the metric space of the Jaccard distance, in regions that recursion
-makes small enough for one task.
+The join works in the metric space of the Jaccard distance: documents are pivots, every
+document has its home in the Voronoi cell of its nearest pivot, and copies of it go to the
+cells of other pivots where the triangle inequality leaves a partner possible.
 
 1. Each text becomes its set of hashed word n-grams. Equal sets form a class, and the row
    with the smallest id stands for it, so copies weigh nothing from here on.
-2. First regions. Single shingles are the first pivots, in an order that puts frequent ones
-   last (a count by hash bucket over all rows decides). A set belongs to the regions of the
-   first pivots of its own order; how many follows from the least overlap of a linked pair,
-   so that linked sets meet in ``MEETINGS`` regions at least or share them all. In a region
-   sets lie sorted by size: few of them are paired within the window of sizes that a link
-   allows, many are chained to their neighbours in it. Pairs that meet too seldom cannot be
-   linked. Connected pairs and chains make the candidate regions.
-3. A region too large for one task is split by Voronoi cells: documents sampled from it are
-   pivots, each document goes to the nearest, and, by the triangle inequality, to every
-   other whose distance is within twice the join distance of that. Cells join recursively.
-   A cell that pivots cannot shrink is cut into blocks, each pair of which joins.
+2. First cells. A bounded sample of documents, no two of them within twice the join
+   distance, are the pivots, at every size of the input. A document's window are the pivots
+   no further than its nearest one by more than twice the join distance. Unrelated texts
+   have distance 1 from nearly everything, so windows alone would copy most documents to all
+   cells; a copy is made only for a cell at home in which there is a document of fitting
+   size that shares enough shingles. That is found by the shingles that a linked pair must
+   share ``MEETINGS`` of, in an order that puts frequent ones last (a count by hash bucket
+   over all rows decides). Of two cells the pair meets in the one with the smaller number.
+3. A region too large for one task is split again: documents sampled from it are pivots of
+   cells within it, with windows as before. Documents within the join distance of a pivot
+   are linked to it there and then, and a cell in which all are connected needs no more: a
+   large group of near copies costs a pass, not its pairs. A region that pivots cannot shrink
+   is cut into blocks, each pair of which joins.
 4. Within a region, pivots give distance windows again: two sets whose distances to a pivot
    differ by more than the join distance are not compared, nor are sets already connected.
 
@@ -23,15 +26,16 @@ Distances are compared as whole numbers, so ties at the threshold are exact. Shi
 64-bit hashes of words.
 
 Null and empty texts have the empty set and are linked with nothing; a text with fewer words
-than a shingle has its whole sequence as the only one. Rows that share an id are one node.
-Rows with a null id keep their set size and have a null component.
+than a shingle has its whole sequence as the only one; very long texts are taken whole. Rows
+that share an id are one node. Rows with a null id keep their set size and have a null
+component. Repeated rows and ties have one result whatever the order of rows; an empty table
+gives an empty result; other columns, whatever their names, are left out first.
 """
 
 from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,26 +44,29 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from concord.llm._common import Interner, kept, materialize, slices, sum_arrays
+from concord.llm._common import Interner, discard, kept, materialize, slices, sum_arrays
 
 U = np.uint64
 SKETCH_BITS = 22
 MEETINGS = 3
-FEW = 48  # sets in a first region that are paired one by one
 
 
 @dataclass(frozen=True)
 class Join:
     """``words`` in a shingle; a pair links when ``per`` * intersection >= ``least`` * union.
-    ``cell_shingles`` and ``cell_work`` bound a region for one task: the sum of its set
-    sizes, and that times its number of sets."""
+    ``pivots`` and ``cell_pivots``: documents that cells lie around, at the first level and
+    within a region. ``cell_shingles`` and ``cell_work`` bound a region for one task: the sum
+    of its set sizes, and that times its number of sets. ``group``: documents of a shingle
+    beyond which it is dealt over several tasks."""
 
     words: int = 5
     least: int = 80
     per: int = 100
     cell_shingles: int = 4_000_000
     cell_work: int = 8_000_000_000
-    pivots: int = 16
+    pivots: int = 128
+    cell_pivots: int = 16
+    group: int = 1 << 14
 
     def overlap(self, a, b):
         """The least intersection of linked sets of these sizes."""
@@ -138,102 +145,240 @@ def signatures(docs: DataFrame, join: Join) -> tuple[DataFrame, np.ndarray]:
     return rows.where("key is null").select("id", "n", "h"), order
 
 
-# ---------------------------------------------------------------- candidate regions
-
-
-def first_regions(texts: DataFrame, order: np.ndarray, join: Join) -> DataFrame:
-    """(shingle, id, n): each set in the regions of its first shingles."""
-    shared = texts.sparkSession.sparkContext.broadcast(order)  # 4 MB whatever the input
-    schema = pa.schema([("shingle", pa.int64()), ("id", pa.int64()), ("n", pa.int64())])
+# ---------------------------------------------------------------- pivots and their cells
+
+
+class Pivots:
+    """Sets that a level's regions lie around, with an index of their shingles."""
+
+    def __init__(self, sets: list[np.ndarray], join: Join):
+        self.join, self.sizes = join, np.fromiter(map(len, sets), np.int64, len(sets))
+        flat = np.concatenate(sets) if sets else np.zeros(0, U)
+        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(flat, kind="stable")
+        self.owner = owner[order]
+        self.shingles, first = np.unique(flat[order], return_index=True)
+        self.first = np.append(first, len(flat))
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[self.shingles >> U(44)] = True
+
+    def near(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(set, pivot, intersection) of all that share a shingle, by set."""
+        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        flat = np.concatenate(sets) if sets else np.zeros(0, U)
+        here = np.flatnonzero(self.maybe[flat >> U(44)])
+        at = np.searchsorted(self.shingles, flat[here])
+        at[at == len(self.shingles)] = 0
+        hit = self.shingles[at] == flat[here] if len(self.shingles) else np.zeros(len(here), bool)
+        here, at = here[hit], at[hit]
+        times = self.first[at + 1] - self.first[at]
+        row = np.repeat(np.searchsorted(np.cumsum(sizes), here, side="right"), times)
+        pivot = self.owner[np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(self.first[at], times)]
+        key, both = np.unique(row * max(1, len(self.sizes)) + pivot, return_counts=True)
+        return key // max(1, len(self.sizes)), key % max(1, len(self.sizes)), both
+
+    def cells(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, tuple]:
+        """The home cell of each set, its distance to that pivot, and (set, pivot, distance)
+        of all pivots nearer than 1. A set is at home with its nearest pivot, the first of
+        equals; one that shares no shingle with any, and so has distance 1 to all, with the
+        pivot that its smallest shingle points to, which near copies agree on."""
+        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        row, pivot, both = self.near(sets)
+        distance = 1 - both / (sizes[row] + self.sizes[pivot] - both)
+        home = np.array([int(s[0] % U(max(1, len(self.sizes)))) if len(s) else 0 for s in sets], np.int64)
+        least = np.ones(len(sets))
+        order = np.lexsort((pivot, distance, row))
+        first = order[np.diff(row[order], prepend=-1) > 0]
+        home[row[first]], least[row[first]] = pivot[first], distance[first]
+        return home, least, (row, pivot, distance)
+
+    def windows(self, sets: list[np.ndarray]) -> list[np.ndarray]:
+        """The cells each set must be in: a set linked to one at home with pivot p is no
+        further from p than from its own pivot by more than twice the join distance."""
+        home, least, (row, pivot, distance) = self.cells(sets)
+        wide = 2 * self.join.distance() + 1e-9
+        inside = distance <= least[row] + wide
+        out = np.split(pivot[inside], np.searchsorted(row[inside], np.arange(1, len(sets))))
+        everywhere = np.arange(max(1, len(self.sizes)))
+        return [everywhere if d + wide >= 1 else np.union1d(p, [h]) for p, d, h in zip(out, least.tolist(), home.tolist())]
+
+
+def net(sets: list[np.ndarray], most: int, join: Join) -> list[int]:
+    """Places of at most ``most`` sets, each further than twice the join distance from those before."""
+    chosen: list[int] = []
+    for n, s in enumerate(sets):
+        if len(chosen) == most:
+            break
+        both = intersections(s, [sets[k] for k in chosen])
+        if not len(both) or (1 - both / (len(s) + np.array([len(sets[k]) for k in chosen]) - both)).min() > 2 * join.distance():
+            chosen.append(n)
+    return chosen
+
+
+def first_pivots(rows: DataFrame, classes: DataFrame, join: Join) -> Pivots:
+    """Pivots of the first level: a bounded sample of documents of middling size, chosen by hash."""
+    drawn = classes.where(F.col("n").between(8, 4096)).orderBy(F.xxhash64("h"), "h").limit(4 * join.pivots).select(F.col("rep").alias("id"))
+    texts = rows.join(F.broadcast(drawn.distinct()), "id").groupBy("id").agg(F.min("text").alias("text")).collect()  # 4 * join.pivots documents
+    texts = sorted((r for r in texts if r["text"]), key=lambda r: (xxhash.xxh3_64_intdigest(r["text"]), r["id"]))
+    sets = [s for s in Shingler(join.words)([r["text"] for r in texts]) if len(s) <= 4096]
+    return Pivots([sets[k] for k in net(sets, join.pivots, join)], join)
+
+
+def marked(texts: DataFrame, order: np.ndarray, pivots: Pivots, join: Join) -> DataFrame:
+    """(shingle, id, info, more): a row for each of the shingles of a document in which it
+    must meet whatever links to it; ``info`` holds its home cell and size. Shingles that more
+    than ``join.group`` documents hold are salted, and each of their parts is told (id null)
+    which cells hold them, with the least and (``more``) greatest size and a count."""
+    shared = texts.sparkSession.sparkContext.broadcast((order, pivots))  # 4 MB and a bounded sample
+    schema = pa.schema([("shingle", pa.int64()), ("id", pa.int64()), ("info", pa.int64()), ("more", pa.int64())])
+    often = int(np.ceil(2 * np.log2(join.group + 1)))
 
     def run(batches):
-        shingler, rank = shingler_for(join.words), shared.value
+        shingler, (rank, around) = shingler_for(join.words), shared.value
+        told: dict[tuple[int, int], list[int]] = {}
         for batch in batches:
-            for part in slices(batch, 1, 8 << 20):
-                found, ids, sizes = [], [], []
-                for i, s in zip(part.column(0).to_pylist(), shingler(part.column(1).to_pylist())):
+            for part in slices(batch, 1, 4 << 20):
+                sets = shingler(part.column(1).to_pylist())
+                ids = part.column(0).to_numpy()
+                home = around.cells(sets)[0]
+                found, infos = [], []
+                for s, h in zip(sets, home.tolist()):
                     take = min(len(s), len(s) + join.least * len(s) // -join.per + MEETINGS)
-                    first = np.argsort(rank[s >> U(64 - SKETCH_BITS)], kind="stable")[:take]
-                    found.append(s[first])
-                    ids.append(i)
-                    sizes.append(len(s))
+                    found.append(s[np.argsort(rank[s >> U(64 - SKETCH_BITS)], kind="stable")[:take]])
+                    infos.append(h << 40 | len(s))
                 times = np.fromiter(map(len, found), np.int64, len(found))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)), pa.array(np.repeat(np.array(ids, np.int64), times)), pa.array(np.repeat(np.array(sizes, np.int64), times))], schema=schema)
-
-    return texts.mapInArrow(run, "shingle bigint, id bigint, n bigint")
-
-
-def meetings(regions: DataFrame, join: Join) -> DataFrame:
-    """(a, b, met, need): pairs of sets by how often they meet in small regions, and chains
-    of neighbours in large ones, which need nothing more. Rows of a region come sorted by
-    size; only the last few of an open region are held."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("met", pa.int32()), ("need", pa.int32())])
-    parts = int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def pairs(shingle, ids, sizes):
-        """Pairs of whole regions, which follow each other."""
-        start = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
-        length = np.diff(np.append(start, len(shingle)))
-        large = np.repeat(length > FEW, length)
-        left, right, met = [], [], []
-        here = np.flatnonzero(~large & (np.repeat(length, length) > 1))
-        for step in range(1, FEW):
-            here = here[here + step < len(shingle)]
-            here = here[(shingle[here + step] == shingle[here]) & (join.per * sizes[here] >= join.least * sizes[here + step])]
-            if not len(here):
-                break
-            left.append(here)
-            right.append(here + step)
-            met.append(np.ones(len(here), np.int32))
-        here = np.flatnonzero(large[:-1] & (shingle[1:] == shingle[:-1]) & (join.per * sizes[:-1] >= join.least * sizes[1:])) if len(shingle) > 1 else np.zeros(0, np.int64)
-        left.append(here)
-        right.append(here + 1)
-        met.append(np.full(len(here), MEETINGS, np.int32))
-        left, right, met = np.concatenate(left), np.concatenate(right), np.concatenate(met)
-        a, b = ids[left], ids[right]
-        other = a != b
-        need = np.minimum(MEETINGS, join.overlap(sizes[left], sizes[right]))
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.minimum(a, b)[other], np.maximum(a, b)[other], met[other], need[other].astype(np.int32))], schema=schema)
+                flat = np.concatenate(found) if found else np.zeros(0, U)
+                who, info = np.repeat(ids, times), np.repeat(np.array(infos, np.int64), times)
+                height = rank[flat >> U(64 - SKETCH_BITS)]
+                for n in np.flatnonzero(height >= often).tolist():  # one row for each cell in a task
+                    x, size = int(flat[n]), int(info[n]) & (1 << 40) - 1
+                    one = told.setdefault((x, int(info[n]) >> 40), [size, size, 0, int(height[n])])
+                    one[0], one[1], one[2] = min(one[0], size), max(one[1], size), one[2] + 1
+                hot = height >= often
+                flat[hot] = _salted(flat[hot], who[hot].astype(U) * U(0x9E3779B97F4A7C15) >> U(32), _parts(height[hot], often))
+                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(who), pa.array(info), pa.array(np.zeros(len(flat), np.int64))], schema=schema)
+        out = [(_salted(np.array([x], U), np.array([k], U), np.array([parts], U))[0].astype(np.int64), None, c << 40 | lo, hi << 32 | min(m, 2)) for (x, c), (lo, hi, m, height) in told.items() for parts in [int(_parts(np.array([height]), often)[0])] for k in range(parts)]
+        for at in range(0, len(out), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out[at : at + 100_000]), schema)], schema=schema)
+
+    return texts.mapInArrow(run, "shingle bigint, id bigint, info bigint, more bigint")
+
+
+def _parts(height: np.ndarray, often: int) -> np.ndarray:
+    """How many parts a shingle of 2 ** (height / 2) documents is dealt over: 1024 at most, as
+    each part is told of the cells by each task."""
+    return np.minimum(2.0 ** np.ceil((height.astype(float) - often) / 2 + 1), 1024).astype(U)
+
+
+def _salted(shingle: np.ndarray, salt: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    x = (shingle ^ (salt % np.maximum(parts, U(1)) + U(1)) * U(0xD6E8FEB86659FD93)) * U(0xBF58476D1CE4E5B9)
+    return x ^ (x >> U(31))
+
+
+def replicas(rows: DataFrame, join: Join) -> DataFrame:
+    """(id, cell): the cells in which a document may have a partner, from :func:`marked` rows.
+    Of the home cells of two documents that meet, both are in the one with the smaller number.
+    Linked documents meet in ``MEETINGS`` shingles, or in all they share if those are fewer."""
+    schema = pa.schema([("id", pa.int64()), ("cell", pa.int32()), ("need", pa.int32())])
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = (1 << 40) - 1
+
+    def meet(shingle, ids, known, info, more):
+        """Rows of whole shingles, or of a part of a salted one behind what is told of it."""
+        told = np.isin(shingle, shingle[~known]) if not known.all() else np.zeros(len(shingle), bool)
+        tell = ~known | ~told  # what describes the shingle's cells
+        cell, low = info[tell] >> 40, info[tell] & size
+        high, count = np.where(known[tell], low, more[tell] >> 32), np.where(known[tell], 1, more[tell] & 0xFFFFFFFF)
+        by = np.lexsort((cell, shingle[tell]))
+        key, cell, low, high, count = shingle[tell][by], cell[by], low[by], high[by], count[by]
+        start = np.flatnonzero((np.diff(key, prepend=~key[:1]) != 0) | (np.diff(cell, prepend=-1) != 0))
+        low, high, count = np.minimum.reduceat(low, start), np.maximum.reduceat(high, start), np.add.reduceat(count, start)
+        key, cell = key[start], cell[start]
+        who = np.flatnonzero(known)
+        begin, end = np.searchsorted(key, shingle[who]), np.searchsorted(key, shingle[who], side="right")
+        alone = (end - begin == 1) & (count[begin] == 1)
+        who, begin, end = who[~alone], begin[~alone], end[~alone]
+        times = end - begin
+        at = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times) + np.repeat(begin, times)
+        who = np.repeat(who, times)
+        own, n = info[who] >> 40, info[who] & size
+        fits = (join.per * high[at] >= join.least * n) & (join.least * low[at] <= join.per * n) & ((cell[at] != own) | (count[at] > 1))
+        at, who, own, n = at[fits], who[fits], own[fits], n[fits]
+        need = np.minimum(MEETINGS, join.overlap(n, np.maximum(low[at], -(-join.least * n // join.per))))
+        target = np.minimum(cell[at], own)
+        by = np.lexsort((need, target, who))
+        first = by[(np.diff(who[by], prepend=-1) != 0) | (np.diff(target[by], prepend=-1) != 0)]
+        return pa.RecordBatch.from_arrays([pa.array(ids[who[first]]), pa.array(target[first].astype(np.int32)), pa.array(need[first].astype(np.int32))], schema=schema)
 
     def run(batches):
-        held = [np.zeros(0, np.int64)] * 3
+        held = None
         for batch in batches:
-            now = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns)]
-            if not len(now[0]):
+            if not batch.num_rows:
                 continue
-            closed = np.flatnonzero(now[0] != now[0][-1])
-            open_ = int(closed[-1]) + 1 if len(closed) else 0
-            if len(now[0]) - open_ > 4 * FEW:  # a large region: chain what is there, hold enough to know it
-                yield pairs(*now)
-                held = [c[-FEW - 1 :] for c in now]
+            id_ = batch.column(1)
+            now = [batch.column(0).to_numpy(), id_.fill_null(0).to_numpy(), np.asarray(id_.is_valid()), batch.column(2).to_numpy(), batch.column(3).to_numpy()]
+            now = now if held is None else [np.concatenate(x) for x in zip(held, now)]
+            open_ = int(np.searchsorted(now[0], now[0][-1]))  # rows are sorted by shingle
+            if not now[2][open_]:  # a salted part: what is told of it stands first, the rest can go
+                yield meet(*now)
+                stay = np.arange(len(now[0])) >= open_
+                held = [x[stay & ~now[2]] for x in now]
             else:
-                yield pairs(*(c[:open_] for c in now))
-                held = [c[open_:] for c in now]
-        yield pairs(*held)
+                if open_:
+                    yield meet(*(x[:open_] for x in now))
+                held = [x[open_:] for x in now]
+        if held is not None and held[2].any():
+            yield meet(*held)
+
+    dealt = rows.repartition(parts, "shingle").sortWithinPartitions("shingle", "id")
+    met = dealt.mapInArrow(run, "id bigint, cell int, need int")
+    return met.groupBy("id", "cell").agg(F.count("*").alias("met"), F.min("need").alias("need")).where("met >= need").select("id", "cell")
 
-    dealt = regions.repartition(parts, "shingle").sortWithinPartitions("shingle", "n", "id")
-    met = dealt.mapInArrow(run, "a bigint, b bigint, met int, need int")
-    return met.groupBy("a", "b").agg(F.sum("met").alias("met"), F.max("need").alias("need")).where("met >= need").select("a", "b")
+
+def first_cells(members: DataFrame, pivots: Pivots, join: Join) -> DataFrame:
+    """(region, id, n, above, text) of (id, cell, text): those in the triangle inequality's windows."""
+    shared = members.sparkSession.sparkContext.broadcast(pivots)  # a bounded sample
+    schema = pa.schema([("region", pa.string()), ("id", pa.int64()), ("n", pa.int64()), ("above", pa.int64()), ("text", pa.string())])
+
+    def run(batches):
+        shingler = shingler_for(join.words)
+        for batch in batches:
+            for part in slices(batch, 2, 4 << 20):
+                sets = shingler(part.column(2).to_pylist())
+                cell = part.column(1).to_numpy()
+                home, least, (row, pivot, distance) = shared.value.cells(sets)
+                here = np.ones(len(sets))
+                mine = pivot == cell[row]
+                here[row[mine]] = distance[mine]
+                inside = (here <= least + 2 * join.distance() + 1e-9) | (home == cell)
+                n = pa.array([len(s) for s in sets], pa.int64())
+                whole = pa.RecordBatch.from_arrays([pa.array(cell.astype(str)), part.column(0), n, pa.array([None] * len(sets), pa.int64()), part.column(2)], schema=schema)
+                yield whole.filter(pa.array(inside))
+
+    return members.select("id", "cell", "text").mapInArrow(run, "region string, id bigint, n bigint, above bigint, text string")
 
 
 def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     """(node, root): connected components by alternating large and small stars; the root is
     the smallest node. Each round is written to the shared folder."""
     edges = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), tag)
-    state = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u > v").distinct()
-        edges = materialize(small, tag)
-        now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("bigint")), F.sum(F.hash("v", "u").cast("bigint"))).first()
-        if now == state:
+        before, edges = edges, materialize(small, tag)
+        # settled when every node has one edge and no root has one: stars, which stay as they are
+        more = edges.groupBy("u").count().where("count > 1").limit(1).count()
+        done = not more and not edges.select("v").join(edges.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count()
+        discard(before)
+        if done:
             break
-        state = now
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
+    out = edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
+    out.shared_folder = edges.shared_folder
+    return out
 
 
 # ---------------------------------------------------------------- joining
@@ -323,31 +468,106 @@ def _join_regions(rows: DataFrame, join: Join) -> DataFrame:
     return rows.select("region", "id", "text").repartition(parts, "region").sortWithinPartitions("region", "id").mapInArrow(run, "id bigint, root bigint")
 
 
-def _cells(rows: DataFrame, pivots: dict[str, list[np.ndarray]], join: Join) -> DataFrame:
-    """(region, id, n, text) of the Voronoi cells of regions: home and boundary windows."""
-    shared = rows.sparkSession.sparkContext.broadcast(pivots)  # bounded by the caller
-    schema = pa.schema([("region", pa.string()), ("id", pa.int64()), ("n", pa.int64()), ("text", pa.string())])
+def _split(rows: DataFrame, pivots: DataFrame, join: Join) -> DataFrame:
+    """(region, id, n, above, text, root) of the Voronoi cells of regions, homes and boundary
+    windows, and of links to pivots (``root`` set, no text). A region's rows are dealt over
+    several tasks, each of which gets the region's pivots first."""
+    schema = pa.schema([("region", pa.string()), ("id", pa.int64()), ("n", pa.int64()), ("above", pa.int64()), ("text", pa.string()), ("root", pa.int64())])
+    salts = 16
 
     def run(batches):
         shingler = shingler_for(join.words)
+        region, waiting, around, names = None, [], None, []
         for batch in batches:
-            for part in slices(batch, 2, 8 << 20):
+            for part in slices(batch, 4, 4 << 20):
                 out = []
-                for r, i, t in zip(*(c.to_pylist() for c in part.columns)):
-                    s = shingler([t])[0]
-                    both = intersections(s, shared.value[r])
-                    d = 1 - both / np.maximum(1, np.array([len(p) for p in shared.value[r]]) + len(s) - both)
-                    out += [(f"{r}.{k}", i, len(s), t) for k in np.flatnonzero(d <= d.min() + 2 * join.distance() + 1e-9).tolist()]
+                sets = shingler(part.column(4).to_pylist())
+                for r, first, i, above, t, s in zip(*(part.column(k).to_pylist() for k in (0, 1, 2, 3, 4)), sets):
+                    if r != region:
+                        region, waiting, around = r, [], None
+                    if first:
+                        waiting.append((i, s))
+                        continue
+                    if around is None:
+                        chosen = net([x for _, x in waiting], join.cell_pivots, join)
+                        around, names = Pivots([waiting[k][1] for k in chosen], join), [waiting[k][0] for k in chosen]
+                    row, pivot, both = around.near([s])
+                    for k in pivot[join.per * both >= join.least * (len(s) + around.sizes[pivot] - both)].tolist():
+                        if names[k] != i:
+                            out.append((None, i, None, None, None, names[k]))
+                    out += [(f"{r}.{k}", i, len(s), above, t, None) for k in around.windows([s])[0].tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], f.type) for k, f in enumerate(schema)], schema=schema)
 
-    return rows.select("region", "id", "text").mapInArrow(run, "region string, id bigint, n bigint, text string")
+    salted = rows.select("region", F.lit(False).alias("first"), "id", F.col("s").alias("above"), "text", F.pmod(F.xxhash64("id"), F.lit(salts).cast("bigint")).alias("salt"))
+    everywhere = pivots.select("region", F.lit(True).alias("first"), "id", F.lit(None).cast("bigint").alias("above"), "text", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("salt"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = salted.unionByName(everywhere).repartition(parts, "region", "salt").sortWithinPartitions("salt", "region", F.desc("first"), "id")
+    keyed = dealt.select(F.concat_ws("\t", "region", "salt").alias("key"), "first", "id", "above", "text")
+    return keyed.mapInArrow(_unkeyed(run), "region string, id bigint, n bigint, above bigint, text string, root bigint")
+
+
+def _unkeyed(run):
+    """Cells named by their region without the salt."""
+
+    def outer(batches):
+        for batch in run(batches):
+            names = pa.array([None if x is None else x.partition("\t")[0] + "." + x.rpartition(".")[2] for x in batch.column(0).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([names, *batch.columns[1:]], schema=batch.schema)
 
+    return outer
 
-def _blocks(rows: DataFrame, counts: dict[str, int]) -> DataFrame:
+
+def _blocks(rows: DataFrame, join: Join) -> DataFrame:
     """Regions that pivots cannot shrink: every pair of blocks of documents is a region."""
-    number = F.create_map(*[x for r, c in counts.items() for x in (F.lit(r), F.lit(c))])[F.col("region")]
+    number = F.greatest(F.lit(2), F.ceil(2 * F.greatest(F.col("s") / join.cell_shingles, F.sqrt(F.col("s") * F.col("m") / join.cell_work)))).cast("bigint")
     block = F.pmod(F.xxhash64("id"), number)
-    return rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), number.cast("bigint") - 1))).select(F.concat("region", F.lit("/"), F.least("block", "other"), F.lit("-"), F.greatest("block", "other")).alias("region"), "id", "n", "text")
+    pairs = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), number - 1)))
+    return pairs.select(F.concat("region", F.lit("/"), F.least("block", "other"), F.lit("-"), F.greatest("block", "other")).alias("region"), "id", "n", "text")
+
+
+def _region_links(cells: DataFrame, join: Join) -> DataFrame:
+    """Links (id, root) of all regions. Those too large for a task are split around pivots of
+    their own until none is; a region whose documents are connected already needs no more."""
+    links, written = None, [cells]
+
+    def add(found: DataFrame) -> None:
+        nonlocal links
+        before, links = links, materialize(found if links is None else links.union(found), "jaccard-links")
+        if before is not None:
+            discard(before)
+
+    while True:
+        sizes = cells.groupBy("region").agg(F.count("*").alias("m"), F.sum("n").alias("s"), F.first("above").alias("over"))
+        large = materialize(sizes.where((F.col("s") > join.cell_shingles) | (F.col("s") * F.col("m") > join.cell_work)), "jaccard-large")
+        number = large.count()
+        if not number and links is None:
+            return _join_regions(cells, join)
+        if not number:
+            add(_join_regions(cells, join))
+            return links
+        chosen = F.broadcast(large) if number <= 10_000 else large  # a checked size; a join by region beyond it
+        add(_join_regions(cells.join(chosen, "region", "left_anti"), join))
+        rows = cells.drop("above").join(chosen, "region")
+        shrinks = F.col("over").isNull() | (F.col("s") <= 0.7 * F.col("over"))
+        drawn = rows.where(shrinks & (F.pmod(F.xxhash64("id", F.lit(7)), F.greatest(F.lit(1), (F.col("m") / (8 * join.cell_pivots)).cast("bigint"))) == 0))
+        pivots = drawn.withColumn("k", F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("id"), "id"))).where(F.col("k") <= 4 * join.cell_pivots)
+        split = materialize(_split(rows.where(shrinks), pivots, join), "jaccard-cells")
+        add(split.where("root is not null").select("id", "root"))
+        blocks = _blocks(rows.where(~shrinks), join).withColumn("above", F.lit(None).cast("bigint"))
+        below = split.where("root is null").select("region", "id", "n", "above", "text")
+        # documents that links connect already need not be compared with each other
+        labels = components(links.select(F.col("id").alias("a"), F.col("root").alias("b")), "jaccard-groups")
+        named = below.join(labels.withColumnRenamed("node", "id"), "id", "left").select(below["region"], below["id"], "n", "above", "text", F.coalesce("root", below["id"]).alias("root"))
+        open_ = named.groupBy("region").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("region")
+        cells = materialize(below.join(open_, "region", "left_semi").unionByName(_finish_blocks(blocks, join, add)), "jaccard-cells")
+        discard(split, large, labels, *written)
+        written = [cells]
+
+
+def _finish_blocks(blocks: DataFrame, join: Join, add) -> DataFrame:
+    """Join pairs of blocks, which are as small as can be; no rows are left of them."""
+    add(_join_regions(blocks, join))
+    return blocks.select("region", "id", "n", "above", "text").limit(0)
 
 
 def similar(docs: DataFrame, join: Join, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -357,58 +577,20 @@ def similar(docs: DataFrame, join: Join, id_col: str = "doc_id", text_col: str =
     sets, order = signatures(rows, join)
     classes = sets.where("n > 0 and id is not null").groupBy("h").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
     classes = materialize(classes, "jaccard-classes")
+    pivots = first_pivots(rows, classes, join)
     # both joins with the texts are merged at every size: what a small table could broadcast is
     # as long as the table
-    kept = rows.join(classes.select(F.col("rep").alias("id")).distinct().hint("merge"), "id").select("id", "text")
-    edges = meetings(first_regions(kept, order, join), join)
-    regions = components(edges, "jaccard-regions").select(F.col("node").alias("id"), F.col("root").cast("string").alias("region"))
-    sizes = classes.groupBy(F.col("rep").alias("id")).agg(F.sum("n").alias("n"))
-    cells = materialize(rows.join(materialize(regions.join(sizes, "id"), "jaccard-members").hint("merge"), "id").select("region", "id", "n", "text").where("text is not null"), "jaccard-cells")
-    links, split = None, False
-    parents: dict[str, int] = {}
-    while True:
-        size = cells.groupBy("region").agg(F.count("*").alias("m"), F.sum("n").alias("s")).where((F.col("s") > join.cell_shingles) | (F.col("s") * F.col("m") > join.cell_work)).collect()
-        large = {r["region"]: (r["m"], r["s"]) for r in size}  # regions larger than a task: few
-        named = F.col("region").isin(list(large)) if large else F.lit(False)
-        found = _join_regions(cells.where(~named), join)
-        if not large and links is None:
-            links = found
-            break
-        links = materialize(found if links is None else links.union(found), "jaccard-links")
-        if not large:
-            break
-        split = True
-        stuck = {r: max(2, int(np.ceil(2 * max(s / join.cell_shingles, (s * m / join.cell_work) ** 0.5)))) for r, (m, s) in large.items() if "/" in r or s > 0.7 * parents.get(r.rpartition(".")[0], s + s)}
-        stuck = {r: c for r, c in stuck.items() if "/" not in r}  # blocks of one huge set are as small as can be
-        rest = {r: v for r, v in large.items() if r not in stuck and "/" not in r}
-        whole = [r for r in large if "/" in r]
-        if whole:
-            links = materialize(links.union(_join_regions(cells.where(F.col("region").isin(whole)), join)), "jaccard-links")
-        parents.update({r: s for r, (_, s) in rest.items()})
-        parts = []
-        if stuck:
-            parts.append(_blocks(cells.where(F.col("region").isin(list(stuck))), stuck))
-        if rest:
-            inside = cells.where(F.col("region").isin(list(rest)))
-            share = F.create_map(*[x for r, (m, _) in rest.items() for x in (F.lit(r), F.lit(max(1, m // (4 * join.pivots))))])[F.col("region")]
-            drawn = inside.where(F.pmod(F.xxhash64("id", F.lit(7)), share) == 0)
-            chosen = drawn.withColumn("k", F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("id"), "id"))).where(F.col("k") <= join.pivots)
-            shingler, pivots = Shingler(join.words), {}
-            for r in chosen.select("region", "text").toLocalIterator():  # a few texts of each large region
-                pivots.setdefault(r["region"], []).append(shingler([r["text"]])[0])
-            missing = {r: 2 for r in rest if r not in pivots}
-            if missing:
-                parts.append(_blocks(cells.where(F.col("region").isin(list(missing))), missing))
-            if pivots:
-                parts.append(_cells(inside.where(F.col("region").isin(list(pivots))), pivots, join))
-        if not parts:
-            break
-        cells = materialize(reduce(DataFrame.unionByName, parts), "jaccard-cells")
-    labels = components(links.select(F.col("id").alias("a"), F.col("root").alias("b")), "jaccard-groups").withColumnRenamed("node", "id") if split else links
-    labels = labels.groupBy("id").agg(F.min("root").alias("root"))
+    texts = rows.join(classes.select(F.col("rep").alias("id")).distinct().hint("merge"), "id").select("id", "text")
+    members = materialize(replicas(marked(texts, order, pivots, join), join), "jaccard-members")
+    inside = rows.where("text is not null").join(members.hint("merge"), "id").select("id", "cell", "text")
+    cells = materialize(first_cells(inside, pivots, join), "jaccard-cells")
+    links = _region_links(cells, join)
+    labels = components(links.select(F.col("id").alias("a"), F.col("root").alias("b")), "jaccard-groups").select(F.col("node").alias("id"), "root")
+    discard(members, cells)
     named = classes.join(labels, classes["rep"] == labels["id"], "left").select("h", F.coalesce("root", "rep").alias("root"))
-    joined = sets.join(named, "h", "left")
-    return joined.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("root"))).otherwise(F.col("id")).alias("component_id"))
+    # rows with nothing to link need no partner, and would all meet in one task
+    joined = sets.where("n > 0").join(named, "h", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.col("root")).alias("root"))
+    return joined.unionByName(sets.where("n = 0").select("id", "n", F.col("id").alias("root"))).select("id", F.col("n").alias("n_shingles"), F.col("root").alias("component_id"))
 
 
 def representatives(docs: DataFrame, join: Join, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -66,18 +66,28 @@ def rows():
     return out
 
 
-@pytest.mark.parametrize(("k", "least", "limits"), [(4, 85, {}), (5, 80, {"cell_shingles": 2000, "cell_work": 20_000, "pivots": 4}), (2, 60, {"cell_shingles": 600, "cell_work": 9_000, "pivots": 3}), (3, 100, {})])
+@pytest.mark.parametrize(("k", "least", "limits"), [(4, 85, {}), (5, 80, {"cell_shingles": 2000, "cell_work": 20_000, "pivots": 4, "cell_pivots": 4}), (2, 60, {"cell_shingles": 600, "cell_work": 9_000, "pivots": 3, "cell_pivots": 3, "group": 6}), (3, 100, {"group": 4}), (4, 85, {"pivots": 0, "group": 1})])
 def test_join_equals_brute_force(spark, rows, k, least, limits):
     docs = spark.createDataFrame([(i, t, 1, "r") for i, t in rows], "doc_id bigint, text string, n int, region string")
     got = jaccard.similar(docs, jaccard.Join(words=k, least=least, per=100, **limits)).collect()
     assert sorted((str(r.id), r.n_shingles, r.component_id) for r in got) == brute(rows, k, least, 100)
 
 
-def test_large_regions_are_chained(spark, monkeypatch, rows):
-    monkeypatch.setattr(jaccard, "FEW", 3)
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = jaccard.similar(docs, jaccard.Join(words=4, least=85)).collect()
-    assert sorted((str(r.id), r.n_shingles, r.component_id) for r in got) == brute(rows, 4, 85, 100)
+def test_windows_lose_no_link(rows):
+    """Every linked pair shares a cell, whatever the pivots; windows leave others out."""
+    join, rnd = jaccard.Join(words=2, least=70), random.Random(3)
+    sets = [s for s in jaccard.Shingler(2)([t for _, t in rows]) if len(s)]
+    for most in (1, 5, 40):
+        chosen = jaccard.net(rnd.sample(sets, 120), most, join)
+        drawn = [sets[k] for k in chosen]
+        pivots = jaccard.Pivots(drawn, join)
+        inside = pivots.windows(sets)
+        home = pivots.cells(sets)[0]
+        for a in range(0, len(sets), 3):
+            both = jaccard.intersections(sets[a], sets)
+            for b in np.flatnonzero(100 * both >= 70 * (len(sets[a]) + np.array([len(s) for s in sets]) - both)).tolist():
+                assert home[a] in inside[b] and home[b] in inside[a]
+    assert min(map(len, inside)) == 1
 
 
 def test_empty_table(spark):
