@@ -18,7 +18,8 @@ cells of other pivots where the triangle inequality leaves a partner possible.
    cells within it, with windows as before. Documents within the join distance of a pivot
    are linked to it there and then, and a cell in which all are connected needs no more: a
    large group of near copies costs a pass, not its pairs. A region that pivots cannot shrink
-   is cut into blocks, each pair of which joins.
+   is cut into blocks: of its largest connected part, each with all other documents, or,
+   where those are many, all pairs of blocks.
 4. Within a region, pivots give distance windows again: two sets whose distances to a pivot
    differ by more than the join distance are not compared, nor are sets already connected.
 
@@ -62,8 +63,8 @@ class Join:
     words: int = 5
     least: int = 80
     per: int = 100
-    cell_shingles: int = 4_000_000
-    cell_work: int = 8_000_000_000
+    cell_shingles: int = 1_000_000
+    cell_work: int = 200_000_000
     pivots: int = 128
     cell_pivots: int = 16
     group: int = 1 << 14
@@ -336,9 +337,9 @@ def replicas(rows: DataFrame, join: Join) -> DataFrame:
 
 
 def first_cells(members: DataFrame, pivots: Pivots, join: Join) -> DataFrame:
-    """(region, id, n, above, text) of (id, cell, text): those in the triangle inequality's windows."""
+    """(region, id, n, above, text, root) of (id, cell, text): those in the triangle inequality's windows."""
     shared = members.sparkSession.sparkContext.broadcast(pivots)  # a bounded sample
-    schema = pa.schema([("region", pa.string()), ("id", pa.int64()), ("n", pa.int64()), ("above", pa.int64()), ("text", pa.string())])
+    schema = pa.schema([("region", pa.string()), ("id", pa.int64()), ("n", pa.int64()), ("above", pa.int64()), ("text", pa.string()), ("root", pa.int64())])
 
     def run(batches):
         shingler = shingler_for(join.words)
@@ -351,11 +352,11 @@ def first_cells(members: DataFrame, pivots: Pivots, join: Join) -> DataFrame:
                 mine = pivot == cell[row]
                 here[row[mine]] = distance[mine]
                 inside = (here <= least + 2 * join.distance() + 1e-9) | (home == cell)
-                n = pa.array([len(s) for s in sets], pa.int64())
-                whole = pa.RecordBatch.from_arrays([pa.array(cell.astype(str)), part.column(0), n, pa.array([None] * len(sets), pa.int64()), part.column(2)], schema=schema)
+                n, none = pa.array([len(s) for s in sets], pa.int64()), pa.array([None] * len(sets), pa.int64())
+                whole = pa.RecordBatch.from_arrays([pa.array(cell.astype(str)), part.column(0), n, none, part.column(2), none], schema=schema)
                 yield whole.filter(pa.array(inside))
 
-    return members.select("id", "cell", "text").mapInArrow(run, "region string, id bigint, n bigint, above bigint, text string")
+    return members.select("id", "cell", "text").mapInArrow(run, "region string, id bigint, n bigint, above bigint, text string, root bigint")
 
 
 def components(edges: DataFrame, tag: str = "components") -> DataFrame:
@@ -388,8 +389,9 @@ def intersections(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return np.array([len(np.intersect1d(one, o, assume_unique=True)) for o in others], np.int64)
 
 
-def join_sets(ids: list[int], sets: list[np.ndarray], join: Join) -> list[tuple[int, int]]:
-    """(id, smallest id of its group) of the members of all groups of linked sets."""
+def join_sets(ids: list[int], sets: list[np.ndarray], join: Join, labels: list[int | None] | None = None) -> list[tuple[int, int]]:
+    """(id, smallest id of its group) of the members of all groups of linked sets. Those of
+    equal ``labels`` are known to be connected and not compared with each other."""
     count = len(ids)
     sizes = np.fromiter(map(len, sets), np.int64, count)
     owner = np.repeat(np.arange(count), sizes)
@@ -405,6 +407,10 @@ def join_sets(ids: list[int], sets: list[np.ndarray], join: Join) -> list[tuple[
     first_of: dict[int, int] = {}
     for n, i in enumerate(ids):  # rows that share an id are one node
         root[n] = first_of.setdefault(i, n)
+    known: dict[int, int] = {}
+    for n, label in enumerate(labels or ()):
+        if label is not None and known.setdefault(label, root[n]) != root[n]:
+            root[root == root[n]] = known[label]
 
     def overlaps(x: int) -> np.ndarray:
         terms = term[own_start[x] : own_start[x + 1]]
@@ -421,7 +427,8 @@ def join_sets(ids: list[int], sets: list[np.ndarray], join: Join) -> list[tuple[
         union = sizes + sizes[x] - both
         windows.append(1 - both / np.maximum(union, 1))
     limit = join.distance() + 1e-9
-    for x in order.tolist():
+    most = np.bincount(root, minlength=count).argmax() if count else 0
+    for x in order[root[order] != most].tolist():  # what the largest group links to is found from the other side
         maybe = (root != root[x]) & (join.per * np.minimum(sizes, sizes[x]) >= join.least * np.maximum(sizes, sizes[x]))
         for d in windows:
             maybe &= np.abs(d - d[x]) <= limit
@@ -440,44 +447,47 @@ def join_sets(ids: list[int], sets: list[np.ndarray], join: Join) -> list[tuple[
 
 
 def _join_regions(rows: DataFrame, join: Join) -> DataFrame:
-    """Links (id, root) within regions of (region, id, text); a region fits one task."""
+    """Links (id, root) within regions of (region, id, text, root: what it is connected to
+    already); a region fits one task."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = pa.schema([("id", pa.int64()), ("root", pa.int64())])
 
     def run(batches):
         shingler = shingler_for(join.words)
-        region, ids, sets = None, [], []
+        region, ids, sets, labels = None, [], [], []
 
         def flush():
-            links = join_sets(ids, sets, join)
+            links = join_sets(ids, sets, join, labels)
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], schema=schema)
 
         for batch in batches:
             for part in slices(batch, 2, 8 << 20):
                 names = part.column(0).to_pylist()
-                for r, i, s in zip(names, part.column(1).to_pylist(), shingler(part.column(2).to_pylist())):
+                for r, i, s, label in zip(names, part.column(1).to_pylist(), shingler(part.column(2).to_pylist()), part.column(3).to_pylist()):
                     if r != region and ids:
                         yield flush()
-                        ids, sets = [], []
+                        ids, sets, labels = [], [], []
                     region = r
                     ids.append(i)
                     sets.append(s)
+                    labels.append(label)
         if ids:
             yield flush()
 
-    return rows.select("region", "id", "text").repartition(parts, "region").sortWithinPartitions("region", "id").mapInArrow(run, "id bigint, root bigint")
+    return rows.select("region", "id", "text", "root").repartition(parts, "region").sortWithinPartitions("region", "id").mapInArrow(run, "id bigint, root bigint")
 
 
 def _split(rows: DataFrame, pivots: DataFrame, join: Join) -> DataFrame:
     """(region, id, n, above, text, root) of the Voronoi cells of regions, homes and boundary
-    windows, and of links to pivots (``root`` set, no text). A region's rows are dealt over
-    several tasks, each of which gets the region's pivots first."""
+    windows, and of links to drawn documents (``root`` set, no text). A region's rows are
+    dealt over several tasks, each of which gets the region's drawn documents first; those
+    that lie apart are the pivots."""
     schema = pa.schema([("region", pa.string()), ("id", pa.int64()), ("n", pa.int64()), ("above", pa.int64()), ("text", pa.string()), ("root", pa.int64())])
     salts = 16
 
     def run(batches):
         shingler = shingler_for(join.words)
-        region, waiting, around, names = None, [], None, []
+        region, waiting, around, drawn = None, [], None, None
         for batch in batches:
             for part in slices(batch, 4, 4 << 20):
                 out = []
@@ -489,12 +499,12 @@ def _split(rows: DataFrame, pivots: DataFrame, join: Join) -> DataFrame:
                         waiting.append((i, s))
                         continue
                     if around is None:
-                        chosen = net([x for _, x in waiting], join.cell_pivots, join)
-                        around, names = Pivots([waiting[k][1] for k in chosen], join), [waiting[k][0] for k in chosen]
-                    row, pivot, both = around.near([s])
-                    for k in pivot[join.per * both >= join.least * (len(s) + around.sizes[pivot] - both)].tolist():
-                        if names[k] != i:
-                            out.append((None, i, None, None, None, names[k]))
+                        drawn = Pivots([x for _, x in waiting], join)
+                        around = Pivots([waiting[k][1] for k in net([x for _, x in waiting], join.cell_pivots, join)], join)
+                    row, pivot, both = drawn.near([s])
+                    for k in pivot[join.per * both >= join.least * (len(s) + drawn.sizes[pivot] - both)].tolist():
+                        if waiting[k][0] != i:
+                            out.append((None, i, None, None, None, waiting[k][0]))
                     out += [(f"{r}.{k}", i, len(s), above, t, None) for k in around.windows([s])[0].tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], f.type) for k, f in enumerate(schema)], schema=schema)
 
@@ -518,17 +528,23 @@ def _unkeyed(run):
 
 
 def _blocks(rows: DataFrame, join: Join) -> DataFrame:
-    """Regions that pivots cannot shrink: every pair of blocks of documents is a region."""
+    """Regions that pivots cannot shrink, as (region, id, text, root). Where most documents are
+    connected already, they are dealt over blocks and each block gets all the others; else
+    every pair of blocks is a region."""
     number = F.greatest(F.lit(2), F.ceil(2 * F.greatest(F.col("s") / join.cell_shingles, F.sqrt(F.col("s") * F.col("m") / join.cell_work)))).cast("bigint")
-    block = F.pmod(F.xxhash64("id"), number)
-    pairs = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), number - 1)))
-    return pairs.select(F.concat("region", F.lit("/"), F.least("block", "other"), F.lit("-"), F.greatest("block", "other")).alias("region"), "id", "n", "text")
+    groups = rows.groupBy("region", "root").agg(F.sum("n").alias("part")).groupBy("region").agg(F.max_by("root", "part").alias("main"), (F.sum("part") - F.max("part")).alias("rest"))
+    block, every = F.pmod(F.xxhash64("id"), number), F.sequence(F.lit(0).cast("bigint"), number - 1)
+    few = F.col("rest") <= join.cell_shingles / 4
+    placed = rows.join(groups, "region").withColumn("block", block).withColumn("few", few)
+    placed = placed.withColumn("other", F.explode(F.when(F.col("few") & (F.col("root") == F.col("main")), F.array("block")).otherwise(every)))
+    name = F.when(F.col("few"), F.concat(F.lit("/"), "other")).otherwise(F.concat(F.lit("/"), F.least("block", "other"), F.lit("-"), F.greatest("block", "other")))
+    return placed.select(F.concat("region", name).alias("region"), "id", "text", "root")
 
 
 def _region_links(cells: DataFrame, join: Join) -> DataFrame:
     """Links (id, root) of all regions. Those too large for a task are split around pivots of
     their own until none is; a region whose documents are connected already needs no more."""
-    links, written = None, [cells]
+    links = None
 
     def add(found: DataFrame) -> None:
         nonlocal links
@@ -546,28 +562,23 @@ def _region_links(cells: DataFrame, join: Join) -> DataFrame:
             add(_join_regions(cells, join))
             return links
         chosen = F.broadcast(large) if number <= 10_000 else large  # a checked size; a join by region beyond it
-        add(_join_regions(cells.join(chosen, "region", "left_anti"), join))
-        rows = cells.drop("above").join(chosen, "region")
         shrinks = F.col("over").isNull() | (F.col("s") <= 0.7 * F.col("over"))
-        drawn = rows.where(shrinks & (F.pmod(F.xxhash64("id", F.lit(7)), F.greatest(F.lit(1), (F.col("m") / (8 * join.cell_pivots)).cast("bigint"))) == 0))
-        pivots = drawn.withColumn("k", F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("id"), "id"))).where(F.col("k") <= 4 * join.cell_pivots)
-        split = materialize(_split(rows.where(shrinks), pivots, join), "jaccard-cells")
+        rows = cells.drop("above").join(chosen, "region")
+        small = cells.join(chosen, "region", "left_anti").select("region", "id", "text", "root")
+        add(_join_regions(small.unionByName(_blocks(rows.where(~shrinks), join)), join))
+        rows = rows.where(shrinks)
+        share = F.greatest(F.lit(1).cast("bigint"), (F.col("m") / (8 * join.cell_pivots)).cast("bigint"))
+        place = F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("id"), "id"))
+        drawn = rows.where(F.pmod(F.xxhash64("id", F.lit(7)), share) == 0).withColumn("k", place).where(F.col("k") <= 4 * join.cell_pivots)
+        split = materialize(_split(rows, drawn, join), "jaccard-cells")
         add(split.where("root is not null").select("id", "root"))
-        blocks = _blocks(rows.where(~shrinks), join).withColumn("above", F.lit(None).cast("bigint"))
-        below = split.where("root is null").select("region", "id", "n", "above", "text")
-        # documents that links connect already need not be compared with each other
         labels = components(links.select(F.col("id").alias("a"), F.col("root").alias("b")), "jaccard-groups")
-        named = below.join(labels.withColumnRenamed("node", "id"), "id", "left").select(below["region"], below["id"], "n", "above", "text", F.coalesce("root", below["id"]).alias("root"))
-        open_ = named.groupBy("region").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("region")
-        cells = materialize(below.join(open_, "region", "left_semi").unionByName(_finish_blocks(blocks, join, add)), "jaccard-cells")
-        discard(split, large, labels, *written)
-        written = [cells]
-
-
-def _finish_blocks(blocks: DataFrame, join: Join, add) -> DataFrame:
-    """Join pairs of blocks, which are as small as can be; no rows are left of them."""
-    add(_join_regions(blocks, join))
-    return blocks.select("region", "id", "n", "above", "text").limit(0)
+        below = split.where("root is null").drop("root").join(labels.withColumnRenamed("node", "id"), "id", "left")
+        below = below.select("region", "id", "n", "above", "text", F.coalesce("root", "id").alias("root"))
+        # documents that are connected already need not be compared with each other
+        open_ = below.groupBy("region").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("region")
+        before, cells = cells, materialize(below.join(open_, "region", "left_semi"), "jaccard-cells")
+        discard(split, large, labels, before)
 
 
 def similar(docs: DataFrame, join: Join, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -586,7 +597,7 @@ def similar(docs: DataFrame, join: Join, id_col: str = "doc_id", text_col: str =
     cells = materialize(first_cells(inside, pivots, join), "jaccard-cells")
     links = _region_links(cells, join)
     labels = components(links.select(F.col("id").alias("a"), F.col("root").alias("b")), "jaccard-groups").select(F.col("node").alias("id"), "root")
-    discard(members, cells)
+    discard(members, links)
     named = classes.join(labels, classes["rep"] == labels["id"], "left").select("h", F.coalesce("root", "rep").alias("root"))
     # rows with nothing to link need no partner, and would all meet in one task
     joined = sets.where("n > 0").join(named, "h", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.col("root")).alias("root"))
