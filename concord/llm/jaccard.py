@@ -15,7 +15,7 @@ cells of other pivots where the triangle inequality leaves a partner possible.
    share ``MEETINGS`` of, in an order that puts frequent ones last (a count by hash bucket
    over all rows decides). Of two cells the pair meets in the one with the smaller number.
 3. A region too large for one task is split again: documents sampled from it are pivots of
-   cells within it, with windows as before. Documents within the join distance of a pivot
+   cells within it, with windows and copies as before. Documents within the join distance of a pivot
    are linked to it there and then, and a cell in which all are connected needs no more: a
    large group of near copies costs a pass, not its pairs. A region that pivots cannot shrink
    is cut into blocks: of its largest connected part, each with all other documents, or,
@@ -44,6 +44,8 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from concord.llm._common import Interner, discard, kept, materialize, slices, sum_arrays
 
@@ -225,44 +227,69 @@ def first_pivots(rows: DataFrame, classes: DataFrame, join: Join) -> Pivots:
     return Pivots([sets[k] for k in net(sets, join.pivots, join)], join)
 
 
-def marked(texts: DataFrame, order: np.ndarray, pivots: Pivots, join: Join) -> DataFrame:
-    """(shingle, id, info, more): a row for each of the shingles of a document in which it
-    must meet whatever links to it; ``info`` holds its home cell and size. Shingles that more
-    than ``join.group`` documents hold are salted, and each of their parts is told (id null)
-    which cells hold them, with the least and (``more``) greatest size and a count."""
-    shared = texts.sparkSession.sparkContext.broadcast((order, pivots))  # 4 MB and a bounded sample
-    schema = pa.schema([("shingle", pa.int64()), ("id", pa.int64()), ("info", pa.int64()), ("more", pa.int64())])
-    often = int(np.ceil(2 * np.log2(join.group + 1)))
+MARKED = pa.schema([("shingle", pa.int64()), ("id", pa.int64()), ("info", pa.int64()), ("more", pa.int64()), ("region", pa.int64())])
+
+
+class Marker:
+    """Makes rows (shingle, id, info, more, region): one for each of the shingles of a document
+    in which it must meet whatever links to it in its region; ``info`` holds its home cell and
+    size. Shingles that more than ``join.group`` documents hold are salted, and each of their
+    parts is told (id null) which cells hold them, with the least and (``more``) greatest
+    size and a count."""
+
+    def __init__(self, join: Join, rank: np.ndarray):
+        self.join, self.rank = join, rank
+        self.often = int(np.ceil(2 * np.log2(join.group + 1)))
+        self.told: dict[tuple[int, int, int], list[int]] = {}
+
+    def add(self, ids: np.ndarray, sets: list[np.ndarray], home: np.ndarray, region: int) -> pa.RecordBatch:
+        join, found = self.join, []
+        for s in sets:
+            take = min(len(s), len(s) + join.least * len(s) // -join.per + MEETINGS)
+            found.append(s[np.argsort(self.rank[s >> U(64 - SKETCH_BITS)], kind="stable")[:take]])
+        times = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.concatenate(found) if found else np.zeros(0, U)
+        who, info = np.repeat(ids, times), np.repeat(home << 40 | np.fromiter(map(len, sets), np.int64, len(sets)), times)
+        height = self.rank[flat >> U(64 - SKETCH_BITS)]
+        hot = height >= self.often
+        for x, i, h in zip(flat[hot].tolist(), info[hot].tolist(), height[hot].tolist()):
+            size = i & (1 << 40) - 1
+            one = self.told.setdefault((region, x, i >> 40), [size, size, 0, h])
+            one[0], one[1], one[2] = min(one[0], size), max(one[1], size), one[2] + 1
+        flat[hot] = _salted(flat[hot], who[hot].astype(U) * U(0x9E3779B97F4A7C15) >> U(32), _parts(height[hot], self.often))
+        if region:
+            flat ^= U(region & (1 << 64) - 1)
+        return pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(who), pa.array(info), pa.array(np.zeros(len(flat), np.int64)), pa.array(np.full(len(flat), region, np.int64))], schema=MARKED)
+
+    def tell(self):
+        """What the parts of salted shingles are told, of all rows that were added."""
+        out = []
+        for (region, x, c), (low, high, m, h) in self.told.items():
+            parts = int(_parts(np.array([h]), self.often)[0])
+            keys = _salted(np.full(parts, x, U), np.arange(parts, dtype=U), np.full(parts, parts, U)) ^ U(region & (1 << 64) - 1)
+            out += [(k, None, c << 40 | low, high << 32 | min(m, 2), region) for k in keys.view(np.int64).tolist()]
+            if len(out) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c_, t.type) for c_, t in zip(zip(*out), MARKED)], schema=MARKED)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c_, t.type) for c_, t in zip(zip(*out), MARKED)], schema=MARKED)
+        self.told = {}
+
+
+def marked(texts: DataFrame, shared, join: Join) -> DataFrame:
+    """The rows of a :class:`Marker` for (id, text), which are one region; ``shared``: the
+    broadcast order of shingles, 4 MB whatever the input, and pivots, a bounded sample."""
 
     def run(batches):
         shingler, (rank, around) = shingler_for(join.words), shared.value
-        told: dict[tuple[int, int], list[int]] = {}
+        marker = Marker(join, rank)
         for batch in batches:
             for part in slices(batch, 1, 4 << 20):
                 sets = shingler(part.column(1).to_pylist())
-                ids = part.column(0).to_numpy()
-                home = around.cells(sets)[0]
-                found, infos = [], []
-                for s, h in zip(sets, home.tolist()):
-                    take = min(len(s), len(s) + join.least * len(s) // -join.per + MEETINGS)
-                    found.append(s[np.argsort(rank[s >> U(64 - SKETCH_BITS)], kind="stable")[:take]])
-                    infos.append(h << 40 | len(s))
-                times = np.fromiter(map(len, found), np.int64, len(found))
-                flat = np.concatenate(found) if found else np.zeros(0, U)
-                who, info = np.repeat(ids, times), np.repeat(np.array(infos, np.int64), times)
-                height = rank[flat >> U(64 - SKETCH_BITS)]
-                for n in np.flatnonzero(height >= often).tolist():  # one row for each cell in a task
-                    x, size = int(flat[n]), int(info[n]) & (1 << 40) - 1
-                    one = told.setdefault((x, int(info[n]) >> 40), [size, size, 0, int(height[n])])
-                    one[0], one[1], one[2] = min(one[0], size), max(one[1], size), one[2] + 1
-                hot = height >= often
-                flat[hot] = _salted(flat[hot], who[hot].astype(U) * U(0x9E3779B97F4A7C15) >> U(32), _parts(height[hot], often))
-                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(who), pa.array(info), pa.array(np.zeros(len(flat), np.int64))], schema=schema)
-        out = [(_salted(np.array([x], U), np.array([k], U), np.array([parts], U))[0].astype(np.int64), None, c << 40 | lo, hi << 32 | min(m, 2)) for (x, c), (lo, hi, m, height) in told.items() for parts in [int(_parts(np.array([height]), often)[0])] for k in range(parts)]
-        for at in range(0, len(out), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out[at : at + 100_000]), schema)], schema=schema)
-
-    return texts.mapInArrow(run, "shingle bigint, id bigint, info bigint, more bigint")
+                yield marker.add(part.column(0).to_numpy(), sets, around.cells(sets)[0], 0)
+        yield from marker.tell()
+
+    return texts.mapInArrow(run, "shingle bigint, id bigint, info bigint, more bigint, region bigint")
 
 
 def _parts(height: np.ndarray, often: int) -> np.ndarray:
@@ -277,14 +304,13 @@ def _salted(shingle: np.ndarray, salt: np.ndarray, parts: np.ndarray) -> np.ndar
 
 
 def replicas(rows: DataFrame, join: Join) -> DataFrame:
-    """(id, cell): the cells in which a document may have a partner, from :func:`marked` rows.
-    Of the home cells of two documents that meet, both are in the one with the smaller number.
+    """(region, id, cell): the cells in which a document may have a partner, from marked rows. Of the home cells of two documents that meet, both are in the one with the smaller number.
     Linked documents meet in ``MEETINGS`` shingles, or in all they share if those are fewer."""
-    schema = pa.schema([("id", pa.int64()), ("cell", pa.int32()), ("need", pa.int32())])
+    schema = pa.schema([("region", pa.int64()), ("id", pa.int64()), ("cell", pa.int32()), ("need", pa.int32())])
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = (1 << 40) - 1
 
-    def meet(shingle, ids, known, info, more):
+    def meet(shingle, ids, known, info, more, region):
         """Rows of whole shingles, or of a part of a salted one behind what is told of it."""
         told = np.isin(shingle, shingle[~known]) if not known.all() else np.zeros(len(shingle), bool)
         tell = ~known | ~told  # what describes the shingle's cells
@@ -309,7 +335,7 @@ def replicas(rows: DataFrame, join: Join) -> DataFrame:
         target = np.minimum(cell[at], own)
         by = np.lexsort((need, target, who))
         first = by[(np.diff(who[by], prepend=-1) != 0) | (np.diff(target[by], prepend=-1) != 0)]
-        return pa.RecordBatch.from_arrays([pa.array(ids[who[first]]), pa.array(target[first].astype(np.int32)), pa.array(need[first].astype(np.int32))], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(region[who[first]]), pa.array(ids[who[first]]), pa.array(target[first].astype(np.int32)), pa.array(need[first].astype(np.int32))], schema=schema)
 
     def run(batches):
         held = None
@@ -317,7 +343,7 @@ def replicas(rows: DataFrame, join: Join) -> DataFrame:
             if not batch.num_rows:
                 continue
             id_ = batch.column(1)
-            now = [batch.column(0).to_numpy(), id_.fill_null(0).to_numpy(), np.asarray(id_.is_valid()), batch.column(2).to_numpy(), batch.column(3).to_numpy()]
+            now = [batch.column(0).to_numpy(), id_.fill_null(0).to_numpy(), np.asarray(id_.is_valid()), batch.column(2).to_numpy(), batch.column(3).to_numpy(), batch.column(4).to_numpy()]
             now = now if held is None else [np.concatenate(x) for x in zip(held, now)]
             open_ = int(np.searchsorted(now[0], now[0][-1]))  # rows are sorted by shingle
             if not now[2][open_]:  # a salted part: what is told of it stands first, the rest can go
@@ -332,14 +358,13 @@ def replicas(rows: DataFrame, join: Join) -> DataFrame:
             yield meet(*held)
 
     dealt = rows.repartition(parts, "shingle").sortWithinPartitions("shingle", "id")
-    met = dealt.mapInArrow(run, "id bigint, cell int, need int")
-    return met.groupBy("id", "cell").agg(F.count("*").alias("met"), F.min("need").alias("need")).where("met >= need").select("id", "cell")
+    met = dealt.select("shingle", "id", "info", "more", "region").mapInArrow(run, "region bigint, id bigint, cell int, need int")
+    return met.groupBy("region", "id", "cell").agg(F.count("*").alias("met"), F.min("need").alias("need")).where("met >= need").select("region", "id", "cell")
 
 
-def first_cells(members: DataFrame, pivots: Pivots, join: Join) -> DataFrame:
+def first_cells(members: DataFrame, shared, join: Join) -> DataFrame:
     """(region, id, n, above, text, root) of (id, cell, text): those in the triangle inequality's windows."""
-    shared = members.sparkSession.sparkContext.broadcast(pivots)  # a bounded sample
-    schema = pa.schema([("region", pa.string()), ("id", pa.int64()), ("n", pa.int64()), ("above", pa.int64()), ("text", pa.string()), ("root", pa.int64())])
+    schema = pa.schema([("region", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("above", pa.int64()), ("text", pa.string()), ("root", pa.int64())])
 
     def run(batches):
         shingler = shingler_for(join.words)
@@ -347,16 +372,16 @@ def first_cells(members: DataFrame, pivots: Pivots, join: Join) -> DataFrame:
             for part in slices(batch, 2, 4 << 20):
                 sets = shingler(part.column(2).to_pylist())
                 cell = part.column(1).to_numpy()
-                home, least, (row, pivot, distance) = shared.value.cells(sets)
+                home, least, (row, pivot, distance) = shared.value[1].cells(sets)
                 here = np.ones(len(sets))
                 mine = pivot == cell[row]
                 here[row[mine]] = distance[mine]
                 inside = (here <= least + 2 * join.distance() + 1e-9) | (home == cell)
                 n, none = pa.array([len(s) for s in sets], pa.int64()), pa.array([None] * len(sets), pa.int64())
-                whole = pa.RecordBatch.from_arrays([pa.array(cell.astype(str)), part.column(0), n, none, part.column(2), none], schema=schema)
+                whole = pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), part.column(0), n, none, part.column(2), none], schema=schema)
                 yield whole.filter(pa.array(inside))
 
-    return members.select("id", "cell", "text").mapInArrow(run, "region string, id bigint, n bigint, above bigint, text string, root bigint")
+    return members.select("id", "cell", "text").mapInArrow(run, "region bigint, id bigint, n bigint, above bigint, text string, root bigint")
 
 
 def components(edges: DataFrame, tag: str = "components") -> DataFrame:
@@ -477,54 +502,60 @@ def _join_regions(rows: DataFrame, join: Join) -> DataFrame:
     return rows.select("region", "id", "text", "root").repartition(parts, "region").sortWithinPartitions("region", "id").mapInArrow(run, "id bigint, root bigint")
 
 
-def _split(rows: DataFrame, pivots: DataFrame, join: Join) -> DataFrame:
-    """(region, id, n, above, text, root) of the Voronoi cells of regions, homes and boundary
-    windows, and of links to drawn documents (``root`` set, no text). A region's rows are
+SPLIT = "region bigint, id bigint, n bigint, above bigint, text string, root bigint, window array<int>, shingle bigint, info bigint, more bigint"
+
+
+def _split(rows: DataFrame, drawn: DataFrame, shared, join: Join) -> DataFrame:
+    """Of regions (region, id, s, text): documents with the cells of their ``window`` (null:
+    all), links to drawn documents (``root`` set), and marked rows (``info`` set). A region's rows are
     dealt over several tasks, each of which gets the region's drawn documents first; those
     that lie apart are the pivots."""
-    schema = pa.schema([("region", pa.string()), ("id", pa.int64()), ("n", pa.int64()), ("above", pa.int64()), ("text", pa.string()), ("root", pa.int64())])
+    schema = to_arrow_schema(_parse_datatype_string(SPLIT))
     salts = 16
 
+    def rows_of(**columns):
+        size = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in schema], schema=schema)
+
+    def as_marked(batch):
+        return rows_of(shingle=batch.column(0), id=batch.column(1), info=batch.column(2), more=batch.column(3), region=batch.column(4))
+
     def run(batches):
-        shingler = shingler_for(join.words)
-        region, waiting, around, drawn = None, [], None, None
+        shingler, marker = shingler_for(join.words), Marker(join, shared.value[0])
+        key, waiting, around, centres = None, [], None, None
         for batch in batches:
-            for part in slices(batch, 4, 4 << 20):
-                out = []
-                sets = shingler(part.column(4).to_pylist())
-                for r, first, i, above, t, s in zip(*(part.column(k).to_pylist() for k in (0, 1, 2, 3, 4)), sets):
-                    if r != region:
-                        region, waiting, around = r, [], None
-                    if first:
-                        waiting.append((i, s))
+            for part in slices(batch, 5, 4 << 20):
+                sets = shingler(part.column(5).to_pylist())
+                keys = list(zip(part.column(0).to_pylist(), part.column(1).to_pylist()))
+                first, ids, above = part.column(2).to_pylist(), part.column(3).to_pylist(), part.column(4).to_pylist()
+                starts = [0, *(n for n in range(1, len(keys)) if keys[n] != keys[n - 1] or first[n] != first[n - 1]), len(keys)]
+                for a, b in zip(starts, starts[1:]):
+                    if keys[a] != key:
+                        key, waiting, around = keys[a], [], None
+                    if first[a]:
+                        waiting += zip(ids[a:b], sets[a:b])
                         continue
                     if around is None:
-                        drawn = Pivots([x for _, x in waiting], join)
+                        centres = Pivots([x for _, x in waiting], join)
                         around = Pivots([waiting[k][1] for k in net([x for _, x in waiting], join.cell_pivots, join)], join)
-                    row, pivot, both = drawn.near([s])
-                    for k in pivot[join.per * both >= join.least * (len(s) + drawn.sizes[pivot] - both)].tolist():
-                        if waiting[k][0] != i:
-                            out.append((None, i, None, None, None, waiting[k][0]))
-                    out += [(f"{r}.{k}", i, len(s), above, t, None) for k in around.windows([s])[0].tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], f.type) for k, f in enumerate(schema)], schema=schema)
-
-    salted = rows.select("region", F.lit(False).alias("first"), "id", F.col("s").alias("above"), "text", F.pmod(F.xxhash64("id"), F.lit(salts).cast("bigint")).alias("salt"))
-    everywhere = pivots.select("region", F.lit(True).alias("first"), "id", F.lit(None).cast("bigint").alias("above"), "text", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("salt"))
+                    own, who = sets[a:b], np.array(ids[a:b], np.int64)
+                    sizes = np.fromiter(map(len, own), np.int64, len(own))
+                    row, centre, both = centres.near(own)
+                    names = np.array([i for i, _ in waiting], np.int64)
+                    linked = join.per * both >= join.least * (sizes[row] + centres.sizes[centre] - both)
+                    linked &= who[row] != names[centre] if len(names) else False
+                    yield rows_of(id=who[row[linked]], root=names[centre[linked]] if len(names) else np.zeros(0, np.int64))
+                    windows = [None if len(w) >= len(around.sizes) else w.tolist() for w in around.windows(own)]
+                    yield rows_of(region=np.full(b - a, key[0]), id=who, n=sizes, above=above[a:b], text=part.column(5).slice(a, b - a), window=windows)
+                    yield as_marked(marker.add(who, own, around.cells(own)[0], key[0]))
+        for told in marker.tell():
+            yield as_marked(told)
+
+    salted = rows.select("region", F.pmod(F.xxhash64("id"), F.lit(salts).cast("bigint")).alias("salt"), F.lit(False).alias("first"), "id", F.col("s").alias("above"), "text")
+    everywhere = drawn.select("region", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("salt"), F.lit(True).alias("first"), "id", F.lit(None).cast("bigint").alias("above"), "text")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = salted.unionByName(everywhere).repartition(parts, "region", "salt").sortWithinPartitions("salt", "region", F.desc("first"), "id")
-    keyed = dealt.select(F.concat_ws("\t", "region", "salt").alias("key"), "first", "id", "above", "text")
-    return keyed.mapInArrow(_unkeyed(run), "region string, id bigint, n bigint, above bigint, text string, root bigint")
-
-
-def _unkeyed(run):
-    """Cells named by their region without the salt."""
-
-    def outer(batches):
-        for batch in run(batches):
-            names = pa.array([None if x is None else x.partition("\t")[0] + "." + x.rpartition(".")[2] for x in batch.column(0).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([names, *batch.columns[1:]], schema=batch.schema)
-
-    return outer
+    dealt = salted.unionByName(everywhere).repartition(parts, "region", "salt").sortWithinPartitions("region", "salt", F.desc("first"), "id")
+    return dealt.mapInArrow(run, SPLIT)
 
 
 def _blocks(rows: DataFrame, join: Join) -> DataFrame:
@@ -537,12 +568,12 @@ def _blocks(rows: DataFrame, join: Join) -> DataFrame:
     few = F.col("rest") <= join.cell_shingles / 4
     placed = rows.join(groups, "region").withColumn("block", block).withColumn("few", few)
     placed = placed.withColumn("other", F.explode(F.when(F.col("few") & (F.col("root") == F.col("main")), F.array("block")).otherwise(every)))
-    name = F.when(F.col("few"), F.concat(F.lit("/"), "other")).otherwise(F.concat(F.lit("/"), F.least("block", "other"), F.lit("-"), F.greatest("block", "other")))
-    return placed.select(F.concat("region", name).alias("region"), "id", "text", "root")
+    name = F.when(F.col("few"), F.xxhash64("region", "other")).otherwise(F.xxhash64("region", F.least("block", "other"), F.greatest("block", "other")))
+    return placed.select(name.alias("region"), "id", "text", "root")
 
 
-def _region_links(cells: DataFrame, join: Join) -> DataFrame:
-    """Links (id, root) of all regions. Those too large for a task are split around pivots of
+def _region_links(cells: DataFrame, shared, join: Join) -> DataFrame:
+    """Links (id, root) of all regions, which are named by hashes of where they come from. Those too large for a task are split around pivots of
     their own until none is; a region whose documents are connected already needs no more."""
     links = None
 
@@ -570,11 +601,13 @@ def _region_links(cells: DataFrame, join: Join) -> DataFrame:
         share = F.greatest(F.lit(1).cast("bigint"), (F.col("m") / (8 * join.cell_pivots)).cast("bigint"))
         place = F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("id"), "id"))
         drawn = rows.where(F.pmod(F.xxhash64("id", F.lit(7)), share) == 0).withColumn("k", place).where(F.col("k") <= 4 * join.cell_pivots)
-        split = materialize(_split(rows, drawn, join), "jaccard-cells")
+        split = materialize(_split(rows, drawn, shared, join), "jaccard-split")
         add(split.where("root is not null").select("id", "root"))
         labels = components(links.select(F.col("id").alias("a"), F.col("root").alias("b")), "jaccard-groups")
-        below = split.where("root is null").drop("root").join(labels.withColumnRenamed("node", "id"), "id", "left")
-        below = below.select("region", "id", "n", "above", "text", F.coalesce("root", "id").alias("root"))
+        members = replicas(split.where("info is not null").select("shingle", "id", "info", "more", "region"), join)
+        below = split.where("n is not null").drop("root").join(members, ["region", "id"]).where(F.col("window").isNull() | F.array_contains("window", F.col("cell")))
+        below = below.join(labels.withColumnRenamed("node", "id"), "id", "left")
+        below = below.select(F.xxhash64("region", "cell").alias("region"), "id", "n", "above", "text", F.coalesce("root", "id").alias("root"))
         # documents that are connected already need not be compared with each other
         open_ = below.groupBy("region").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("region")
         before, cells = cells, materialize(below.join(open_, "region", "left_semi"), "jaccard-cells")
@@ -592,10 +625,11 @@ def similar(docs: DataFrame, join: Join, id_col: str = "doc_id", text_col: str =
     # both joins with the texts are merged at every size: what a small table could broadcast is
     # as long as the table
     texts = rows.join(classes.select(F.col("rep").alias("id")).distinct().hint("merge"), "id").select("id", "text")
-    members = materialize(replicas(marked(texts, order, pivots, join), join), "jaccard-members")
+    shared = rows.sparkSession.sparkContext.broadcast((order, pivots))
+    members = materialize(replicas(marked(texts, shared, join), join).drop("region"), "jaccard-members")
     inside = rows.where("text is not null").join(members.hint("merge"), "id").select("id", "cell", "text")
-    cells = materialize(first_cells(inside, pivots, join), "jaccard-cells")
-    links = _region_links(cells, join)
+    cells = materialize(first_cells(inside, shared, join), "jaccard-cells")
+    links = _region_links(cells, shared, join)
     labels = components(links.select(F.col("id").alias("a"), F.col("root").alias("b")), "jaccard-groups").select(F.col("node").alias("id"), "root")
     discard(members, links)
     named = classes.join(labels, classes["rep"] == labels["id"], "left").select("h", F.coalesce("root", "rep").alias("root"))
