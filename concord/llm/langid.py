@@ -9,7 +9,8 @@ that covers most letters is the language of the text; its share of them is the s
 Null texts and texts without a letter are ``und`` with score 0 and no spans. Ties go to the
 label that sorts first. With nothing to learn from every text is ``und``. Null ids are
 kept; repeated rows are labelled again, and counted again in training; rows with a null
-label or text teach nothing.
+label or text teach nothing. Very long texts are labelled whole; an empty table gives an empty
+result; other columns, whatever their names, are left out of the work.
 """
 
 from __future__ import annotations

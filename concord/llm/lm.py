@@ -14,7 +14,9 @@ P(w|h) = max(c(hw) - D, 0) / c(h) + gamma(h) P(w), and P(w) is the same over the
 distinct words before w, with the uniform distribution over the vocabulary and the unknown
 word below it. Null texts are empty: they have the end only. Rows with a null id are scored
 and neither held out nor trained on. Repeated rows count again. With no training rows every
-token is unknown and has probability one.
+token is unknown and has probability one. Very long texts are scored whole; ties do not
+matter, an empty table gives an empty result; other columns, whatever their names, are left
+out first.
 """
 
 from __future__ import annotations
@@ -37,6 +39,7 @@ SHARD = 1 << 20
 END = xxhash.xxh3_64_intdigest(b" end")  # no word holds a space
 BEGIN = xxhash.xxh3_64_intdigest(b" begin")  # a history only
 U = np.uint64
+COUNT = ("<u4", "<u8")
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -77,7 +80,7 @@ def _planes(a: np.ndarray) -> bytes:
 def pack(keys: np.ndarray, *counts: np.ndarray) -> bytes:
     """Sorted 64-bit keys as differences, and counts, by byte planes, compressed."""
     body = _planes(np.diff(keys, prepend=U(0)))
-    body += b"".join(_planes(np.ascontiguousarray(c, dtype="<u4")) for c in counts)
+    body += b"".join(_planes(np.ascontiguousarray(c, dtype="<u8")) for c in counts)
     return len(keys).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(body)
 
 
@@ -86,8 +89,8 @@ def unpack(data: bytes) -> list[np.ndarray]:
     body = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[8:]), np.uint8) if n else np.zeros(0, np.uint8)
     keys = np.ascontiguousarray(body[: 8 * n].reshape(8, n).T).view("<u8").ravel()
     out = [np.cumsum(keys, dtype=U)]
-    for at in range(8 * n, len(body), 4 * n or 1):
-        out.append(np.ascontiguousarray(body[at : at + 4 * n].reshape(4, n).T).view("<u4").ravel())
+    for at in range(8 * n, len(body), 8 * n or 1):
+        out.append(np.ascontiguousarray(body[at : at + 8 * n].reshape(8, n).T).view("<u8").ravel())
     return out
 
 
@@ -209,6 +212,8 @@ class Reader:
     def _arrays(self, which: int, shard: int) -> list[np.ndarray] | None:
         files, kinds = ((self.model.words, ["<u8", "<u8"]), (self.model.pairs, ["<u8", "<u4"]), (self.model.statistics, ["<u8", "<u4", "<u4", "<u4", "<u4"]))[which]
         if (which, shard) not in self.open:
+            if which == 1 and shard in files.names:
+                kinds = ["<u8", COUNT[files.names[shard][0].startswith("pairs8")]]
             self.open[which, shard] = _map(files.folder, files.names[shard][0], kinds, files.names[shard][1]) if shard in files.names else None
         return self.open[which, shard]
 
@@ -328,6 +333,8 @@ def train(docs: DataFrame, text_col: str = "text", shard_tokens: int = SHARD) ->
     model = Model(words, Files(folder, _power(tokens / shard_tokens)), Files(folder, word_bits), offsets, tokens, 0, (0.5, 0.75, 0.9), (0.5, 0.75, 0.9), 1.0)
     pair_bits = model.pairs.bits
     begin = int(offsets[-1])  # the number of the beginning, after all words
+    if begin >= (1 << 32) - 1:
+        raise ValueError(f"{begin} distinct words: more than 32 bits number")
 
     # pairs
     def count_pairs(batches):
@@ -347,7 +354,8 @@ def train(docs: DataFrame, text_col: str = "text", shard_tokens: int = SHARD) ->
     def write_pairs(batches):
         for shard, parts in _by_shard(batches):
             keys, counts = merged(parts)
-            name = _write(folder, f"pairs-{shard}", [keys, np.minimum(counts, 0xFFFFFFFF).astype("<u4")])
+            kind = COUNT[bool(len(counts) and counts.max() >> 32)]  # the file's name tells it
+            name = _write(folder, f"pairs{kind[-1]}-{shard}", [keys, counts.astype(kind)])
             pair = unmix(keys)
             left, right = (pair >> U(32)).astype(np.int64), (pair & U(0xFFFFFFFF)).astype(np.int64)
             first = counts[left == begin]

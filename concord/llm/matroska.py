@@ -4,13 +4,16 @@
 and cues into packet tables with timestamps, tracks and byte ranges. ``mux_pcm``
 writes 8-bit samples losslessly, so any byte string can be carried as audio.
 
-Null media: no packets and null fields. Bytes that are no Matroska file raise
-``ValueError`` in :func:`demux` and give an ``error`` text in the columns.
+Null media: no packets and null fields. Bytes that are no Matroska file, or a damaged one,
+raise ``ValueError`` in :func:`demux`, nothing else, and give an ``error`` text in the
+columns. Very long texts are stored and read whole; repeated rows are stored again; an empty
+table gives empty results; other columns, whatever their names, are left out first.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -152,9 +155,12 @@ def _read_size(data: bytes, at: int) -> tuple[int | None, int]:
     return (None if value == (1 << (7 * width)) - 1 else value), at + width
 
 
-def elements(data: bytes, at: int, end: int, stop: set[int] = frozenset()) -> Iterator[tuple[int, int, int, int]]:
+def elements(data: bytes, at: int, end: int, stop: set[int] = frozenset(), depth: int = 0) -> Iterator[tuple[int, int, int, int]]:
     """(identifier, start, first byte of the body, end) of the elements from ``at``;
-    one of unknown size reaches to the next element in ``stop`` or to ``end``."""
+    one of unknown size reaches to the next element in ``stop`` or to ``end``. Elements of
+    unknown size nest no deeper than a segment and its clusters."""
+    if depth > 3:
+        raise ValueError(f"elements of unknown size nest too deep at byte {at}")
     while at < end:
         identifier, after = _read_id(data, at)
         if identifier in stop:
@@ -163,7 +169,7 @@ def elements(data: bytes, at: int, end: int, stop: set[int] = frozenset()) -> It
         if size is None:
             last = body
             inner = TOP_LEVEL if identifier == CLUSTER else set()
-            for _, _, _, last in elements(data, body, end, inner):
+            for _, _, _, last in elements(data, body, end, inner, depth + 1):
                 pass
         else:
             last = body + size
@@ -174,21 +180,32 @@ def elements(data: bytes, at: int, end: int, stop: set[int] = frozenset()) -> It
 
 
 def _number(data: bytes, body: int, end: int) -> int:
+    if end - body > 8:
+        raise ValueError(f"the number at byte {body} is too long")
     return int.from_bytes(data[body:end], "big")
 
 
 def _float(data: bytes, body: int, end: int) -> float:
-    return struct.unpack(">d" if end - body == 8 else ">f", data[body:end])[0] if end > body else 0.0
+    if end - body not in (0, 4, 8):
+        raise ValueError(f"the number at byte {body} has no usual length")
+    value = struct.unpack(">d" if end - body == 8 else ">f", data[body:end])[0] if end > body else 0.0
+    if not math.isfinite(value):
+        raise ValueError(f"the number at byte {body} is not finite")
+    return value
 
 
 def frames_of(data: bytes, at: int, end: int) -> tuple[int, int, int, list[tuple[int, int]]]:
     """Track, relative timestamp, flags and byte ranges (offset, size) of a block's frames."""
     track, at = _read_size(data, at)
+    if track is None or track >= 1 << 31 or at + 3 > end:
+        raise ValueError(f"the block at byte {at} is cut short or names no track")
     relative, flags = struct.unpack_from(">hB", data, at)
     at += 3
     kind = flags >> 1 & 3
     if kind == 0:
         return track, relative, flags, [(at, end - at)]
+    if at >= end:
+        raise ValueError(f"the lacing at byte {at} is cut short")
     count, at = data[at] + 1, at + 1
     if kind == 2:
         size, rest = divmod(end - at, count)
@@ -197,10 +214,14 @@ def frames_of(data: bytes, at: int, end: int) -> tuple[int, int, int, list[tuple
         return track, relative, flags, [(at + i * size, size) for i in range(count)]
     sizes: list[int] = []
     for i in range(count - 1):
+        if at >= end:
+            raise ValueError(f"the lacing at byte {at} is cut short")
         if kind == 1:
             size = 0
             while data[at] == 255:
                 size, at = size + 255, at + 1
+                if at >= end:
+                    raise ValueError(f"the lacing at byte {at} is cut short")
             size, at = size + data[at], at + 1
         else:
             width = 9 - data[at].bit_length()
@@ -282,7 +303,7 @@ def demux(data: bytes) -> Media:
             elif i == CUES:
                 for j, _, c, d in elements(data, b, e):
                     cue = {k: (x, y) for k, _, x, y in elements(data, c, d)}
-                    if j == CUE_POINT and CUE_TRACK_POSITIONS in cue:
+                    if j == CUE_POINT and CUE_TRACK_POSITIONS in cue and CUE_TIME in cue:
                         where = {k: _number(data, x, y) for k, _, x, y in elements(data, *cue[CUE_TRACK_POSITIONS])}
                         out.cues.append((_number(data, *cue[CUE_TIME]) * out.timestamp_scale, where.get(CUE_TRACK, 0), base + where.get(CUE_CLUSTER_POSITION, 0)))
             elif i == TAGS:
@@ -294,6 +315,9 @@ def demux(data: bytes) -> Media:
     if not seen:
         raise ValueError("no segment")
     out.duration_ns = None if raw_duration is None else round(raw_duration * out.timestamp_scale)
+    times = [abs(v) for p in out.packets for v in (p[1], p[2] or 0)] + [v for c in out.cues for v in c] + [abs(out.duration_ns or 0)]
+    if max(times) >= 1 << 63:
+        raise ValueError("a time is out of range")
     return out
 
 
@@ -368,12 +392,16 @@ def media_features(stored: DataFrame, id_col: str = "id", media_col: str = "medi
             if data is not None:
                 try:
                     media = demux(data)
-                    payload = payload_of(data, media)
+                    if not media.tracks or not media.packets:
+                        raise ValueError("no track, or no packets")
                     track = media.tracks[0]
+                    payload = payload_of(data, media, track["number"])
+                    if not payload or track["rate"] is None:
+                        raise ValueError("the first track holds no samples")
                     cued = {at for _, _, at in media.cues} == set(media.clusters)
                     row |= {"n_bytes": int(media.tags.get("SOURCE_BYTES", len(payload))), "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-16:]), "media_bytes": len(data), "media_sha256": hashlib.sha256(data).hexdigest(), "n_packets": len(media.packets), "n_clusters": len(media.clusters), "n_cues": len(media.cues), "duration_ns": media.duration_ns}
-                    row["feature"] = f"{media.doc_type};{track['codec']};rate={track['rate']:.0f};bits={track['bits']};packets={len(media.packets)};clusters={len(media.clusters)};cued={str(cued).lower()};last_ns={media.packets[-1][1]};mean={sum(payload) / len(payload):.6f}"
-                except (ValueError, IndexError, struct.error) as e:
+                    row["feature"] = f"{media.doc_type};{track['codec']};rate={track['rate']:.0f};bits={track['bits'] or 0};packets={len(media.packets)};clusters={len(media.clusters)};cued={str(cued).lower()};last_ns={media.packets[-1][1]};mean={sum(payload) / len(payload):.6f}"
+                except ValueError as e:
                     row["error"] = str(e)
             for name, values_ in out.items():
                 values_.append(row[name])

@@ -10,7 +10,8 @@ lists the files of tasks that succeeded, so what a lost or repeated attempt leav
 is never read. Files go to the shared folder through ``pyarrow.fs``.
 
 Null texts are empty: only the end id. Rows are written in ascending id, null ids first,
-and rows of one id by their text. An empty table writes no file and an empty index.
+and rows of one id by their text. An empty table writes no file and an empty index. Very long
+texts are one record each; other columns, whatever their names, are left out first.
 """
 
 from __future__ import annotations

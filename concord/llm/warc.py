@@ -9,7 +9,8 @@ SHA-1 in the header as it is read.
 Rows with a null payload have the empty one. A null id is written as ``null`` and stays
 null. Of rows with equal payloads of at least ``min_bytes`` the one with the largest id is
 the response and the others revisit it; rows that repeat its id are responses too. An
-empty table gives an empty archive.
+empty table gives an empty archive. Very long payloads are kept whole; other columns, whatever
+their names, are left out first.
 """
 
 from __future__ import annotations

@@ -162,3 +162,36 @@ def test_damaged_archive(spark):
     broken = warc.Archive(archive.records, archive.payloads.selectExpr("address", "unhex('28b52ffd2003190000616264') packed"))
     with pytest.raises(Exception, match="does not match|decompress|zstd"):
         warc.read_digests(broken).collect()
+
+
+def test_damaged_media(spark):
+    """Whatever the bytes, demux reads them or raises ValueError, and no job fails."""
+    rnd = random.Random(4)
+    whole = matroska.mux_pcm(bytes(rnd.randrange(256) for _ in range(192 * 30)), {"SOURCE_BYTES": "17"})
+    values = [b"", b"\x1a", whole[:40], whole + whole, b"\x1a\x45\xdf\xa3\xff" * 3000, whole.replace(b"\xd7\x81\x01", b"\xd7\x81\x02")]
+    for _ in range(700):
+        data = bytearray(whole)
+        for _ in range(rnd.randint(1, 12)):
+            kind, at = rnd.randrange(3), rnd.randrange(min(len(data), 300)) if rnd.random() < 0.7 else rnd.randrange(len(data))
+            if kind == 0:
+                data[at] = rnd.choice([0, 1, 0x7F, 0x80, 0xFE, 0xFF, rnd.randrange(256)])
+            elif kind == 1:
+                del data[at : at + rnd.randint(1, 9)]
+            else:
+                data[at:at] = bytes(rnd.randrange(256) for _ in range(rnd.randint(1, 9)))
+        values.append(bytes(data))
+    for data in values:
+        try:
+            matroska.demux(data)
+        except ValueError:
+            pass
+    frame = spark.createDataFrame([(n, bytearray(d), 1) for n, d in enumerate(values)], "id bigint, media binary, packet int")
+    assert matroska.packet_table(frame, "id", "media").count() > 0
+    assert matroska.media_features(frame).count() == len(values)
+
+
+def test_media_edges(spark):
+    docs = spark.createDataFrame([(1, None, "x"), (1, "", "x"), (2, "é" * 300_000, "y"), (2, "é" * 300_000, "y")], "doc_id bigint, text string, media string")
+    got = matroska.media_features(matroska.store_texts(docs)).collect()
+    assert sorted(r.n_bytes for r in got) == [0, 0, 600_000, 600_000] and len({r.media_sha256 for r in got}) == 2
+    assert matroska.media_features(matroska.store_texts(docs.limit(0))).count() == 0
