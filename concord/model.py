@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -83,24 +85,42 @@ class TableList:
         return f"TableList: {len(self.tables)} tables\n" + "\n".join(f"  {n}" for n in self.tables)
 
 
-@dataclass(frozen=True)
+@dataclass(eq=False)
 class FitResult:
     """Frames of a fit. ``y``: id, comp1..; ``cors`` and ``p_values``: table, var_pos,
     variable, comp, r or p; ``scores``: table, id, comp1..; ``ave_x``: table, comp, ave;
-    ``ave_outer``: comp, ave; ``ave_inner``: comp, eigenvalue."""
+    ``ave_outer``: comp, ave; ``ave_inner``: comp, eigenvalue. Correlations and what follows
+    from them are made by ``details`` when first asked for."""
 
     y: DataFrame
-    cors: DataFrame
-    p_values: DataFrame | None
     scores: DataFrame | None
-    ave_x: DataFrame
-    ave_outer: DataFrame
     ave_inner: DataFrame
     eigenvalues: tuple[float, ...]
     tables: tuple[str, ...]
     n_ids: int
+    details: Callable[[], dict]
     cached: DataFrame | None = None
 
+    @cached_property
+    def _details(self) -> dict:
+        return self.details()
+
+    @property
+    def cors(self) -> DataFrame:
+        return self._details["cors"]
+
+    @property
+    def p_values(self) -> DataFrame | None:
+        return self._details["p_values"]
+
+    @property
+    def ave_x(self) -> DataFrame:
+        return self._details["ave_x"]
+
+    @property
+    def ave_outer(self) -> DataFrame:
+        return self._details["ave_outer"]
+
     NAMES = ("y", "cors", "p_values", "scores", "ave_x", "ave_outer", "ave_inner")
 
     def save(self, path: str) -> list[str]:

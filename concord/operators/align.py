@@ -46,9 +46,10 @@ def align_one(table: Block, universe: DataFrame) -> DataFrame:
     return joined.select("id", *(F.coalesce(F.col(f"`{v}`"), F.lit(0.0)).alias(v) for v in table.variables), F.coalesce("present", F.lit(0)).alias("present"))
 
 
-def aligned(tables: dict[str, Block], packed: bool) -> DataFrame:
+def aligned(tables: dict[str, Block], packed: bool, keep_missing: bool = False) -> DataFrame:
     """All tables by individual: id, n0, n1, ... (rows of the table, 0 if absent), ksum, and
     the values with zeros where absent: one array ``x`` over all tables' variables.
+    ``keep_missing``: a missing value of a row that is there stays null.
 
     The tables are stacked and grouped once, instead of being joined one after the other, so
     there is one shuffle however many tables there are. With few variables in all each is a
@@ -69,6 +70,21 @@ def aligned(tables: dict[str, Block], packed: bool) -> DataFrame:
             own = {start + k: F.col(f"v{k}") for k in range(widths[n])}
             parts.append(frame.select("id", F.lit(n).alias("t"), *(own.get(j, F.lit(None).cast("double")).alias(f"c{j}") for j in range(sum(widths)))))
         out = reduce(DataFrame.unionByName, parts).groupBy("id").agg(*counts, *(F.max(f"c{j}").alias(f"c{j}") for j in range(sum(widths))))
-        x = F.array(*(F.coalesce(f"c{j}", F.lit(0.0)) for j in range(sum(widths))))
+        of = [n for n, w in enumerate(widths) for _ in range(w)]
+        x = F.array(*(F.when(F.col(f"n{of[j]}") == 0, 0.0).otherwise(F.col(f"c{j}")) if keep_missing else F.coalesce(f"c{j}", F.lit(0.0)) for j in range(sum(widths))))
     ksum = reduce(lambda a, b: a + b, [F.least(F.col(f"n{n}"), F.lit(1)) for n in range(len(blocks))])
     return out.select("id", *(F.col(f"n{n}").cast("int") for n in range(len(blocks))), ksum.cast("int").alias("ksum"), x.alias("x"))
+
+
+def paired_cors(a: Block, b: Block) -> DataFrame:
+    """(variable_a, variable_b, r): correlations of all variables of two tables over the
+    individuals that both have, paired by id whatever the order of rows; null where one is constant."""
+    left, right = a.doubles(), b.doubles()
+    both = left.join(right.select("id", *(F.col(f"v{j}").alias(f"w{j}") for j in range(len(b.variables)))), "id")
+    cells = []
+    for i, va in enumerate(a.variables):
+        for j, vb in enumerate(b.variables):
+            x, y = F.col(f"v{i}"), F.col(f"w{j}")
+            r = F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
+            cells.append(F.struct(F.lit(va).alias("variable_a"), F.lit(vb).alias("variable_b"), r.alias("r")))
+    return both.agg(F.array(*cells).alias("cells")).select(F.explode("cells").alias("e")).select("e.*")

@@ -112,41 +112,133 @@ def all_column_stats(tables: dict[str, Block]) -> dict[str, dict]:
     return out
 
 
+def aligned_stats(rows: DataFrame, widths: list[int], sql: bool) -> tuple[int, list[int], list[int], list[dict]]:
+    """From aligned rows whose missing values are null, in one job: individuals, the most rows
+    of an id in each table, individuals of each table, and each table's statistics."""
+    count, p = len(widths), sum(widths)
+    of = np.repeat(np.arange(count), widths)
+    if sql:
+        x = [F.when(F.col(f"n{of[j]}") > 0, F.col("x")[j]) for j in range(p)]
+        bad = [F.count_if((F.col(f"n{of[j]}") > 0) & (F.col("x")[j].isNull() | F.isnan(F.col("x")[j]))) for j in range(p)]
+        head = [F.count(F.lit(1)), *(F.max(f"n{k}") for k in range(count)), *(F.count_if(F.col(f"n{k}") > 0) for k in range(count))]
+        parts = [np.array([np.nan if v is None else v for v in rows.agg(*head, *bad, *(F.avg(c) for c in x), *(F.var_pop(c) * F.count(c) for c in x)).first()], dtype=float)]
+    else:
+
+        def sums(batches):
+            m, most, n, bad, mean, m2 = 0, np.zeros(count), np.zeros(count), np.zeros(p), np.zeros(p), np.zeros(p)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                values = stack(batch, "x", p).astype(float)
+                flags = np.stack([batch.column(f"n{k}").to_numpy() for k in range(count)])
+                m, most = m + len(values), np.maximum(most, flags.max(axis=1))
+                for k in range(count):
+                    here, own = of == k, values[flags[k] > 0][:, of == k]
+                    if len(own):
+                        bad[here] += np.isnan(own).sum(axis=0)
+                        center = own.mean(axis=0)
+                        n[k], mean[here], m2[here] = _joined(n[k], mean[here], m2[here], len(own), center, ((own - center) ** 2).sum(axis=0))
+            if m:
+                yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([[m], most, n, bad, mean, m2]).tolist()], pa.list_(pa.float64()))], names=["v"])
+
+        parts = [np.array(r["v"]) for r in rows.select("x", *(f"n{k}" for k in range(count))).mapInArrow(sums, "v array<double>").collect()]  # a row of 3p numbers for each task
+    m, most, present = 0, np.zeros(count), np.zeros(count)
+    bad, mean, m2 = np.zeros(p), np.zeros(p), np.zeros(p)
+    for v in parts:
+        own = v[1 + count : 1 + 2 * count]
+        b, c, d = np.split(v[1 + 2 * count :], 3)
+        m, most, bad = m + int(v[0]), np.maximum(most, np.nan_to_num(v[1 : 1 + count])), bad + b
+        for k in range(count):
+            here = of == k
+            if own[k]:
+                present[k], mean[here], m2[here] = _joined(present[k], mean[here], m2[here], own[k], c[here], d[here])
+    stats = []
+    for k in range(count):
+        here, n = of == k, int(present[k])
+        stats.append({"n": n, "mean": mean[here], "sd": np.sqrt(m2[here] / (n - 1)) if n > 1 else np.full(widths[k], np.nan), "bad": bad[here].astype(int)})
+    return m, [int(v) for v in most], [int(v) for v in present], stats
+
+
 def column_stats(table: Block) -> dict:
     return all_column_stats({"": table})[""]
 
 
-def gram(frame: DataFrame, width: int, x_col: str = "x", weight: str | None = None) -> np.ndarray:
-    """sum over rows of weight * x x'. Small ones are SQL sums over the upper triangle;
-    others are products of Arrow batches, added up in a tree."""
+def grams(frame: DataFrame, width: int, x_col: str = "x", weights: tuple[str | None, ...] = (None,)) -> list[np.ndarray]:
+    """For each weight the sum over rows of weight * x x', all in one pass. Small ones are SQL
+    sums over the upper triangle; others are products of Arrow batches, added up in a tree."""
+    columns = [(F.lit(1.0) if w is None else F.expr(w)).cast("double").alias(f"w{n}") for n, w in enumerate(weights)]
     if width <= SQL_LIMIT:
-        w = F.lit(1.0) if weight is None else F.expr(weight)
         pairs = [(a, b) for a in range(width) for b in range(a, width)]
-        cells = frame.select(w.alias("w"), *(F.col(x_col)[k].alias(f"x{k}") for k in range(width)))
-        row = cells.agg(*(F.sum(F.col("w") * F.col(f"x{a}") * F.col(f"x{b}")) for a, b in pairs)).first()
-        out = np.zeros((width, width))
-        for (a, b), v in zip(pairs, row):
-            out[a, b] = out[b, a] = v or 0.0
-        return out
-    columns = [F.col(x_col).alias("x"), (F.lit(1.0) if weight is None else F.expr(weight)).cast("double").alias("w")]
-
-    def product(batches):
-        total = np.zeros((width, width))
+        cells = frame.select(*columns, *(F.col(x_col)[k].alias(f"x{k}") for k in range(width)))
+        product = lambda n, a, b: F.col(f"x{a}") * F.col(f"x{b}") if weights[n] is None else F.col(f"w{n}") * F.col(f"x{a}") * F.col(f"x{b}")
+        row = cells.agg(*(F.sum(product(n, a, b)) for n in range(len(weights)) for a, b in pairs)).first()
+        out = np.zeros((len(weights), width, width))
+        for (n, a, b), v in zip(((n, a, b) for n in range(len(weights)) for a, b in pairs), row):
+            out[n, a, b] = out[n, b, a] = v or 0.0
+        return list(out)
+
+    def products(batches):
+        total = np.zeros((len(weights), width, width))
         for batch in batches:
             x = stack(batch, "x", width)
-            total += (x * batch.column("w").to_numpy()[:, None]).T @ x
+            for n, w in enumerate(weights):
+                total[n] += x.T @ x if w is None else (x * batch.column(f"w{n}").to_numpy()[:, None]).T @ x
         return total
 
-    total = tree_sum(frame.select(*columns).mapInArrow(partial(product, width), ROW))
-    return np.zeros((width, width)) if total is None else total.reshape(width, width)
+    total = tree_sum(frame.select(F.col(x_col).alias("x"), *columns).mapInArrow(partial(products, width), ROW))
+    return list(np.zeros((len(weights), width, width)) if total is None else total.reshape(len(weights), width, width))
+
+
+def gram(frame: DataFrame, width: int, x_col: str = "x", weight: str | None = None) -> np.ndarray:
+    """sum over rows of weight * x x'."""
+    return grams(frame, width, x_col, (weight,))[0]
+
+
+def diagonal_scaled(frame: DataFrame, columns: list[str], left: str | None = None, right: list[float] | None = None) -> DataFrame:
+    """Rows times the column ``left`` and columns times the numbers ``right``: products with
+    diagonal matrices, which are never formed."""
+    out = []
+    for n, c in enumerate(columns):
+        value = F.col(f"`{c}`").cast("double")
+        value = value if left is None else value * F.col(f"`{left}`")
+        out.append((value if right is None else value * F.lit(float(right[n]))).alias(c))
+    return frame.select(*(F.col(f"`{c}`") for c in frame.columns if c not in columns), *out)
+
+
+def scattered(cells: DataFrame, key: str, width: int, fill: float | None, x_col: str = "x") -> DataFrame:
+    """(key, x) of (key, pos, value): each key's values in an array of ``width``, ``fill``
+    elsewhere. Values go to their places in Arrow batches, in time linear in the cells."""
+    kind = dict(cells.dtypes)[key]
+    grouped = cells.groupBy(key).agg(F.collect_list(F.struct("pos", F.col("value").cast("double").alias("value"))).alias("cells"))
+    base = np.nan if fill is None else fill
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("cells")
+            flat = lists.flatten()
+            owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            pos, value = flat.field("pos").to_numpy(zero_copy_only=False), flat.field("value").to_numpy(zero_copy_only=False)
+            for at in range(0, batch.num_rows, step):
+                rows = min(step, batch.num_rows - at)
+                out, mine = np.full((rows, width), base), (owner >= at) & (owner < at + rows)
+                out[owner[mine] - at, pos[mine]] = value[mine]
+                items = pa.array(out.ravel(), pa.float64(), from_pandas=fill is None)  # NaN stands for null
+                arrays = pa.ListArray.from_arrays(np.arange(rows + 1, dtype=np.int32) * width, items)
+                yield pa.RecordBatch.from_arrays([batch.column(key).slice(at, rows), arrays], names=[key, x_col])
+
+    step = max(1, (4 << 20) // max(1, width))
+    return grouped.mapInArrow(run, f"`{key}` {kind}, {x_col} array<double>")
+
+
+def placed(values: DataFrame, column: str, names: list[str]) -> DataFrame:
+    """``values`` with ``pos``, the place of their ``column`` in ``names``; others are left out.
+    The table of places is sent along only where it is short."""
+    places = values.sparkSession.createDataFrame(list(enumerate(names)), f"pos int, `{column}` string")
+    return values.join(F.broadcast(places) if len(names) <= 50_000 else places, column)
 
 
 def kernel(values: DataFrame, samples: list[str]) -> np.ndarray:
     """X X' of an assay in long form (feature, sample, value) over the given samples: each
     feature becomes one row of values, rows are multiplied in batches. Missing cells are 0."""
-    m = len(samples)
-    place = values.sparkSession.createDataFrame(list(enumerate(samples)), "pos int, sample string")
-    cells = values.join(F.broadcast(place), "sample")  # one row for each of at most a few thousand samples
-    rows = cells.groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct("pos", F.col("value").cast("double").alias("v")))).alias("cells"))
-    rows = rows.select(F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda k: F.coalesce(F.try_element_at("cells", k), F.lit(0.0))).alias("x"))
-    return gram(rows, m)
+    cells = placed(values.where(F.col("value").isNotNull()), "sample", samples)
+    return gram(scattered(cells, "feature", len(samples), 0.0), len(samples))

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from concord.functions.columns import clean_id, to_number, zero_to_null
 from concord.model import Assay, AssaySet, Block, TableList
+from concord.operators.moments import placed, scattered
+from concord.sources.paths import materialize
 
 
 def null_check(frame: DataFrame, columns: list[str]) -> DataFrame:
@@ -50,8 +52,8 @@ def clean_ids(table: Block, length: int = 12) -> Block:
 def head_variables(table: Block, k: int) -> Block:
     """The first k variables."""
     if table.layout == "packed":
-        return replace(table, frame=table.frame.select("id", F.slice("x", 1, k).alias("x")), variables=table.variables[:k])
-    return replace(table, frame=table.frame.select(table.id_col, *table.variables[:k]), variables=table.variables[:k])
+        return replace(table, frame=table.frame.select(table.id_col, F.slice("x", 1, k).alias("x")), variables=table.variables[:k])
+    return replace(table, frame=table.frame.select(table.id_col, *(F.col(f"`{v}`") for v in table.variables[:k])), variables=table.variables[:k])
 
 
 def drop_sparse_samples(values: DataFrame, colmax: float = 0.8) -> DataFrame:
@@ -82,16 +84,26 @@ def _query(wanted: DataFrame) -> DataFrame:
     return wanted.select(F.col("chrom").alias("q_chrom"), F.col("start").alias("q_start"), F.col("end").alias("q_end")).distinct()
 
 
+#: Up to this many ranges go to every task; more are joined by bins of coordinates.
+FEW_RANGES = 10_000
+
+
 def point_filter(features: DataFrame, wanted: DataFrame, col_name: str = "coord", match_chrom: bool = True) -> DataFrame:
     """Features whose coordinate lies in a range, ends included. The chromosome must match
-    where features have one and ``match_chrom`` holds: an equality that the join can use."""
+    where features have one and ``match_chrom`` holds: an equality that the join can use.
+    Without it few ranges are sent along, and many meet the features in bins of coordinates."""
     if col_name not in features.columns:
         raise ValueError(f"features have no column {col_name}")
     q, at = _query(wanted), F.col(col_name).try_cast("double")
     on = (at >= F.col("q_start")) & (at <= F.col("q_end"))
     if match_chrom and "chrom" in features.columns:
-        on = (F.col("chrom") == F.col("q_chrom")) & on
-    return features.join(q, on, "left_semi")
+        return features.join(q, (F.col("chrom") == F.col("q_chrom")) & on, "left_semi")
+    spans = q.select("q_start", "q_end").distinct()
+    if spans.limit(FEW_RANGES + 1).count() <= FEW_RANGES:
+        return features.join(F.broadcast(spans), on, "left_semi")
+    width = spans.agg(F.max(F.col("q_end") - F.col("q_start"))).first()[0] + 1  # a range meets two bins at most
+    bins = spans.select("q_start", "q_end", F.explode(F.sequence(F.floor(F.col("q_start") / width), F.floor(F.col("q_end") / width))).alias("q_bin"))
+    return features.join(bins, (F.floor(at / width) == F.col("q_bin")) & on, "left_semi")
 
 
 def within_filter(features: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -135,10 +147,8 @@ def transpose(values: DataFrame, features: list[str]) -> DataFrame:
 
 def transpose_packed(values: DataFrame, features: list[str]) -> DataFrame:
     """(id, x): samples in rows, one array in the order of ``features``; null where absent."""
-    cells = F.map_from_entries(F.collect_list(F.struct(F.col("feature"), F.col("value").cast("double"))))
-    grouped = values.where(F.col("value").isNotNull()).groupBy(F.col("sample").alias("id")).agg(cells.alias("cells"))
-    names = F.array(*(F.lit(f) for f in features))
-    return grouped.select("id", F.transform(names, lambda f: F.try_element_at("cells", f)).alias("x"))
+    cells = placed(values.where(F.col("value").isNotNull()).select(F.col("feature").cast("string").alias("feature"), F.col("sample").alias("id"), "value"), "feature", features)
+    return scattered(cells, "id", len(features), None)
 
 
 def tables_of(assays: AssaySet, wide: int = 100) -> TableList:
@@ -155,34 +165,32 @@ def tables_of(assays: AssaySet, wide: int = 100) -> TableList:
 # ---------------------------------------------------------------- imputation
 
 
-def knn_impute(values: DataFrame, k: int = 10, rowmax: float = 0.5, colmax: float = 0.8, max_block_bytes: int = 64 << 20) -> DataFrame:
+def knn_impute(values: DataFrame, k: int = 10, rowmax: float = 0.5, colmax: float = 0.8, max_block_bytes: int = 8 << 20, block_rows: int = 4096) -> DataFrame:
     """(feature, sample, value) with missing values filled. Neighbours of a feature are the
     nearest features by the mean squared difference over the samples both have; a missing
     value is the mean of the k nearest that have it, ties by name. A feature with more than
     ``rowmax`` missing gets the mean of each sample, and so does a value without neighbour.
     A sample with more than ``colmax`` missing is an error.
 
-    Features meet in blocks: each block of reference features, at most ``max_block_bytes``,
-    is sent to all workers in turn, and the nearest of all blocks are merged."""
+    Features are dealt into blocks of at most ``block_rows`` features and about
+    ``max_block_bytes``; each pair of blocks meets in a task of its own, which keeps the k
+    nearest, and those of all blocks are merged. Only the samples' names and means reach the driver."""
     samples = [(r["sample"], r["missing"], r["mean"]) for r in values.groupBy("sample").agg(F.avg(F.col("value").isNull().cast("int")).alias("missing"), F.avg("value").alias("mean")).orderBy("sample").collect()]
     names = [s for s, _, _ in samples]
     if sparse := [s for s, missing, _ in samples if missing > colmax]:
         raise ValueError(f"samples {', '.join(map(str, sparse))} miss more than {colmax} of their values")
-    rows = transpose_packed(values.select(F.col("feature").alias("sample"), F.col("sample").alias("feature"), "value"), names)
-    lone = values.select(F.col("feature").alias("id")).distinct().join(rows.select("id"), "id", "left_anti").select("id", F.array_repeat(F.lit(None).cast("double"), len(names)).alias("x"))
-    rows = rows.unionByName(lone)
+    cells = placed(values.select(F.col("feature").alias("id"), F.col("sample").cast("string").alias("sample"), "value"), "sample", [str(n) for n in names])
+    rows = materialize(scattered(cells, "id", len(names), None), "knn-features")
     count = rows.count()
     if count < 2:
         raise ValueError("imputation needs two features")
-    blocks = max(1, -(-count * len(names) * 8 // max_block_bytes))
+    blocks = max(1, -(-count // max(1, min(block_rows, max_block_bytes // (8 * len(names))))))
     missing = F.size(F.filter("x", lambda v: v.isNull()))
-    gaps = rows.where((missing > 0) & (missing <= rowmax * len(names)))
-    found = None
-    for b in range(blocks):
-        block = rows.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).orderBy("id").collect() if blocks > 1 else rows.orderBy("id").collect()
-        shared = values.sparkSession.sparkContext.broadcast(([r["id"] for r in block], np.array([[np.nan if v is None else v for v in r["x"]] for r in block], dtype=float).reshape(len(block), len(names))))
-        part = gaps.mapInArrow(lambda batches, shared=shared: _nearest(batches, shared.value, k), "id string, pos int, distance double, neighbour string, value double")
-        found = part if found is None else found.unionByName(part)
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks).cast("bigint")))
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
+    gaps = dealt.where((missing > 0) & (missing <= rowmax * len(names))).withColumn("other", every).groupBy("block", "other")
+    reference = dealt.select(F.col("id").alias("rid"), F.col("x").alias("rx"), F.col("block").alias("right")).withColumn("left", every).groupBy("left", "right")
+    found = gaps.cogroup(reference).applyInArrow(lambda own, other: _nearest(own, other, k, len(names)), "id string, pos int, distance double, neighbour string, value double")
     if blocks > 1:
         rank = F.row_number().over(Window.partitionBy("id", "pos").orderBy("distance", "neighbour"))
         found = found.withColumn("rank", rank).where(F.col("rank") <= k)
@@ -193,38 +201,44 @@ def knn_impute(values: DataFrame, k: int = 10, rowmax: float = 0.5, colmax: floa
     return filled.select(F.col("id").alias("feature"), F.element_at(F.array(*(F.lit(s) for s in names)), F.col("pos") + 1).alias("sample"), F.coalesce("value", "filled", F.element_at(average, F.col("pos") + 1)).alias("value"))
 
 
-def _nearest(batches, block, k: int):
-    ids, reference = block
+def _matrix(arrays: pa.ChunkedArray, width: int) -> np.ndarray:
+    """Arrays as rows, nulls as NaN."""
+    flat = [c.flatten().to_numpy(zero_copy_only=False) for c in arrays.chunks]
+    return np.concatenate([*flat, np.zeros(0)]).reshape(-1, width)
+
+
+def _nearest(own: pa.Table, other: pa.Table, k: int, width: int) -> pa.Table:
+    """The k nearest of ``other`` that have it, for each missing value of ``own``."""
+    kinds = (pa.string(), pa.int32(), pa.float64(), pa.string(), pa.float64())
+    if not own.num_rows or not other.num_rows:
+        return pa.Table.from_arrays([pa.array([], t) for t in kinds], names=["id", "pos", "distance", "neighbour", "value"])
+    ids = other.column("rid").to_pylist()
+    order = sorted(range(len(ids)), key=ids.__getitem__)
+    ids = [ids[n] for n in order]
+    place = {name: n for n, name in enumerate(ids)}
+    reference = _matrix(other.column("rx"), width)[order]
     known = ~np.isnan(reference)
-    filled = np.where(known, reference, 0.0)
-    for batch in batches:
-        out = []
-        own = np.array([[np.nan if v is None else v for v in x] for x in batch.column("x").to_pylist()], dtype=float).reshape(batch.num_rows, -1)
-        mask = ~np.isnan(own)
-        zero = np.where(mask, own, 0.0)
-        for at in range(0, len(own), 256):
-            m, z = mask[at : at + 256].astype(float), zero[at : at + 256]
-            both = m @ known.T.astype(float)
-            total = (z * z) @ known.T - 2 * z @ filled.T + m @ (filled * filled).T
-            with np.errstate(divide="ignore", invalid="ignore"):
-                distance = np.where(both > 0, np.maximum(total, 0) / both, np.inf)
-            for n, name in enumerate(batch.column("id").to_pylist()[at : at + 256]):
-                d = distance[n].copy()
-                d[[j for j in [_place(ids, name)] if j is not None]] = np.inf
-                order = np.argsort(d, kind="stable")
-                order = order[np.isfinite(d[order])]
-                for pos in np.flatnonzero(m[n] == 0):
-                    near = order[known[order, pos]][:k]
-                    out += [(name, int(pos), float(d[j]), ids[j], float(reference[j, pos])) for j in near]
-        kinds = (pa.string(), pa.int32(), pa.float64(), pa.string(), pa.float64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 5, kinds)], names=["id", "pos", "distance", "neighbour", "value"])
-
-
-def _place(ids: list, name) -> int | None:
-    from bisect import bisect_left
-
-    n = bisect_left(ids, name)
-    return n if n < len(ids) and ids[n] == name else None
+    filled, there = np.where(known, reference, 0.0), known.astype(float)
+    values = _matrix(own.column("x"), width)
+    names, out = own.column("id").to_pylist(), []
+    for at in range(0, len(values), 256):
+        mask = ~np.isnan(values[at : at + 256])
+        m, z = mask.astype(float), np.where(mask, values[at : at + 256], 0.0)
+        both = m @ there.T
+        total = (z * z) @ there.T - 2 * z @ filled.T + m @ (filled * filled).T
+        with np.errstate(divide="ignore", invalid="ignore"):
+            distance = np.where(both > 0, np.maximum(total, 0) / both, np.inf)
+        for n, name in enumerate(names[at : at + 256]):
+            d = distance[n]
+            if name in place:
+                d[place[name]] = np.inf
+            for pos in np.flatnonzero(~mask[n]).tolist():
+                near = np.flatnonzero(known[:, pos] & np.isfinite(d))
+                if len(near) > k:  # all up to the k-th smallest distance, ties too, then those in order of name
+                    near = near[d[near] <= np.partition(d[near], k - 1)[k - 1]]
+                near = near[np.argsort(d[near], kind="stable")][:k]
+                out += [(name, pos, float(d[j]), ids[j], float(reference[j, pos])) for j in near.tolist()]
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 5, kinds)], names=["id", "pos", "distance", "neighbour", "value"])
 
 
 def impute(assays: AssaySet, method: str = "knn", remove_col: bool = False, impute_zero: bool = False, rowmax: float = 0.5, colmax: float = 0.8, k: int = 10) -> AssaySet:
@@ -252,5 +266,12 @@ def grid(first: list[float], second: list[float]) -> list[tuple[float, float]]:
     return [(a, b) for b in second for a in first]
 
 
+def grid_frame(spark, first: list[float], second: list[float]) -> DataFrame:
+    """(place, lambda1, lambda2): the same pairs as a table."""
+    a = spark.range(1).select(F.posexplode(F.array(*(F.lit(float(v)) for v in first))).alias("a", "lambda1"))
+    b = spark.range(1).select(F.posexplode(F.array(*(F.lit(float(v)) for v in second))).alias("b", "lambda2"))
+    return a.crossJoin(F.broadcast(b)).select((F.col("b") * len(first) + F.col("a")).cast("int").alias("place"), "lambda1", "lambda2")
+
+
 def stack_rows(pieces: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, pieces)

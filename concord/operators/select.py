@@ -97,21 +97,52 @@ def plot_individuals(x: FitResult, groups: DataFrame | None = None, axes: tuple[
     return own.join(named, "id", "left").select("id", "x", "y", "group", F.try_element_at(shades, F.col("group")).alias("color"))
 
 
-def plot_variables(x: FitResult, var: list[str] | None = None, axes: tuple[int, int] = (1, 2), tables: list[str] | None = None, var_col: str = "red", bg_var_col: str = "gray", min_r: float = 0.0) -> DataFrame:
-    """(table, variable, x, y, highlighted, color, labelled): correlations on two axes.
-    Variables that no table has are warned of; ``labelled`` from ``min_r`` on either axis on."""
+def plot_variables(
+    x: FitResult,
+    var: list[str] | None = None,
+    axes: tuple[int, int] = (1, 2),
+    tables: list[str] | None = None,
+    var_col: str | list[str] | dict[str, str] = "red",
+    bg_var_col: str = "gray",
+    min_r: float = 0.0,
+    nlab: int | None = None,
+    var_lab: bool = True,
+) -> DataFrame:
+    """(table, variable, x, y, highlighted, color, labelled, label, at_zero): correlations on
+    two axes. ``var_col``: one colour, one for each of ``var``, or one for each table by name.
+    ``labelled`` from ``min_r`` on either axis on, and of those only the ``nlab`` of each table
+    furthest from the origin if given; ``label`` is the variable's name, with ``rep`` behind
+    it where an earlier table has one of that name. Variables that no table has are warned of."""
     _fit(x)
     if len(axes) != 2:
         raise ValueError("two axes are needed")
+    var = list(var or [])
+    if isinstance(var_col, list) and len(var_col) != len(var):
+        raise ValueError(f"{len(var)} variables need as many colors, not {len(var_col)}")
+    if isinstance(var_col, dict) and (lacking := [t for t in (tables or x.tables) if t not in var_col]):
+        raise ValueError(f"there is no color for {', '.join(lacking)}")
     own = x.cors if tables is None else x.cors.where(F.col("table").isin(tables))
     if var:
         known = {r[0] for r in own.where(F.col("variable").isin(var)).select("variable").distinct().collect()}
         if unknown := [v for v in var if v not in known]:
             warnings.warn(f"no table has {', '.join(unknown)}", stacklevel=2)
     pick = [F.max(F.when(F.col("comp") == a, F.col("r"))).alias(n) for a, n in zip(axes, "xy")]
-    marked = F.col("variable").isin(var or [])
-    points = own.groupBy("table", "var_pos", "variable").agg(*pick)
-    return points.select("table", "variable", "x", "y", marked.alias("highlighted"), F.when(marked, var_col).otherwise(bg_var_col).alias("color"), (F.greatest(F.abs("x"), F.abs("y")) >= min_r).alias("labelled"))
+    marked = F.col("variable").isin(var)
+    shade = F.lit(var_col) if isinstance(var_col, str) else None
+    if shade is None and not var_col:
+        shade = F.lit(bg_var_col)
+    elif shade is None:
+        by, pairs = ("variable", zip(var, var_col)) if isinstance(var_col, list) else ("table", var_col.items())
+        shade = F.try_element_at(F.create_map(*(F.lit(v) for pair in pairs for v in pair)), F.col(by))
+    order = F.array_position(F.array(*(F.lit(t) for t in x.tables)), F.col("table"))
+    points = own.groupBy("table", "var_pos", "variable").agg(*pick).withColumn("far", F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y")))
+    points = points.withColumn("rank", F.row_number().over(Window.partitionBy("table").orderBy(F.desc("far"), "var_pos")))
+    points = points.withColumn("again", F.row_number().over(Window.partitionBy("variable").orderBy(order, "var_pos")) > 1)
+    labelled = F.greatest(F.abs("x"), F.abs("y")) >= min_r
+    labelled = labelled if nlab is None else labelled & (F.col("rank") <= nlab)
+    name = F.when(F.col("again"), F.concat("variable", F.lit("rep"))).otherwise(F.col("variable"))
+    zero = (F.col("x") == 0) & (F.col("y") == 0)
+    return points.select("table", "variable", "x", "y", marked.alias("highlighted"), F.when(marked, shade).otherwise(bg_var_col).alias("color"), labelled.alias("labelled"), F.when(labelled & F.lit(var_lab), name).alias("label"), zero.alias("at_zero"))
 
 
 def unit_circle(spark, points: int = 100) -> DataFrame:

@@ -1,8 +1,9 @@
 """Fits: shared components of several tables that describe overlapping individuals.
 
-Passes over the data: one aggregate for each table (means, deviations, nulls); one shuffle
-by id that stacks, groups and caches the aligned rows; one aggregate for the cross products;
-one for the sums that correlations need. Components and scores are lazy projections.
+One scan of the sources and one shuffle by id stack, group and cache the aligned rows. Over
+those: one aggregate for counts, means, deviations and nulls; one for all cross products;
+and, only if correlations of incomplete tables are asked for, one for the sums they need.
+Components and scores are lazy projections.
 Nothing of the size of individuals x individuals is formed and only matrices of the size of
 variables x variables reach the driver, from a tree of partial sums.
 """
@@ -22,11 +23,11 @@ from concord.functions.columns import component
 from concord.functions.stats import correlation_p, p_value
 from concord.model import WIDE, Block, FitResult, table_set
 from concord.operators.align import aligned
-from concord.operators.moments import all_column_stats, gram, kernel, stack
+from concord.operators.moments import SQL_LIMIT, aligned_stats, all_column_stats, grams, kernel, stack
 from concord.plans.solve import match_method, penalties, solve
 
 #: Up to this many variables a projection is a sum of columns; beyond, numpy in Arrow batches.
-PROJECT_LIMIT = 64
+PROJECT_LIMIT = 24
 #: The largest matrix that the driver decomposes.
 DRIVER_LIMIT = 4096
 
@@ -123,48 +124,80 @@ def fit(
         raise ValueError("nfac must be positive")
     if sum(widths) > DRIVER_LIMIT:
         raise ValueError(f"{sum(widths)} variables in all: more than {DRIVER_LIMIT}; use fit_dual on long assays")
-    stats = all_column_stats(blocks)
-    checked(blocks, stats, scale)
-    if missing == "forbid" and len({s["n"] for s in stats.values()}) > 1:
-        raise ValueError("the tables differ in their rows: complete cases are required; see missing='allow'")
+    total, count = sum(widths), len(names)
+    of = np.repeat(np.arange(count), widths)
+    packed = total > SQL_LIMIT or any(b.layout == "packed" for b in blocks.values())
     ready = {k: first_rows(b, order_col) for k, b in blocks.items()} if on_duplicate == "first" else blocks
-    if scale:
-        ready = {k: scaled(b, stats[k], center) for k, b in ready.items()}
-    rows = aligned(ready, packed=sum(widths) > WIDE).persist(StorageLevel.MEMORY_AND_DISK)
-    head = rows.agg(F.count(F.lit(1)), *(F.max(f"n{k}") for k in range(len(names))), *(F.sum(F.least(F.col(f"n{k}"), F.lit(1))) for k in range(len(names)))).first()
-    m, most, present = head[0], head[1 : 1 + len(names)], head[1 + len(names) :]
-    if max(most) > 1:
-        rows.unpersist()
-        raise ValueError(f"table {names[int(np.argmax(most))]} has several rows of one id")
-    if missing == "forbid" and min(present) < m:
-        rows.unpersist()
-        raise ValueError("the tables describe different individuals: complete cases are required; see missing='allow'")
-    own = gram(rows, sum(widths))
-    cross = own / len(names) if min(present) == m else gram(rows, sum(widths), weight="1D / ksum")
+    raw = aligned(ready, packed, keep_missing=True).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        m, most, present, stats = aligned_stats(raw, widths, sql=total <= SQL_LIMIT)
+        if on_duplicate == "first":  # scaled with the statistics of all rows
+            stats = list(all_column_stats(blocks).values())
+        if max(most) > 1:
+            raise ValueError(f"table {names[int(np.argmax(most))]} has several rows of one id")
+        checked(blocks, dict(zip(names, stats)), scale)
+        if missing == "forbid" and len(set(present)) > 1:
+            raise ValueError("the tables differ in their rows: complete cases are required; see missing='allow'")
+        if missing == "forbid" and min(present) < m:
+            raise ValueError("the tables describe different individuals: complete cases are required; see missing='allow'")
+        means = np.concatenate([s["mean"] for s in stats])
+        rows = _z(raw, of, means if center else np.zeros(total), np.concatenate([s["sd"] for s in stats])) if scale else raw
+        complete = min(present) == m
+        own, *more = grams(rows, total, weights=(None,) if complete else (None, "1D / ksum"))
+        cross = own / count if complete else more[0]
+        if scale and center and on_duplicate != "first":
+            sums = np.zeros(total)
+        elif on_duplicate == "first":
+            sums = np.array([r or 0.0 for r in rows.agg(*(F.sum(F.col("x")[j]) for j in range(total))).first()])
+        else:
+            sums = means * np.repeat(present, widths) / (np.concatenate([s["sd"] for s in stats]) if scale else 1)
+        result = solve(own, cross, sums, widths, names, values, nfac, m, unit=missing == "forbid")
+    except ValueError:
+        raw.unpersist()
+        raise
     starts = np.concatenate([[0], np.cumsum(widths)])
-    if on_duplicate == "first" or (scale and not center):
-        sums = np.array([r or 0.0 for r in rows.agg(*(F.sum(F.col("x")[j]) for j in range(sum(widths)))).first()])
-    elif scale:
-        sums = np.zeros(sum(widths))
-    else:
-        sums = np.concatenate([s["mean"] * s["n"] for s in stats.values()])
-    squares = np.diag(own)
-    result = solve(own, cross, sums, widths, names, values, nfac, m, unit=missing == "forbid")
     comps = [component(k + 1) for k in range(nfac)]
-    flags = [f"n{k}" for k in range(len(names))]
+    flags = [f"n{k}" for k in range(count)]
     y = project(rows, result.loadings, comps, ["id", *flags], "ksum")
-    cells = [f(F.when(F.col(flag) > 0, F.col(c) if not square else F.col(c) * F.col(c))) for flag in flags for c in comps for f, square in ((F.sum, False), (F.sum, True))]
-    totals = np.array(y.agg(*cells).first(), dtype=float).reshape(len(names), nfac, 2)
-    products = cross @ result.loadings
-    r = np.full((sum(widths), nfac), np.nan)
-    for k, (a, b) in enumerate(zip(starts, starts[1:])):
-        n = present[k]
-        cov = products[a:b] - np.outer(sums[a:b], totals[k, :, 0]) / n
-        vx = squares[a:b] - sums[a:b] ** 2 / n
-        vy = totals[k, :, 1] - totals[k, :, 0] ** 2 / n
-        with np.errstate(divide="ignore", invalid="ignore"):
-            r[a:b] = np.clip(cov / np.sqrt(np.outer(vx, vy)), -1, 1)
-    return report(rows.sparkSession, blocks, names, starts, r, m, list(present), result.values, comps, y.select("id", *comps), _scores(rows, names, starts, result.weights, comps) if scores else None, p_values, p_value_n, rows)
+
+    def details() -> dict:
+        if complete:  # every table has every individual: sums of components follow from those of variables
+            totals = np.stack([sums @ result.loadings / count, np.einsum("ij,ik,kj->j", result.loadings, own, result.loadings) / count**2], axis=-1)[None].repeat(count, axis=0)
+        else:
+            cells = [f(F.when(F.col(flag) > 0, F.col(c) if not square else F.col(c) * F.col(c))) for flag in flags for c in comps for f, square in ((F.sum, False), (F.sum, True))]
+            totals = np.array(y.agg(*cells).first(), dtype=float).reshape(count, nfac, 2)
+        products, squares = cross @ result.loadings, np.diag(own)
+        r = np.full((total, nfac), np.nan)
+        for k, (a, b) in enumerate(zip(starts, starts[1:])):
+            n = present[k]
+            cov = products[a:b] - np.outer(sums[a:b], totals[k, :, 0]) / n
+            vx = squares[a:b] - sums[a:b] ** 2 / n
+            vy = totals[k, :, 1] - totals[k, :, 0] ** 2 / n
+            with np.errstate(divide="ignore", invalid="ignore"):
+                r[a:b] = np.clip(cov / np.sqrt(np.outer(vx, vy)), -1, 1)
+        return report(raw.sparkSession, blocks, names, starts, r, m, present, comps, p_values, p_value_n)
+
+    inner = raw.sparkSession.createDataFrame([(c + 1, float(v)) for c, v in enumerate(result.values)], "comp int, eigenvalue double")
+    scored = _scores(rows, names, starts, result.weights, comps) if scores else None
+    return FitResult(y.select("id", *comps), scored, inner, tuple(map(float, result.values)), tuple(names), m, details, raw)
+
+
+def _z(rows: DataFrame, of: np.ndarray, mean: np.ndarray, sd: np.ndarray) -> DataFrame:
+    """Aligned rows with ``x`` as z-scores, still 0 where an individual is absent."""
+    width, flags = len(of), [c for c in rows.columns if c != "x"]
+    if width <= SQL_LIMIT:
+        x = F.array(*(F.when(F.col(f"n{of[j]}") == 0, 0.0).otherwise((F.col("x")[j] - F.lit(float(mean[j]))) / F.lit(float(sd[j]))) for j in range(width)))
+        return rows.select(*flags, x.alias("x"))
+
+    def run(batches):
+        for batch in batches:
+            there = np.stack([batch.column(f"n{k}").to_numpy() for k in range(int(of[-1]) + 1)], axis=1)[:, of] > 0
+            x = np.where(there, (stack(batch, "x", width) - mean) / sd, 0.0)
+            arrays = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * width, x.ravel())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in flags), arrays], names=[*flags, "x"])
+
+    kinds = dict(rows.dtypes)
+    return rows.select(*flags, "x").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in flags) + ", x array<double>")
 
 
 def _scores(rows: DataFrame, names: list[str], starts, weights: list[np.ndarray], comps: list[str]) -> DataFrame:
@@ -179,8 +212,8 @@ def _scores(rows: DataFrame, names: list[str], starts, weights: list[np.ndarray]
     return flat.select(F.explode(each).alias("e")).select("e.*")
 
 
-def report(spark, blocks, names, starts, r, m, present, values, comps, y, scores, p_values, p_value_n, cached) -> FitResult:
-    """The frames of a result; all but components and scores are as small as the variables."""
+def report(spark, blocks, names, starts, r, m, present, comps, p_values, p_value_n) -> dict:
+    """Frames of correlations and what follows from them, as small as the variables."""
     nfac = len(comps)
     rows, tested = [], []
     for k, name in enumerate(names):
@@ -196,19 +229,12 @@ def report(spark, blocks, names, starts, r, m, present, values, comps, y, scores
     widths = np.diff(starts)
     outer = widths @ ave / widths.sum()
     key = "table string, var_pos int, variable string, comp int"
-    return FitResult(
-        y=y,
-        cors=spark.createDataFrame(rows, f"{key}, r double"),
-        p_values=spark.createDataFrame(tested, f"{key}, p double") if p_values else None,
-        scores=scores,
-        ave_x=spark.createDataFrame([(n, c + 1, float(ave[k, c])) for k, n in enumerate(names) for c in range(nfac)], "table string, comp int, ave double"),
-        ave_outer=spark.createDataFrame([(c + 1, float(outer[c])) for c in range(nfac)], "comp int, ave double"),
-        ave_inner=spark.createDataFrame([(c + 1, float(values[c])) for c in range(nfac)], "comp int, eigenvalue double"),
-        eigenvalues=tuple(float(v) for v in values),
-        tables=tuple(names),
-        n_ids=m,
-        cached=cached,
-    )
+    return {
+        "cors": spark.createDataFrame(rows, f"{key}, r double"),
+        "p_values": spark.createDataFrame(tested, f"{key}, p double") if p_values else None,
+        "ave_x": spark.createDataFrame([(n, c + 1, float(ave[k, c])) for k, n in enumerate(names) for c in range(nfac)], "table string, comp int, ave double"),
+        "ave_outer": spark.createDataFrame([(c + 1, float(outer[c])) for c in range(nfac)], "comp int, ave double"),
+    }
 
 
 def fit_complete(tables, nfac: int = 2, scale: bool = True, p_values: bool = True, scores: bool = False, method: str = "solve", lam=None) -> FitResult:
@@ -291,4 +317,5 @@ def fit_dual(assays: dict[str, DataFrame], lam, nfac: int = 2, p_values: bool =
     ave_outer = cors.groupBy("comp").agg(F.avg(F.col("r") * F.col("r")).alias("ave"))
     tested = cors.select("table", "var_pos", "variable", "comp", p_value(F.col("r"), m).alias("p")) if p_values else None
     inner = spark.createDataFrame([(c + 1, float(v)) for c, v in enumerate(eigen)], "comp int, eigenvalue double")
-    return FitResult(frame, cors, tested, None, ave_x, ave_outer, inner, tuple(map(float, eigen)), tuple(names), m, held)
+    frames = {"cors": cors, "p_values": tested, "ave_x": ave_x, "ave_outer": ave_outer}
+    return FitResult(frame, None, inner, tuple(map(float, eigen)), tuple(names), m, lambda: frames, held)

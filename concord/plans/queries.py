@@ -18,6 +18,7 @@ from concord.sources.paths import shared_path
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 DIMS = 8  # embedding dimensions that stand for variables in loadings
 CUT = 0.3
+LOW_PRICE = 60_000  # mean prices below it count as missing in impute_assay
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -320,7 +321,7 @@ def knn_impute(spark, sf):
 
 
 def grid(spark, sf):
-    return spark.createDataFrame([(n, a, b) for n, (a, b) in enumerate(prep.grid([0.1, 0.2, 0.3], [1.0, 2.0]))], "place int, lambda1 double, lambda2 double")
+    return prep.grid_frame(spark, [0.1, 0.2, 0.3], [1.0, 2.0])
 
 
 def loo_cv_1var(spark, sf):
@@ -343,6 +344,103 @@ def ridge_looe(spark, sf):
     return out.select("lambda", F.round(F.col("looe") / 1e6, 6).alias("looe"))
 
 
+def impute_assay(spark, sf):
+    """Low prices stand for none: zeros to nulls, sparse samples dropped, nearest neighbours."""
+    values = price_matrix(spark, sf).withColumn("value", F.when(F.col("value") < LOW_PRICE, 0.0).otherwise(F.col("value")))
+    found = prep.impute(AssaySet({"prices": Assay(values)}), remove_col=True, impute_zero=True, k=10).assays["prices"].values
+    return found.select("feature", "sample", F.round(F.col("value") + 3.14e-7, 4).alias("value"))
+
+
+def region_point(spark, sf):
+    values = table(spark, sf, "lineitem").select(F.col("l_partkey").cast("string").alias("feature"), F.col("l_suppkey").cast("string").alias("sample"), F.col("l_quantity").alias("value"))
+    chosen = prep.region(AssaySet({"lines": Assay(values, part_features(spark, sf))}), wanted_ranges(spark), ["lines"], "coord").assays["lines"].values
+    return chosen.groupBy("feature").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+def complete_scores_1var(spark, sf):
+    s = fits.fit_complete(order_blocks(spark, sf, two=False), nfac=1, scores=True).scores
+    return s.select("table", "id", r6(F.col("comp1")).alias("comp1"))
+
+
+def incomplete_eig_3tables(spark, sf):
+    return _eig(fits.fit_incomplete(status_blocks(spark, sf) | {"p": status_block(spark, sf, "P")}, nfac=3))
+
+
+def p_of_loadings(spark, sf):
+    return loading_p(spark, sf).select("table", "var_pos", "variable", "comp", r6(F.col("p")).alias("p"))
+
+
+def best_penalty(spark, sf):
+    own = table(spark, sf, "embeddings")
+    block = lambda k: Block.wide(own.select(F.col("vec_id").alias("id"), F.col("embedding")[k].cast("double").alias("v")))
+    best, _ = tune.leave_one_out_grid(block(0), block(1), [1.0, 200.0], [1.0, 50.0, 400.0], nfac=1)
+    return spark.createDataFrame([best], "lambda1 double, lambda2 double")
+
+
+def best_ridge(spark, sf):
+    best, _ = tune.ridge_looe(_ridge_rows(spark, sf), ["x"], "y", [0.5, 1000.0, 100000.0])
+    return spark.createDataFrame([(best,)], "lambda double")
+
+
+def ridge_inverse(spark, sf):
+    g = moments.gram(_ridge_rows(spark, sf).select(F.array("x", "y").alias("x")), 2)
+    return _matrix(spark, 1e9 * tune.ridge_inverse(g, 1000.0))
+
+
+def ridge_inverse_looe(spark, sf):
+    best, inverse, _ = tune.ridge_looe_inverse(_ridge_rows(spark, sf), ["x"], "y", [0.5, 1000.0, 100000.0])
+    return spark.createDataFrame([(best, round(1e9 * float(inverse[0, 0]), 6))], "lambda double, inverse double")
+
+
+def first_variables(spark, sf):
+    own = table(spark, sf, "part").select(F.col("p_partkey").alias("key"), F.array(F.col("p_size").cast("double"), "p_retailprice").alias("x"))
+    return prep.head_variables(Block(own, ("size", "price"), "key", "packed"), 1).doubles().select("id", F.col("v0").alias("size"))
+
+
+def stack_rows(spark, sf):
+    return prep.stack_rows([b.frame.select(F.lit(n).alias("table"), F.col("id").cast("string").alias("id"), r6(F.col("price")).alias("price")) for n, b in status_blocks(spark, sf).items()])
+
+
+def paired_cors(spark, sf):
+    found = align.paired_cors(*status_blocks(spark, sf).values())
+    return found.select("variable_a", "variable_b", r6(F.col("r")).alias("r"))
+
+
+def store_assays(spark, sf):
+    path = shared_path(spark, "assays")
+    names = store.write_assays(AssaySet({"prices": Assay(price_matrix(spark, sf))}), path)
+    return store.read_assays(spark, path, names).assays["prices"].values.select("feature", "sample", r6(F.col("value")).alias("value"))
+
+
+def fit_from_path(spark, sf):
+    path = shared_path(spark, "tables")
+    store.fit_from_path(spark, path, store.write_tables(status_blocks(spark, sf), path), nfac=2)
+    return store.read_fit(spark, f"{path}/out", ["cors"])["cors"].select("table", "comp", r6(F.col("r")).alias("r"))
+
+
+def diagonal_scaling(spark, sf):
+    own = table(spark, sf, "part").select("p_partkey", (1 / F.sqrt(F.col("p_size").cast("double"))).alias("w"), "p_retailprice")
+    out = moments.diagonal_scaled(own, ["p_retailprice"], "w", [2.0])
+    return out.select("p_partkey", r6(F.col("p_retailprice")).alias("scaled"))
+
+
+def transpose_packed(spark, sf):
+    own = table(spark, sf, "events").groupBy(F.col("event_type").alias("feature"), F.col("user_id").alias("sample")).agg(r6(F.avg("value")).alias("value"))
+    features = [r[0] for r in own.select("feature").distinct().orderBy("feature").collect()]
+    return prep.transpose_packed(own, features).select("id", *(F.col("x")[n].alias(f"f{n}") for n in range(len(features))))
+
+
+def kernel(spark, sf):
+    own = table(spark, sf, "events").groupBy(F.col("user_id").cast("string").alias("feature"), F.col("event_type").alias("sample")).agg((F.avg("value") / 1000).alias("value"))
+    samples = [r[0] for r in own.select("sample").distinct().orderBy("sample").collect()]
+    return _matrix(spark, moments.kernel(own, samples))
+
+
+def plot_vars_marked(spark, sf):
+    result = fits.fit_incomplete(status_blocks(spark, sf), nfac=2)
+    return select.plot_variables(result, ["price"], var_col={"f": "blue", "o": "orange"}, nlab=1).select("table", "color", "labelled", "label", "at_zero")
+
+
 def plot_inds(spark, sf):
     result = fits.fit_incomplete(status_blocks(spark, sf), nfac=2)
     groups = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_mktsegment").alias("group"))
@@ -377,7 +475,7 @@ def flagship(spark, sf):
     return result.cors
 
 
-QUERIES = {f.__name__: f for f in (zscore_block, scale_only_block, null_check, id_union, id_intersect, id_absent, align_zero_fill, presence_ksum, gram, weighted_cross_gram, complete_eig_1var, complete_components_1var, complete_eig_2var, complete_eig_packed, incomplete_eig_1var, incomplete_components_1var, penalized_eig_1var, incomplete_eig_wide, complete_eig_wide, dual_fit, scores_1var, cors, t_stat, ave, p_values, fit_top_vars_pos, fit_top_vars_neg, fit_top_vars_pcut, fit_significant_vars, top_vars_pos, top_vars_neg, top_vars_pcut, significant_vars, chr_to_num, zero_to_null, drop_sparse_samples, transpose_assay, clean_ids, range_point, range_point_any_chrom, range_within, range_semi, knn_impute, grid, loo_cv_1var, ridge_solve, ridge_looe, plot_inds, plot_vars, label_of_largest, unit_circle, save_load)}
+QUERIES = {f.__name__: f for f in (zscore_block, scale_only_block, null_check, id_union, id_intersect, id_absent, align_zero_fill, presence_ksum, gram, weighted_cross_gram, complete_eig_1var, complete_components_1var, complete_eig_2var, complete_eig_packed, incomplete_eig_1var, incomplete_components_1var, penalized_eig_1var, incomplete_eig_wide, complete_eig_wide, dual_fit, scores_1var, cors, t_stat, ave, p_values, fit_top_vars_pos, fit_top_vars_neg, fit_top_vars_pcut, fit_significant_vars, top_vars_pos, top_vars_neg, top_vars_pcut, significant_vars, chr_to_num, zero_to_null, drop_sparse_samples, transpose_assay, clean_ids, range_point, range_point_any_chrom, range_within, range_semi, knn_impute, grid, loo_cv_1var, ridge_solve, ridge_looe, plot_inds, plot_vars, label_of_largest, unit_circle, save_load, impute_assay, region_point, complete_scores_1var, incomplete_eig_3tables, p_of_loadings, best_penalty, best_ridge, ridge_inverse, ridge_inverse_looe, first_variables, stack_rows, paired_cors, store_assays, fit_from_path, diagonal_scaling, transpose_packed, kernel, plot_vars_marked)}
 
 
 # ---------------------------------------------------------------- SQL
@@ -446,8 +544,30 @@ def critical_r(n: int, cut: float) -> float:
     return high
 
 
+def _knn(pm: str) -> str:
+    """CTEs and the query of nearest-neighbour imputation over ``pm`` (customer, priority, value)."""
+    return f"""gaps AS (SELECT customer FROM {pm} GROUP BY 1 HAVING avg(CAST(value IS NULL AS INTEGER)) BETWEEN 0.01 AND 0.5),
+d AS (SELECT x.customer AS a, y.customer AS b, avg((x.value - y.value) * (x.value - y.value)) AS dist FROM {pm} x JOIN {pm} y ON x.priority = y.priority AND x.customer <> y.customer WHERE x.customer IN (SELECT customer FROM gaps) AND x.value IS NOT NULL AND y.value IS NOT NULL GROUP BY 1, 2),
+n AS (SELECT g.customer, g.priority, y.value, row_number() OVER (PARTITION BY g.customer, g.priority ORDER BY dist, b) AS rk FROM {pm} g JOIN d ON d.a = g.customer JOIN {pm} y ON y.customer = d.b AND y.priority = g.priority WHERE g.value IS NULL AND y.value IS NOT NULL),
+f AS (SELECT customer, priority, avg(value) AS filled FROM n WHERE rk <= 10 GROUP BY 1, 2),
+m AS (SELECT priority, avg(value) AS mean FROM {pm} GROUP BY 1)
+SELECT {pm}.customer AS feature, {pm}.priority AS sample, round(coalesce({pm}.value, filled, mean) + 3.14e-7, 4) AS value FROM {pm} JOIN m ON m.priority = {pm}.priority LEFT JOIN f ON f.customer = {pm}.customer AND f.priority = {pm}.priority"""
+
+
 _LIMIT = "CASE n " + " ".join(f"WHEN {n} THEN {critical_r(n, CUT)!r}" for n in (500, 2000)) + " END"
 
+LOO = f"""WITH e AS (SELECT CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
+t AS (SELECT count(*) - 1 AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(y * y) AS syy, sum(x * y) AS sxy FROM e),
+r AS (SELECT n, (sxy - e.x * e.y - (sx - e.x) * (sy - e.y) / n) / sqrt((sxx - e.x * e.x - (sx - e.x) * (sx - e.x) / n) * (syy - e.y * e.y - (sy - e.y) * (sy - e.y) / n)) AS r FROM e, t),
+g AS (SELECT r.r, CAST(a AS DOUBLE) AS l1, CAST(b AS DOUBLE) AS l2, n - 1 + a AS d1, n - 1 + b AS d2, (n - 1) / (n - 1 + a) AS p, r.r * (n - 1) / sqrt((n - 1 + a) * (n - 1 + b)) AS q, (n - 1) / (n - 1 + b) AS s FROM r, (VALUES (1.0::DOUBLE), (200.0::DOUBLE)) x(a), (VALUES (1.0::DOUBLE), (50.0::DOUBLE), (400.0::DOUBLE)) y(b)),
+v AS (SELECT *, (p + s) / 2 + sqrt(((p - s) / 2) * ((p - s) / 2) + q * q) AS v FROM g),
+w AS (SELECT *, q / sqrt(d1) AS a, (v - p) / sqrt(d2) AS b FROM v)
+SELECT l1 AS lambda1, l2 AS lambda2, {R('avg(((a + b * r) * (a + b * r) + (b + a * r) * (b + a * r)) / (a * a + b * b + 2 * a * b * r) / 2)')} AS mean_ave FROM w GROUP BY 1, 2"""
+LOOE = "WITH o AS (SELECT sum(l_quantity) AS x, sum(l_extendedprice / 1000) AS y FROM lineitem GROUP BY l_orderkey), t AS (SELECT sum(x * x) AS sxx, sum(x * y) AS sxy FROM o) SELECT CAST(lam AS DOUBLE) AS lambda, round(sum(power((y - x * sxy / (sxx + lam)) / (1 - x * x / (sxx + lam)), 2)) / 1e6, 6) AS looe FROM o, t, (VALUES (0.5::DOUBLE), (1000.0::DOUBLE), (100000.0::DOUBLE)) l(lam) GROUP BY lam"
+
+BEST_RIDGE = "WITH o AS (SELECT sum(l_quantity) AS x, sum(l_extendedprice / 1000) AS y FROM lineitem GROUP BY l_orderkey), t AS (SELECT sum(x * x) AS sxx, sum(x * y) AS sxy FROM o) SELECT CAST(lam AS DOUBLE) AS lambda, any_value(sxx) AS sxx FROM o, t, (VALUES (0.5::DOUBLE), (1000.0::DOUBLE), (100000.0::DOUBLE)) l(lam) GROUP BY lam ORDER BY sum(power((y - x * sxy / (sxx + lam)) / (1 - x * x / (sxx + lam)), 2)), lam LIMIT 1"
+_TRANSPOSED = "WITH t AS (SELECT event_type, dense_rank() OVER (ORDER BY event_type) - 1 AS k FROM (SELECT DISTINCT event_type FROM events)), v AS (SELECT user_id, k, round(avg(value), 6) + 0.0 AS v FROM events JOIN t ON events.event_type = t.event_type GROUP BY 1, 2) SELECT user_id AS id, " + ", ".join(f"max(CASE k WHEN {n} THEN v END) AS f{n}" for n in range(5)) + " FROM v GROUP BY 1"
+
 SQL = {
     "zscore_block": f"SELECT CAST(p_partkey AS VARCHAR) AS id, {R('(p_size - avg(p_size) OVER ()) / stddev_samp(p_size) OVER ()')} AS z_size, {R('(p_retailprice - avg(p_retailprice) OVER ()) / stddev_samp(p_retailprice) OVER ()')} AS z_price FROM part",
     "scale_only_block": f"SELECT CAST(p_partkey AS VARCHAR) AS id, {R('p_size / stddev_samp(p_size) OVER ()')} AS s_size, {R('p_retailprice / stddev_samp(p_retailprice) OVER ()')} AS s_price FROM part",
@@ -477,29 +597,44 @@ SQL = {
     "chr_to_num": "SELECT event_id, try_cast(CASE WHEN event_id % 7 = 0 THEN 'NA' ELSE json_extract_string(props, '$.k') END AS DOUBLE) AS k FROM events",
     "zero_to_null": f"SELECT l_returnflag, count(*) AS n, count(nullif(l_tax, 0)) AS n_known, {R('avg(nullif(l_tax, 0))')} AS mean_tax FROM lineitem GROUP BY 1",
     "drop_sparse_samples": f"{MATRIX} SELECT priority AS feature, customer AS sample, {R('value')} AS value FROM pm WHERE customer IN (SELECT customer FROM pm GROUP BY 1 HAVING avg(CAST(value IS NULL AS INTEGER)) < 0.4)",
-    "transpose_assay": "WITH t AS (SELECT event_type, dense_rank() OVER (ORDER BY event_type) - 1 AS k FROM (SELECT DISTINCT event_type FROM events)), v AS (SELECT user_id, k, round(avg(value), 6) + 0.0 AS v FROM events JOIN t ON events.event_type = t.event_type GROUP BY 1, 2) SELECT user_id AS id, " + ", ".join(f"max(CASE k WHEN {n} THEN v END) AS f{n}" for n in range(5)) + " FROM v GROUP BY 1",
+    "transpose_assay": _TRANSPOSED,
+    "transpose_packed": _TRANSPOSED,
     "clean_ids": "SELECT substr(c_name, 1, 12) AS id, c_acctbal FROM customer",
     "range_point": f"{FEATURES} SELECT feature FROM ft WHERE EXISTS (SELECT 1 FROM q WHERE q.chrom = ft.chrom AND ft.st BETWEEN q.st AND q.en)",
     "range_point_any_chrom": f"{FEATURES} SELECT feature FROM ft WHERE EXISTS (SELECT 1 FROM q WHERE q.chrom = 'Brand#33' AND ft.st BETWEEN q.st AND q.en)",
     "range_within": f"{FEATURES} SELECT feature FROM ft WHERE EXISTS (SELECT 1 FROM q WHERE q.chrom = ft.chrom AND ft.st >= q.st AND ft.en <= q.en)",
     "range_semi": f"{FEATURES} SELECT feature, count(*) AS n, sum(l_quantity) AS total FROM ft JOIN lineitem ON feature = CAST(l_partkey AS VARCHAR) WHERE EXISTS (SELECT 1 FROM q WHERE q.chrom = ft.chrom AND ft.st >= q.st AND ft.en <= q.en) GROUP BY 1",
-    "knn_impute": f"""{MATRIX},
-gaps AS (SELECT customer FROM pm GROUP BY 1 HAVING avg(CAST(value IS NULL AS INTEGER)) BETWEEN 0.01 AND 0.5),
-d AS (SELECT x.customer AS a, y.customer AS b, avg((x.value - y.value) * (x.value - y.value)) AS dist FROM pm x JOIN pm y ON x.priority = y.priority AND x.customer <> y.customer WHERE x.customer IN (SELECT customer FROM gaps) AND x.value IS NOT NULL AND y.value IS NOT NULL GROUP BY 1, 2),
-n AS (SELECT g.customer, g.priority, y.value, row_number() OVER (PARTITION BY g.customer, g.priority ORDER BY dist, b) AS rk FROM pm g JOIN d ON d.a = g.customer JOIN pm y ON y.customer = d.b AND y.priority = g.priority WHERE g.value IS NULL AND y.value IS NOT NULL),
-f AS (SELECT customer, priority, avg(value) AS filled FROM n WHERE rk <= 10 GROUP BY 1, 2),
-m AS (SELECT priority, avg(value) AS mean FROM pm GROUP BY 1)
-SELECT pm.customer AS feature, pm.priority AS sample, round(coalesce(pm.value, filled, mean) + 3.14e-7, 4) AS value FROM pm JOIN m ON m.priority = pm.priority LEFT JOIN f ON f.customer = pm.customer AND f.priority = pm.priority""",
+    "knn_impute": f"{MATRIX}, {_knn('pm')}",
+    "impute_assay": f"{MATRIX}, px AS (SELECT customer, priority, CASE WHEN value < {LOW_PRICE} THEN NULL ELSE value END AS value FROM pm), py AS (SELECT * FROM px WHERE priority IN (SELECT priority FROM px GROUP BY 1 HAVING avg(CAST(value IS NULL AS INTEGER)) < 0.8)), {_knn('py')}",
+    "region_point": f"{FEATURES} SELECT feature, count(*) AS n, sum(l_quantity) AS total FROM ft JOIN lineitem ON feature = CAST(l_partkey AS VARCHAR) WHERE EXISTS (SELECT 1 FROM q WHERE q.chrom = ft.chrom AND ft.st BETWEEN q.st AND q.en) GROUP BY 1",
+    "complete_scores_1var": f"{ORDERS}, sc AS (SELECT 'orders' AS \"table\", id, sign(e * w1) * a / stddev_samp(a) OVER () AS s FROM al, sg WHERE comp = 1 UNION ALL SELECT 'lines', id, sign(e * w2) * b / stddev_samp(b) OVER () FROM al, sg WHERE comp = 1) SELECT \"table\", id, {R('s')} AS comp1 FROM sc",
+    # eigenvalues of a symmetric 3 x 3 matrix by the trigonometric solution of the cubic
+    "incomplete_eig_3tables": f"""WITH {STATUS},
+z AS (SELECT 1 AS t, id, (x - avg(x) OVER ()) / stddev_samp(x) OVER () AS z FROM f UNION ALL SELECT 2, id, (x - avg(x) OVER ()) / stddev_samp(x) OVER () FROM o UNION ALL SELECT 3, id, (x - avg(x) OVER ()) / stddev_samp(x) OVER () FROM p),
+al AS (SELECT id, count(*) AS k, coalesce(max(CASE t WHEN 1 THEN z END), 0) AS a, coalesce(max(CASE t WHEN 2 THEN z END), 0) AS b, coalesce(max(CASE t WHEN 3 THEN z END), 0) AS c FROM z GROUP BY id),
+g AS (SELECT sum(a*a/k)/sum(a*a) AS g11, sum(b*b/k)/sum(b*b) AS g22, sum(c*c/k)/sum(c*c) AS g33, sum(a*b/k)/sqrt(sum(a*a)*sum(b*b)) AS g12, sum(a*c/k)/sqrt(sum(a*a)*sum(c*c)) AS g13, sum(b*c/k)/sqrt(sum(b*b)*sum(c*c)) AS g23 FROM al),
+q AS (SELECT *, (g11+g22+g33)/3 AS q FROM g),
+w AS (SELECT *, sqrt(((g11-q)*(g11-q)+(g22-q)*(g22-q)+(g33-q)*(g33-q)+2*(g12*g12+g13*g13+g23*g23))/6) AS p FROM q),
+r AS (SELECT *, acos(greatest(-1, least(1, ((g11-q)*((g22-q)*(g33-q)-g23*g23)-g12*(g12*(g33-q)-g23*g13)+g13*(g12*g23-(g22-q)*g13))/(2*p*p*p))))/3 AS phi FROM w)
+SELECT comp, round(q+2*p*cos(phi+2*pi()*turn/3), 6) + 0.0 AS eigenvalue FROM r, (VALUES (1, 0), (2, 2), (3, 1)) v(comp, turn)""",
+    # the tail of t over an even number of degrees of freedom is a finite series in 1 - r * r
+    "p_of_loadings": f"{LOADINGS} SELECT \"table\", var_pos, variable, comp, {R('1 - abs(r) * list_sum(list_transform(range((n - 2) // 2), lambda j: exp(lgamma(2.0 * j + 1) - 2 * lgamma(j + 1.0) - j * ln(4) + j * ln(1 - r * r))))')} AS p FROM ld",
+    "best_penalty": f"SELECT lambda1, lambda2 FROM ({LOO}) ORDER BY mean_ave DESC, lambda2, lambda1 LIMIT 1",
+    "best_ridge": f"SELECT \"lambda\" FROM ({BEST_RIDGE})",
+    "ridge_inverse": f"WITH o AS (SELECT sum(l_quantity) AS x, sum(l_extendedprice / 1000) AS y FROM lineitem GROUP BY l_orderkey), s AS (SELECT sum(x * x) + 1000 AS a, sum(x * y) AS b, sum(y * y) + 1000 AS d FROM o) SELECT i, j, {R('1e9 * CASE WHEN i <> j THEN -b WHEN i = 0 THEN d ELSE a END / (a * d - b * b)')} AS v FROM s, (VALUES (0), (1)) u(i), (VALUES (0), (1)) w(j)",
+    "ridge_inverse_looe": f"SELECT \"lambda\", {R('1e9 / (sxx + "lambda")')} AS inverse FROM ({BEST_RIDGE})",
+    "first_variables": "SELECT CAST(p_partkey AS VARCHAR) AS id, CAST(p_size AS DOUBLE) AS size FROM part",
+    "stack_rows": f"WITH {STATUS} SELECT 'f' AS \"table\", id, {R('x')} AS price FROM f UNION ALL SELECT 'o', id, {R('x')} FROM o",
+    "paired_cors": f"WITH {STATUS} SELECT 'price' AS variable_a, 'price' AS variable_b, {R('corr(f.x, o.x)')} AS r FROM f JOIN o ON f.id = o.id",
+    "store_assays": f"{MATRIX} SELECT customer AS feature, priority AS sample, {R('value')} AS value FROM pm",
+    "fit_from_path": f"{PAIR} SELECT \"table\", comp, {R('r')} AS r FROM rr",
+    "diagonal_scaling": f"SELECT p_partkey, {R('2 * p_retailprice / sqrt(p_size)')} AS scaled FROM part",
+    "kernel": f"WITH e AS (SELECT user_id, dense_rank() OVER (ORDER BY event_type) - 1 AS k, avg(value) / 1000 AS v FROM events GROUP BY user_id, event_type) SELECT CAST(a.k AS INTEGER) AS i, CAST(b.k AS INTEGER) AS j, {R('sum(a.v * b.v)')} AS v FROM e a JOIN e b ON a.user_id = b.user_id GROUP BY 1, 2",
+    "plot_vars_marked": "SELECT * FROM (VALUES ('f', 'blue', TRUE, 'price', FALSE), ('o', 'orange', TRUE, 'pricerep', FALSE)) t(\"table\", color, labelled, label, at_zero)",
     "grid": "SELECT CAST(row_number() OVER (ORDER BY b, a) - 1 AS INTEGER) AS place, CAST(a AS DOUBLE) AS lambda1, CAST(b AS DOUBLE) AS lambda2 FROM (VALUES (0.1), (0.2), (0.3)) x(a), (VALUES (1.0), (2.0)) y(b)",
-    "loo_cv_1var": f"""WITH e AS (SELECT CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
-t AS (SELECT count(*) - 1 AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(y * y) AS syy, sum(x * y) AS sxy FROM e),
-r AS (SELECT n, (sxy - e.x * e.y - (sx - e.x) * (sy - e.y) / n) / sqrt((sxx - e.x * e.x - (sx - e.x) * (sx - e.x) / n) * (syy - e.y * e.y - (sy - e.y) * (sy - e.y) / n)) AS r FROM e, t),
-g AS (SELECT r.r, CAST(a AS DOUBLE) AS l1, CAST(b AS DOUBLE) AS l2, n - 1 + a AS d1, n - 1 + b AS d2, (n - 1) / (n - 1 + a) AS p, r.r * (n - 1) / sqrt((n - 1 + a) * (n - 1 + b)) AS q, (n - 1) / (n - 1 + b) AS s FROM r, (VALUES (1.0::DOUBLE), (200.0::DOUBLE)) x(a), (VALUES (1.0::DOUBLE), (50.0::DOUBLE), (400.0::DOUBLE)) y(b)),
-v AS (SELECT *, (p + s) / 2 + sqrt(((p - s) / 2) * ((p - s) / 2) + q * q) AS v FROM g),
-w AS (SELECT *, q / sqrt(d1) AS a, (v - p) / sqrt(d2) AS b FROM v)
-SELECT l1 AS lambda1, l2 AS lambda2, {R('avg(((a + b * r) * (a + b * r) + (b + a * r) * (b + a * r)) / (a * a + b * b + 2 * a * b * r) / 2)')} AS mean_ave FROM w GROUP BY 1, 2""",
+    "loo_cv_1var": LOO,
     "ridge_solve": "WITH o AS (SELECT sum(l_quantity) AS x, sum(l_extendedprice / 1000) AS y FROM lineitem GROUP BY l_orderkey) SELECT CAST(lam AS DOUBLE) AS lambda, round(sum(x * y) / (sum(x * x) + lam), 6) AS coef FROM o, (VALUES (0.5::DOUBLE), (1000.0::DOUBLE)) l(lam) GROUP BY lam",
-    "ridge_looe": "WITH o AS (SELECT sum(l_quantity) AS x, sum(l_extendedprice / 1000) AS y FROM lineitem GROUP BY l_orderkey), t AS (SELECT sum(x * x) AS sxx, sum(x * y) AS sxy FROM o) SELECT CAST(lam AS DOUBLE) AS lambda, round(sum(power((y - x * sxy / (sxx + lam)) / (1 - x * x / (sxx + lam)), 2)) / 1e6, 6) AS looe FROM o, t, (VALUES (0.5::DOUBLE), (1000.0::DOUBLE), (100000.0::DOUBLE)) l(lam) GROUP BY lam",
+    "ridge_looe": LOOE,
     "plot_inds": f"{PAIR}, lv AS (SELECT c_mktsegment, row_number() OVER (ORDER BY c_mktsegment) AS lk FROM (SELECT DISTINCT c_mktsegment FROM customer)) SELECT id, {R('max(CASE comp WHEN 1 THEN y END)')} AS x, {R('max(CASE comp WHEN 2 THEN y END)')} AS y, max(c.c_mktsegment) AS \"group\", max(['red', 'blue', 'darkgreen', 'orange', 'violet'][lk]) AS color FROM yy JOIN customer c ON id = CAST(c_custkey AS VARCHAR) JOIN lv ON lv.c_mktsegment = c.c_mktsegment GROUP BY id",
     "plot_vars": f"{PAIR} SELECT \"table\", 'price' AS variable, {R('max(CASE comp WHEN 1 THEN r END)')} AS x, {R('max(CASE comp WHEN 2 THEN r END)')} AS y, TRUE AS highlighted, 'red' AS color FROM rr GROUP BY 1",
     "label_of_largest": f"{MATRIX} SELECT customer AS id, first('p' || k ORDER BY value DESC, k) AS label FROM (SELECT customer, coalesce(value, 0) AS value, CAST(substr(priority, 1, 1) AS INTEGER) - 1 AS k FROM pm) GROUP BY 1",

@@ -42,13 +42,6 @@ def cholesky(matrix: np.ndarray, name: str) -> np.ndarray:
     return lower
 
 
-def inverse(matrix: np.ndarray, name: str = "") -> np.ndarray:
-    """By Cholesky factors."""
-    lower = cholesky(matrix, name)
-    half = np.linalg.solve(lower, np.eye(len(lower)))
-    return half.T @ half
-
-
 @dataclass
 class Solution:
     """``values``: eigenvalues. ``loadings`` (P x F): components are rows times these, over

@@ -5,39 +5,50 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from concord.model import Block, table_set
 from concord.operators.align import aligned
-from concord.operators.moments import ROW, all_column_stats, gram, partial, stack, tree_sum
+from concord.operators.moments import ROW, SQL_LIMIT, aligned_stats, gram, partial, stack, tree_sum
 from concord.operators.prep import grid
-from concord.plans.fit import checked
-from concord.plans.solve import solve
+from concord.plans.fit import _z, checked
 
 
 def default_grid(count: int = 5, low: float = 0.001, high: float = 1.0) -> list[float]:
     return np.linspace(low, high, count).tolist()
 
 
-def ave_outer(g: np.ndarray, widths: list[int], lam: list[float], nfac: int, m: int) -> np.ndarray:
-    """Outer explained variance of a complete-case fit from the cross products of its
-    centred variables."""
-    names = [str(k) for k in range(len(widths))]
-    found = solve(g, g / len(widths), np.zeros(len(g)), widths, names, lam, nfac, m)
-    cov = g @ found.loadings
-    vy = np.einsum("ij,ik,kj->j", found.loadings, g, found.loadings)
-    r2 = cov**2 / np.outer(np.diag(g), vy)
-    return r2.sum(axis=0) / len(g)
-
-
-def leave_out(moments: np.ndarray, sums: np.ndarray, m: int, row: np.ndarray) -> np.ndarray:
-    """Cross products of the z-scored variables without one row: a rank-one change of the
-    raw moments, scaled anew."""
-    s, total, n = moments - np.outer(row, row), sums - row, m - 1
-    centred = s - np.outer(total, total) / n
-    sd = np.sqrt(np.diag(centred) / (n - 1))
+def ave_outer(g: np.ndarray, widths: list[int], lam: list[float], nfac: int) -> np.ndarray:
+    """(fits, nfac): outer explained variance of complete-case fits, from the cross products
+    (fits, P, P) of their centred variables; all fits are solved together."""
+    starts = np.concatenate([[0], np.cumsum(widths)])
+    w = np.zeros_like(g)
+    for a, b, v in zip(starts, starts[1:], lam):
+        try:
+            lower = np.linalg.cholesky(g[:, a:b, a:b] + v * np.eye(b - a))
+        except np.linalg.LinAlgError:
+            raise ValueError("without one of the rows a table's cross-product matrix is not positive definite") from None
+        w[:, a:b, a:b] = np.swapaxes(np.linalg.inv(lower), 1, 2)
+    inner = np.swapaxes(w, 1, 2) @ g @ w
+    values, vectors = np.linalg.eigh((inner + np.swapaxes(inner, 1, 2)) / 2)
+    if nfac > g.shape[1] or (values[:, -nfac] <= 1e-10 * np.maximum(values[:, -1], 1e-300)).any():
+        raise ValueError(f"there are fewer than {nfac} components")
+    loadings = w @ vectors[:, :, ::-1][:, :, :nfac]  # of any length: correlations do not depend on it
+    cov = g @ loadings
+    spread = np.einsum("rij,rij->rj", loadings, cov)
+    return (cov**2 / (np.einsum("rii->ri", g)[:, :, None] * spread[:, None, :])).sum(axis=1) / g.shape[1]
+
+
+def leave_out(moments: np.ndarray, sums: np.ndarray, m: int, rows: np.ndarray) -> np.ndarray:
+    """(rows, P, P): cross products of the z-scored variables without each of the rows: a
+    rank-one change of the raw moments, scaled anew."""
+    n = m - 1
+    total = sums - rows
+    centred = moments - rows[:, :, None] * rows[:, None, :] - total[:, :, None] * total[:, None, :] / n
+    sd = np.sqrt(np.einsum("rii->ri", centred) / (n - 1))
     if not (sd > 0).all():
         raise ValueError("without one of the rows a variable is constant")
-    return centred / np.outer(sd, sd)
+    return centred / (sd[:, :, None] * sd[:, None, :])
 
 
 def leave_one_out_grid(x1: Block | DataFrame, x2: Block | DataFrame, grid1: list[float] | None = None, grid2: list[float] | None = None, nfac: int = 2) -> tuple[tuple[float, float], DataFrame]:
@@ -48,34 +59,38 @@ def leave_one_out_grid(x1: Block | DataFrame, x2: Block | DataFrame, grid1: list
     Each row needs only the moments of all rows and itself, so rows are scored in parallel."""
     points = grid(grid1 or default_grid(), grid2 or default_grid())
     blocks = table_set({"x1": x1, "x2": x2} if isinstance(x1, Block) else [x1, x2])
-    stats = all_column_stats(blocks)
-    checked(blocks, stats, True)
-    if len({s["n"] for s in stats.values()}) > 1:
-        raise ValueError("the tables differ in their rows: complete cases are required")
     widths = [len(b.variables) for b in blocks.values()]
-    # moments about the means: what is left out is small against them
-    mean = np.concatenate([s["mean"] for s in stats.values()])
-    sd = np.concatenate([s["sd"] for s in stats.values()])
-    raw = aligned(blocks, packed=sum(widths) > 100)
-    rows = raw.select("id", F.zip_with(F.zip_with("x", F.array(*(F.lit(float(v)) for v in mean)), lambda a, b: a - b), F.array(*(F.lit(float(v)) for v in sd)), lambda a, b: a / b).alias("x"), "ksum").cache()
-    m = rows.count()
-    if rows.where("ksum < 2").limit(1).count():
-        rows.unpersist()
-        raise ValueError("the tables describe different individuals: complete cases are required")
-    moments = gram(rows, sum(widths))
-    sums = np.zeros(sum(widths))
+    p = sum(widths)
+    raw = aligned(blocks, p > SQL_LIMIT or any(b.layout == "packed" for b in blocks.values()), keep_missing=True).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        m, most, present, stats = aligned_stats(raw, widths, sql=p <= SQL_LIMIT)
+        checked(blocks, dict(zip(blocks, stats)), True)
+        if max(most) > 1:
+            raise ValueError("a table has several rows of one id")
+        if len(set(present)) > 1:
+            raise ValueError("the tables differ in their rows: complete cases are required")
+        if min(present) < m:
+            raise ValueError("the tables describe different individuals: complete cases are required")
+        # moments of z-scores: what is left out is small against them
+        rows = _z(raw, np.repeat(np.arange(2), widths), np.concatenate([s["mean"] for s in stats]), np.concatenate([s["sd"] for s in stats]))
+        moments = gram(rows, p)
+    except ValueError:
+        raw.unpersist()
+        raise
+    sums, step = np.zeros(p), max(1, (1 << 20) // (p * p))
 
     def score(batches):
         total = np.zeros(len(points) + 1)
         for batch in batches:
-            for row in stack(batch, "x", sum(widths)):
-                g = leave_out(moments, sums, m, row)
-                total[:-1] += [ave_outer(g, widths, list(p), nfac, m - 1).mean() for p in points]
-                total[-1] += 1
+            x = stack(batch, "x", p)
+            for at in range(0, len(x), step):
+                g = leave_out(moments, sums, m, x[at : at + step])
+                total[:-1] += [ave_outer(g, widths, list(point), nfac).mean(axis=1).sum() for point in points]
+                total[-1] += len(g)
         return total if total[-1] else None
 
     total = tree_sum(rows.select("x").mapInArrow(partial(score, 1), ROW))
-    rows.unpersist()
+    raw.unpersist()
     mean_ave = total[:-1] / total[-1]
     best = points[int(np.argmax(mean_ave))]
     frame = raw.sparkSession.createDataFrame([(a, b, float(v)) for (a, b), v in zip(points, mean_ave)], "lambda1 double, lambda2 double, mean_ave double")
@@ -130,3 +145,10 @@ def ridge_looe(frame: DataFrame, x: list[str], y: str, lambdas: list[float] | No
     looe = np.zeros(len(lambdas)) if looe is None else looe
     out = frame.sparkSession.createDataFrame([(float(v), float(e)) for v, e in zip(lambdas, looe)], "lambda double, looe double")
     return float(lambdas[int(np.argmin(looe))]), out
+
+
+def ridge_looe_inverse(frame: DataFrame, x: list[str], y: str, lambdas: list[float] | None = None, **grid_options) -> tuple[float, np.ndarray, DataFrame]:
+    """As :func:`ridge_looe`, and the inverse of the penalized cross products at the best penalty:
+    variables x variables, which holds what the inverse over individuals would."""
+    best, found = ridge_looe(frame, x, y, lambdas, **grid_options)
+    return best, ridge_inverse(gram(_xy(frame, x, y), len(x) + 1)[:-1, :-1], best), found

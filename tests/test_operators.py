@@ -316,3 +316,46 @@ def test_incomplete_eig_wide_takes_all_rows(spark, sf):
     want = np.sort(np.linalg.eigvalsh(half[:, None] * total * half[None, :]))[::-1][:4]
     got = [r.eigenvalue for r in queries.QUERIES["incomplete_eig_wide"](spark, sf).orderBy("comp").collect()]
     assert np.allclose(got, want, atol=1e-6)
+
+
+def test_blocks_of_features_give_the_same_neighbours(spark):
+    import random
+
+    from concord.operators import prep
+
+    rnd = random.Random(2)
+    rows = [(f"f{i:02d}", f"s{j}", None if rnd.random() < 0.2 else float(rnd.randint(0, 5))) for i in range(30) for j in range(6)]
+    values = spark.createDataFrame(rows, "feature string, sample string, value double")
+    got = [sorted(map(tuple, prep.knn_impute(values, 3, block_rows=n).collect())) for n in (4096, 7, 1)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == len(rows)
+
+
+def test_many_ranges_meet_in_bins(spark, monkeypatch):
+    from concord.operators import prep
+
+    features = spark.createDataFrame([(str(n), float(n)) for n in range(-50, 400)], "feature string, coord double")
+    wanted = prep.ranges(spark, ["a:3-9", "b:100-100", "c:390-1000", "d:42-47", "e:9-12"])
+    few = sorted(r.feature for r in prep.point_filter(features, wanted, match_chrom=False).collect())
+    monkeypatch.setattr(prep, "FEW_RANGES", 2)
+    assert sorted(r.feature for r in prep.point_filter(features, wanted, match_chrom=False).collect()) == few and len(few) == 27
+
+
+def test_scattered_cells(spark):
+    from concord.operators import moments
+
+    cells = spark.createDataFrame([("a", 2, 1.0), ("a", 0, None), ("b", 1, 3.0)], "k string, pos int, value double")
+    assert {r.k: r.x for r in moments.scattered(cells, "k", 3, None).collect()} == {"a": [None, None, 1.0], "b": [None, 3.0, None]}
+    assert {r.k: r.x for r in moments.scattered(cells.where("value is not null"), "k", 3, 0.0).collect()} == {"a": [0.0, 0.0, 1.0], "b": [0.0, 3.0, 0.0]}
+
+
+def test_colours_of_variables(spark, sf):
+    from concord.operators import select
+    from concord.plans import fit, queries
+
+    result = fit.fit_incomplete(queries.status_blocks(spark, sf))
+    with pytest.raises(ValueError, match="as many colors"):
+        select.plot_variables(result, ["price"], var_col=["red", "blue"])
+    with pytest.raises(ValueError, match="no color"):
+        select.plot_variables(result, ["price"], var_col={"f": "red"})
+    rows = select.plot_variables(result, ["price"], var_col=["green"], nlab=0, var_lab=False).collect()
+    assert {(r.color, r.labelled, r.label) for r in rows} == {("green", False, None)}
