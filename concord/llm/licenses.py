@@ -1,12 +1,19 @@
 """License scans by sentence rules.
 
-Comment marks are blanked out and wrapped lines joined, then a text is cut into sentences,
-each is normalised and matched to known licence-sentence identifiers, and the run of
-identifiers is matched against ordered licence rules; the first rule that fits at a place
-wins and consumes its sentences. Sentences that speak of licensing but match nothing are
-counted as unknown. Offsets are those of the text as it was.
-
-Null and empty texts have no licences. Null ids are kept; repeated rows are scanned again.
+Comment marks are blanked out and wrapped lines joined, then a text is cut into sentences and
+each is normalised to a list of words. Known licence sentences and names, some with slots for
+names and years, are word lists too, in a trie: from left to right the longest one known at
+a place gives its identifier. The run of identifiers of a text is matched against ordered
+licence rules; the first rule that fits at a place wins and consumes its identifiers. A name
+counts where something is licensed under it or where it stands alone as a title; one that a
+negation comes before counts as nothing. Licences have their SPDX names. Sentences that
+speak of licensing but match nothing are counted as unknown. Offsets are those of the text as
+it was.
+
+Null and empty texts have no licences. Null ids are kept; repeated rows are scanned again;
+very long texts are scanned whole; of phrases that start at one word the longest wins, of
+rules the first; an empty table gives an empty result; other columns, whatever their names,
+are left out first.
 """
 
 from __future__ import annotations
@@ -17,65 +24,207 @@ from pyspark.sql import DataFrame
 
 from concord.llm._common import map_texts
 
-#: Sentence identifiers and the patterns of normalised sentences. Order matters.
-SENTENCES: list[tuple[str, str]] = [
-    ("spdx", r"spdx license identifier "),
-    ("apache-2-under", r"licensed under the apache license,? version 2(\.0)?"),
-    ("apache-2-condition", r"you may not use this (file|work) except in compliance with the license"),
-    ("apache-2-copy", r"you may obtain a copy of the license at"),
-    ("apache-2-basis", r"unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an as is basis"),
-    ("apache-2-terms", r"see the license for the specific language governing permissions and limitations"),
-    ("agpl-3-under", r"(under|by) (the terms of )?the gnu affero general public license,? (as published by the free software foundation[,;]? )?(either )?(version|v\.?) ?3"),
-    ("lgpl-under", r"(under|by) (the terms of )?the gnu (lesser|library) general public license,? (as published by the free software foundation[,;]? )?(either )?(version|v\.?) ?(?P<v>[23](\.[01])?)"),
-    ("gpl-under", r"(under|by) (the terms of )?the gnu general public license,? (as published by the free software foundation[,;]? )?(either )?(version|v\.?) ?(?P<v>[23])(\.0)?"),
-    ("gpl-later", r"(or )?(\(?at your option\)? )?any later version"),
-    ("gpl-warranty", r"this (program|library|software|file|package) is distributed in the hope that it will be useful, but without any warranty"),
-    ("gpl-copy", r"you should have received a copy of the gnu (affero |lesser |library )?general public license"),
-    ("gpl-more", r"see the gnu (affero |lesser |library )?general public license for more details"),
-    ("gpl-see", r"if not, (see|write to) .{0,60}(gnu|free software foundation)"),
-    ("mit-under", r"(licensed|released|distributed|available) under the (terms of the )?(mit|expat|x11) license"),
-    ("mit-grant", r"permission is hereby granted, free of charge, to any person obtaining a copy"),
-    ("mit-notice", r"the above copyright notice and this permission notice shall be included in all copies"),
-    ("isc-grant", r"permission to use, copy, modify, and(/or)? distribute this software for any purpose with or without fee is hereby granted"),
-    ("as-is", r"(the|this) software is provided (by .{0,80} )?as is"),
-    ("bsd-under", r"(licensed|released|distributed) under the (?P<v>[234]|two|three|four)? ?(clause )?bsd license"),
-    ("bsd-grant", r"redistribution and use in source and binary forms, with or without modification, are permitted"),
-    ("bsd-source", r"redistributions of source code must retain the above copyright notice"),
-    ("bsd-binary", r"redistributions in binary form must reproduce the above copyright notice"),
-    ("bsd-endorse", r"neither the name of .{0,120} may be used to endorse or promote products"),
-    ("mpl-2-under", r"subject to the terms of the mozilla public license,? (version|v\.?) ?2(\.0)?|licensed under the mozilla public license,? (version )?2(\.0)?"),
-    ("cc0", r"cc0|dedicated to the public domain"),
-    ("cc", r"(licensed|released|available|distributed) under (a |the )?(cc|creative commons)[ -](?P<kind>by(-nc)?(-sa|-nd)?|attribution(-?non-?commercial)?(-?share-?alike|-?no-?derivatives|-?no-?derivs)?)( license)?[ ,]*(version )?(?P<v>[1-4]\.[05])?"),
-    ("unlicense", r"this is free and unencumbered software released into the public domain"),
-    ("all-rights", r"all rights reserved"),
-    ("copyright", r"^copyright |^\(c\) |©"),
-]
-
+# SPDX identifiers, what the licences are called, and sentences of their texts.
+NAMES: dict[str, list[str]] = {
+    "0BSD": ["zero clause bsd license", "bsd zero clause license", "0 bsd", "bsd 0 clause license"],
+    "AFL-3.0": ["academic free license 3"],
+    "Apache-1.1": ["apache license 1.1", "apache software license 1.1"],
+    "Apache-2.0": ["apache license 2", "apache software license 2", "apache 2 license", "apache 2", "asl 2", "apache public license 2"],
+    "APSL-2.0": ["apple public source license 2"],
+    "Artistic-1.0": ["artistic license 1"],
+    "Artistic-2.0": ["artistic license 2"],
+    "Beerware": ["beer ware license", "beerware license"],
+    "BSD-2-Clause": ["bsd 2 clause license", "2 clause bsd license", "two clause bsd license", "simplified bsd license", "freebsd license", "bsd 2 clause"],
+    "BSD-3-Clause": ["bsd 3 clause license", "3 clause bsd license", "three clause bsd license", "new bsd license", "modified bsd license", "revised bsd license", "bsd 3 clause"],
+    "BSD-4-Clause": ["bsd 4 clause license", "4 clause bsd license", "four clause bsd license", "original bsd license", "bsd 4 clause"],
+    "BSD": ["bsd license", "bsd style license"],
+    "BSL-1.0": ["boost software license 1", "boost software license", "boost license 1", "boost license"],
+    "BUSL-1.1": ["business source license 1.1"],
+    "CC0-1.0": ["cc 0 1", "cc 0", "cc 0 1 universal", "creative commons zero 1", "creative commons zero", "creative commons cc 0 license", "creative commons zero 1 universal"],
+    "CDDL-1.0": ["common development and distribution license 1", "common development and distribution license", "cddl 1"],
+    "CECILL-2.1": ["cecill license 2.1", "cecill 2.1"],
+    "CPL-1.0": ["common public license 1", "common public license"],
+    "ECL-2.0": ["educational community license 2"],
+    "EPL-1.0": ["eclipse public license 1", "epl 1"],
+    "EPL-2.0": ["eclipse public license 2", "epl 2"],
+    "EUPL-1.1": ["european union public license 1.1", "eupl 1.1"],
+    "EUPL-1.2": ["european union public license 1.2", "eupl 1.2"],
+    "ISC": ["isc license", "isc licence isc"],
+    "LPPL-1.3c": ["latex project public license 1.3", "lppl 1.3"],
+    "MIT": ["mit license", "mit license mit", "expat license", "mit expat license", "mit"],
+    "MIT-0": ["mit no attribution license", "mit 0 license"],
+    "MPL-1.1": ["mozilla public license 1.1", "mpl 1.1"],
+    "MPL-2.0": ["mozilla public license 2", "mpl 2"],
+    "MS-PL": ["microsoft public license", "ms pl license"],
+    "NCSA": ["university of illinois ncsa open source license", "ncsa open source license"],
+    "ODbL-1.0": ["open database license 1", "open database license", "odbl 1"],
+    "OFL-1.1": ["sil open font license 1.1", "open font license 1.1", "ofl 1.1"],
+    "OSL-3.0": ["open software license 3"],
+    "PHP-3.01": ["php license 3.01"],
+    "PostgreSQL": ["postgresql license", "postgresql licence"],
+    "PSF-2.0": ["python software foundation license 2", "psf license 2"],
+    "Unlicense": ["unlicense", "unlicense license"],
+    "UPL-1.0": ["universal permissive license 1"],
+    "WTFPL": ["do what fuck you want to public license", "wtfpl 2", "wtfpl"],
+    "X11": ["x 11 license"],
+    "Zlib": ["zlib license", "zlib libpng license"],
+    "ZPL-2.1": ["zope public license 2.1"],
+}
+FAMILIES = {
+    "GPL": (["gnu general public license", "gnu gpl", "gpl", "general public license"], ["1.0", "2.0", "3.0"]),
+    "LGPL": (["gnu lesser general public license", "gnu library general public license", "gnu lgpl", "lgpl"], ["2.0", "2.1", "3.0"]),
+    "AGPL": (["gnu affero general public license", "gnu agpl", "agpl"], ["1.0", "3.0"]),
+    "GFDL": (["gnu free documentation license", "gfdl"], ["1.1", "1.2", "1.3"]),
+}
+COMMONS = {"BY": "attribution", "BY-SA": "attribution share alike", "BY-NC": "attribution non commercial", "BY-ND": "attribution no derivatives", "BY-NC-SA": "attribution non commercial share alike", "BY-NC-ND": "attribution non commercial no derivatives"}
+GRANTS = ["licensed under", "licensed under terms of", "licensed to you under", "released under", "released under terms of", "distributed under", "distributed under terms of", "available under", "available under terms of", "made available under", "made available under terms of", "published under", "provided under", "provided under terms of", "under terms of", "subject to terms of", "subject to", "covered by", "governed by", "use of this source code is governed by", "dual licensed under", "under", "license is", "license"]
+SENTENCES: dict[str, list[str]] = {
+    "apache-condition": ["you may not use this file except in compliance with license", "you may not use this work except in compliance with license"],
+    "apache-copy": ["you may obtain copy of license at"],
+    "apache-basis": ["unless required by applicable law or agreed to in writing software distributed under license is distributed on as is basis"],
+    "apache-terms": ["see license for specific language governing permissions and limitations"],
+    "gnu-later": ["any later version", "at your option any later version", "or at your option any later version", "or any later version", "+", "or later", "or newer"],
+    "gnu-warranty": ["this * is distributed in hope that it will be useful but without any warranty", "is distributed in hope that it will be useful but without any warranty"],
+    "gnu-copy": [f"you should have received copy of {x}" for x in ("gnu general public license", "gnu lesser general public license", "gnu library general public license", "gnu affero general public license")],
+    "gnu-more": [f"see {x} for more details" for x in ("gnu general public license", "gnu lesser general public license", "gnu library general public license", "gnu affero general public license")],
+    "gnu-see": ["if not see", "if not write to free software foundation"],
+    "mit-grant": ["permission is hereby granted free of charge to any person obtaining copy"],
+    "mit-notice": ["above copyright notice and this permission notice shall be included in all copies"],
+    "boost-grant": ["permission is hereby granted free of charge to any person or organization obtaining copy of software and accompanying documentation covered by this license"],
+    "isc-grant": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted"],
+    "zlib-warranty": ["this software is provided as is without any express or implied warranty"],
+    "zlib-grant": ["permission is granted to anyone to use this software for any purpose including commercial applications"],
+    "zlib-origin": ["origin of this software must not be misrepresented"],
+    "zlib-altered": ["altered source versions must be plainly marked as such"],
+    "as-is": ["software is provided as is", "this software is provided as is", "this software is provided by * as is", "software is provided by * as is"],
+    "bsd-grant": ["redistribution and use in source and binary forms with or without modification are permitted"],
+    "bsd-source": ["redistributions of source code must retain above copyright notice"],
+    "bsd-binary": ["redistributions in binary form must reproduce above copyright notice"],
+    "bsd-advertising": ["all advertising materials mentioning features or use of this software must display following acknowledgement"],
+    "bsd-endorse": ["neither name of * may be used to endorse or promote products", "names of * may not be used to endorse or promote products"],
+    "unlicense": ["this is free and unencumbered software released into public domain"],
+    "public-domain": ["dedicated to public domain", "dedicated this work to public domain"],
+    "all-rights": ["all rights reserved"],
+    "copyright": ["copyright", "c *", "©"],
+}
+NEGATIONS = {"not", "never", "no", "isn", "cannot", "nor"}
 #: Licences and the identifier sequences that show them; ``?`` marks one that may be absent,
-#: ``{...}`` is filled from what the sentence names. The first that fits wins.
+#: ``*`` any name, which ``{}`` stands for. The first that fits wins.
+GNU = ("gnu-warranty?", "gnu-more?", "gnu-copy?", "gnu-see?")
 RULES: list[tuple[str, tuple[str, ...]]] = [
-    ("{id}", ("spdx",)),
-    ("Apache-2.0", ("apache-2-under", "apache-2-condition?", "apache-2-copy?", "apache-2-basis?", "apache-2-terms?")),
-    ("AGPL-3.0", ("agpl-3-under", "gpl-later?", "gpl-warranty?", "gpl-more?", "gpl-copy?", "gpl-see?")),
-    ("LGPL-{v}", ("lgpl-under", "gpl-later?", "gpl-warranty?", "gpl-more?", "gpl-copy?", "gpl-see?")),
-    ("GPL-{v}.0", ("gpl-under", "gpl-later?", "gpl-warranty?", "gpl-more?", "gpl-copy?", "gpl-see?")),
-    ("MIT", ("mit-under", "mit-grant?", "mit-notice?", "as-is?")),
-    ("MIT", ("mit-grant", "mit-notice?", "as-is?")),
-    ("ISC", ("isc-grant", "as-is?")),
+    ("{}", ("spdx:*",)),
+    ("{}-or-later", ("gnu:*", "gnu-later", *GNU)),
+    ("{}-only", ("gnu:*", *GNU)),
+    ("Apache-2.0", ("name:Apache-2.0", "apache-condition?", "apache-copy?", "apache-basis?", "apache-terms?")),
+    ("MIT", ("name:MIT", "copyright?", "all-rights?", "mit-grant?", "mit-notice?", "as-is?")),
+    ("ISC", ("name:ISC", "copyright?", "all-rights?", "isc-grant?", "as-is?")),
+    ("BSL-1.0", ("name:BSL-1.0", "boost-grant?")),
+    ("Zlib", ("name:Zlib", "copyright?", "zlib-warranty?", "zlib-grant?", "zlib-origin?", "zlib-altered?")),
+    ("BSD-4-Clause", ("name:BSD-4-Clause", "copyright?", "all-rights?", "bsd-grant", "bsd-source?", "bsd-binary?", "bsd-advertising?", "bsd-endorse?", "as-is?")),
+    ("BSD-3-Clause", ("name:BSD-3-Clause", "copyright?", "all-rights?", "bsd-grant", "bsd-source?", "bsd-binary?", "bsd-endorse?", "as-is?")),
+    ("BSD-2-Clause", ("name:BSD-2-Clause", "copyright?", "all-rights?", "bsd-grant", "bsd-source?", "bsd-binary?", "as-is?")),
+    ("{}", ("name:*",)),
+    ("BSD-4-Clause", ("copyright?", "all-rights?", "bsd-grant", "bsd-source", "bsd-binary", "bsd-advertising", "bsd-endorse", "as-is?")),
     ("BSD-3-Clause", ("copyright?", "all-rights?", "bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "as-is?")),
     ("BSD-2-Clause", ("copyright?", "all-rights?", "bsd-grant", "bsd-source", "bsd-binary", "as-is?")),
-    ("BSD-{v}-Clause", ("bsd-under",)),
-    ("MPL-2.0", ("mpl-2-under",)),
-    ("CC0-1.0", ("cc0",)),
-    ("CC-{kind}-{v}", ("cc",)),
+    ("MIT", ("copyright?", "mit-grant", "mit-notice?", "as-is?")),
+    ("ISC", ("copyright?", "isc-grant", "as-is?")),
+    ("BSL-1.0", ("boost-grant",)),
+    ("Zlib", ("copyright?", "zlib-warranty?", "zlib-grant", "zlib-origin?", "zlib-altered?")),
     ("Unlicense", ("unlicense",)),
-    ("Apache-2.0", ("apache-2-condition", "apache-2-copy?", "apache-2-basis?", "apache-2-terms?")),
+    ("CC0-1.0", ("public-domain",)),
+    ("Apache-2.0", ("apache-condition", "apache-copy?", "apache-basis?", "apache-terms?")),
     ("Proprietary", ("copyright?", "all-rights")),
 ]
 
-#: Every sentence pattern holds one of these, so a sentence without any needs no matching.
-TRIGGER = re.compile(r"licen[cs]|copyright|©|\(c\)|permission|redistribut|warrant|public\W{1,40}domain|unencumbered|all\W{1,40}rights|cc0|as\W{0,40}is|as.{0,3}is|endorse|later\W{1,40}version|gnu\b|free\W{1,40}software\W{1,40}foundation|spdx|apache|law\W{1,40}or\W{1,40}agreed", re.I)
-_END = re.compile(r"(?<=[.!?])\s+|(?<!Identifier:)(?<=:)\s+|\s*\x1e\s*|\n\s*\n")
+SLOT, SLOT_WORDS = "*", 12
+_WORD = re.compile(r"[^\W_]+(?:\.\d+)*|[+©*]")
+_SPLIT = re.compile(r"([a-z]+?)v?(\d+(?:\.\d+)*)")
+_DROPPED = {"the", "a", "an", "version", "v", "ver"}
+
+
+def words_of(sentence: str) -> list[str]:
+    """Lower-case words of a sentence: one spelling of 'license', no articles, versions as bare
+    numbers without a trailing .0, letters and a number behind them apart."""
+    out = []
+    for w in _WORD.findall(sentence.lower().replace("licence", "license").replace("sharealike", "share alike").replace("noncommercial", "non commercial").replace("noderiv", "no deriv")):
+        m = _SPLIT.fullmatch(w)
+        for x in m.groups() if m else (w,):
+            x = x.removesuffix(".0") if x[0].isdigit() else "derivatives" if x == "derivs" else x
+            if x not in _DROPPED:
+                out.append(x)
+    return out
+
+
+def phrases() -> dict[tuple[str, ...], str]:
+    """All known word lists and their identifiers."""
+    out = {}
+    for name, texts in NAMES.items():
+        out.update({tuple(words_of(t)): f"name:{name}" for t in texts})
+    for family, (texts, versions) in FAMILIES.items():
+        for t in texts:
+            for v in versions:
+                for form in (f"{t} {v}", f"{t} as published by free software foundation {v}", f"{t} as published by free software foundation either {v}", f"{v} of {t}", f"{t} as published by free software foundation {v} of license", f"{t} as published by free software foundation either {v} of license", f"{v} or at your option any later version of {t}"):
+                    out[tuple(words_of(form))] = f"gnu:{family}-{v}"
+    for kind, text in COMMONS.items():
+        for v in ("1.0", "2.0", "2.5", "3.0", "4.0"):
+            for form in (f"cc {kind} {v}", f"cc {kind} license {v}", f"creative commons {text} {v}", f"creative commons {kind} {v}", f"creative commons {text} license {v}", f"creative commons {text} {v} international", f"creative commons {text} {v} unported"):
+                out[tuple(words_of(form))] = f"name:CC-{kind}-{v}"
+    out.update({tuple(words_of(t)): "grant" for t in GRANTS})
+    for name, texts in SENTENCES.items():
+        out.update({tuple(words_of(t)): name for t in texts})
+    return out
+
+
+PHRASES = phrases()
+
+
+def _trie() -> dict:
+    root: dict = {}
+    for phrase, name in PHRASES.items():
+        node = root
+        for w in phrase:
+            node = node.setdefault(w, {})
+        node[""] = name
+    return root
+
+
+_TRIE = _trie()
+
+
+def longest(words: list[str], at: int) -> tuple[int, str] | None:
+    """The end and identifier of the longest known phrase from ``at``; a slot takes up to
+    ``SLOT_WORDS`` words, as few as it can."""
+    best, open_ = None, [(_TRIE, at, 0)]
+    while open_:
+        node, n, skipped = open_.pop()
+        if "" in node and n > at and (best is None or n > best[0]):
+            best = n, node[""]
+        if n < len(words):
+            if words[n] in node and words[n] != SLOT:
+                open_.append((node[words[n]], n + 1, 0))
+            if SLOT in node:
+                open_.append((node[SLOT], n + 1, 1))
+            if skipped and skipped < SLOT_WORDS:
+                open_.append((node, n + 1, skipped + 1))
+    return best
+
+
+SPDX = {x.lower(): x for x in [*NAMES, *(f"{f}-{v}{e}" for f, (_, vs) in FAMILIES.items() for v in vs for e in ("", "-only", "-or-later", "+")), *(f"CC-{k}-{v}" for k in COMMONS for v in ("1.0", "2.0", "2.5", "3.0", "4.0")), "Classpath-exception-2.0", "GCC-exception-3.1", "LLVM-exception", "Linux-syscall-note", "OpenSSL", "Python-2.0", "Ruby", "Vim"]}
+
+#: Every known phrase that can begin a rule holds one of these, so a text without any has no licence.
+KEYS = ("licen", "copyright", "©", "(c)", "permission", "redistribut", "unencumbered", "public", "rights", "spdx", "cc0", "cc 0", "cc-0", "cc by", "cc-by", "creative", "gnu", "apache", "warrant", "under", "provided", "governed", "covered", "subject", "gpl", "mit", "bsd")
+#: What other known phrases hold: sentences with neither need no matching.
+MORE = ("endorse", "advertising", "misrepresented", "plainly", "later", "newer", "agreed", "if not", "option", "+")
+
+
+def speaks(text: str, keys: tuple[str, ...] = KEYS + MORE) -> bool:
+    """Whether a text may hold a known phrase; a plain search for each key, faster than one pattern."""
+    low = text.lower()
+    return any(map(low.__contains__, keys))
+
+
+_END = re.compile(r"(?<=[.!?])(?<![ (][vV]\.)\s+|(?<!Identifier:)(?<=:)\s+|\s*\x1e\s*|\n\s*\n")
 #: Comment marks at the ends of a line.
 _OPEN = re.compile(r"[ \t]*(/\*+!?|<!--+|\(\*+|\{-|\"\"\"|\x27\x27\x27|\*+/|\*+\)|--+>|\*+(?![\w*])|//+!?|#+!?|--+(?!>)|;+|%+|\.\.(?=\s)|(?i:rem|dnl)\b|c(?= {2,}))")
 _CLOSE = re.compile(r"[ \t]*(\*+/|--+>|\*+\)|-\}|\"\"\"|\x27\x27\x27|(?<=\s)[*#;|]+)[ \t\r]*$")
@@ -84,9 +233,6 @@ _OWN = re.compile(r"[ \t]*(Copyright\b(?=\s*(\(c\)|©|\d{4}|[A-Z]))|\([cC]\)\s*\
 _ITEM = re.compile(r"[ \t]*-\s")
 _MARKED = re.compile(r"^[ \t]*(/\*|<!--|\(\*|\{-|\"\"\"|\x27\x27\x27|\*|//|#|--|;|%|\.\.|-\s|\([cC]\)|©|Copyright\b|rem\b|dnl\b|c  )|SPDX-License-Identifier:", re.M | re.I)
 _BLOCKS = {"/*": "*/", "<!": "->", "(*": "*)", "{-": "-}", '""': '""', "\x27\x27": "\x27\x27"}
-_COMPILED = [(name, re.compile(p)) for name, p in SENTENCES]
-_KINDS = {"attribution": "by", "noncommercial": "nc", "sharealike": "sa", "noderivatives": "nd", "noderivs": "nd"}
-_WORDS = {"two": "2", "three": "3", "four": "4"}
 
 
 def uncomment(text: str) -> str:
@@ -131,105 +277,114 @@ def sentences(text: str):
         yield at, len(text)
 
 
-def normalise(sentence: str) -> str:
-    """Lower case, one spelling of 'license', no quotes, comment marks or end marks, single spaces."""
-    s = sentence.lower().replace("licence", "license").replace("spdx-license-identifier:", "spdx license identifier ")
-    s = re.sub(r"[\"'`*#“”‘’]|//+", " ", s)
-    return re.sub(r"\s+", " ", s).strip(" .!?:;")
-
-
 def expression(text: str, at: int = 0) -> tuple[str, int] | None:
-    """The longest SPDX expression of lower-case text from ``at`` on, and where it ends."""
-    tokens = [(m[0].rstrip(".:") or m[0], m.start(), m.end()) for m in re.finditer(r"[()]|[a-z0-9][a-z0-9.+:-]*|[^\s()]+", text[at:])]
+    """The longest SPDX expression of a text from ``at`` on, identifiers as SPDX writes them,
+    and where it ends."""
+    tokens = [(m[0].rstrip(".:") or m[0], m.start(), m.end()) for m in re.finditer(r"[()]|[A-Za-z0-9][A-Za-z0-9.+:-]*|[^\s()]+", text[at:])]
+    operators = ("and", "or", "with")
 
     def term(k: int):
         if k < len(tokens) and tokens[k][0] == "(":
             inner = anyof(k + 1)
             return (f"({inner[0]})", inner[1] + 1) if inner and inner[1] < len(tokens) and tokens[inner[1]][0] == ")" else None
-        if k >= len(tokens) or not re.fullmatch(r"[a-z0-9][a-z0-9.+:-]*", tokens[k][0]) or tokens[k][0] in ("and", "or", "with"):
+        if k >= len(tokens) or not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9.+:-]*", tokens[k][0]) or tokens[k][0].lower() in operators:
             return None
-        return tokens[k][0], k + 1
+        return SPDX.get(tokens[k][0].lower(), tokens[k][0]), k + 1
 
     def anyof(k: int):
         left = term(k)
-        while left and left[1] < len(tokens) and tokens[left[1]][0] in ("and", "or", "with"):
+        while left and left[1] < len(tokens) and tokens[left[1]][0].lower() in operators:
             right = term(left[1] + 1)
             if not right:
                 break
             left = f"{left[0]} {tokens[left[1]][0].upper()} {right[0]}", right[1]
         return left
 
-    found = anyof(0)
+    try:
+        found = anyof(0)
+    except RecursionError:  # thousands of brackets are no expression
+        return None
     return found and (found[0], at + tokens[found[1] - 1][2])
 
 
-def identifiers(sentence: str) -> list[tuple[str, dict]]:
-    """The identifiers of a sentence, in order, and what they name; only 'unknown' for one
-    that just mentions a licence."""
-    s = normalise(sentence)
-    found: list[tuple[int, int, str, dict]] = []
-    for name, pattern in _COMPILED:
-        for m in pattern.finditer(s):
-            a, b, named = m.start(), m.end(), {k: v for k, v in m.groupdict().items() if v}
-            if name == "spdx":
-                if not (whole := expression(s, b)):
-                    continue
-                named, b = {"id": whole[0]}, whole[1]
-            if all(b <= x[0] or a >= x[1] for x in found) and not (name == "copyright" and any(x[2] == name for x in found)):
-                found.append((a, b, name, named))
-    if found:
-        return [x[2:] for x in sorted(found, key=lambda x: x[0])]
-    return [("unknown", {})] if re.search(r"\blicens", s) else []
-
-
-def identify(sentence: str) -> tuple[str, dict] | None:
-    """The first identifier of a sentence."""
-    return next(iter(identifiers(sentence)), None)
+_TAG = re.compile(r"spdx-license-identifier:\s*", re.I)
 
 
-def _fill(name: str, named: dict) -> str:
-    if "{" not in name:
-        return name
-    v = _WORDS.get(named.get("v", ""), named.get("v", ""))
-    if "{id}" in name:
-        return named["id"]
-    if "{kind}" in name:
-        kind = named["kind"].replace("non-", "non").replace("share-", "share").replace("no-", "no")
-        for word, short in _KINDS.items():
-            kind = re.sub(rf"-?{word}", f"-{short}", kind).strip("-")
-        return f"CC-{kind.upper()}" + (f"-{v}" if v else "")
-    if name.startswith("LGPL"):
-        v = v if "." in v else v + ".0"
-    return name.replace("{v}", v or "3")
+def identifiers(sentence: str) -> list[str]:
+    """The identifiers of a sentence, in order; only 'unknown' for one that just mentions a licence."""
+    if tag := _TAG.search(sentence):
+        whole = expression(sentence, tag.end())
+        return [f"spdx:{whole[0]}"] if whole else ["unknown"]
+    words = words_of(sentence)
+    found: list[tuple[int, int, str]] = []
+    at = 0
+    while at < len(words):
+        if hit := longest(words, at):
+            found.append((at, hit[0], hit[1]))
+            at = hit[0]
+        else:
+            at += 1
+    out, granted, denied = [], -1, False
+    for k, (a, b, name) in enumerate(found):
+        if not NEGATIONS.isdisjoint(words[max(0, a - 6) : a]) and name not in ("bsd-endorse",) and (not k or found[k - 1][1] <= a - 1):
+            denied = True  # what follows a negation in the sentence is not said of this text
+        if name == "grant":
+            granted = b
+            continue
+        if name.startswith(("name:", "gnu:")):
+            title = a == 0 and len(words) - b <= 4 and (b == len(words) or words[b] in _MONTHS or words[b].isdigit()) and len(words) > 1 + (name == "name:MIT")
+            joined = granted >= 0 and all(w in _JOINING for w in words[granted:a])
+            if not denied and (joined or title):
+                out.append(name)
+                granted = b
+        elif name == "copyright":
+            if a == 0 and name not in out:
+                out.append(name)
+        elif name == "gnu-later":
+            if out and out[-1].startswith("gnu:"):
+                out.append(name)
+        elif not denied:
+            out.append(name)
+    return out or (["unknown"] if any(w.startswith("licens") for w in words) else [])
+
+
+_MONTHS = {"january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"}
+_JOINING = {"or", "and", "both", "either", "license", "licenses", "terms", "of", "following", "this", "s", "its", "same", "as"}
+
+
+def identify(sentence: str) -> str | None:
+    """The first identifier of a sentence."""
+    return next(iter(identifiers(sentence)), None)
 
 
 def scan(text: str | None) -> tuple[list[tuple[str, int, int]], int]:
     """Licences found, (name, start, end) in order, and the number of unknown sentences."""
-    if not text or not TRIGGER.search(text):
+    if not text or not speaks(text, KEYS):
         return [], 0
-    run: list[tuple[str, dict, int, int]] = []
+    run: list[tuple[str, int, int]] = []
     clean = uncomment(text)
     for a, b in sentences(clean):
         part = clean[a:b]
-        if TRIGGER.search(part):
+        if speaks(part):
             a, b = a + len(part) - len(part.lstrip()), b - len(part) + len(part.rstrip())
-            run += [(*found, a, b) for found in identifiers(part)]
+            run += [(found, a, b) for found in identifiers(part)]
     out, at = [], 0
     unknown = sum(r[0] == "unknown" for r in run)
     run = [r for r in run if r[0] != "unknown"]
     while at < len(run):
         for name, rule in RULES:
-            i, named = at, {}
+            i, named = at, ""
             for want in rule:
-                here = i < len(run) and run[i][0] == want.rstrip("?")
+                kind = want.rstrip("?")
+                here = i < len(run) and (run[i][0].startswith(kind[:-1]) if kind[-1] == "*" else run[i][0] == kind)
                 if here:
-                    named |= run[i][1]
+                    named = run[i][0].partition(":")[2] if kind[-1] == "*" else named
                     i += 1
                 elif not want.endswith("?"):
                     break
             else:
                 if i > at:
-                    out.append((_fill(name, named), run[at][2], run[i - 1][3]))
+                    out.append((name.replace("{}", named), run[at][1], run[i - 1][2]))
                     at = i
                     break
         else:
