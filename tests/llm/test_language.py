@@ -150,3 +150,81 @@ def test_scripts_narrow(spark):
     assert allowed["cyrillic"] == ["ru"] and allowed["greek"] == ["el"] and allowed["latin"] == ["en"] and len(allowed["han"]) == 3
     with pytest.raises(ValueError, match="languages"):
         langid.train(docs, max_languages=2)
+
+
+def slow_grams(word):
+    """Buckets of the n-grams of a word with its borders, number by number."""
+    codes = [1, *map(ord, word), 1]
+    for n in (1, 2, 3, 4):
+        for at in range(len(codes) - n + 1):
+            if n == 1 and codes[at] == 1:
+                continue
+            h = 0
+            for c in codes[at : at + n]:
+                h = (h * 0x9E3779B97F4A7C15 + c + 1) % (1 << 64)
+            h = ((h ^ (h >> 31)) * 0xBF58476D1CE4E5B9) % (1 << 64)
+            yield h >> 48
+
+
+def slow_script(word):
+    return [name for first, name in langid.SCRIPTS if first <= ord(word[0])][-1]
+
+
+def slow_model(rows):
+    import math
+    from collections import Counter
+
+    grams, scripts = {}, {}
+    for lang, text in rows:
+        if lang is None or text is None:
+            continue
+        for word in langid.WORD.findall(text.lower()):
+            grams.setdefault(lang, Counter()).update(slow_grams(word))
+            scripts.setdefault(lang, Counter())[slow_script(word)] += len(word)
+    weights = {x: (lambda b, x=x: math.log((grams[x][b] + 0.5) / (sum(grams[x].values()) + 0.5 * 65536))) for x in grams}
+    used = {s for x in scripts for s, n in scripts[x].items() if n >= 0.001 * sum(scripts[x].values())}
+    allowed = lambda s, x: s not in used or scripts[x][s] >= 0.001 * sum(scripts[x].values())
+    return sorted(grams), weights, allowed
+
+
+def slow_label(text, model, penalty=12.0):
+    """(language, score, labels): every path by dynamic programming in plain numbers."""
+    languages, weights, allowed = model
+    words = langid.WORD.findall(text.lower()) if text else []
+    if not words:
+        return "und", 0.0, []
+    table = []
+    for w in words:
+        one = [sum(weights[x](b) for b in slow_grams(w)) / 4 for x in languages]
+        table.append([max(v - max(one), -40) + (0 if allowed(slow_script(w), x) else -40) for x, v in zip(languages, one)])
+    value, paths = list(table[0]), [[k] for k in range(len(languages))]
+    for now in table[1:]:
+        top = value.index(max(value))
+        stay = [v >= value[top] - penalty for v in value]
+        paths = [(paths[k] if stay[k] else paths[top]) + [k] for k in range(len(languages))]
+        value = [(value[k] if stay[k] else value[top] - penalty) + now[k] for k in range(len(languages))]
+    labels = paths[value.index(max(value))]
+    share = [sum(len(w) for w, k in zip(words, labels) if k == x) for x in range(len(languages))]
+    return languages[share.index(max(share))], max(share) / sum(share), labels
+
+
+def test_identification_equals_plain_numbers(spark, sf):
+    rows = [(r.lang, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").where("length(text) < 1500").limit(60).collect()]
+    rows += [("ru", "привет как дела " * 3), ("ru", "hello привет"), (None, "nothing"), ("xx", None), ("xx", "12 --"), *rows[:3]]
+    model = langid.train(spark.createDataFrame([(a, b, 1) for a, b in rows], "lang string, text string, key int"))
+    slow = slow_model(rows)
+    assert list(model.languages) == slow[0]
+    some = sorted({w for _, t in rows if t for w in langid.WORD.findall(t.lower())})[:150]
+    for x, language in enumerate(slow[0]):
+        for w in some[::10]:
+            for b in slow_grams(w):
+                assert abs(model.weights[x][b] - slow[1][language](b)) < 1e-4
+    for s, name in enumerate(langid.NAMES):
+        assert model.allowed[s].tolist() == [slow[2](name, x) for x in slow[0]]
+    texts = [t for _, t in rows] + ["", "привет the and of", "数字 words", " ".join((rows[0][1] or "").split()[:20] + ["как", "дела"] * 8), " ".join((rows[0][1] or "").split()[:20] + ["как", "дела"] * 8)]
+    docs = spark.createDataFrame([(n, t, "a", 0.0) for n, t in enumerate(texts)], "doc_id bigint, text string, lang string, score double")
+    for r in langid.identify(docs, model).collect():
+        lang, score, labels = slow_label(texts[r.id], slow)
+        assert (r.lang, round(r.score, 6)) == (lang, round(score, 6)), texts[r.id]
+        assert [s.lang for s in r.spans] == [slow[0][k] for n, k in enumerate(labels) if not n or labels[n - 1] != k]
+    assert langid.identify(docs.limit(0), model).count() == 0
