@@ -1,5 +1,6 @@
 """Language identification and language-model scoring against brute force."""
 
+import functools
 import math
 import re
 import zlib
@@ -28,58 +29,81 @@ def words(text):
     return re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
 
-def brute(train, texts):
+def brute(train, texts, order):
     """The same model with dictionaries."""
-    unigrams, pairs = Counter(), Counter()
+    start = ("<s>",) * (order - 1)
+
+    def grams(tokens, k):
+        padded = (*start, *tokens)
+        return [padded[at - k + 1 : at + 1] for at in range(order - 1, len(padded))]
+
+    unigrams, counts = Counter(), {order: Counter()}
     for t in train:
         tokens = words(t) + [None]
         unigrams.update(tokens)
-        pairs.update(zip(["<s>", *tokens[:-1]], tokens))
+        counts[order].update(grams(tokens, order))
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])  # distinct words before
     N, V = sum(unigrams.values()), len(unigrams)
-    before = Counter(w for _, w in pairs)
-    history = defaultdict(Counter)
-    for (h, w), c in pairs.items():
-        history[h][w] = c
-    D = lm.discounts([sum(c == k for c in pairs.values()) for k in (1, 2, 3, 4)])
-    L = lm.discounts([sum(c == k for c in before.values()) for k in (1, 2, 3, 4)])
-    cut = lambda d, c: d[min(c, 3) - 1]
-    T = len(pairs)
-    g0 = sum(cut(L, c) for c in before.values()) / T if T else 1
-    low = lambda w: (max(before[w] - cut(L, before[w]), 0) / T if w in before else 0) + g0 / (V + 1)
-
-    def p(h, w):
-        if h not in history:
-            return low(w)
-        total = sum(history[h].values())
-        c = history[h].get(w, 0)
-        return (c - cut(D, c) if c else 0) / total + sum(cut(D, x) for x in history[h].values()) / total * low(w)
+    D = {k: lm.discounts([sum(c == n for c in counts[k].values()) for n in (1, 2, 3, 4)]) for k in counts}
+    histories = {k: defaultdict(Counter) for k in counts}
+    for k in counts:
+        for g, c in counts[k].items():
+            histories[k][g[:-1]][g[-1]] = c
+
+    @functools.cache
+    def p(g):
+        k = len(g)
+        if not k:
+            return 1 / (V + 1)
+        after = histories[k].get(g[:-1])
+        if not after:
+            return p(g[1:])
+        cut = lambda c: D[k][min(c, 3) - 1]
+        c = after.get(g[-1], 0)
+        return (c - cut(c) if c else 0) / sum(after.values()) + sum(map(cut, after.values())) / sum(after.values()) * p(g[1:])
 
     out = []
     for t in texts:
         tokens = words(t) + [None]
         known = [unigrams[w] for w in tokens]
-        out.append((len(tokens), sum(c > 0 for c in known), sum(math.log10((c + 1) / (N + V + 1)) for c in known), sum(math.log10(p(h, w)) for h, w in zip(["<s>", *tokens[:-1]], tokens))))
-    if T:
-        for h in list(history)[:20] + ["never"]:
-            assert abs(sum(p(h, w) for w in unigrams) + p(h, "unknown word") - 1) < 1e-9
+        out.append((len(tokens), sum(c > 0 for c in known), sum(math.log10((c + 1) / (N + V + 1)) for c in known), sum(math.log10(p(g)) for g in grams(tokens, order))))
+    for h in [*list(histories[order])[:20], ("never",) * (order - 1)] if N else []:
+        assert abs(sum(p((*h, w)) for w in unigrams) + p((*h, "unknown word")) - 1) < 1e-9
     return out
 
 
-def test_lm_equals_dictionaries(spark, sf):
+@pytest.mark.parametrize("order", [2, 3, 5])
+def test_lm_equals_dictionaries(spark, sf, order):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").limit(70).collect()]
-    rows += [(9001, None), (9002, ""), (9003, "The THE the É é \x0b x"), (9003, "The THE the É é \x0b x"), (9004, "same " * 20_000)]
+    rows += [(9001, None), (9002, ""), (9003, "The THE the É é \x0b x"), (9003, "The THE the É é \x0b x"), (9004, "same " * 20_000)]
     docs = spark.createDataFrame([(*r, "y") for r in rows], "doc_id bigint, text string, id string")
     train = [t for i, t in rows if i % 3]
-    model = lm.train(docs.where("doc_id % 3 != 0"), shard_tokens=5000)
-    assert model.pairs.bits >= 2 and model.tokens == sum(len(words(t)) + 1 for t in train)
+    model = lm.train(docs.where("doc_id % 3 != 0"), order=order, shard_tokens=5000)
+    assert all(f.bits >= 2 for f in model.levels.values()) and model.tokens == sum(len(words(t)) + 1 for t in train)
     got = sorted((r.id, r.n_tokens, r.n_known, r.base_score, r.score) for r in lm.score(docs, model).collect())
-    want = sorted((i, *w) for (i, _), w in zip(rows, brute(train, [t for _, t in rows])))
+    want = sorted((i, *w) for (i, _), w in zip(rows, brute(train, [t for _, t in rows], order)))
     for g, w in zip(got, want):
         assert g[:3] == w[:3] and g[3] == pytest.approx(w[3]) and g[4] == pytest.approx(w[4]), (g, w)
 
 
+def test_lm_reads_a_bounded_share_of_a_store_that_is_not_mounted(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    model = lm.train(docs, order=3, shard_tokens=5000)
+    reader, small = lm.Reader(model), lm.Reader(model, most_bytes=40_000)
+    small.mounted = False
+    numbers = np.random.default_rng(3).integers(-1, model.vocabulary + 1, (3000, 3))
+    for k in (2, 3):
+        assert all((a == b).all() for a, b in zip(reader.grams(numbers[:, :k]), small.grams(numbers[:, :k])))
+    largest = max(sum(a.nbytes for a in arrays) for arrays in reader.open.values())
+    assert len(small.open) < len(reader.open) and sum(a.nbytes for x in small.open.values() for a in x) <= max(40_000, largest)
+
+
 def test_lm_with_nothing_to_learn(spark):
     docs = spark.createDataFrame([(1, "a b"), (None, None)], "doc_id bigint, text string")
+    with pytest.raises(ValueError, match="order"):
+        lm.train(docs, order=1)
+    assert sorted(r.n_tokens for r in lm.score(docs, lm.train(docs.limit(0), order=3)).collect()) == [1, 3]
     model = lm.train(docs.limit(0))
     assert sorted((r.n_tokens, r.n_known, r.base_score, r.score) for r in lm.score(docs, model).collect()) == [(1, 0, 0.0, 0.0), (3, 0, 0.0, 0.0)]
     assert lm.score(docs.limit(0), model).count() == 0
