@@ -41,7 +41,7 @@ def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     held = langid.held_out(F.col("doc_id"), 7, 2)
-    model = lm.train(docs.where(~held & F.col("doc_id").isNotNull()), order=3)
+    model = lm.train(docs.where(~held & F.col("doc_id").isNotNull()), order=2)
     return lm.score(docs, model).select(F.col("id").alias("doc_id"), langid.held_out(F.col("id"), 7, 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
