@@ -6,7 +6,10 @@ pops is precomputed, so a word costs time linear in its length and only a counte
 is kept. Words recur, so each worker remembers the counts of recent words.
 
 Null and empty texts have no words and no pieces. A word that the vocabulary cannot
-cover counts as one unknown piece. Null ids are kept; repeated rows are counted again.
+cover counts as one unknown piece. Null ids are kept; repeated rows are counted again, and
+each alike. Very long texts and words are counted whole; an empty table gives an empty
+result; other columns, whatever their names, are left out first. There are no ties: the
+longest piece is one.
 """
 
 from __future__ import annotations

@@ -96,6 +96,21 @@ def test_piece_counts_over_texts(spark, sf):
         assert (got[d.doc_id].n_words, got[d.doc_id].n_unknown, got[d.doc_id].n_pieces) == (len(words), each.count(None), sum(x or 1 for x in each))
 
 
+def test_piece_counts_of_odd_tables(spark):
+    first, later = ["ab", "a", "x"], ["b", "bb", "a"]
+    texts = ["ab abb x", "ab abb x", "ab" * 300_000, "ab " * 300_000, "q" * 50_000, None, ""]
+    docs = spark.createDataFrame([(1, t, 7, "n", None) for t in texts], "doc_id int, text string, id int, n_words string, n_pieces double")
+    got = sorted((r.id, r.n_words, r.n_pieces, r.n_unknown) for r in wordpiece.piece_counts(docs, (first, later)).collect())
+    want = []
+    for t in texts:
+        words = re.findall(r"\w+|[^\w\s]|_", t or "")
+        known = {w: greedy(w, set(first), set(later)) if len(w) < 9 else None if w[0] == "q" else len(w) - 1 for w in set(words)}  # ab, then a and b in turn
+        want.append((1, len(words), sum(known[w] or 1 for w in words), sum(known[w] is None for w in words)))
+    assert got == sorted(want)
+    empty = wordpiece.piece_counts(docs.limit(0), (first, later))
+    assert empty.columns == ["id", "n_words", "n_pieces", "n_unknown"] and empty.count() == 0
+
+
 @pytest.mark.parametrize(
     ("text", "want"),
     [
