@@ -95,7 +95,27 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_features(matroska.store_texts(_table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_bpe, op3_lm, op4_records, op5_decontamination, op6_jaccard, op7_language, op8_token_counts, op9_licenses, op10_matroska)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from concord.llm import whiten
+
+    vectors = _table(spark, sf_dir, "embeddings")
+    return whiten.components_of(vectors, whiten.fit(vectors, components=4, scale=256.0)).withColumnRenamed("id", "vec_id")
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from concord.llm import spelling
+
+    return spelling.group(_table(spark, sf_dir, "documents"), spelling.Rules(shortest=7, least=2, ratio=10, noise=31)).select("word", "n", "n_near", "form", "form_n", "root")
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from concord.llm import interleave
+
+    placed = interleave.assign(_table(spark, sf_dir, "documents"), shards=8)
+    return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_bpe, op3_lm, op4_records, op5_decontamination, op6_jaccard, op7_language, op8_token_counts, op9_licenses, op10_matroska, op11_whitening, op12_spelling, op13_sharding)}
 
 SQL: dict[str, str] = {
     # the largest page_id of equal payloads is the response
