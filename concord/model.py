@@ -9,6 +9,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from concord.sources.paths import discard
+
 #: Blocks with more variables than this keep them in one array column.
 WIDE = 100
 
@@ -131,6 +133,7 @@ class FitResult:
         return names
 
     def release(self) -> None:
-        """Give up the cached alignment."""
+        """Give up the cached alignment, or the written one."""
         if self.cached is not None:
             self.cached.unpersist()
+            discard(self.cached)

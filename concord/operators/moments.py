@@ -26,16 +26,17 @@ def stack(batch: pa.RecordBatch, column: str, width: int) -> np.ndarray:
     return flat.reshape(-1, width)
 
 
-def tree_sum(partials: DataFrame, fan_in: int = 16) -> np.ndarray | None:
+def tree_sum(partials: DataFrame, fan_in: int = 16, merge=np.add) -> np.ndarray | None:
     """Add up rows (task, data: doubles of one length) in rounds of ``fan_in`` rows a task,
-    so that neither a task nor the driver gathers the matrices of all tasks."""
+    so that neither a task nor the driver gathers the matrices of all tasks. ``merge``: what
+    makes one array of two, in any order, in place of the sum."""
 
     def add(batches):
         total = None
         for batch in batches:
             for data in batch.column("data").to_pylist():
                 part = np.frombuffer(data)
-                total = part.copy() if total is None else np.add(total, part, out=total)
+                total = part.copy() if total is None else merge(total, part)
         task = TaskContext.get().partitionId()
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["task", "data"])
@@ -47,7 +48,7 @@ def tree_sum(partials: DataFrame, fan_in: int = 16) -> np.ndarray | None:
     total = None
     for row in partials.toLocalIterator():
         part = np.frombuffer(row["data"])
-        total = part.copy() if total is None else total + part
+        total = part.copy() if total is None else merge(total, part)
     return total
 
 
@@ -62,14 +63,14 @@ def partial(function, width: int):
     return run
 
 
-def _partial_stats(table: Block) -> DataFrame:
-    """Rows (v array<double>): row count, then missing, mean and sum of squared deviations
-    of each variable; one row for a wide table, one for each task of a packed one."""
+def _stats(table: Block) -> np.ndarray:
+    """Row count, then missing, mean and sum of squared deviations of each variable."""
     p = len(table.variables)
     if table.layout == "wide" and p <= WIDE:
         columns = [F.col(f"v{k}") for k in range(p)]
         aggs = [F.count(F.lit(1)), *(F.count_if(c.isNull() | F.isnan(c)) for c in columns), *(F.avg(c) for c in columns), *(F.var_pop(c) * F.count(c) for c in columns)]
-        return table.doubles().agg(F.array(*(a.cast("double") for a in aggs)).alias("v"))
+        row = table.doubles().agg(F.array(*(a.cast("double") for a in aggs)).alias("v")).first()
+        return np.array([np.nan if x is None else x for x in row["v"]])
 
     def sums(batches):
         n, bad, mean, m2 = 0, np.zeros(p), np.zeros(p), np.zeros(p)
@@ -81,10 +82,14 @@ def _partial_stats(table: Block) -> DataFrame:
                 own = rows.mean(axis=0)
                 bad += np.isnan(rows).sum(axis=0)
                 n, mean, m2 = _joined(n, mean, m2, len(rows), own, ((rows - own) ** 2).sum(axis=0))
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([[n], bad, mean, m2]).tolist()], pa.list_(pa.float64()))], names=["v"])
+        return np.concatenate([[n], bad, mean, m2]) if n else None
 
-    return table.arrays().mapInArrow(sums, "v array<double>")
+    def merge(a, b):
+        n, mean, m2 = _joined(a[0], a[1 + p : 1 + 2 * p], a[1 + 2 * p :], b[0], b[1 + p : 1 + 2 * p], b[1 + 2 * p :])
+        return np.concatenate([[n], a[1 : 1 + p] + b[1 : 1 + p], mean, m2])
+
+    total = tree_sum(table.arrays().mapInArrow(partial(sums, p), ROW), merge=merge)
+    return np.zeros(1 + 3 * p) if total is None else total
 
 
 def _joined(n: int, mean, m2, k: int, own, own2):
@@ -96,41 +101,45 @@ def _joined(n: int, mean, m2, k: int, own, own2):
 
 def all_column_stats(tables: dict[str, Block]) -> dict[str, dict]:
     """For each table: rows, mean and sample deviation of each variable, and how many of its
-    values are null or NaN. All tables are summed in one job."""
-    parts = [_partial_stats(t).select(F.lit(k).alias("t"), "v") for k, t in enumerate(tables.values())]
-    rows = reduce(DataFrame.unionByName, parts).collect()  # a row of 3p + 1 numbers for each task at most
+    values are null or NaN. What tasks find is merged in a tree."""
     out = {}
-    for k, (name, table) in enumerate(tables.items()):
-        p = len(table.variables)
-        n, bad, mean, m2 = 0, np.zeros(p), np.zeros(p), np.zeros(p)
-        for r in rows:
-            v = np.array([np.nan if x is None else x for x in r["v"]]) if r["t"] == k else np.zeros(1)
-            if v[0]:
-                bad = bad + v[1 : 1 + p]
-                n, mean, m2 = _joined(n, mean, m2, int(v[0]), v[1 + p : 1 + 2 * p], v[1 + 2 * p :])
-        out[name] = {"n": n, "mean": mean, "sd": np.sqrt(m2 / (n - 1)) if n > 1 else np.full(p, np.nan), "bad": bad.astype(int)}
+    for name, table in tables.items():
+        p, v = len(table.variables), _stats(table)
+        n = int(v[0])
+        mean, m2 = (v[1 + p : 1 + 2 * p], v[1 + 2 * p :]) if n else (np.zeros(p), np.zeros(p))
+        out[name] = {"n": n, "mean": mean, "sd": np.sqrt(m2 / (n - 1)) if n > 1 else np.full(p, np.nan), "bad": v[1 : 1 + p].astype(int)}
     return out
 
 
-def aligned_stats(rows: DataFrame, widths: list[int], sql: bool) -> tuple[int, list[int], list[int], list[dict]]:
+def aligned_stats(rows: DataFrame, widths: list[int], sql: bool, read=None) -> tuple[int, list[int], list[int], list[dict]]:
     """From aligned rows whose missing values are null, in one job: individuals, the most rows
-    of an id in each table, individuals of each table, and each table's statistics."""
+    of an id in each table, individuals of each table, and each table's statistics. ``read``:
+    batch -> (counts of rows x tables, values) of its parts, where they are kept otherwise."""
     count, p = len(widths), sum(widths)
     of = np.repeat(np.arange(count), widths)
     if sql:
         x = [F.when(F.col(f"n{of[j]}") > 0, F.col("x")[j]) for j in range(p)]
         bad = [F.count_if((F.col(f"n{of[j]}") > 0) & (F.col("x")[j].isNull() | F.isnan(F.col("x")[j]))) for j in range(p)]
         head = [F.count(F.lit(1)), *(F.max(f"n{k}") for k in range(count)), *(F.count_if(F.col(f"n{k}") > 0) for k in range(count))]
-        parts = [np.array([np.nan if v is None else v for v in rows.agg(*head, *bad, *(F.avg(c) for c in x), *(F.var_pop(c) * F.count(c) for c in x)).first()], dtype=float)]
+        parts = np.array([np.nan if v is None else v for v in rows.agg(*head, *bad, *(F.avg(c) for c in x), *(F.var_pop(c) * F.count(c) for c in x)).first()], dtype=float)
     else:
 
+        def merged(a, b):
+            """Two tasks' (m, most, n, bad, mean, m2)."""
+            n, k = (v[1 + count : 1 + 2 * count][of] for v in (a, b))
+            (bad, mean, m2), (bad2, mean2, m22) = (np.split(v[1 + 2 * count :], 3) for v in (a, b))
+            both = np.maximum(n + k, 1)
+            delta = mean2 - mean
+            head = [a[:1] + b[:1], np.maximum(a[1 : 1 + count], b[1 : 1 + count]), a[1 + count : 1 + 2 * count] + b[1 + count : 1 + 2 * count]]
+            return np.concatenate([*head, bad + bad2, mean + delta * k / both, m2 + m22 + delta**2 * n * k / both])
+
+        def columns(batch):
+            yield np.stack([batch.column(f"n{k}").to_numpy() for k in range(count)], axis=1), stack(batch, "x", p).astype(float)
+
         def sums(batches):
             m, most, n, bad, mean, m2 = 0, np.zeros(count), np.zeros(count), np.zeros(p), np.zeros(p), np.zeros(p)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                values = stack(batch, "x", p).astype(float)
-                flags = np.stack([batch.column(f"n{k}").to_numpy() for k in range(count)])
+            for counts, values in (part for batch in batches if batch.num_rows for part in (read or columns)(batch)):
+                flags = counts.T
                 m, most = m + len(values), np.maximum(most, flags.max(axis=1))
                 for k in range(count):
                     here, own = of == k, values[flags[k] > 0][:, of == k]
@@ -138,20 +147,16 @@ def aligned_stats(rows: DataFrame, widths: list[int], sql: bool) -> tuple[int, l
                         bad[here] += np.isnan(own).sum(axis=0)
                         center = own.mean(axis=0)
                         n[k], mean[here], m2[here] = _joined(n[k], mean[here], m2[here], len(own), center, ((own - center) ** 2).sum(axis=0))
-            if m:
-                yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([[m], most, n, bad, mean, m2]).tolist()], pa.list_(pa.float64()))], names=["v"])
-
-        parts = [np.array(r["v"]) for r in rows.select("x", *(f"n{k}" for k in range(count))).mapInArrow(sums, "v array<double>").collect()]  # a row of 3p numbers for each task
-    m, most, present = 0, np.zeros(count), np.zeros(count)
-    bad, mean, m2 = np.zeros(p), np.zeros(p), np.zeros(p)
-    for v in parts:
-        own = v[1 + count : 1 + 2 * count]
-        b, c, d = np.split(v[1 + 2 * count :], 3)
-        m, most, bad = m + int(v[0]), np.maximum(most, np.nan_to_num(v[1 : 1 + count])), bad + b
-        for k in range(count):
-            here = of == k
-            if own[k]:
-                present[k], mean[here], m2[here] = _joined(present[k], mean[here], m2[here], own[k], c[here], d[here])
+            return np.concatenate([[m], most, n, bad, mean, m2]) if m else None
+
+        chosen = rows if read else rows.select("x", *(f"n{k}" for k in range(count)))
+        parts = tree_sum(chosen.mapInArrow(partial(sums, p), ROW), merge=merged)
+        if parts is None:
+            parts = np.zeros(1 + 2 * count + 3 * p)
+    m, most, present = int(parts[0]), np.nan_to_num(parts[1 : 1 + count]), np.nan_to_num(parts[1 + count : 1 + 2 * count])
+    bad, mean, m2 = (v.copy() for v in np.split(parts[1 + 2 * count :], 3))
+    absent = present[of] == 0
+    bad[absent], mean[absent], m2[absent] = 0, 0, 0
     stats = []
     for k in range(count):
         here, n = of == k, int(present[k])
@@ -189,6 +194,20 @@ def grams(frame: DataFrame, width: int, x_col: str = "x", weights: tuple[str | N
     return list(np.zeros((len(weights), width, width)) if total is None else total.reshape(len(weights), width, width))
 
 
+def column_sums(frame: DataFrame, width: int, x_col: str = "x") -> np.ndarray:
+    """Sums of each place of an array column, in a tree."""
+
+    def run(batches):
+        total = None
+        for batch in batches:
+            own = stack(batch, "x", width).sum(axis=0)
+            total = own if total is None else total + own
+        return total
+
+    total = tree_sum(frame.select(F.col(x_col).alias("x")).mapInArrow(partial(run, width), ROW))
+    return np.zeros(width) if total is None else total
+
+
 def gram(frame: DataFrame, width: int, x_col: str = "x", weight: str | None = None) -> np.ndarray:
     """sum over rows of weight * x x'."""
     return grams(frame, width, x_col, (weight,))[0]

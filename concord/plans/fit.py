@@ -23,12 +23,14 @@ from concord.functions.columns import component
 from concord.functions.stats import correlation_p, p_value
 from concord.model import WIDE, Block, FitResult, table_set
 from concord.operators.align import aligned
-from concord.operators.moments import SQL_LIMIT, aligned_stats, all_column_stats, grams, kernel, stack
+from concord.operators.moments import SQL_LIMIT, aligned_stats, all_column_stats, column_sums, grams, kernel, stack
+from concord.plans.large import Rows, row_blocks, solve_large, unpacked
 from concord.plans.solve import match_method, penalties, solve
+from concord.sources.paths import discard
 
 #: Up to this many variables a projection is a sum of columns; beyond, numpy in Arrow batches.
 PROJECT_LIMIT = 24
-#: The largest matrix that the driver decomposes.
+#: The largest matrix that the driver decomposes; a fit of more variables is iterative.
 DRIVER_LIMIT = 4096
 
 
@@ -99,17 +101,24 @@ def fit(
     p_value_n: str = "all",
     on_duplicate: str = "raise",
     order_col: str | None = None,
+    solver: str = "auto",
+    constant: str = "raise",
 ) -> FitResult:
     """Components shared by all tables.
 
     ``missing="allow"``: individuals may be absent from tables; ``"forbid"``: complete cases,
     unit components. ``p_value_n="available"`` counts a table's own individuals in place of
     all. ``on_duplicate="first"`` keeps the first row of an id by ``order_col``, scaled with
-    the statistics of all rows. Errors are raised before or while the moments are taken.
+    the statistics of all rows. ``constant="drop"`` leaves out variables that do not vary.
+    ``solver``: ``dense`` solves variables x variables on the driver, ``iterative`` keeps them
+    in tiles and iterates; ``auto`` is dense up to ``DRIVER_LIMIT`` variables. Errors are raised
+    before or while the moments are taken.
     """
     method = match_method(method)
     if missing not in ("allow", "forbid") or on_duplicate not in ("raise", "first") or p_value_n not in ("all", "available"):
         raise ValueError("missing is allow or forbid, on_duplicate is raise or first, p_value_n is all or available")
+    if solver not in ("auto", "dense", "iterative") or constant not in ("raise", "drop"):
+        raise ValueError("solver is auto, dense or iterative, constant is raise or drop")
     if on_duplicate == "first" and not order_col:
         raise ValueError("on_duplicate='first' needs order_col")
     blocks = table_set(tables)
@@ -122,51 +131,66 @@ def fit(
         raise ValueError("a table has no variables")
     if nfac < 1:
         raise ValueError("nfac must be positive")
-    if sum(widths) > DRIVER_LIMIT:
-        raise ValueError(f"{sum(widths)} variables in all: more than {DRIVER_LIMIT}; use fit_dual on long assays")
     total, count = sum(widths), len(names)
     of = np.repeat(np.arange(count), widths)
-    packed = total > SQL_LIMIT or any(b.layout == "packed" for b in blocks.values())
+    large = solver == "iterative" or (solver == "auto" and total > DRIVER_LIMIT)
+    packed = large or total > SQL_LIMIT or any(b.layout == "packed" for b in blocks.values())
     ready = {k: first_rows(b, order_col) for k, b in blocks.items()} if on_duplicate == "first" else blocks
-    raw = aligned(ready, packed, keep_missing=True).persist(StorageLevel.MEMORY_AND_DISK)
+    raw = aligned(ready, packed, keep_missing=True)
+    raw = row_blocks(raw, count, total) if large else raw.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        m, most, present, stats = aligned_stats(raw, widths, sql=total <= SQL_LIMIT)
+        m, most, present, stats = aligned_stats(raw, widths, sql=total <= SQL_LIMIT and not large, read=unpacked(count, total) if large else None)
         if on_duplicate == "first":  # scaled with the statistics of all rows
             stats = list(all_column_stats(blocks).values())
         if max(most) > 1:
             raise ValueError(f"table {names[int(np.argmax(most))]} has several rows of one id")
+        keep = np.concatenate([s["sd"] > 1e-15 if constant == "drop" else np.ones(w, bool) for s, w in zip(stats, widths)])
+        rows = raw
+        if not keep.all():
+            blocks, stats, widths, of, total = _varying(blocks, stats, keep)
+            if not all(widths):
+                raise ValueError("a table has no variables that vary")
+            rows = raw if large else _chosen(raw, keep)
         checked(blocks, dict(zip(names, stats)), scale)
         if missing == "forbid" and len(set(present)) > 1:
             raise ValueError("the tables differ in their rows: complete cases are required; see missing='allow'")
         if missing == "forbid" and min(present) < m:
             raise ValueError("the tables describe different individuals: complete cases are required; see missing='allow'")
-        means = np.concatenate([s["mean"] for s in stats])
-        rows = _z(raw, of, means if center else np.zeros(total), np.concatenate([s["sd"] for s in stats])) if scale else raw
+        means, sds = (np.concatenate([s[k] for s in stats]) for k in ("mean", "sd"))
+        shift = means if center and scale else np.zeros(total)
         complete = min(present) == m
-        own, *more = grams(rows, total, weights=(None,) if complete else (None, "1D / ksum"))
-        cross = own / count if complete else more[0]
-        if scale and center and on_duplicate != "first":
-            sums = np.zeros(total)
-        elif on_duplicate == "first":
-            sums = np.array([r or 0.0 for r in rows.agg(*(F.sum(F.col("x")[j]) for j in range(total))).first()])
+        starts = np.concatenate([[0], np.cumsum(widths)])
+        comps = [component(k + 1) for k in range(nfac)]
+        flags = [f"n{k}" for k in range(count)]
+        if large:
+            passes = Rows(raw, widths, shift, sds if scale else np.ones(total), keep)
+            sums, squares = passes.summed(lambda there, z: np.stack([z.sum(axis=0), (z * z).sum(axis=0)]), (2, total))
+            result, products = solve_large(passes, sums, squares, names, values, nfac, m, missing == "forbid", scores)
+            y = passes.project(result.loadings, comps)
+            own = None
         else:
-            sums = means * np.repeat(present, widths) / (np.concatenate([s["sd"] for s in stats]) if scale else 1)
-        result = solve(own, cross, sums, widths, names, values, nfac, m, unit=missing == "forbid")
-    except ValueError:
-        raw.unpersist()
+            rows = _z(rows, of, shift, sds) if scale else rows
+            own, *more = grams(rows, total, weights=(None,) if complete else (None, "1D / ksum"))
+            cross = own / count if complete else more[0]
+            if scale and center and on_duplicate != "first":
+                sums = np.zeros(total)
+            elif on_duplicate == "first":
+                sums = column_sums(rows, total)
+            else:
+                sums = means * np.repeat(present, widths) / (sds if scale else 1)
+            result = solve(own, cross, sums, widths, names, values, nfac, m, unit=missing == "forbid")
+            products, squares = cross @ result.loadings, np.diag(own)
+            y = project(rows, result.loadings, comps, ["id", *flags], "ksum")
+    except BaseException:
+        discard(raw) if large else raw.unpersist()
         raise
-    starts = np.concatenate([[0], np.cumsum(widths)])
-    comps = [component(k + 1) for k in range(nfac)]
-    flags = [f"n{k}" for k in range(count)]
-    y = project(rows, result.loadings, comps, ["id", *flags], "ksum")
 
     def details() -> dict:
-        if complete:  # every table has every individual: sums of components follow from those of variables
+        if complete and own is not None:  # every table has every individual: sums of components follow from those of variables
             totals = np.stack([sums @ result.loadings / count, np.einsum("ij,ik,kj->j", result.loadings, own, result.loadings) / count**2], axis=-1)[None].repeat(count, axis=0)
         else:
             cells = [f(F.when(F.col(flag) > 0, F.col(c) if not square else F.col(c) * F.col(c))) for flag in flags for c in comps for f, square in ((F.sum, False), (F.sum, True))]
             totals = np.array(y.agg(*cells).first(), dtype=float).reshape(count, nfac, 2)
-        products, squares = cross @ result.loadings, np.diag(own)
         r = np.full((total, nfac), np.nan)
         for k, (a, b) in enumerate(zip(starts, starts[1:])):
             n = present[k]
@@ -178,7 +202,7 @@ def fit(
         return report(raw.sparkSession, blocks, names, starts, r, m, present, comps, p_values, p_value_n)
 
     inner = raw.sparkSession.createDataFrame([(c + 1, float(v)) for c, v in enumerate(result.values)], "comp int, eigenvalue double")
-    scored = _scores(rows, names, starts, result.weights, comps) if scores else None
+    scored = (_scores(passes if large else rows, names, starts, result.weights, comps)) if scores else None
     return FitResult(y.select("id", *comps), scored, inner, tuple(map(float, result.values)), tuple(names), m, details, raw)
 
 
@@ -200,14 +224,43 @@ def _z(rows: DataFrame, of: np.ndarray, mean: np.ndarray, sd: np.ndarray) -> Dat
     return rows.select(*flags, "x").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in flags) + ", x array<double>")
 
 
-def _scores(rows: DataFrame, names: list[str], starts, weights: list[np.ndarray], comps: list[str]) -> DataFrame:
+def _varying(blocks: dict[str, Block], stats: list[dict], keep: np.ndarray):
+    """Blocks by name only and statistics of the variables to keep; their widths, tables and number."""
+    at, left, kept_stats = 0, {}, []
+    for (name, b), s in zip(blocks.items(), stats):
+        mine = keep[at : at + len(b.variables)]
+        at += len(b.variables)
+        left[name] = replace(b, variables=tuple(v for v, k in zip(b.variables, mine) if k))
+        kept_stats.append(s | {k: s[k][mine] for k in ("mean", "sd", "bad")})
+    widths = [len(b.variables) for b in left.values()]
+    return left, kept_stats, widths, np.repeat(np.arange(len(widths)), widths), sum(widths)
+
+
+def _chosen(rows: DataFrame, keep: np.ndarray) -> DataFrame:
+    """Aligned rows with some of their values."""
+    flags, chosen, width = [c for c in rows.columns if c != "x"], np.flatnonzero(keep), len(keep)
+    if len(chosen) <= SQL_LIMIT:
+        return rows.select(*flags, F.array(*(F.col("x")[int(j)] for j in chosen)).alias("x"))
+
+    def run(batches):
+        for batch in batches:
+            x = stack(batch, "x", width)[:, chosen]
+            arrays = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * len(chosen), np.ascontiguousarray(x).ravel())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in flags), arrays], names=[*flags, "x"])
+
+    kinds = dict(rows.dtypes)
+    return rows.select(*flags, "x").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in flags) + ", x array<double>")
+
+
+def _scores(rows: DataFrame | Rows, names: list[str], starts, weights: list[np.ndarray], comps: list[str]) -> DataFrame:
     """(table, id, comp1..): rows of the table times its weights, zero for absent ids. One
     scan makes all tables' scores."""
     width = int(starts[-1])
     wide = np.zeros((width, len(names) * len(comps)))
     for k, (a, b) in enumerate(zip(starts, starts[1:])):
         wide[a:b, k * len(comps) : (k + 1) * len(comps)] = weights[k]
-    flat = project(rows, wide, [f"s{k}_{c}" for k in range(len(names)) for c in comps], ["id"])
+    cells = [f"s{k}_{c}" for k in range(len(names)) for c in comps]
+    flat = rows.project(wide, cells, over_ksum=False) if isinstance(rows, Rows) else project(rows, wide, cells, ["id"])
     each = F.array(*(F.struct(F.lit(name).alias("table"), "id", *(F.col(f"s{k}_{c}").alias(c) for c in comps)) for k, name in enumerate(names)))
     return flat.select(F.explode(each).alias("e")).select("e.*")
 

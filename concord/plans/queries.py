@@ -66,6 +66,18 @@ def month_blocks(spark, sf) -> dict[str, Block]:
     return {f"p{p[0]}": Block.packed(own.where(F.col("o_orderpriority") == p), [f"m{k}" for k in range(1, 13)]) for p in PRIORITIES}
 
 
+#: Word buckets of each role's table in ``many_variables_eig``.
+BUCKETS = 2112
+
+
+def role_blocks(spark, sf) -> dict[str, Block]:
+    """What users and what assistants say: counts of hashed words by conversation, in which a
+    role may be missing."""
+    said = table(spark, sf, "conversations").select("conv_id", "role", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).where("word <> ''")
+    cells = said.groupBy(F.col("conv_id").alias("id"), "role", F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int").alias("pos")).agg(F.count("*").alias("value"))
+    return {role: Block.packed(moments.scattered(cells.where(F.col("role") == role).drop("role"), "id", BUCKETS, 0.0), [f"w{k}" for k in range(BUCKETS)]) for role in ("user", "assistant")}
+
+
 def price_matrix(spark, sf) -> DataFrame:
     """(feature = customer, sample = priority, value = mean price), null where there is none."""
     own = table(spark, sf, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.avg("o_totalprice").alias("value"))
@@ -200,6 +212,11 @@ def complete_eig_wide(spark, sf):
     return _eig(fits.fit_complete(embedding_blocks(spark, sf), nfac=4))
 
 
+def many_variables_eig(spark, sf):
+    """A fit of 4,224 variables, which no process holds a matrix of; buckets without a word are left out."""
+    return _eig(fits.fit_incomplete(role_blocks(spark, sf), nfac=2, method="penalized", lam=[20_000.0, 20_000.0], constant="drop", solver="iterative"))
+
+
 def dual_fit(spark, sf):
     """Order priorities as samples, whose number does not grow; all customers and all parts as features."""
     orders = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("feature"), F.col("o_orderpriority").alias("sample"), F.col("o_totalprice").alias("value"))
@@ -475,7 +492,7 @@ def flagship(spark, sf):
     return result.cors
 
 
-QUERIES = {f.__name__: f for f in (zscore_block, scale_only_block, null_check, id_union, id_intersect, id_absent, align_zero_fill, presence_ksum, gram, weighted_cross_gram, complete_eig_1var, complete_components_1var, complete_eig_2var, complete_eig_packed, incomplete_eig_1var, incomplete_components_1var, penalized_eig_1var, incomplete_eig_wide, complete_eig_wide, dual_fit, scores_1var, cors, t_stat, ave, p_values, fit_top_vars_pos, fit_top_vars_neg, fit_top_vars_pcut, fit_significant_vars, top_vars_pos, top_vars_neg, top_vars_pcut, significant_vars, chr_to_num, zero_to_null, drop_sparse_samples, transpose_assay, clean_ids, range_point, range_point_any_chrom, range_within, range_semi, knn_impute, grid, loo_cv_1var, ridge_solve, ridge_looe, plot_inds, plot_vars, label_of_largest, unit_circle, save_load, impute_assay, region_point, complete_scores_1var, incomplete_eig_3tables, p_of_loadings, best_penalty, best_ridge, ridge_inverse, ridge_inverse_looe, first_variables, stack_rows, paired_cors, store_assays, fit_from_path, diagonal_scaling, transpose_packed, kernel, plot_vars_marked)}
+QUERIES = {f.__name__: f for f in (zscore_block, scale_only_block, null_check, id_union, id_intersect, id_absent, align_zero_fill, presence_ksum, gram, weighted_cross_gram, complete_eig_1var, complete_components_1var, complete_eig_2var, complete_eig_packed, incomplete_eig_1var, incomplete_components_1var, penalized_eig_1var, incomplete_eig_wide, complete_eig_wide, many_variables_eig, dual_fit, scores_1var, cors, t_stat, ave, p_values, fit_top_vars_pos, fit_top_vars_neg, fit_top_vars_pcut, fit_significant_vars, top_vars_pos, top_vars_neg, top_vars_pcut, significant_vars, chr_to_num, zero_to_null, drop_sparse_samples, transpose_assay, clean_ids, range_point, range_point_any_chrom, range_within, range_semi, knn_impute, grid, loo_cv_1var, ridge_solve, ridge_looe, plot_inds, plot_vars, label_of_largest, unit_circle, save_load, impute_assay, region_point, complete_scores_1var, incomplete_eig_3tables, p_of_loadings, best_penalty, best_ridge, ridge_inverse, ridge_inverse_looe, first_variables, stack_rows, paired_cors, store_assays, fit_from_path, diagonal_scaling, transpose_packed, kernel, plot_vars_marked)}
 
 
 # ---------------------------------------------------------------- SQL

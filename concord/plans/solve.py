@@ -29,15 +29,16 @@ def penalties(method: str, lam, count: int) -> list[float]:
     return values
 
 
-def cholesky(matrix: np.ndarray, name: str) -> np.ndarray:
+def cholesky(matrix: np.ndarray, name: str, diagonal: np.ndarray | None = None) -> np.ndarray:
     """The lower factor; ``ValueError`` with the table's name if it is not positive definite,
-    also where only rounding makes a pivot positive."""
+    also where only rounding makes a pivot positive. ``diagonal``: that of the whole matrix,
+    where ``matrix`` is what is left of a part of it."""
     try:
         lower = np.linalg.cholesky(matrix)
     except np.linalg.LinAlgError:
         raise ValueError(f"table {name}: its cross-product matrix is not positive definite; use the penalized method") from None
     pivots = np.diag(lower) ** 2
-    if len(pivots) and (pivots <= 1e-12 * np.maximum(np.diag(matrix), 1e-300)).any():
+    if len(pivots) and (pivots <= 1e-12 * np.maximum(np.diag(matrix) if diagonal is None else diagonal, 1e-300)).any():
         raise ValueError(f"table {name}: its variables are linearly dependent; use the penalized method")
     return lower
 
