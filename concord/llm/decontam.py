@@ -2,12 +2,13 @@
 
 The test items are indexed: BM25 impacts, each divided by its item's best possible score,
 in posting lists whose blocks know their largest impact. Every passage of every text is a
-query, and all passages of a slice of texts advance together: block-max WAND with blocks of
-the same items in every list. Lists that cannot lift any item over the threshold never make
-a pivot; a block is opened for a passage only if the largest impacts of the passage's lists
-in it reach the threshold; the items in it that still can are scored whole, and all that
-reach the threshold are retrieved. What is retrieved is verified by the overlap of the
-item's question and of its answer with the passage.
+query. Block-max WAND runs for a bounded batch of passages at a time, one pivot each a turn,
+over wide blocks that are the same in every list: lists that stand before the pivot skip to
+it, and lists that cannot lift any item over the threshold never make one. The pivot's wide
+block, and of that a block, is opened only if the largest impacts of the passage's lists in
+it reach the threshold; the items in it that still can are scored whole, and all that reach
+the threshold are retrieved. What is retrieved is verified by the overlap of the item's
+question and of its answer with the passage.
 
 Passages are windows of two strides, one stride apart; the stride is the item's length
 rounded up to a power of two, so every item that a text holds lies whole in one of them, and
@@ -27,9 +28,10 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -40,6 +42,9 @@ from concord.llm._common import filter_rows, map_texts
 WORD = re.compile(r"\w+")
 K1, B = 1.2, 0.75
 BLOCK = 16  # items in a block
+WIDE = 64  # blocks in a wide block
+ENTRIES = 1 << 16  # lists of all passages that advance together
+POSTINGS = 1 << 19  # parts of lists, or postings, that are looked at together
 SHORTEST = 32  # words that a stride has at least
 
 
@@ -87,79 +92,148 @@ def overlap(wanted: list[str], passage: list[str], n: int) -> float:
 class Group:
     """Items of about one length: lists of postings of their terms, in blocks of items.
 
-    ``items``: (text number, Counter of words, {word: impact}). Items are put in order by their
-    terms, so that alike ones share a block; a block holds the same items in every list and
-    knows each list's largest impact in it. Lists so common that together they give no item
-    half the threshold never make a pivot: a passage needs ``missing[item]`` from the others.
+    ``terms`` and ``impacts``: for each item its distinct terms and what each is worth. Items
+    are put in order by their terms, so that alike ones share a block; a block holds the same
+    items in every list and knows each list's largest impact in it, and ``WIDE`` blocks are a
+    wide block that does so too. Lists so common that together they give no item half the
+    threshold never make a pivot: a passage needs ``missing[item]`` from the others.
     """
 
-    def __init__(self, numbers: list[int], impacts: list[dict[str, float]], stride: int, threshold: float):
+    def __init__(self, numbers: list[int], terms: list[np.ndarray], impacts: list[np.ndarray], words: list[str], stride: int, threshold: float):
         self.stride = stride
-        spread = Counter(w for x in impacts for w in x)
+        size = np.array([len(t) for t in terms])
+        owner, term, impact = np.repeat(np.arange(len(numbers)), size), np.concatenate(terms), np.concatenate(impacts)
+        spread = np.bincount(term, minlength=len(words))
+        known = np.flatnonzero(spread)
+        ranked = np.array(sorted(known.tolist(), key=lambda w: (-spread[w], words[w])))
+        by_term = np.argsort(term, kind="stable")
+        ends = np.cumsum(spread)
         # common terms, the most widespread first, while no item has half the threshold from them
-        share, self.common = np.zeros(len(numbers)), set()
-        holders: dict[str, list[int]] = defaultdict(list)
-        for n, x in enumerate(impacts):
-            for w in x:
-                holders[w].append(n)
-        for w in sorted(spread, key=lambda w: (-spread[w], w)):
-            more = share.copy()
-            more[holders[w]] += [impacts[n][w] for n in holders[w]]
-            if spread[w] < 3 or more.max() > threshold / 2:
+        share, common = np.zeros(len(numbers)), np.zeros(len(words), bool)
+        for w in ranked.tolist():
+            held = by_term[ends[w] - spread[w] : ends[w]]
+            if spread[w] < 3 or (share[owner[held]] + impact[held]).max() > threshold / 2:
                 break
-            share = more
-            self.common.add(w)
-        alike = [sorted((-spread[w], w) for w in x if w not in self.common and spread[w] > 1) for x in impacts]
+            share[owner[held]] += impact[held]
+            common[w] = True
+        rank = np.zeros(len(words), ">i4")
+        rank[ranked] = np.arange(len(ranked))
+        alike = [np.sort(rank[t[~common[t] & (spread[t] > 1)]]).tobytes() for t in terms]
         order = sorted(range(len(numbers)), key=lambda n: (alike[n], n))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
         self.numbers = [numbers[n] for n in order]
-        self.impacts = [impacts[n] for n in order]
+        self.terms, self.impacts = [terms[n].astype(np.int32) for n in order], [impacts[n] for n in order]
         self.missing = threshold - share[order] - 1e-9
         self.blocks = -(-len(order) // BLOCK)
-        self.bar = np.array([self.missing[k * BLOCK : (k + 1) * BLOCK].min() for k in range(self.blocks)])
-        lists: dict[str, list[tuple[int, float]]] = defaultdict(list)
-        for n, x in enumerate(self.impacts):
-            for w, v in x.items():
-                if w not in self.common:
-                    lists[w].append((n, v))
-        self.words = list(lists)
-        # parts: a list's postings in one block; list k has parts start[k]..start[k + 1]
-        start, block, most, first = [0], [], [], []
-        item, impact = [], []
-        for postings in lists.values():
-            last = None
-            for n, v in postings:
-                if n // BLOCK != last:
-                    last = n // BLOCK
-                    block.append(last)
-                    most.append(v)
-                    first.append(len(item))
-                most[-1] = max(most[-1], v)
-                item.append(n)
-                impact.append(v)
-            start.append(len(block))
-        self.start, self.block, self.most = np.array(start), np.array(block, dtype=np.int64), np.array(most)
-        self.first = np.array([*first, len(item)])
-        self.item, self.impact = np.array(item, dtype=np.int64), np.array(impact)
-
-    def candidates(self, terms: np.ndarray, passage: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(passage, item) pairs that may reach the threshold, for distinct (term, passage)."""
-        at, of = _ranges(self.start[terms], self.start[terms + 1])
-        if not len(at):
-            return at, at
-        key = passage[of] * self.blocks + self.block[at]
-        keys, back = np.unique(key, return_inverse=True)
-        live = np.bincount(back, weights=self.most[at]) >= self.bar[keys % self.blocks]
-        chosen = live[back]  # only blocks whose largest impacts reach the threshold are opened
-        posting, of = _ranges(self.first[at[chosen]], self.first[at[chosen] + 1])
-        pair = (key[chosen] // self.blocks)[of] * len(self.numbers) + self.item[posting]
-        pairs, back = np.unique(pair, return_inverse=True)
-        item = pairs % len(self.numbers)
-        full = np.bincount(back, weights=self.impact[posting], minlength=len(pairs)) >= self.missing[item]
-        return pairs[full] // len(self.numbers), item[full]
-
-    def score(self, item: int, words: set[str]) -> float:
-        """The whole score of an item for a passage's words."""
-        return sum(v for w, v in self.impacts[item].items() if w in words)
+        self.bar = np.minimum.reduceat(self.missing, np.arange(0, len(order), BLOCK))
+        self.wide = -(-self.blocks // WIDE)
+        self.wide_bar = np.minimum.reduceat(self.bar, np.arange(0, self.blocks, WIDE))
+        # postings by list and item; parts: a list's postings in one block; wide parts: in WIDE blocks
+        listed = np.flatnonzero(~common[term])
+        self.words = np.flatnonzero((spread > 0) & ~common)
+        number = np.full(len(words), -1, np.int64)
+        number[self.words] = np.arange(len(self.words))
+        item, of = place[owner[listed]], number[term[listed]]
+        turn = np.lexsort((item, of))
+        of, self.item, self.impact = of[turn], item[turn].astype(np.int32), impact[listed][turn]
+        self.own = number.astype(np.int32)
+        self.first, key = _starts(of * self.blocks + self.item // BLOCK)
+        self.block, self.most = (key % self.blocks).astype(np.int32), np.maximum.reduceat(self.impact, self.first[:-1]) if len(key) else np.zeros(0)
+        self.wide_first, self.wide_key = _starts(key // self.blocks * self.wide + key % self.blocks // WIDE)
+        self.wide_most = np.maximum.reduceat(self.most, self.wide_first[:-1]) if len(key) else np.zeros(0)
+        self.start = np.searchsorted(self.wide_key, np.arange(len(self.words) + 1) * self.wide)
+        self.list_most = np.maximum.reduceat(self.wide_most, self.start[:-1]) if len(key) else np.zeros(0)
+
+    def candidates(self, terms: np.ndarray, passage: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(passage, item) pairs that may reach the threshold, for distinct (term, passage) in
+        the order of passages, a bounded batch of passages at a time."""
+        for batch in _batches(passage, np.ones(len(passage), np.int64), ENTRIES):
+            for at, of in self._pivots(terms[batch], passage[batch]):
+                yield from self._opened(at, of)
+
+    def _pivots(self, lists: np.ndarray, passage: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(wide part, passage) of the wide blocks whose largest impacts reach the threshold.
+
+        WAND, all passages of a batch one step a turn: a passage's lists stand in the order of the
+        wide block that each is at; the pivot is the first where the lists up to it, by the most
+        that each gives anywhere, reach the threshold. No wide block before it can; lists that
+        stand before it skip to it, and its bound is the sum of what they give at most in it."""
+        at, end, low = self.start[lists], self.start[lists + 1], self.wide_bar.min()
+        while len(at):
+            here = self.wide_key[at] - lists * self.wide
+            turn = np.lexsort((here, passage))
+            at, end, lists, passage, here = (v[turn] for v in (at, end, lists, passage, here))
+            new = np.diff(passage, prepend=-1) > 0
+            segment = np.cumsum(new) - 1
+            most = self.list_most[lists]
+            total = np.cumsum(most)
+            begun = (total - most)[new]
+            reach = total - begun[segment] >= low
+            pivot = reach & (new | ~np.concatenate([[False], reach[:-1]]))
+            goal = np.full(int(segment[-1]) + 1, -1, np.int64)
+            goal[segment[pivot]] = here[pivot]
+            alive = goal[segment] >= 0
+            at, end, lists, passage, segment = (v[alive] for v in (at, end, lists, passage, segment))
+            if not len(at):
+                return
+            wanted = goal[segment]
+            at = np.maximum(at, np.searchsorted(self.wide_key, lists * self.wide + wanted))
+            met = at < end
+            met[met] = self.wide_key[at[met]] == lists[met] * self.wide + wanted[met]
+            bound = np.bincount(segment[met], weights=self.wide_most[at[met]], minlength=len(goal))
+            live = met & (bound >= self.wide_bar[np.maximum(goal, 0)])[segment]
+            if live.any():
+                yield at[live], passage[live]
+            at = at + met
+            left = at < end
+            at, end, lists, passage = (v[left] for v in (at, end, lists, passage))
+
+    def _opened(self, wide_parts: np.ndarray, passage: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Blocks of the wide blocks that reach the threshold by their largest impacts, and of
+        their items those that do by their own."""
+        for batch in _batches(passage, self.wide_first[wide_parts + 1] - self.wide_first[wide_parts], POSTINGS):
+            part, of = _ranges(self.wide_first[wide_parts[batch]], self.wide_first[wide_parts[batch] + 1])
+            keys, back = np.unique(passage[batch][of] * self.blocks + self.block[part], return_inverse=True)
+            live = np.bincount(back, weights=self.most[part]) >= self.bar[keys % self.blocks]
+            chosen = live[back]
+            part, key = part[chosen], keys[back[chosen]]
+            turn = np.argsort(key, kind="stable")
+            part, key = part[turn], key[turn]
+            for inner in _batches(key, self.first[part + 1] - self.first[part], POSTINGS):
+                posting, of = _ranges(self.first[part[inner]], self.first[part[inner] + 1])
+                if not len(posting):
+                    continue
+                pairs, back = np.unique((key[inner][of] // self.blocks) * len(self.numbers) + self.item[posting], return_inverse=True)
+                item = pairs % len(self.numbers)
+                full = np.bincount(back, weights=self.impact[posting], minlength=len(pairs)) >= self.missing[item]
+                if full.any():
+                    yield pairs[full] // len(self.numbers), item[full]
+
+    def score(self, item: int, inside: np.ndarray) -> float:
+        """The whole score of an item for a passage's terms, sorted."""
+        own = self.terms[item]
+        at = np.searchsorted(inside, own)
+        return float(self.impacts[item][(at < len(inside)) & (inside[np.minimum(at, len(inside) - 1)] == own)].sum())
+
+
+def _starts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal keys begins, and the end; and the keys once."""
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    return np.append(first, len(keys)), keys[first]
+
+
+def _batches(group: np.ndarray, sizes: np.ndarray, most: int) -> Iterator[slice]:
+    """Runs of whole groups whose sizes add up to ``most`` at most, or one group."""
+    if not len(group):
+        return
+    ends = np.append(np.flatnonzero(np.diff(group)) + 1, len(group))
+    total = np.cumsum(sizes)[ends - 1]
+    start, begun = 0, 0
+    while start < len(ends):
+        stop = max(start + 1, int(np.searchsorted(total, begun + most, side="right")))
+        yield slice(int(ends[start - 1]) if start else 0, int(ends[stop - 1]))
+        start, begun = stop, int(total[stop - 1])
 
 
 def _ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,35 +245,34 @@ def _ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 class Index:
     """``items``: (id, text); ``df``, ``total`` and ``mean``: statistics of the whole set. Items
-    whose lengths round up to the same power of two are a group with windows of its own."""
+    whose lengths round up to the same power of two are a group with windows of its own.
+    Everything is numbers: terms of the items have one each, which texts are turned into."""
 
     def __init__(self, items: list[tuple], df: Counter, total: int, mean: float, threshold: float):
-        self.items = [(i, *question_and_answer(t)) for i, t in items]
-        self.threshold = threshold
-        groups: dict[int, tuple[list, list]] = {}
-        for n, (_, text) in enumerate(items):
+        self.threshold, self.items = threshold, []
+        self.terms: dict[str, int] = {}
+        groups: dict[int, tuple[list, list, list]] = {}
+        numbered = lambda words: np.fromiter((self.terms.setdefault(w, len(self.terms)) for w in words), np.int32, len(words))
+        for n, (identifier, text) in enumerate(items):
             words = words_of(text)
-            weight = {w: math.log(1 + (total - df[w] + 0.5) / (df[w] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * len(words) / mean)) for w, c in Counter(words).items()}
-            best = sum(weight.values())
-            numbers, impacts = groups.setdefault(stride_for(len(words)), ([], []))
+            self.items.append((identifier, *map(numbered, question_and_answer(text))))
+            counts = Counter(words)
+            own = numbered(list(counts))
+            weight = np.array([math.log(1 + (total - df[w] + 0.5) / (df[w] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * len(words) / mean)) for w, c in counts.items()])
+            numbers, terms, impacts = groups.setdefault(stride_for(len(words)), ([], [], []))
             numbers.append(n)
-            impacts.append({w: v / best for w, v in weight.items()})
-        self.groups = [Group(*groups[stride], stride, threshold) for stride in sorted(groups)]
-        self.terms: dict[str, int] = {}  # of all groups' lists that can make a pivot
-        for g in self.groups:
-            for w in g.words:
-                self.terms.setdefault(w, len(self.terms))
-        for g in self.groups:
-            g.own = np.full(len(self.terms), -1, np.int64)
-            g.own[[self.terms[w] for w in g.words]] = np.arange(len(g.words))
+            terms.append(own)
+            impacts.append(weight / weight.sum())
+        names = list(self.terms)
+        self.groups = [Group(*groups[stride], names, stride, threshold) for stride in sorted(groups)]
 
     def search(self, texts: list[str | None], limits: Limits) -> list[tuple]:
         """(row, item id, score, question overlap, answer overlap, first word, words) of each
         item that a text holds, at the passage where its score is best, the first of equals."""
-        found = [words_of(t) for t in texts]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
         get, absent = self.terms.get, repeat(-1)
-        hits = np.fromiter(chain.from_iterable(map(get, words, absent) for words in found), np.int64, int(lengths.sum()))
+        found = [np.fromiter(map(get, words, absent), np.int32, len(words)) for words in map(words_of, texts)]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        hits = np.concatenate(found) if found else np.zeros(0, np.int32)
         place = np.flatnonzero(hits >= 0)
         if not len(place):
             return []
@@ -214,23 +287,25 @@ class Index:
             step = place[mine] // g.stride
             late = first[row[mine]] + step  # passage p covers strides p and p + 1
             inner = step > 0
-            held = np.sort(np.concatenate([late, late[inner] - 1]) * len(g.words) + np.concatenate([own[mine], own[mine][inner]]))
+            own = own[mine].astype(np.int64)
+            held = np.sort(np.concatenate([late, late[inner] - 1]) * len(g.words) + np.concatenate([own, own[inner]]))
             held = held[np.diff(held, prepend=-1) > 0]
-            passages, items = g.candidates(held % len(g.words), held // len(g.words))
-            last, inside = -1, set()
-            for p, item in zip(passages.tolist(), items.tolist()):
-                r = int(np.searchsorted(first, p, side="right")) - 1
-                at = int(p - first[r]) * g.stride
-                words = found[r][at : at + 2 * g.stride]
-                if p != last:
-                    last, inside = p, set(words)
-                score = g.score(item, inside)
-                n = g.numbers[item]
-                if score >= self.threshold - 1e-9 and score > best.get((r, n), (0, 0, -1.0))[2]:
-                    identifier, question, answer = self.items[n]
-                    q, a = overlap(question, words, limits.question_words), overlap(answer, words, limits.answer_words)
-                    if q >= limits.question and a >= limits.answer:
-                        best[r, n] = (r, identifier, score, q, a, at, len(words))
+            for passages, items in g.candidates(held % len(g.words), held // len(g.words)):
+                last, words, inside = -1, None, None
+                for p, item in zip(passages.tolist(), items.tolist()):
+                    r = int(np.searchsorted(first, p, side="right")) - 1
+                    at = int(p - first[r]) * g.stride
+                    if p != last:
+                        last, words = p, found[r][at : at + 2 * g.stride]
+                        inside = np.unique(words[words >= 0])
+                    score, n = g.score(item, inside), g.numbers[item]
+                    old = best.get((r, n))
+                    if score >= self.threshold - 1e-9 and (old is None or score > old[2] or (score == old[2] and at < old[5])):
+                        identifier, question, answer = self.items[n]
+                        passage = words.tolist()
+                        q, a = overlap(question.tolist(), passage, limits.question_words), overlap(answer.tolist(), passage, limits.answer_words)
+                        if q >= limits.question and a >= limits.answer:
+                            best[r, n] = (r, identifier, score, q, a, at, len(words))
         return list(best.values())
 
 
@@ -239,7 +314,7 @@ def stride_for(words: int) -> int:
     return max(SHORTEST, 1 << (words - 1).bit_length())
 
 
-def build(items: DataFrame, id_col: str = "item_id", text_col: str = "text", limits: Limits | None = None, max_index_bytes: int = 32 << 20, max_bytes: int = 1 << 30) -> list[Index]:
+def build(items: DataFrame, id_col: str = "item_id", text_col: str = "text", limits: Limits | None = None, max_index_bytes: int = 8 << 20, max_bytes: int = 64 << 20) -> list[Index]:
     """The index of all items, in shards of at most ``max_index_bytes`` of text (or one item);
     ``ValueError`` for more than ``max_bytes`` in all, which bounds what the driver holds."""
     limits = limits or Limits()

@@ -158,6 +158,22 @@ def test_search_equals_the_whole_rule(limits):
         assert got == slow_leaks(texts, items, limits) and got
 
 
+@pytest.mark.parametrize(("block", "wide", "entries", "postings"), [(2, 2, 40, 60), (1, 3, 1, 1), (16, 1, 1 << 16, 1 << 19)])
+def test_batches_and_blocks_of_any_size_find_the_same(monkeypatch, block, wide, entries, postings):
+    for name, value in (("BLOCK", block), ("WIDE", wide), ("ENTRIES", entries), ("POSTINGS", postings)):
+        monkeypatch.setattr(decontam, name, value)
+    test_search_equals_the_whole_rule(decontam.Limits(0.3, 0.2, 0.2))
+
+
+def test_batches_are_bounded():
+    group = np.repeat(np.arange(7), [3, 1, 9, 2, 2, 1, 4])
+    for most in (1, 4, 5, 100):
+        parts = list(decontam._batches(group, np.ones(len(group), np.int64), most))
+        assert np.array_equal(np.concatenate([group[p] for p in parts]), group)
+        assert all(p.stop - p.start <= most or len(set(group[p])) == 1 for p in parts)
+        assert all(group[a.stop - 1] != group[b.start] for a, b in zip(parts, parts[1:]))
+
+
 def test_recall_of_planted_items(sf):
     """Exact items and items with a tenth of their words changed, in the middle of other text."""
     import pyarrow.parquet as pq
