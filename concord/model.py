@@ -92,7 +92,8 @@ class FitResult:
     """Frames of a fit. ``y``: id, comp1..; ``cors`` and ``p_values``: table, var_pos,
     variable, comp, r or p; ``scores``: table, id, comp1..; ``ave_x``: table, comp, ave;
     ``ave_outer``: comp, ave; ``ave_inner``: comp, eigenvalue. Correlations and what follows
-    from them are made by ``details`` when first asked for."""
+    from them are made by ``details`` when first asked for. ``weights`` (of dual fits): table,
+    variable, comp, weight."""
 
     y: DataFrame
     scores: DataFrame | None
@@ -102,6 +103,8 @@ class FitResult:
     n_ids: int
     details: Callable[[], dict]
     cached: DataFrame | None = None
+    weights: DataFrame | None = None
+    written: tuple[DataFrame, ...] = ()
 
     @cached_property
     def _details(self) -> dict:
@@ -136,4 +139,10 @@ class FitResult:
         """Give up the cached alignment, or the written one."""
         if self.cached is not None:
             self.cached.unpersist()
-            discard(self.cached)
+            discard(self.cached, *self.written)
+
+    def in_order(self) -> DataFrame:
+        """``y`` with ``position``: places of the ids in binary order, from 0."""
+        from concord.operators.align import numbered
+
+        return numbered(self.y, "id")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from concord.model import Block
+from concord.sources.paths import materialize
 
 
 def _ids(table: Block | DataFrame) -> DataFrame:
@@ -16,9 +17,41 @@ def _ids(table: Block | DataFrame) -> DataFrame:
     return table.select(F.col("id").cast("string").alias("id"))
 
 
-def id_union(tables: list) -> DataFrame:
-    """All individuals of any table, once."""
-    return reduce(DataFrame.unionByName, map(_ids, tables)).distinct()
+def numbered(frame: DataFrame, *order: str, name: str = "position") -> DataFrame:
+    """``frame`` with places in the order of columns, from 0. Rows are dealt by ranges and
+    numbered within them; each range begins where the counts of those before it end, so no
+    task sees all rows. Rows that tie in ``order`` get places in any order."""
+    ranged = materialize(frame.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "numbered")
+    counts = sorted((r["_range"], r["count"]) for r in ranged.groupBy("_range").count().collect())  # a row for each range
+    starts, total = [], 0
+    for part, count in counts:
+        starts.append((part, total))
+        total += count
+    begun = frame.sparkSession.createDataFrame(starts, "_range int, _start bigint")
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return ranged.withColumn("_inside", inside).join(F.broadcast(begun), "_range").select(*frame.columns, (F.col("_start") + F.col("_inside")).alias(name))
+
+
+def id_union(tables: list, order: str | None = None, order_col: str | None = None) -> DataFrame:
+    """All individuals of any table, once. With ``order`` they have a ``position`` from 0:
+    ``sorted`` in binary order of ids; ``first`` as they first appear, table after table and
+    in each by ``order_col``; ``auto`` as they first appear if all tables have as many rows,
+    else sorted."""
+    if order is None:
+        return reduce(DataFrame.unionByName, map(_ids, tables)).distinct()
+    if order not in ("sorted", "first", "auto"):
+        raise ValueError("order is sorted, first or auto")
+    if order == "auto":
+        rows = reduce(DataFrame.unionByName, [_ids(t).agg(F.count("*").alias("n")) for t in tables]).distinct().count()
+        order = "first" if rows == 1 else "sorted"
+    if order == "sorted":
+        return numbered(id_union(tables), "id")
+    if not order_col:
+        raise ValueError("the order of first appearance needs order_col")
+    frames = [t.frame if isinstance(t, Block) else t for t in tables]
+    ids = [F.col(t.id_col if isinstance(t, Block) else "id").cast("string").alias("id") for t in tables]
+    stacked = reduce(DataFrame.unionByName, [f.select(i, F.struct(F.lit(n).alias("t"), F.col(order_col).alias("at")).alias("place")) for n, (f, i) in enumerate(zip(frames, ids))])
+    return numbered(stacked.groupBy("id").agg(F.min("place").alias("place")), "place", "id").select("id", "position")
 
 
 def id_intersect(a, b) -> DataFrame:

@@ -151,10 +151,23 @@ def unit_circle(spark, points: int = 100) -> DataFrame:
     return spark.range(points).select(F.col("id").alias("step")).select("step", F.cos(angle).alias("x"), F.sin(angle).alias("y"))
 
 
-def svg(points: DataFrame, size: int = 400, most: int = 20_000) -> str:
-    """A drawing of at most ``most`` points of a plot's data, as SVG text."""
-    rows = points.select("x", "y", "color").where("x is not null and y is not null").limit(most).collect()
-    reach = max([1e-12, *(max(abs(r.x), abs(r.y)) for r in rows)])
+def plot_bins(points: DataFrame, bins: int = 100) -> DataFrame:
+    """(color, bin_x, bin_y, n, x, y, reach): all points of a plot, counted in ``bins`` x ``bins``
+    cells of a square around the origin that holds them, with the middle of each cell's
+    points. Its size follows the cells and colours, not the points."""
+    known = points.select("x", "y", "color").where("x is not null and y is not null")
+    reach = known.agg(F.max(F.greatest(F.abs("x"), F.abs("y"))).alias("reach")).select(F.greatest(F.coalesce("reach", F.lit(0.0)), F.lit(1e-12)).alias("reach"))
+    cell = lambda c: F.least(F.floor((F.col(c) / F.col("reach") + 1) / 2 * bins), F.lit(bins - 1)).cast("int")
+    placed = known.crossJoin(F.broadcast(reach)).select("color", "x", "y", "reach", cell("x").alias("bin_x"), cell("y").alias("bin_y"))  # one row
+    return placed.groupBy("color", "bin_x", "bin_y", "reach").agg(F.count("*").alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y")).select("color", "bin_x", "bin_y", "n", "x", "y", "reach")
+
+
+def svg(points: DataFrame, size: int = 400, bins: int = 100) -> str:
+    """A drawing of all points of a plot's data, as SVG text: a dot for each cell of
+    :func:`plot_bins`, the larger the more points it has, with their number as its title."""
+    rows = plot_bins(points, bins).orderBy("color", "bin_x", "bin_y").collect()  # cells x colours
+    reach = rows[0]["reach"] if rows else 1.0
     place = lambda v: round(size / 2 * (1 + v / reach * 0.95), 2)
-    dots = "".join(f'<circle cx="{place(r.x)}" cy="{place(-r.y)}" r="3" fill="{r.color}"/>' for r in rows)
+    wide = lambda n: round(min(3 + n.bit_length() - 1, 3 + size / bins), 2)
+    dots = "".join(f'<circle cx="{place(r.x)}" cy="{place(-r.y)}" r="{wide(r.n)}" fill="{r.color}"><title>{r.n}</title></circle>' for r in rows)
     return f'<svg xmlns="http://www.w3.org/2000/svg" width="{size}" height="{size}"><path d="M0 {size / 2}H{size}M{size / 2} 0V{size}" stroke="silver"/>{dots}</svg>'

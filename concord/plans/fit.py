@@ -23,10 +23,10 @@ from concord.functions.columns import component
 from concord.functions.stats import correlation_p, p_value
 from concord.model import WIDE, Block, FitResult, table_set
 from concord.operators.align import aligned
-from concord.operators.moments import SQL_LIMIT, aligned_stats, all_column_stats, column_sums, grams, kernel, stack
+from concord.operators.moments import SQL_LIMIT, aligned_stats, all_column_stats, column_sums, gram, grams, placed, stack
 from concord.plans.large import Rows, row_blocks, solve_large, unpacked
 from concord.plans.solve import match_method, penalties, solve
-from concord.sources.paths import discard
+from concord.sources.paths import discard, materialize
 
 #: Up to this many variables a projection is a sum of columns; beyond, numpy in Arrow batches.
 PROJECT_LIMIT = 24
@@ -109,7 +109,8 @@ def fit(
     ``missing="allow"``: individuals may be absent from tables; ``"forbid"``: complete cases,
     unit components. ``p_value_n="available"`` counts a table's own individuals in place of
     all. ``on_duplicate="first"`` keeps the first row of an id by ``order_col``, scaled with
-    the statistics of all rows. ``constant="drop"`` leaves out variables that do not vary.
+    the statistics of all rows. ``method="ginv"``: least-norm fits where variables depend on
+    each other, by generalised inverses. ``constant="drop"`` leaves out variables that do not vary.
     ``solver``: ``dense`` solves variables x variables on the driver, ``iterative`` keeps them
     in tiles and iterates; ``auto`` is dense up to ``DRIVER_LIMIT`` variables. Errors are raised
     before or while the moments are taken.
@@ -133,6 +134,8 @@ def fit(
         raise ValueError("nfac must be positive")
     total, count = sum(widths), len(names)
     of = np.repeat(np.arange(count), widths)
+    if method == "ginv" and (solver == "iterative" or total > DRIVER_LIMIT):
+        raise ValueError(f"generalised inverses are for up to {DRIVER_LIMIT} variables and the dense solver")
     large = solver == "iterative" or (solver == "auto" and total > DRIVER_LIMIT)
     packed = large or total > SQL_LIMIT or any(b.layout == "packed" for b in blocks.values())
     ready = {k: first_rows(b, order_col) for k, b in blocks.items()} if on_duplicate == "first" else blocks
@@ -178,7 +181,7 @@ def fit(
                 sums = column_sums(rows, total)
             else:
                 sums = means * np.repeat(present, widths) / (sds if scale else 1)
-            result = solve(own, cross, sums, widths, names, values, nfac, m, unit=missing == "forbid")
+            result = solve(own, cross, sums, widths, names, values, nfac, m, unit=missing == "forbid", ginv=method == "ginv")
             products, squares = cross @ result.loadings, np.diag(own)
             y = project(rows, result.loadings, comps, ["id", *flags], "ksum")
     except BaseException:
@@ -310,33 +313,61 @@ def fit_packed(tables, *args, outfile: str | None = None, **more) -> FitResult:
     return out
 
 
-def fit_dual(assays: dict[str, DataFrame], lam, nfac: int = 2, p_values: bool = True) -> FitResult:
+def feature_rows(assay: DataFrame, samples: list[str], name: str) -> DataFrame:
+    """(feature, x) of an assay in long form, z-scores over the samples in one array: one
+    shuffle by feature, written for the passes that follow. ``ValueError`` for a feature
+    that is constant or has not one value for each sample."""
+    cells = placed(assay.select(F.col("feature").cast("string").alias("feature"), F.col("sample").cast("string").alias("sample"), F.col("value").cast("double").alias("value")), "sample", samples)
+    grouped = cells.groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("cells"))
+    rows = grouped.select("feature", F.transform("cells", lambda c: c["pos"]).alias("pos"), F.transform("cells", lambda c: c["value"]).alias("x"))
+    width = len(samples)
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            whole = np.array(batch.column("pos").value_lengths()) == width
+            x = np.full((batch.num_rows, width), np.nan)
+            if whole.any():
+                chosen = batch.filter(pa.array(whole))
+                pos, values = stack(chosen, "pos", width), stack(chosen, "x", width).astype(float)
+                x[np.flatnonzero(whole)[(pos == np.arange(width)).all(axis=1)]] = values[(pos == np.arange(width)).all(axis=1)]
+            with np.errstate(invalid="ignore", divide="ignore"):
+                sd = x.std(axis=1, ddof=1) if width > 1 else np.zeros(len(x))
+                bad = ~(sd > 1e-15 * np.maximum(1, np.abs(x).max(axis=1)))
+                z = (x - x.mean(axis=1, keepdims=True)) / sd[:, None]
+            if bad.any():
+                raise ValueError(f"assay {name}: feature {batch.column('feature')[int(bad.argmax())]} is constant, or lacks samples or has several values for one")
+            arrays = pa.ListArray.from_arrays(np.arange(len(z) + 1, dtype=np.int32) * width, z.ravel())
+            yield pa.RecordBatch.from_arrays([batch.column("feature"), arrays], names=["feature", "x"])
+
+    return materialize(rows.mapInArrow(run, "feature string, x array<double>"), "dual-features")
+
+
+def fit_dual(assays: dict[str, DataFrame], lam, nfac: int = 2, p_values: bool = True, scores: bool = False) -> FitResult:
     """Penalized fit of assays with many more features than samples, in long form (feature,
     sample, value): only kernels, samples x samples, are formed. Features are z-scored over
     the samples that the assay has; a sample absent from an assay is an absent individual.
-    At most 4096 samples; each must have a value for every feature of its assay."""
+    At most 4096 samples; each must have a value for every feature of its assay. ``scores``
+    come with ``weights``: (table, variable, comp, weight), as many as there are features.
+
+    One shuffle an assay makes a row of each feature; a pass adds up kernels, and another
+    makes correlations and weights of each row."""
     names = list(assays)
     values = penalties("penalized", lam, len(names))
     spark = next(iter(assays.values())).sparkSession
-    per = {}
-    for k, a in assays.items():
-        found = [r[0] for r in a.select(F.col("sample").cast("string")).distinct().orderBy("sample").limit(DRIVER_LIMIT + 1).collect()]
-        if len(found) > DRIVER_LIMIT:
-            raise ValueError(f"assay {k} has more than {DRIVER_LIMIT} samples")
-        per[k] = found
-    samples = sorted(set().union(*per.values()))
-    m = len(samples)
-    at = {s: n for n, s in enumerate(samples)}
-    total, ksum, z = np.zeros((m, m)), np.zeros(m), {}
-    for name, lam_i in zip(names, values):
-        a = assays[name].select(F.col("feature").cast("string").alias("feature"), F.col("sample").cast("string").alias("sample"), F.col("value").cast("double").alias("value"))
-        stats = a.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.count("value").alias("n"))
-        bad = stats.where((F.col("n") != len(per[name])) | F.col("sd").isNull() | (F.col("sd") <= 0)).limit(1).collect()
-        if bad:
-            raise ValueError(f"assay {name}: feature {bad[0]['feature']} is constant, or lacks samples or has several values for one")
-        z[name] = a.join(stats, "feature").select("feature", "sample", ((F.col("value") - F.col("mean")) / F.col("sd")).alias("value"))
-        k = kernel(z[name], per[name])
-        where = [at[s] for s in per[name]]
+    found = reduce(DataFrame.unionByName, [a.select(F.lit(k).alias("k"), F.col("sample").cast("string").alias("sample")) for k, a in enumerate(assays.values())]).distinct().limit(len(names) * (DRIVER_LIMIT + 1)).collect()
+    per = [sorted(r["sample"] for r in found if r["k"] == k) for k in range(len(names))]
+    if over := [n for n, own in zip(names, per) if len(own) > DRIVER_LIMIT]:
+        raise ValueError(f"assay {over[0]} has more than {DRIVER_LIMIT} samples")
+    samples = sorted(set().union(*per))
+    m, at = len(samples), {s: n for n, s in enumerate(samples)}
+    total, ksum = np.zeros((m, m)), np.zeros(m)
+    rows, kernels = [], []
+    for name, own, lam_i in zip(names, per, values):
+        rows.append(feature_rows(assays[name], own, name))
+        k, where = gram(rows[-1], len(own)), [at[s] for s in own]
+        kernels.append(k)
         total[np.ix_(where, where)] += k @ np.linalg.inv(k + lam_i * np.eye(len(where)))
         ksum[where] += 1
     half = 1 / np.sqrt(ksum)
@@ -346,29 +377,49 @@ def fit_dual(assays: dict[str, DataFrame], lam, nfac: int = 2, p_values: bool =
         raise ValueError(f"there are fewer than {nfac} components")
     y = np.sqrt(len(names)) * half[:, None] * vectors
     comps = [component(c + 1) for c in range(nfac)]
-    frame = spark.createDataFrame([(s, *map(float, y[n])) for n, s in enumerate(samples)], "id string, " + ", ".join(f"{c} double" for c in comps))
+    # what a feature is multiplied with: the components for its correlations, these for its weights
+    inside = [y[[at[s] for s in own]] for own in per]
+    alphas = [np.linalg.solve(k + v * np.eye(len(k)), own) for k, v, own in zip(kernels, values, inside)]
+    spread = [np.sqrt(np.maximum(((k @ a) ** 2).sum(axis=0) - (k @ a).sum(axis=0) ** 2 / m, 0) / (m - 1)) for k, a in zip(kernels, alphas)]
+    alphas = [a / np.where(s > 0, s, 1.0) for a, s in zip(alphas, spread)]
     parts = []
-    for name in names:
-        inside = y[[at[s] for s in per[name]]]
-        moments = [(inside[:, c].sum(), (inside[:, c] ** 2).sum()) for c in range(nfac)]
-        n = len(per[name])
-        joined = z[name].join(F.broadcast(frame), z[name]["sample"] == frame["id"])  # at most 4096 rows
-        sums = joined.groupBy("feature").agg(F.sum("value").alias("sx"), F.sum(F.col("value") * F.col("value")).alias("sxx"), *(F.sum(F.col("value") * F.col(c)).alias(f"p{c}") for c in comps))
-        cor = [F.try_divide(F.col(f"p{c}") - F.col("sx") * sy / n, F.sqrt((F.col("sxx") - F.col("sx") * F.col("sx") / n) * float(syy - sy * sy / n))) for c, (sy, syy) in zip(comps, ((float(a), float(b)) for a, b in moments))]
-        each = F.array(*(F.struct(F.lit(c + 1).alias("comp"), r.alias("r"), F.col(f"p{name_}").alias("product")) for c, (r, name_) in enumerate(zip(cor, comps))))
-        parts.append(sums.select(F.lit(len(parts)).alias("k"), F.lit(name).alias("table"), F.col("feature").alias("variable"), F.explode(each).alias("e")).select("k", "table", "variable", "e.*"))
-    cors = reduce(DataFrame.unionByName, parts).persist(StorageLevel.MEMORY_AND_DISK)
-    top = cors.groupBy("comp").agg(F.max(F.abs("product")).alias("top"))
-    first = cors.join(F.broadcast(top), "comp").where(F.abs("product") >= (1 - 1e-8) * F.col("top")).groupBy("comp").agg(F.min_by("product", F.struct("k", "variable")).alias("product"))
+    for k, (name, frame) in enumerate(zip(names, rows)):
+        centred = inside[k] - inside[k].mean(axis=0)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            unit = centred / np.linalg.norm(centred, axis=0) / np.sqrt(len(per[k]) - 1)
+
+        def run(batches, unit=unit, own=inside[k], alpha=alphas[k], width=len(per[k])):
+            for batch in batches:
+                x = stack(batch, "x", width)
+                cells = np.concatenate([np.clip(x @ unit, -1, 1), x @ own, x @ alpha], axis=1)
+                arrays = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * cells.shape[1], np.ascontiguousarray(cells).ravel())
+                yield pa.RecordBatch.from_arrays([batch.column("feature"), arrays], names=["feature", "cells"])
+
+        each = F.array(*(F.struct(F.lit(c + 1).alias("comp"), *(F.nanvl(F.col("cells")[c + n * nfac], F.lit(None).cast("double")).alias(v) for n, v in enumerate(("r", "product", "weight")))) for c in range(nfac)))
+        parts.append(frame.mapInArrow(run, "feature string, cells array<double>").select(F.lit(k).alias("k"), F.lit(name).alias("table"), F.col("feature").alias("variable"), F.explode(each).alias("e")).select("k", "table", "variable", "e.*"))
+    held = reduce(DataFrame.unionByName, parts).persist(StorageLevel.MEMORY_AND_DISK)
+    top = held.groupBy("comp").agg(F.max(F.abs("product")).alias("top"))
+    first = held.join(F.broadcast(top), "comp").where(F.abs("product") >= (1 - 1e-8) * F.col("top")).groupBy("comp").agg(F.min_by("product", F.struct("k", "variable")).alias("product"))
     sign = {r["comp"]: -1.0 if r["product"] < 0 else 1.0 for r in first.collect()}  # a row for each component
-    y = y * np.array([sign[c + 1] for c in range(nfac)])
-    frame = spark.createDataFrame([(s, *map(float, y[n])) for n, s in enumerate(samples)], frame.schema)
-    flip = F.element_at(F.array(*(F.lit(sign[c + 1]) for c in range(nfac))), F.col("comp"))
-    numbered = cors.withColumn("var_pos", (F.dense_rank().over(Window.partitionBy("table").orderBy("variable")) - 1).cast("int"))
-    held, cors = cors, numbered.select("table", "var_pos", "variable", "comp", (F.col("r") * flip).alias("r"))
-    ave_x = cors.groupBy("table", "comp").agg(F.avg(F.col("r") * F.col("r")).alias("ave"))
-    ave_outer = cors.groupBy("comp").agg(F.avg(F.col("r") * F.col("r")).alias("ave"))
+    turn = np.array([sign[c + 1] for c in range(nfac)])
+    columns = ", ".join(f"{c} double" for c in comps)
+    y = y * turn
+    frame = spark.createDataFrame([(s, *map(float, y[n])) for n, s in enumerate(samples)], f"id string, {columns}")
+    flip = F.element_at(F.array(*(F.lit(float(v)) for v in turn)), F.col("comp"))
+    placed_ = held.select("table", "variable").distinct().withColumn("var_pos", (F.row_number().over(Window.partitionBy("table").orderBy("variable")) - 1).cast("int"))
+    cors = held.join(placed_, ["table", "variable"]).select("table", "var_pos", "variable", "comp", (F.col("r") * flip).alias("r"))
+    ave_x = held.groupBy("table", "comp").agg(F.avg(F.col("r") * F.col("r")).alias("ave"))
+    ave_outer = held.groupBy("comp").agg(F.avg(F.col("r") * F.col("r")).alias("ave"))
     tested = cors.select("table", "var_pos", "variable", "comp", p_value(F.col("r"), m).alias("p")) if p_values else None
     inner = spark.createDataFrame([(c + 1, float(v)) for c, v in enumerate(eigen)], "comp int, eigenvalue double")
+    scored = weights = None
+    if scores:
+        made = []
+        for name, own, k, alpha in zip(names, per, kernels, alphas):
+            mine = np.zeros((m, nfac))
+            mine[[at[s] for s in own]] = k @ alpha * turn
+            made += [(name, s, *map(float, mine[n])) for n, s in enumerate(samples)]
+        scored = spark.createDataFrame(made, f"table string, id string, {columns}")
+        weights = held.select("table", "variable", "comp", (F.col("weight") * flip).alias("weight"))
     frames = {"cors": cors, "p_values": tested, "ave_x": ave_x, "ave_outer": ave_outer}
-    return FitResult(frame, None, inner, tuple(map(float, eigen)), tuple(names), m, lambda: frames, held)
+    return FitResult(frame, scored, inner, tuple(map(float, eigen)), tuple(names), m, lambda: frames, held, weights, tuple(rows))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-METHODS = ("solve", "penalized")
+METHODS = ("solve", "penalized", "ginv")
 
 
 def match_method(method: str) -> str:
@@ -19,7 +19,7 @@ def match_method(method: str) -> str:
 
 
 def penalties(method: str, lam, count: int) -> list[float]:
-    if method == "solve":
+    if method in ("solve", "ginv"):
         return [0.0] * count
     if lam is None:
         raise ValueError("the penalized method needs lam, one value for each table")
@@ -43,6 +43,36 @@ def cholesky(matrix: np.ndarray, name: str, diagonal: np.ndarray | None = None)
     return lower
 
 
+def pivoted_cholesky(matrix: np.ndarray, tol: float = 1e-10) -> np.ndarray:
+    """L, p x rank, with L L' = matrix: each step takes the largest pivot that is left, until
+    none exceeds ``tol`` of the variable's own square, so that dependent variables add no column."""
+    left, size = np.array(matrix, dtype=float), np.maximum(np.diag(matrix), 1e-300)
+    diagonal, columns = np.diag(left).copy(), []
+    for _ in range(len(left)):
+        k = int(np.argmax(diagonal / size))
+        if not diagonal[k] > tol * size[k]:
+            break
+        column = left[:, k] - (np.stack(columns, axis=1) @ np.array([c[k] for c in columns]) if columns else 0.0)
+        column = column / np.sqrt(diagonal[k])
+        columns.append(column)
+        diagonal = diagonal - column**2
+        diagonal[k] = 0.0
+    return np.stack(columns, axis=1) if columns else np.zeros((len(left), 0))
+
+
+def half_inverse(matrix: np.ndarray, lam: float, name: str, ginv: bool = False) -> np.ndarray:
+    """W with W W' = (matrix + lam)^-1; with ``ginv`` the generalised inverse, of which W has
+    as many columns as the matrix has rank."""
+    if ginv:
+        lower = pivoted_cholesky(matrix)
+        if not lower.shape[1]:
+            raise ValueError(f"table {name}: its variables are all zero")
+        # (L L')^+ = L (L'L)^-2 L': the least-norm solution
+        return np.linalg.solve(lower.T @ lower, lower.T).T
+    lower = cholesky(matrix + lam * np.eye(len(matrix)), name)
+    return np.linalg.solve(lower, np.eye(len(matrix))).T
+
+
 @dataclass
 class Solution:
     """``values``: eigenvalues. ``loadings`` (P x F): components are rows times these, over
@@ -61,20 +91,21 @@ def sign_of(products: np.ndarray) -> np.ndarray:
     return np.where(products[first, np.arange(products.shape[1])] < 0, -1.0, 1.0)
 
 
-def solve(own: np.ndarray, cross: np.ndarray, sums: np.ndarray, widths: list[int], names: list[str], lam: list[float], nfac: int, m: int, unit: bool = False) -> Solution:
+def solve(own: np.ndarray, cross: np.ndarray, sums: np.ndarray, widths: list[int], names: list[str], lam: list[float], nfac: int, m: int, unit: bool = False, ginv: bool = False) -> Solution:
     """Top components from moments.
 
     ``own``: P x P of which the diagonal blocks are X_i' X_i; ``cross``: Xc' Ksum^-1 Xc for
     all tables side by side; ``sums``: column sums; ``m``: individuals. The non-zero
     eigenvalues of the m x m problem are those of W' cross W with W = blockdiag(L_i^-T).
     ``unit``: components of complete cases, unit vectors with eigenvalues times the number
-    of tables."""
+    of tables. ``ginv``: generalised inverses, so that variables may depend on each other."""
     n, p = len(widths), sum(widths)
     starts = np.concatenate([[0], np.cumsum(widths)])
-    lowers = [cholesky(own[a:b, a:b] + v * np.eye(b - a), name) for a, b, v, name in zip(starts, starts[1:], lam, names)]
-    w = np.zeros((p, p))
-    for a, b, lower in zip(starts, starts[1:], lowers):
-        w[a:b, a:b] = np.linalg.solve(lower, np.eye(b - a)).T
+    halves = [half_inverse(own[a:b, a:b], v, name, ginv) for a, b, v, name in zip(starts, starts[1:], lam, names)]
+    ends = np.concatenate([[0], np.cumsum([h.shape[1] for h in halves])])
+    w = np.zeros((p, ends[-1]))
+    for k, half in enumerate(halves):
+        w[starts[k] : starts[k + 1], ends[k] : ends[k + 1]] = half
     g = w.T @ cross @ w
     values, vectors = np.linalg.eigh((g + g.T) / 2)
     values, vectors = values[::-1], vectors[:, ::-1]
@@ -89,7 +120,7 @@ def solve(own: np.ndarray, cross: np.ndarray, sums: np.ndarray, widths: list[int
         values = values * n
     weights = []
     for k, (a, b) in enumerate(zip(starts, starts[1:])):
-        raw = np.linalg.solve(lowers[k].T, np.linalg.solve(lowers[k], products[a:b]))
+        raw = halves[k] @ (halves[k].T @ products[a:b])
         mean = sums[a:b] @ raw / m
         variance = (np.einsum("ij,ik,kj->j", raw, own[a:b, a:b], raw) - m * mean**2) / (m - 1)
         weights.append(raw / np.sqrt(np.maximum(variance, 0)))

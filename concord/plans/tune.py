@@ -9,9 +9,9 @@ from pyspark.storagelevel import StorageLevel
 
 from concord.model import Block, table_set
 from concord.operators.align import aligned
-from concord.operators.moments import ROW, SQL_LIMIT, aligned_stats, gram, partial, stack, tree_sum
+from concord.operators.moments import ROW, SQL_LIMIT, aligned_stats, gram, kernel, partial, stack, tree_sum
 from concord.operators.prep import grid
-from concord.plans.fit import _z, checked
+from concord.plans.fit import DRIVER_LIMIT, _z, checked
 
 
 def default_grid(count: int = 5, low: float = 0.001, high: float = 1.0) -> list[float]:
@@ -152,3 +152,28 @@ def ridge_looe_inverse(frame: DataFrame, x: list[str], y: str, lambdas: list[flo
     variables x variables, which holds what the inverse over individuals would."""
     best, found = ridge_looe(frame, x, y, lambdas, **grid_options)
     return best, ridge_inverse(gram(_xy(frame, x, y), len(x) + 1)[:-1, :-1], best), found
+
+
+def kernel_looe(values: DataFrame, y: DataFrame, lambdas: list[float] | None = None, nlambdas: int = 100, max_lambda: float = 1.0) -> tuple[float, DataFrame, np.ndarray, list[str]]:
+    """Leave-one-out of ridge regression where features outnumber samples. ``values``: (feature,
+    sample, value), missing cells are 0; ``y``: (sample, value). The kernel of samples is
+    summed over features in Spark and taken apart once; with G = (kernel + lambda)^-1 sample i
+    is missed by (G y)_i / G_ii. Returns the best penalty, (lambda, looe) of all, G at the best
+    one, and the samples in its order. At most 4096 samples."""
+    lambdas = list(lambdas) if lambdas is not None else default_grid(nlambdas, 0.001, max_lambda)
+    found = y.select(F.col("sample").cast("string").alias("sample"), F.col("value").cast("double").alias("value")).limit(DRIVER_LIMIT + 1).collect()
+    if len(found) > DRIVER_LIMIT:
+        raise ValueError(f"more than {DRIVER_LIMIT} samples")
+    known = {r["sample"]: r["value"] for r in found}
+    if len(known) < len(found) or None in known.values():
+        raise ValueError("each sample needs one value")
+    samples = sorted(known)
+    target = np.array([known[s] for s in samples])
+    k = kernel(values.select(F.col("feature").cast("string").alias("feature"), F.col("sample").cast("string").alias("sample"), F.col("value").cast("double").alias("value")), samples)
+    eigen, vectors = np.linalg.eigh(k)
+    weight = 1 / (np.maximum(eigen, 0)[:, None] + np.array(lambdas)[None, :])
+    missed = (vectors @ (weight * (vectors.T @ target)[:, None])) / ((vectors**2) @ weight)
+    looe = (missed**2).sum(axis=0)
+    best = float(lambdas[int(np.argmin(looe))])
+    frame = values.sparkSession.createDataFrame([(float(v), float(e)) for v, e in zip(lambdas, looe)], "lambda double, looe double")
+    return best, frame, ridge_inverse(lam=best, eigen=(eigen, vectors)), samples
