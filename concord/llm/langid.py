@@ -34,6 +34,8 @@ BUCKETS = 1 << 16
 ORDERS = (1, 2, 3, 4)
 #: Bytes of text that a worker handles at once: its words and their n-grams take many times that.
 SLICE = 2 << 20
+#: Text counts as a language if its n-grams are this far up from what another language has.
+LEAST_LIKE = 0.4
 #: Unicode ranges of scripts: first code point and name; a range ends where the next begins.
 SCRIPTS: list[tuple[int, str]] = [
     (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0780, "other"),
@@ -78,22 +80,34 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 @dataclass(frozen=True)
 class Model:
-    """``weights``: languages x buckets, log probabilities; ``allowed``: scripts x languages."""
+    """``weights``: languages x buckets, log probabilities; ``allowed``: scripts x languages;
+    ``used``: the same, false where no language uses a script; ``usual``: what an n-gram of a
+    language has on average; ``least``: what text must have to count as that language."""
 
     languages: tuple[str, ...]
     weights: np.ndarray
     allowed: np.ndarray
     name: str = ""
+    used: np.ndarray | None = None
+    usual: np.ndarray | None = None
+    least: np.ndarray | None = None
 
     def score(self, words: list[str]) -> np.ndarray:
         """Words x languages: log likelihoods, centred; barred languages far below."""
+        return self.rated(words)[0]
+
+    def rated(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """:meth:`score`, and of each word the largest log likelihood that was taken off, its
+        number of n-grams and its script."""
         owner, bucket, script, _ = features(words)
         total = np.zeros((len(words), len(self.languages)), np.float32)
         for n, row in enumerate(self.weights):
             total[:, n] = np.bincount(owner, weights=row[bucket], minlength=len(words))
         total /= len(ORDERS)
-        total -= total.max(axis=1, keepdims=True)
-        return np.maximum(total, -40) + np.where(self.allowed[script], 0, -40).astype(np.float32)
+        most = total.max(axis=1, keepdims=True)
+        total -= most
+        total = np.maximum(total, -40) + np.where(self.allowed[script], 0, -40).astype(np.float32)
+        return total, most[:, 0], np.bincount(owner, minlength=len(words)).astype(np.float32), script.astype(np.int16)
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", smoothing: float = 0.5, script_share: float = 0.001, max_languages: int = 512) -> Model:
@@ -128,8 +142,23 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", s
     scripts = np.stack([a[BUCKETS:] for _, a in sums]).astype(np.float64)
     weights = np.log((counts + smoothing) / (counts.sum(axis=1, keepdims=True) + smoothing * BUCKETS))
     allowed = (scripts >= script_share * np.maximum(1, scripts.sum(axis=1, keepdims=True))).T
+    used = allowed.copy()
     allowed[~allowed.any(axis=1)] = True  # a script that no language uses narrows nothing
-    return Model(tuple(k for k, _ in sums), weights.astype(np.float32), allowed, uuid.uuid4().hex)
+    usual, least = _likelihoods(counts, weights)
+    return Model(tuple(k for k, _ in sums), weights.astype(np.float32), allowed, uuid.uuid4().hex, used, usual, least)
+
+
+def _likelihoods(counts: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each language the mean log probability of its own n-grams, and the least that text
+    must have on average to be taken for it: ``LEAST_LIKE`` of the way up from what the most
+    alike other language has under it, or, with a single language, from that of an n-gram never
+    seen. Everything follows from the counts of the whole training text."""
+    shares = counts / np.maximum(1, counts.sum(axis=1, keepdims=True))
+    crossed = shares @ weights.T  # row: whose n-grams, column: under which language
+    usual = np.diag(crossed).copy()
+    others = np.where(np.eye(len(usual), dtype=bool), -np.inf, crossed).max(axis=0)
+    others = np.where(np.isfinite(others), others, weights.min(axis=1))
+    return usual, others + LEAST_LIKE * (usual - others)
 
 
 def viterbi(scores: np.ndarray, words: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarray:
@@ -177,12 +206,15 @@ class Labeller:
         self.limit = max(1, min(limit, most_bytes // (4 * max(1, len(model.languages)))))
         self.index: dict[str, int] = {}
         self.scores = np.zeros((min(self.limit, 1 << 14), len(model.languages)), np.float32)
+        self.most, self.grams, self.script = (np.zeros(len(self.scores), t) for t in (np.float32, np.float32, np.int16))
 
-    def __call__(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """Language and score of each text, the label of every word, and word counts."""
+    def __call__(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Language and score of each text, the label of every word, word counts, and the share
+        of each text's letters that is identified: in words whose label uses their script,
+        where all such words of the label in the text are likely enough under it."""
         count = len(self.model.languages)
         if not count:
-            return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(0, np.int16), np.zeros(len(texts), np.int64)
+            return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(0, np.int16), np.zeros(len(texts), np.int64), np.zeros(len(texts))
         index = self.index
         found = [WORD.findall(t.lower()) if t else [] for t in texts]
         fresh = set().union(*found).difference(index)
@@ -196,7 +228,9 @@ class Labeller:
                 grown = np.zeros((max(len(index), min(self.limit, 2 * len(self.scores))), count), np.float32)
                 grown[:at] = self.scores[:at]
                 self.scores = grown
-            self.scores[at : len(index)] = self.model.score(fresh)
+                self.most, self.grams, self.script = (np.append(v[:at], np.zeros(len(grown) - at, v.dtype)) for v in (self.most, self.grams, self.script))
+            part = slice(at, len(index))
+            self.scores[part], self.most[part], self.grams[part], self.script[part] = self.model.rated(fresh)
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         words = np.fromiter((index[w] for f in found for w in f), np.int64, int(lengths.sum()))
         letters = np.fromiter((len(w) for f in found for w in f), np.int64, len(words))
@@ -207,7 +241,21 @@ class Labeller:
         score = share[np.arange(len(found)), best] / np.maximum(share.sum(axis=1), 1)
         lettered = np.array([bool(t) and any(map(str.isalpha, t)) for t in texts])  # digits of other kinds are no letters
         lang = [self.model.languages[b] if n else "und" for b, n in zip(best.tolist(), lettered.tolist())]
-        return lang, np.where(lettered, score, 0.0), label, lengths
+        return lang, np.where(lettered, score, 0.0), label, lengths, self._identified(words, owner, label, letters, len(found))
+
+    def _identified(self, words: np.ndarray, owner: np.ndarray, label: np.ndarray, letters: np.ndarray, texts: int) -> np.ndarray:
+        model, count = self.model, len(self.model.languages)
+        if model.used is None or not len(words):
+            return np.zeros(texts)
+        ours = model.used[self.script[words], label]
+        key = owner * count + label
+        bins = lambda weights: np.bincount(key[ours], weights=weights[ours], minlength=texts * count).reshape(-1, count)
+        grams = self.grams[words]
+        likely = (self.scores[words, label] + self.most[words]) * len(ORDERS)
+        total = bins(grams)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            good = bins(likely) / total >= model.least
+        return np.where(good, bins(letters), 0.0).sum(axis=1) / np.maximum(np.bincount(owner, weights=letters, minlength=texts), 1)
 
 
 def labeller_for(model: Model, penalty: float) -> Labeller:
@@ -221,7 +269,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(ids, texts):
-        lang, score, label, lengths = labeller_for(shared.value, penalty)(texts)
+        lang, score, label, lengths, _ = labeller_for(shared.value, penalty)(texts)
         spans: list = [[]] * len(ids)
         if with_spans:
             ends = np.cumsum(lengths)
@@ -232,13 +280,15 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", penalty: float = 12.0, least_score: float = 0.5) -> DataFrame:
-    """The rows, with all their columns, whose text has a language that covers at least
-    ``least_score`` of its letters; ``und`` goes."""
+    """The rows, with all their columns, of whose text at least ``least_score`` of the letters
+    are in spans of identified languages, however many these are: the script must be one that
+    the language uses, and the span as likely as text of that language is. ``und`` goes, and
+    so does text in languages or scripts that were not learnt, and noise."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(texts):
-        lang, score, *_ = labeller_for(shared.value, penalty)(texts)
-        return [x != "und" and s >= least_score for x, s in zip(lang, score.tolist())]
+        lang, *_, known = labeller_for(shared.value, penalty)(texts)
+        return [x != "und" and s >= least_score for x, s in zip(lang, known.tolist())]
 
     return filter_rows(docs, text_col, keep, max_bytes=SLICE)
 

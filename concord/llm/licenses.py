@@ -12,7 +12,8 @@ it was.
 
 Null and empty texts have no licences. Null ids are kept; repeated rows are scanned again;
 very long texts are scanned whole; of phrases that start at one word the longest wins, of
-rules the first; an empty table gives an empty result; other columns, whatever their names,
+rules the first; a version of a GNU licence is ``-only`` where a text is licensed under it and
+neither where it is a title; licences named without a version keep their family's name; an empty table gives an empty result; other columns, whatever their names,
 are left out first.
 """
 
@@ -28,6 +29,7 @@ from concord.llm._common import map_texts
 NAMES: dict[str, list[str]] = {
     "0BSD": ["zero clause bsd license", "bsd zero clause license", "0 bsd", "bsd 0 clause license"],
     "AFL-3.0": ["academic free license 3"],
+    "Apache": ["apache license", "apache software license"],
     "Apache-1.1": ["apache license 1.1", "apache software license 1.1"],
     "Apache-2.0": ["apache license 2", "apache software license 2", "apache 2 license", "apache 2", "asl 2", "apache public license 2"],
     "APSL-2.0": ["apple public source license 2"],
@@ -166,6 +168,7 @@ def phrases() -> dict[tuple[str, ...], str]:
             for v in versions:
                 for form in (f"{t} {v}", f"{t} as published by free software foundation {v}", f"{t} as published by free software foundation either {v}", f"{v} of {t}", f"{t} as published by free software foundation {v} of license", f"{t} as published by free software foundation either {v} of license", f"{v} or at your option any later version of {t}"):
                     out[tuple(words_of(form))] = f"gnu:{family}-{v}"
+        out.update({tuple(words_of(t)): f"name:{family}" for t in texts})  # no version said
     for kind, text in COMMONS.items():
         for v in ("1.0", "2.0", "2.5", "3.0", "4.0"):
             for form in (f"cc {kind} {v}", f"cc {kind} license {v}", f"creative commons {text} {v}", f"creative commons {kind} {v}", f"creative commons {text} license {v}", f"creative commons {text} {v} international", f"creative commons {text} {v} unported"):
@@ -224,7 +227,7 @@ def speaks(text: str, keys: tuple[str, ...] = KEYS + MORE) -> bool:
     return any(map(low.__contains__, keys))
 
 
-_END = re.compile(r"(?<=[.!?])(?<![ (][vV]\.)\s+|(?<!Identifier:)(?<=:)\s+|\s*\x1e\s*|\n\s*\n")
+_END = re.compile(r"(?<=[.!?])(?<![ (][vV]\.)\s+|(?<!Identifier:)(?<![Ll]icense:)(?<![Ll]icence:)(?<!LICENSE:)(?<![Ll]icense\x22:)(?<!Classifier:)(?<!::)(?<=:)\s+(?!:)|\s*\x1e\s*|\n\s*\n")
 #: Comment marks at the ends of a line.
 _OPEN = re.compile(r"[ \t]*(/\*+!?|<!--+|\(\*+|\{-|\"\"\"|\x27\x27\x27|\*+/|\*+\)|--+>|\*+(?![\w*])|//+!?|#+!?|--+(?!>)|;+|%+|\.\.(?=\s)|(?i:rem|dnl)\b|c(?= {2,}))")
 _CLOSE = re.compile(r"[ \t]*(\*+/|--+>|\*+\)|-\}|\"\"\"|\x27\x27\x27|(?<=\s)[*#;|]+)[ \t\r]*$")
@@ -308,6 +311,28 @@ def expression(text: str, at: int = 0) -> tuple[str, int] | None:
 
 
 _TAG = re.compile(r"spdx-license-identifier:\s*", re.I)
+#: A field of a manifest, or a classifier.
+_FIELD = re.compile(r"\s*(?:classifier:\s*)?[\"\x27]?licen[cs]e[\"\x27]?\s*(?:::?|=)\s*[\"\x27]?(.*?)[\"\x27]?[\s,;.]*", re.I | re.S)
+#: Words of which one must come before a plain 'under'.
+VERBS = {"licensed", "released", "distributed", "redistributed", "available", "published", "provided", "offered", "shared", "redistribute", "modify", "use", "copy", "issued", "made", "dual", "relicensed", "shipped"}
+
+
+def _lone(text: str) -> bool:
+    """Whether the text is an SPDX identifier and nothing else."""
+    return SPDX.get(text.lower()) == text and text not in ("BSD", "Apache")
+
+
+def field(sentence: str) -> list[str] | None:
+    """The identifiers of a manifest field such as ``License: MIT`` or of a classifier; None
+    if the sentence is neither."""
+    m = _FIELD.fullmatch(sentence)
+    if not m or not m[1].strip():
+        return None
+    value = m[1].rpartition("::")[2].strip()
+    whole = expression(value)
+    if whole and not value[whole[1] :].strip() and all(x.lower() in SPDX for x in re.findall(r"[A-Za-z0-9][A-Za-z0-9.+:-]*", whole[0]) if x not in ("AND", "OR", "WITH")):
+        return [f"spdx:{whole[0]}"]
+    return identifiers(f"licensed under {value}")
 
 
 def identifiers(sentence: str) -> list[str]:
@@ -315,6 +340,11 @@ def identifiers(sentence: str) -> list[str]:
     if tag := _TAG.search(sentence):
         whole = expression(sentence, tag.end())
         return [f"spdx:{whole[0]}"] if whole else ["unknown"]
+    alone = sentence.strip()
+    if _lone(alone):
+        return [f"spdx:{alone}"]
+    if (named := field(sentence)) is not None:
+        return named
     words = words_of(sentence)
     found: list[tuple[int, int, str]] = []
     at = 0
@@ -326,16 +356,20 @@ def identifiers(sentence: str) -> list[str]:
             at += 1
     out, granted, denied = [], -1, False
     for k, (a, b, name) in enumerate(found):
-        if not NEGATIONS.isdisjoint(words[max(0, a - 6) : a]) and name not in ("bsd-endorse",) and (not k or found[k - 1][1] <= a - 1):
+        if _negated(words, a) and name not in ("bsd-endorse",) and (not k or found[k - 1][1] <= a - 1):
             denied = True  # what follows a negation in the sentence is not said of this text
         if name == "grant":
-            granted = b
+            if words[a:b] != ["under"] or (a and words[a - 1] in ("is", "are")) or not VERBS.isdisjoint(words[max(0, a - 12) : a]):
+                granted = b
             continue
         if name.startswith(("name:", "gnu:")):
             title = a == 0 and len(words) - b <= 4 and (b == len(words) or words[b] in _MONTHS or words[b].isdigit()) and len(words) > 1 + (name == "name:MIT")
             joined = granted >= 0 and all(w in _JOINING for w in words[granted:a])
+            if words[a:b] == ["mit"] and b < len(words) and words[b] not in _AFTER:
+                continue  # the institute
             if not denied and (joined or title):
-                out.append(name)
+                # a title does not say whether later versions will do
+                out.append(name if joined or not name.startswith("gnu:") else f"name:{name[4:]}")
                 granted = b
         elif name == "copyright":
             if a == 0 and name not in out:
@@ -348,6 +382,13 @@ def identifiers(sentence: str) -> list[str]:
     return out or (["unknown"] if any(w.startswith("licens") for w in words) else [])
 
 
+def _negated(words: list[str], at: int) -> bool:
+    """Whether a negation stands in the six words before; ``n't`` is the word ``t``."""
+    return any(w in NEGATIONS or (w == "t" and k and words[k - 1].endswith("n")) for k, w in enumerate(words[:at]) if k >= at - 6)
+
+
+#: What may follow a bare 'MIT' that names the licence.
+_AFTER = {"license", "licenses", "licensed", "or", "and", "as", "with", "terms", "unless", "see", "c", "copyright", "©", "for", "by"}
 _MONTHS = {"january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"}
 _JOINING = {"or", "and", "both", "either", "license", "licenses", "terms", "of", "following", "this", "s", "its", "same", "as"}
 
@@ -365,7 +406,7 @@ def scan(text: str | None) -> tuple[list[tuple[str, int, int]], int]:
     clean = uncomment(text)
     for a, b in sentences(clean):
         part = clean[a:b]
-        if speaks(part):
+        if speaks(part) or _lone(part.strip()):
             a, b = a + len(part) - len(part.lstrip()), b - len(part) + len(part.rstrip())
             run += [(found, a, b) for found in identifiers(part)]
     out, at = [], 0

@@ -18,7 +18,7 @@ import re
 
 from pyspark.sql import DataFrame
 
-from concord.llm._common import Interner, map_texts
+from concord.llm._common import Interner, kept, map_texts
 
 #: Words of letters, digits and marks, or single other characters; the rest is white space.
 WORD = re.compile(r"\w+|[^\w\s]|_")
@@ -93,15 +93,9 @@ class PieceCounter:
         return pieces if state == 1 else 0
 
 
-_counts: dict[int, Interner] = {}
-
-
 def counts_for(key: int, vocabulary: tuple[list[str], list[str]]) -> Interner:
     """The counts of recent words of this worker, shared by all its tasks because they call it by name."""
-    if key not in _counts:
-        _counts.clear()
-        _counts[key] = Interner(PieceCounter(*vocabulary).count)
-    return _counts[key]
+    return kept(("wordpiece", key), lambda: Interner(PieceCounter(*vocabulary).count))
 
 
 def piece_counts(docs: DataFrame, vocabulary: tuple[list[str], list[str]], id_col: str = "doc_id", text_col: str = "text", lower: bool = False) -> DataFrame:
