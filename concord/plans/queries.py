@@ -16,7 +16,7 @@ from concord.sources import store
 from concord.sources.paths import shared_path
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
-DIMS = 8  # embedding dimensions that stand for variables in loadings
+DIMS = 64  # embedding dimensions
 CUT = 0.3
 LOW_PRICE = 60_000  # mean prices below it count as missing in impute_assay
 
@@ -94,11 +94,13 @@ def priority_totals(rows: DataFrame) -> DataFrame:
 
 
 def loadings(spark, sf) -> DataFrame:
-    """Correlations of the first embedding dimensions, in tables a and b, with two others."""
-    e = lambda k: F.col("embedding")[k].cast("double")
-    wide = table(spark, sf, "embeddings").agg(*(F.corr(e(v), e(DIMS + c)).alias(f"r{v}_{c}") for v in range(DIMS) for c in (0, 1)))
-    each = F.array(*(F.struct(F.lit("a" if v < DIMS // 2 else "b").alias("table"), F.lit(v % (DIMS // 2)).alias("var_pos"), F.lit(f"e{v}").alias("variable"), F.lit(c + 1).alias("comp"), F.col(f"r{v}_{c}").alias("r")) for v in range(DIMS) for c in (0, 1)))
-    return wide.select(F.explode(each).alias("e")).select("e.*")
+    """Correlations of all embedding dimensions, in tables a and b, with the sums of each table's."""
+    half = DIMS // 2
+    total = lambda start: F.aggregate(F.slice("x", start, half), F.lit(0.0), lambda s, v: s + v)
+    own = table(spark, sf, "embeddings").select(F.col("embedding").cast("array<double>").alias("x")).select("x", total(1).alias("c0"), total(half + 1).alias("c1"))
+    each = own.select("c0", "c1", F.posexplode("x").alias("v", "e")).groupBy("v").agg(F.corr("e", "c0").alias("r0"), F.corr("e", "c1").alias("r1"))
+    comps = F.array(*(F.struct(F.lit(c + 1).alias("comp"), F.col(f"r{c}").alias("r")) for c in (0, 1)))
+    return each.select(F.when(F.col("v") < half, "a").otherwise("b").alias("table"), (F.col("v") % half).alias("var_pos"), F.concat(F.lit("e"), "v").alias("variable"), F.explode(comps).alias("c")).select("table", "var_pos", "variable", "c.comp", "c.r")
 
 
 def loading_p(spark, sf) -> DataFrame:
@@ -338,7 +340,9 @@ def knn_impute(spark, sf):
 
 
 def grid(spark, sf):
-    return prep.grid_frame(spark, [0.1, 0.2, 0.3], [1.0, 2.0])
+    """All pairs of a discount and a tax of the lines."""
+    values = lambda c: [r[0] for r in table(spark, sf, "lineitem").select(c).distinct().orderBy(c).collect()]  # noqa: E731  hundredths
+    return prep.grid_frame(spark, values("l_discount"), values("l_tax"))
 
 
 def loo_cv_1var(spark, sf):
@@ -476,7 +480,57 @@ def label_of_largest(spark, sf):
 
 
 def unit_circle(spark, sf):
-    return select.unit_circle(spark).select("step", r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"))
+    """The circle that holds the correlations of a fit, as wide as the largest of them."""
+    most = fits.fit_incomplete(status_blocks(spark, sf), nfac=2).cors.agg(F.max(F.abs("r"))).first()[0]
+    return select.unit_circle(spark).select("step", r6(F.col("x") * most).alias("x"), r6(F.col("y") * most).alias("y"))
+
+
+def id_union_sorted(spark, sf):
+    return align.id_union(list(status_blocks(spark, sf).values()), order="sorted")
+
+
+def id_union_first(spark, sf):
+    """Customers as they first appear: those with orders of status F by their first order, then the others."""
+    own = table(spark, sf, "orders").groupBy(F.col("o_custkey").cast("string").alias("id"), "o_orderstatus").agg(F.min("o_orderkey").alias("at"))
+    return align.id_union([own.where(F.col("o_orderstatus") == s) for s in ("F", "O")], order="first", order_col="at")
+
+
+def ginv_eig(spark, sf):
+    """A table with a variable that is three times another."""
+    blocks = status_blocks(spark, sf)
+    return _eig(fits.fit_incomplete(blocks | {"f": Block.wide(blocks["f"].frame.withColumn("more", 3 * F.col("price") + 1))}, nfac=2, method="ginv"))
+
+
+def _nation_assays(spark, sf) -> dict[str, DataFrame]:
+    """One feature each, nations as samples: mean balances of customers and of suppliers."""
+    mean = lambda name, c: table(spark, sf, name).groupBy(F.col(f"{c}_nationkey").cast("string").alias("sample")).agg(F.avg(f"{c}_acctbal").alias("value")).select(F.lit("balance").alias("feature"), "sample", "value")
+    return {"customers": mean("customer", "c"), "suppliers": mean("supplier", "s")}
+
+
+def dual_scores(spark, sf):
+    return fits.fit_dual(_nation_assays(spark, sf), lam=[5.0, 7.0], nfac=1, scores=True).scores.select("table", "id", r6(F.col("comp1")).alias("comp1"))
+
+
+def kernel_looe(spark, sf):
+    values = _nation_assays(spark, sf)["customers"].withColumn("value", F.col("value") / 1000)
+    y = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("sample")).agg((F.count("*") / 10).alias("value"))
+    _, found, _, _ = tune.kernel_looe(values, y, [0.5, 50.0, 1000.0])
+    return found.select("lambda", r6(F.col("looe")).alias("looe"))
+
+
+def stored_region(spark, sf):
+    """Features in ranges, chosen from stored assays by their stored annotation."""
+    path = shared_path(spark, "assays")
+    values = table(spark, sf, "lineitem").select(F.col("l_partkey").cast("string").alias("feature"), F.col("l_suppkey").cast("string").alias("sample"), F.col("l_quantity").alias("value"))
+    names = store.write_assays(AssaySet({"lines": Assay(values, part_features(spark, sf))}), path)
+    chosen = prep.region(store.read_assays(spark, path, names), wanted_ranges(spark)).assays["lines"].values
+    return chosen.groupBy("feature").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+def plot_density(spark, sf):
+    result = fits.fit_incomplete(status_blocks(spark, sf), nfac=2)
+    found = select.plot_bins(select.plot_individuals(result), 20)
+    return found.select("color", "bin_x", "bin_y", "n", r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"))
 
 
 def save_load(spark, sf):
@@ -492,7 +546,7 @@ def flagship(spark, sf):
     return result.cors
 
 
-QUERIES = {f.__name__: f for f in (zscore_block, scale_only_block, null_check, id_union, id_intersect, id_absent, align_zero_fill, presence_ksum, gram, weighted_cross_gram, complete_eig_1var, complete_components_1var, complete_eig_2var, complete_eig_packed, incomplete_eig_1var, incomplete_components_1var, penalized_eig_1var, incomplete_eig_wide, complete_eig_wide, many_variables_eig, dual_fit, scores_1var, cors, t_stat, ave, p_values, fit_top_vars_pos, fit_top_vars_neg, fit_top_vars_pcut, fit_significant_vars, top_vars_pos, top_vars_neg, top_vars_pcut, significant_vars, chr_to_num, zero_to_null, drop_sparse_samples, transpose_assay, clean_ids, range_point, range_point_any_chrom, range_within, range_semi, knn_impute, grid, loo_cv_1var, ridge_solve, ridge_looe, plot_inds, plot_vars, label_of_largest, unit_circle, save_load, impute_assay, region_point, complete_scores_1var, incomplete_eig_3tables, p_of_loadings, best_penalty, best_ridge, ridge_inverse, ridge_inverse_looe, first_variables, stack_rows, paired_cors, store_assays, fit_from_path, diagonal_scaling, transpose_packed, kernel, plot_vars_marked)}
+QUERIES = {f.__name__: f for f in (zscore_block, scale_only_block, null_check, id_union, id_intersect, id_absent, align_zero_fill, presence_ksum, gram, weighted_cross_gram, complete_eig_1var, complete_components_1var, complete_eig_2var, complete_eig_packed, incomplete_eig_1var, incomplete_components_1var, penalized_eig_1var, incomplete_eig_wide, complete_eig_wide, many_variables_eig, dual_fit, scores_1var, cors, t_stat, ave, p_values, fit_top_vars_pos, fit_top_vars_neg, fit_top_vars_pcut, fit_significant_vars, top_vars_pos, top_vars_neg, top_vars_pcut, significant_vars, chr_to_num, zero_to_null, drop_sparse_samples, transpose_assay, clean_ids, range_point, range_point_any_chrom, range_within, range_semi, knn_impute, grid, loo_cv_1var, ridge_solve, ridge_looe, plot_inds, plot_vars, label_of_largest, unit_circle, save_load, impute_assay, region_point, complete_scores_1var, incomplete_eig_3tables, p_of_loadings, best_penalty, best_ridge, ridge_inverse, ridge_inverse_looe, first_variables, stack_rows, paired_cors, store_assays, fit_from_path, diagonal_scaling, transpose_packed, kernel, plot_vars_marked, id_union_sorted, id_union_first, ginv_eig, dual_scores, kernel_looe, stored_region, plot_density)}
 
 
 # ---------------------------------------------------------------- SQL
@@ -548,8 +602,11 @@ pm AS (SELECT CAST(cells.o_custkey AS VARCHAR) AS customer, cells.o_orderpriorit
 FEATURES = """WITH ft AS (SELECT CAST(p_partkey AS VARCHAR) AS feature, p_brand AS chrom, p_partkey * 10 AS st, p_partkey * 10 + p_size AS en FROM part),
 q(chrom, st, en) AS (VALUES ('Brand#11', 100, 9000), ('Brand#22', 50, 12000), ('Brand#33', 5000, 5600), ('Brand#44', 1, 100000))
 """
-_CORR = " UNION ALL ".join(f"SELECT '{'a' if v < DIMS // 2 else 'b'}' AS \"table\", {v % (DIMS // 2)} AS var_pos, 'e{v}' AS variable, {c + 1} AS comp, corr(CAST(embedding[{v + 1}] AS DOUBLE), CAST(embedding[{DIMS + c + 1}] AS DOUBLE)) AS r, count(*) AS n FROM embeddings" for v in range(DIMS) for c in (0, 1))
-LOADINGS = f"WITH ld AS ({_CORR})"
+LOADINGS = f"""WITH e AS (SELECT CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+c AS (SELECT x, list_sum(x[1:{DIMS // 2}]) AS c0, list_sum(x[{DIMS // 2 + 1}:{DIMS}]) AS c1 FROM e),
+u AS (SELECT CAST(unnest(range({DIMS})) AS INTEGER) AS v, unnest(x) AS x, c0, c1 FROM c),
+g AS (SELECT v, corr(x, c0) AS r0, corr(x, c1) AS r1, count(*) AS n FROM u GROUP BY v),
+ld AS (SELECT CASE WHEN v < {DIMS // 2} THEN 'a' ELSE 'b' END AS "table", v % {DIMS // 2} AS var_pos, 'e' || v AS variable, comp, CASE comp WHEN 1 THEN r0 ELSE r1 END AS r, n FROM g, (VALUES (1), (2)) k(comp))"""
 
 
 def critical_r(n: int, cut: float) -> float:
@@ -648,13 +705,20 @@ SELECT comp, round(q+2*p*cos(phi+2*pi()*turn/3), 6) + 0.0 AS eigenvalue FROM r,
     "diagonal_scaling": f"SELECT p_partkey, {R('2 * p_retailprice / sqrt(p_size)')} AS scaled FROM part",
     "kernel": f"WITH e AS (SELECT user_id, dense_rank() OVER (ORDER BY event_type) - 1 AS k, avg(value) / 1000 AS v FROM events GROUP BY user_id, event_type) SELECT CAST(a.k AS INTEGER) AS i, CAST(b.k AS INTEGER) AS j, {R('sum(a.v * b.v)')} AS v FROM e a JOIN e b ON a.user_id = b.user_id GROUP BY 1, 2",
     "plot_vars_marked": "SELECT * FROM (VALUES ('f', 'blue', TRUE, 'price', FALSE), ('o', 'orange', TRUE, 'pricerep', FALSE)) t(\"table\", color, labelled, label, at_zero)",
-    "grid": "SELECT CAST(row_number() OVER (ORDER BY b, a) - 1 AS INTEGER) AS place, CAST(a AS DOUBLE) AS lambda1, CAST(b AS DOUBLE) AS lambda2 FROM (VALUES (0.1), (0.2), (0.3)) x(a), (VALUES (1.0), (2.0)) y(b)",
+    "grid": "WITH d AS (SELECT DISTINCT l_discount AS a FROM lineitem), t AS (SELECT DISTINCT l_tax AS b FROM lineitem) SELECT CAST(row_number() OVER (ORDER BY b, a) - 1 AS INTEGER) AS place, a AS lambda1, b AS lambda2 FROM d, t",
     "loo_cv_1var": LOO,
     "ridge_solve": "WITH o AS (SELECT sum(l_quantity) AS x, sum(l_extendedprice / 1000) AS y FROM lineitem GROUP BY l_orderkey) SELECT CAST(lam AS DOUBLE) AS lambda, round(sum(x * y) / (sum(x * x) + lam), 6) AS coef FROM o, (VALUES (0.5::DOUBLE), (1000.0::DOUBLE)) l(lam) GROUP BY lam",
     "ridge_looe": LOOE,
     "plot_inds": f"{PAIR}, lv AS (SELECT c_mktsegment, row_number() OVER (ORDER BY c_mktsegment) AS lk FROM (SELECT DISTINCT c_mktsegment FROM customer)) SELECT id, {R('max(CASE comp WHEN 1 THEN y END)')} AS x, {R('max(CASE comp WHEN 2 THEN y END)')} AS y, max(c.c_mktsegment) AS \"group\", max(['red', 'blue', 'darkgreen', 'orange', 'violet'][lk]) AS color FROM yy JOIN customer c ON id = CAST(c_custkey AS VARCHAR) JOIN lv ON lv.c_mktsegment = c.c_mktsegment GROUP BY id",
     "plot_vars": f"{PAIR} SELECT \"table\", 'price' AS variable, {R('max(CASE comp WHEN 1 THEN r END)')} AS x, {R('max(CASE comp WHEN 2 THEN r END)')} AS y, TRUE AS highlighted, 'red' AS color FROM rr GROUP BY 1",
     "label_of_largest": f"{MATRIX} SELECT customer AS id, first('p' || k ORDER BY value DESC, k) AS label FROM (SELECT customer, coalesce(value, 0) AS value, CAST(substr(priority, 1, 1) AS INTEGER) - 1 AS k FROM pm) GROUP BY 1",
-    "unit_circle": f"SELECT step, {R('cos(step * 2 * pi() / 99)')} AS x, {R('sin(step * 2 * pi() / 99)')} AS y FROM range(100) t(step)",
+    "unit_circle": f"{PAIR}, mr AS (SELECT max(abs(r)) AS most FROM rr) SELECT step, {R('most * cos(step * 2 * pi() / 99)')} AS x, {R('most * sin(step * 2 * pi() / 99)')} AS y FROM range(100) t(step), mr",
+    "id_union_sorted": f"WITH {STATUS} SELECT id, row_number() OVER (ORDER BY id) - 1 AS position FROM (SELECT id FROM f UNION SELECT id FROM o)",
+    "id_union_first": "WITH p AS (SELECT CAST(o_custkey AS VARCHAR) AS id, CASE o_orderstatus WHEN 'F' THEN 0 ELSE 1 END AS t, min(o_orderkey) AS place FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1, 2), q AS (SELECT id, min(t) AS t, arg_min(place, t) AS place FROM p GROUP BY 1) SELECT id, row_number() OVER (ORDER BY t, place, id) - 1 AS position FROM q",
+    "ginv_eig": f"{PAIR} SELECT comp, {R('v')} AS eigenvalue FROM ev",
+    "dual_scores": f"{_pair('pa AS (SELECT CAST(c_nationkey AS VARCHAR) AS id, avg(c_acctbal) AS x FROM customer GROUP BY 1), pb AS (SELECT CAST(s_nationkey AS VARCHAR) AS id, avg(s_acctbal) AS x FROM supplier GROUP BY 1)', (5, 7))}, sc AS (SELECT 'customers' AS \"table\", id, sign(e * w1) * a / stddev_samp(a) OVER () AS s FROM al, sg WHERE comp = 1 UNION ALL SELECT 'suppliers', id, sign(e * w2) * b / stddev_samp(b) OVER () FROM al, sg WHERE comp = 1) SELECT \"table\", id, {R('s')} AS comp1 FROM sc",
+    "kernel_looe": f"WITH o AS (SELECT avg(c_acctbal) / 1000 AS x, count(*) / 10.0 AS y FROM customer GROUP BY c_nationkey), t AS (SELECT sum(x * x) AS sxx, sum(x * y) AS sxy FROM o) SELECT CAST(lam AS DOUBLE) AS lambda, {R('sum(power((y - x * sxy / (sxx + lam)) / (1 - x * x / (sxx + lam)), 2))')} AS looe FROM o, t, (VALUES (0.5::DOUBLE), (50.0::DOUBLE), (1000.0::DOUBLE)) l(lam) GROUP BY lam",
+    "stored_region": f"{FEATURES} SELECT feature, count(*) AS n, sum(l_quantity) AS total FROM ft JOIN lineitem ON feature = CAST(l_partkey AS VARCHAR) WHERE EXISTS (SELECT 1 FROM q WHERE q.chrom = ft.chrom AND ft.st >= q.st AND ft.en <= q.en) GROUP BY 1",
+    "plot_density": f"{PAIR}, pt AS (SELECT id, max(CASE comp WHEN 1 THEN y END) AS x, max(CASE comp WHEN 2 THEN y END) AS y FROM yy GROUP BY id), re AS (SELECT max(greatest(abs(x), abs(y))) AS reach FROM pt) SELECT 'red' AS color, CAST(least(floor((x / reach + 1) / 2 * 20), 19) AS INTEGER) AS bin_x, CAST(least(floor((y / reach + 1) / 2 * 20), 19) AS INTEGER) AS bin_y, count(*) AS n, {R('avg(x)')} AS x, {R('avg(y)')} AS y FROM pt, re GROUP BY ALL",
     "save_load": f"{PAIR} SELECT \"table\", comp, {R('r')} AS r FROM rr",
 }
