@@ -17,7 +17,7 @@ from concord.llm import bpe, decontam, jaccard, langid
 from concord.llm.queries import tokenizer
 from concord.sources.paths import discard, materialize
 
-#: A document stays if one language covers at least this share of its letters.
+#: A document stays if at least this share of its letters is in identified languages.
 LEAST_LANGUAGE_SCORE = 0.5
 #: Near duplicates: word 5-grams, Jaccard similarity of 0.8 or more.
 NEAR = jaccard.Join(words=5, least=80, per=100)
