@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -17,6 +18,19 @@ SQL_LIMIT = 24
 ROW = "task int, data binary"
 
 
+@contextmanager
+def batches_of(spark, rows: int):
+    """Within it Arrow batches have at most so many rows: for rows of many numbers, of which the
+    usual ten thousand would not fit a worker. Only for jobs that run within it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stack(batch: pa.RecordBatch, column: str, width: int) -> np.ndarray:
     """Rows x width of an array column without nulls."""
     values = batch.column(column)

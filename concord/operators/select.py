@@ -162,9 +162,11 @@ def plot_bins(points: DataFrame, bins: int = 100) -> DataFrame:
     return placed.groupBy("color", "bin_x", "bin_y", "reach").agg(F.count("*").alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y")).select("color", "bin_x", "bin_y", "n", "x", "y", "reach")
 
 
-def svg(points: DataFrame, size: int = 400, bins: int = 100) -> str:
+def svg(points: DataFrame, size: int = 400, bins: int | None = None) -> str:
     """A drawing of all points of a plot's data, as SVG text: a dot for each cell of
-    :func:`plot_bins`, the larger the more points it has, with their number as its title."""
+    :func:`plot_bins`, of which there are as many as pixels if not said otherwise, the larger
+    the more points it has, with their number as its title."""
+    bins = bins or size
     rows = plot_bins(points, bins).orderBy("color", "bin_x", "bin_y").collect()  # cells x colours
     reach = rows[0]["reach"] if rows else 1.0
     place = lambda v: round(size / 2 * (1 + v / reach * 0.95), 2)

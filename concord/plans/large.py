@@ -16,13 +16,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from concord.operators.moments import ROW, partial, stack, tree_sum
+from concord.operators.moments import ROW, batches_of, partial, stack, tree_sum
 from concord.operators.tiles import TILE, apply, inverse_factor, product_tiles
 from concord.plans.solve import Solution, cholesky, sign_of
 from concord.sources.paths import discard, materialize
 
 #: Bytes of values in a block of rows.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
+#: Blocks, or tiles, of an Arrow batch.
+BATCH = 8
 #: Vectors that the basis holds before it starts again from its best.
 BASIS = 320
 
@@ -31,6 +33,7 @@ def row_blocks(raw: DataFrame, count: int, width: int) -> DataFrame:
     """Aligned rows as blocks (ids, present, x): ids of the rows, how many rows each table has of
     them, and all values, row by row, NaN for null. Written once, read by every pass."""
     step = max(1, BLOCK_BYTES // (8 * width))
+    spark = raw.sparkSession
 
     def run(batches):
         for batch in batches:
@@ -40,7 +43,8 @@ def row_blocks(raw: DataFrame, count: int, width: int) -> DataFrame:
                 x = stack(part, "x", width).astype(float)
                 yield pa.RecordBatch.from_arrays([pa.array([part.column("id").to_pylist()], pa.list_(pa.string())), pa.array([there.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], names=["ids", "present", "x"])
 
-    return materialize(raw.select("id", "x", *(f"n{k}" for k in range(count))).mapInArrow(run, "ids array<string>, present binary, x binary"), "fit-rows")
+    with batches_of(spark, max(step, 64)):
+        return materialize(raw.select("id", "x", *(f"n{k}" for k in range(count))).mapInArrow(run, "ids array<string>, present binary, x binary"), "fit-rows")
 
 
 def unpacked(count: int, width: int) -> Callable:
@@ -90,7 +94,8 @@ class Rows:
                     total = own if total is None else total + own
             return total
 
-        total = tree_sum(self.blocks.select("ids", "present", "x").mapInArrow(partial(run, 0), ROW))
+        with batches_of(self.blocks.sparkSession, BATCH):
+            total = tree_sum(self.blocks.select("ids", "present", "x").mapInArrow(partial(run, 0), ROW))
         return np.zeros(shape) if total is None else total.reshape(shape)
 
     def cross(self, vectors: np.ndarray) -> np.ndarray:
@@ -165,6 +170,11 @@ def _orthogonal(fresh: np.ndarray, q: np.ndarray, rnd, width: int) -> np.ndarray
     return np.linalg.qr(fresh)[0]
 
 
+def _applied(spark, factor: DataFrame, widths: list[int], vectors: np.ndarray, transpose: bool, tile: int) -> np.ndarray:
+    with batches_of(spark, BATCH):
+        return apply(factor, widths, vectors, transpose, tile)
+
+
 def solve_large(rows: Rows, sums: np.ndarray, squares: np.ndarray, names: list[str], lam: list[float], nfac: int, m: int, unit: bool, scores: bool, tile: int = TILE) -> tuple[Solution, np.ndarray]:
     """As :func:`concord.plans.solve.solve`, and the cross products of all variables with the
     components; weights only if ``scores`` are asked for."""
@@ -174,29 +184,33 @@ def solve_large(rows: Rows, sums: np.ndarray, squares: np.ndarray, names: list[s
     def matrices(batch):
         return (z for _, _, z in read(batch))
 
-    products = product_tiles(rows.blocks.select("ids", "present", "x"), widths, matrices, tile)
+    spark = rows.blocks.sparkSession
+    with batches_of(spark, BATCH):
+        products = product_tiles(rows.blocks.select("ids", "present", "x"), widths, matrices, tile)
     starts = np.concatenate([[0], np.cumsum(widths)])
 
     def lower(x, t, k):
         first = starts[t] + k * tile
         return cholesky(x, names[t], squares[first : first + len(x)] + lam[t])
 
-    factor = inverse_factor(products, widths, lam, lower, tile)
+    with batches_of(spark, BATCH):
+        factor = inverse_factor(products, widths, lam, lower, tile)
+    times = lambda v, transpose: _applied(spark, factor, widths, v, transpose, tile)
     try:
 
         def product(v):
-            return apply(factor, widths, rows.cross(apply(factor, widths, v, True, tile)), False, tile)
+            return times(rows.cross(times(v, True)), False)
 
         values, vectors, _ = lanczos(product, sum(widths), nfac)
         if len(values) < nfac or values[nfac - 1] <= 1e-10 * max(values[0], 1e-300):
             raise ValueError(f"there are fewer than {nfac} components")
-        loadings = np.sqrt(n) * apply(factor, widths, vectors, True, tile) / np.sqrt(values)
+        loadings = np.sqrt(n) * times(vectors, True) / np.sqrt(values)
         crossed = rows.cross(loadings)
         sign = sign_of(crossed)
         loadings, crossed = loadings * sign, crossed * sign
         weights: list[np.ndarray] = []
         if scores:
-            raw = apply(factor, widths, apply(factor, widths, crossed, False, tile), True, tile)
+            raw = times(times(crossed, False), True)
             parts = [slice(a, b) for a, b in zip(starts, starts[1:])]
             spread = rows.summed(lambda there, z: np.stack([((z[:, p] @ raw[p]) ** 2).sum(axis=0) for p in parts]), (n, nfac))
             for k, p in enumerate(parts):

@@ -25,7 +25,7 @@ def assembled(frame, width, tile, t=0):
     return out
 
 
-@pytest.mark.parametrize(("widths", "tile"), [([5], 8), ([16, 7], 4), ([23], 3), ([9, 9, 2], 9)])
+@pytest.mark.parametrize(("widths", "tile"), [([5], 8), ([9, 8, 2], 4)])
 def test_tiled_products_factor_and_apply(spark, widths, tile):
     rng = np.random.default_rng(sum(widths))
     x = rng.normal(size=(60, sum(widths)))
@@ -73,7 +73,7 @@ def test_lanczos_equals_the_library(kind):
         large.lanczos(lambda v: np.diag(np.linspace(0.999, 1, 500)) @ v, 500, 3, most=2)
 
 
-@pytest.mark.parametrize(("widths", "lam", "scale", "present"), [((13, 22, 9), None, True, 0.8), ((30, 41), [0.5, 30.0], True, 0.9), ((12, 12), None, False, 0.85), ((20, 6), None, True, 1)])
+@pytest.mark.parametrize(("widths", "lam", "scale", "present"), [((13, 22, 9), None, True, 0.8), ((20, 21), [0.5, 30.0], True, 0.9), ((12, 6), None, False, 1)])
 def test_iterative_fit_equals_dense(spark, monkeypatch, widths, lam, scale, present):
     monkeypatch.setattr(large, "TILE", 8)
     monkeypatch.setattr(large, "BLOCK_BYTES", 2000)
