@@ -208,10 +208,10 @@ class Labeller:
         self.scores = np.zeros((min(self.limit, 1 << 14), len(model.languages)), np.float32)
         self.most, self.grams, self.script = (np.zeros(len(self.scores), t) for t in (np.float32, np.float32, np.int16))
 
-    def __call__(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def __call__(self, texts: list[str | None], shares: bool = True) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Language and score of each text, the label of every word, word counts, and the share
         of each text's letters that is identified: in words whose label uses their script,
-        where all such words of the label in the text are likely enough under it."""
+        where all such words of the label in the text are likely enough under it (0 without ``shares``)."""
         count = len(self.model.languages)
         if not count:
             return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(0, np.int16), np.zeros(len(texts), np.int64), np.zeros(len(texts))
@@ -241,7 +241,7 @@ class Labeller:
         score = share[np.arange(len(found)), best] / np.maximum(share.sum(axis=1), 1)
         lettered = np.array([bool(t) and any(map(str.isalpha, t)) for t in texts])  # digits of other kinds are no letters
         lang = [self.model.languages[b] if n else "und" for b, n in zip(best.tolist(), lettered.tolist())]
-        return lang, np.where(lettered, score, 0.0), label, lengths, self._identified(words, owner, label, letters, len(found))
+        return lang, np.where(lettered, score, 0.0), label, lengths, self._identified(words, owner, label, letters, len(found)) if shares else np.zeros(len(found))
 
     def _identified(self, words: np.ndarray, owner: np.ndarray, label: np.ndarray, letters: np.ndarray, texts: int) -> np.ndarray:
         model, count = self.model, len(self.model.languages)
@@ -269,7 +269,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(ids, texts):
-        lang, score, label, lengths, _ = labeller_for(shared.value, penalty)(texts)
+        lang, score, label, lengths, _ = labeller_for(shared.value, penalty)(texts, shares=False)
         spans: list = [[]] * len(ids)
         if with_spans:
             ends = np.cumsum(lengths)
