@@ -249,17 +249,18 @@ def scattered(cells: DataFrame, key: str, width: int, fill: float | None, x_col:
         for batch in batches:
             lists = batch.column("cells")
             flat = lists.flatten()
-            owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
             pos, value = flat.field("pos").to_numpy(zero_copy_only=False), flat.field("value").to_numpy(zero_copy_only=False)
             for at in range(0, batch.num_rows, step):
                 rows = min(step, batch.num_rows - at)
-                out, mine = np.full((rows, width), base), (owner >= at) & (owner < at + rows)
-                out[owner[mine] - at, pos[mine]] = value[mine]
+                own, mine = np.repeat(np.arange(rows), np.diff(ends[at : at + rows + 1])), slice(ends[at], ends[at + rows])
+                out = np.full((rows, width), base)
+                out[own, pos[mine]] = value[mine]
                 items = pa.array(out.ravel(), pa.float64(), from_pandas=fill is None)  # NaN stands for null
                 arrays = pa.ListArray.from_arrays(np.arange(rows + 1, dtype=np.int32) * width, items)
                 yield pa.RecordBatch.from_arrays([batch.column(key).slice(at, rows), arrays], names=[key, x_col])
 
-    step = max(1, (4 << 20) // max(1, width))
+    step = max(1, (1 << 19) // max(1, width))
     return grouped.mapInArrow(run, f"`{key}` {kind}, {x_col} array<double>")
 
 

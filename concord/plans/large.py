@@ -22,7 +22,7 @@ from concord.plans.solve import Solution, cholesky, sign_of
 from concord.sources.paths import discard, materialize
 
 #: Bytes of values in a block of rows.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Blocks, or tiles, of an Arrow batch.
 BATCH = 8
 #: Vectors that the basis holds before it starts again from its best.
@@ -43,7 +43,7 @@ def row_blocks(raw: DataFrame, count: int, width: int) -> DataFrame:
                 x = stack(part, "x", width).astype(float)
                 yield pa.RecordBatch.from_arrays([pa.array([part.column("id").to_pylist()], pa.list_(pa.string())), pa.array([there.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], names=["ids", "present", "x"])
 
-    with batches_of(spark, max(step, 64)):
+    with batches_of(spark, step):
         return materialize(raw.select("id", "x", *(f"n{k}" for k in range(count))).mapInArrow(run, "ids array<string>, present binary, x binary"), "fit-rows")
 
 
