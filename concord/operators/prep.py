@@ -5,13 +5,12 @@ from __future__ import annotations
 from dataclasses import replace
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from concord.functions.columns import clean_id, to_number, zero_to_null
 from concord.model import Assay, AssaySet, Block, TableList
+from concord.operators import neighbours
 from concord.operators.moments import placed, scattered
 from concord.sources.paths import materialize
 
@@ -165,80 +164,37 @@ def tables_of(assays: AssaySet, wide: int = 100) -> TableList:
 # ---------------------------------------------------------------- imputation
 
 
-def knn_impute(values: DataFrame, k: int = 10, rowmax: float = 0.5, colmax: float = 0.8, max_block_bytes: int = 8 << 20, block_rows: int = 4096) -> DataFrame:
+def knn_impute(values: DataFrame, k: int = 10, rowmax: float = 0.5, colmax: float = 0.8, max_block_bytes: int = 8 << 20, block_rows: int = 1024) -> DataFrame:
     """(feature, sample, value) with missing values filled. Neighbours of a feature are the
     nearest features by the mean squared difference over the samples both have; a missing
     value is the mean of the k nearest that have it, ties by name. A feature with more than
     ``rowmax`` missing gets the mean of each sample, and so does a value without neighbour.
     A sample with more than ``colmax`` missing is an error.
 
-    Features are dealt into blocks of at most ``block_rows`` features and about
-    ``max_block_bytes``; each pair of blocks meets in a task of its own, which keeps the k
-    nearest, and those of all blocks are merged. Only the samples' names and means reach the driver."""
+    Neighbours are searched in blocks of like features (:mod:`neighbours`), exactly. Only the
+    samples' names and means reach the driver."""
+    return knn_search(values, k, rowmax, colmax, max_block_bytes, block_rows)[0]
+
+
+def knn_search(values: DataFrame, k: int = 10, rowmax: float = 0.5, colmax: float = 0.8, max_block_bytes: int = 8 << 20, block_rows: int = 1024) -> tuple[DataFrame, neighbours.Neighbours]:
+    """What :func:`knn_impute` returns, and the search behind it: neighbours and the pairs of
+    blocks that met."""
     samples = [(r["sample"], r["missing"], r["mean"]) for r in values.groupBy("sample").agg(F.avg(F.col("value").isNull().cast("int")).alias("missing"), F.avg("value").alias("mean")).orderBy("sample").collect()]
     names = [s for s, _, _ in samples]
     if sparse := [s for s, missing, _ in samples if missing > colmax]:
         raise ValueError(f"samples {', '.join(map(str, sparse))} miss more than {colmax} of their values")
-    cells = placed(values.select(F.col("feature").alias("id"), F.col("sample").cast("string").alias("sample"), "value"), "sample", [str(n) for n in names])
+    cells = placed(values.select(F.col("feature").cast("string").alias("id"), F.col("sample").cast("string").alias("sample"), "value"), "sample", [str(n) for n in names])
     rows = materialize(scattered(cells, "id", len(names), None), "knn-features")
     count = rows.count()
     if count < 2:
         raise ValueError("imputation needs two features")
-    blocks = max(1, -(-count // max(1, min(block_rows, max_block_bytes // (8 * len(names))))))
-    missing = F.size(F.filter("x", lambda v: v.isNull()))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks).cast("bigint")))
-    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
-    gaps = dealt.where((missing > 0) & (missing <= rowmax * len(names))).withColumn("other", every).groupBy("block", "other")
-    reference = dealt.select(F.col("id").alias("rid"), F.col("x").alias("rx"), F.col("block").alias("right")).withColumn("left", every).groupBy("left", "right")
-    found = gaps.cogroup(reference).applyInArrow(lambda own, other: _nearest(own, other, k, len(names)), "id string, pos int, distance double, neighbour string, value double")
-    if blocks > 1:
-        rank = F.row_number().over(Window.partitionBy("id", "pos").orderBy("distance", "neighbour"))
-        found = found.withColumn("rank", rank).where(F.col("rank") <= k)
-    means = found.groupBy("id", "pos").agg(F.avg("value").alias("filled"))
-    average = F.array(*(F.lit(m).cast("double") for _, _, m in samples))
-    cells = rows.select("id", F.posexplode("x").alias("pos", "value"))
-    filled = cells.join(means, ["id", "pos"], "left")
-    return filled.select(F.col("id").alias("feature"), F.element_at(F.array(*(F.lit(s) for s in names)), F.col("pos") + 1).alias("sample"), F.coalesce("value", "filled", F.element_at(average, F.col("pos") + 1)).alias("value"))
-
-
-def _matrix(arrays: pa.ChunkedArray, width: int) -> np.ndarray:
-    """Arrays as rows, nulls as NaN."""
-    flat = [c.flatten().to_numpy(zero_copy_only=False) for c in arrays.chunks]
-    return np.concatenate([*flat, np.zeros(0)]).reshape(-1, width)
-
-
-def _nearest(own: pa.Table, other: pa.Table, k: int, width: int) -> pa.Table:
-    """The k nearest of ``other`` that have it, for each missing value of ``own``."""
-    kinds = (pa.string(), pa.int32(), pa.float64(), pa.string(), pa.float64())
-    if not own.num_rows or not other.num_rows:
-        return pa.Table.from_arrays([pa.array([], t) for t in kinds], names=["id", "pos", "distance", "neighbour", "value"])
-    ids = other.column("rid").to_pylist()
-    order = sorted(range(len(ids)), key=ids.__getitem__)
-    ids = [ids[n] for n in order]
-    place = {name: n for n, name in enumerate(ids)}
-    reference = _matrix(other.column("rx"), width)[order]
-    known = ~np.isnan(reference)
-    filled, there = np.where(known, reference, 0.0), known.astype(float)
-    values = _matrix(own.column("x"), width)
-    names, out = own.column("id").to_pylist(), []
-    for at in range(0, len(values), 256):
-        mask = ~np.isnan(values[at : at + 256])
-        m, z = mask.astype(float), np.where(mask, values[at : at + 256], 0.0)
-        both = m @ there.T
-        total = (z * z) @ there.T - 2 * z @ filled.T + m @ (filled * filled).T
-        with np.errstate(divide="ignore", invalid="ignore"):
-            distance = np.where(both > 0, np.maximum(total, 0) / both, np.inf)
-        for n, name in enumerate(names[at : at + 256]):
-            d = distance[n]
-            if name in place:
-                d[place[name]] = np.inf
-            for pos in np.flatnonzero(~mask[n]).tolist():
-                near = np.flatnonzero(known[:, pos] & np.isfinite(d))
-                if len(near) > k:  # all up to the k-th smallest distance, ties too, then those in order of name
-                    near = near[d[near] <= np.partition(d[near], k - 1)[k - 1]]
-                near = near[np.argsort(d[near], kind="stable")][:k]
-                out += [(name, pos, float(d[j]), ids[j], float(reference[j, pos])) for j in near.tolist()]
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 5, kinds)], names=["id", "pos", "distance", "neighbour", "value"])
+    near = neighbours.search(rows, len(names), k, rowmax, count, block_rows, max_block_bytes)
+    means = near.found.groupBy("id", "pos").agg(F.avg("value").alias("mean"))
+    fills = means.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "mean"))).alias("fills"))  # a row has a value a sample at most
+    columns = values.sparkSession.createDataFrame([(n, s, None if m is None else float(m)) for n, (s, _, m) in enumerate(samples)], f"pos int, sample {dict(values.dtypes)['sample']}, average double")
+    whole = rows.join(fills, "id", "left").select("id", "fills", F.posexplode("x").alias("pos", "value"))
+    whole = whole.join(F.broadcast(columns) if len(names) <= 50_000 else columns, "pos")
+    return whole.select(F.col("id").alias("feature"), "sample", F.coalesce("value", F.col("fills")[F.col("pos")], "average").alias("value")), near
 
 
 def impute(assays: AssaySet, method: str = "knn", remove_col: bool = False, impute_zero: bool = False, rowmax: float = 0.5, colmax: float = 0.8, k: int = 10) -> AssaySet:

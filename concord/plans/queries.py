@@ -339,6 +339,23 @@ def knn_impute(spark, sf):
     return prep.knn_impute(price_matrix(spark, sf), k=10).select("feature", "sample", F.round(F.col("value") + 3.14e-7, 4).alias("value"))  # off the ties of cents
 
 
+def month_prices(spark, sf) -> DataFrame:
+    """(feature = part, sample = month, value = mean price of its lines), null where there is none."""
+    own = table(spark, sf, "lineitem").groupBy("l_partkey", F.month("l_shipdate").alias("month")).agg(F.avg("l_extendedprice").alias("value"))
+    cells = own.select("l_partkey").distinct().select("l_partkey", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("month"))
+    return cells.join(own, ["l_partkey", "month"], "left").select(F.col("l_partkey").cast("string").alias("feature"), F.col("month").cast("string").alias("sample"), "value")
+
+
+def knn_impute_parts(spark, sf):
+    return prep.knn_impute(month_prices(spark, sf), k=10, block_rows=256).select("feature", "sample", F.round(F.col("value") + 3.14e-7, 4).alias("value"))
+
+
+def knn_blocks(spark, sf):
+    """Of each block of parts: blocks that its parts were searched in, of how many, and the parts that asked."""
+    _, near = prep.knn_search(month_prices(spark, sf), k=10, block_rows=256)
+    return near.asked.groupBy("home").agg(F.count("*").alias("blocks_asked"), F.lit(near.blocks).cast("bigint").alias("blocks"), F.max("queries").alias("parts_asking"))
+
+
 def grid(spark, sf):
     """All pairs of a discount and a tax of the lines."""
     values = lambda c: [r[0] for r in table(spark, sf, "lineitem").select(c).distinct().orderBy(c).collect()]  # noqa: E731  hundredths
@@ -546,7 +563,7 @@ def flagship(spark, sf):
     return result.cors
 
 
-QUERIES = {f.__name__: f for f in (zscore_block, scale_only_block, null_check, id_union, id_intersect, id_absent, align_zero_fill, presence_ksum, gram, weighted_cross_gram, complete_eig_1var, complete_components_1var, complete_eig_2var, complete_eig_packed, incomplete_eig_1var, incomplete_components_1var, penalized_eig_1var, incomplete_eig_wide, complete_eig_wide, many_variables_eig, dual_fit, scores_1var, cors, t_stat, ave, p_values, fit_top_vars_pos, fit_top_vars_neg, fit_top_vars_pcut, fit_significant_vars, top_vars_pos, top_vars_neg, top_vars_pcut, significant_vars, chr_to_num, zero_to_null, drop_sparse_samples, transpose_assay, clean_ids, range_point, range_point_any_chrom, range_within, range_semi, knn_impute, grid, loo_cv_1var, ridge_solve, ridge_looe, plot_inds, plot_vars, label_of_largest, unit_circle, save_load, impute_assay, region_point, complete_scores_1var, incomplete_eig_3tables, p_of_loadings, best_penalty, best_ridge, ridge_inverse, ridge_inverse_looe, first_variables, stack_rows, paired_cors, store_assays, fit_from_path, diagonal_scaling, transpose_packed, kernel, plot_vars_marked, id_union_sorted, id_union_first, ginv_eig, dual_scores, kernel_looe, stored_region, plot_density)}
+QUERIES = {f.__name__: f for f in (zscore_block, scale_only_block, null_check, id_union, id_intersect, id_absent, align_zero_fill, presence_ksum, gram, weighted_cross_gram, complete_eig_1var, complete_components_1var, complete_eig_2var, complete_eig_packed, incomplete_eig_1var, incomplete_components_1var, penalized_eig_1var, incomplete_eig_wide, complete_eig_wide, many_variables_eig, dual_fit, scores_1var, cors, t_stat, ave, p_values, fit_top_vars_pos, fit_top_vars_neg, fit_top_vars_pcut, fit_significant_vars, top_vars_pos, top_vars_neg, top_vars_pcut, significant_vars, chr_to_num, zero_to_null, drop_sparse_samples, transpose_assay, clean_ids, range_point, range_point_any_chrom, range_within, range_semi, knn_impute, knn_impute_parts, knn_blocks, grid, loo_cv_1var, ridge_solve, ridge_looe, plot_inds, plot_vars, label_of_largest, unit_circle, save_load, impute_assay, region_point, complete_scores_1var, incomplete_eig_3tables, p_of_loadings, best_penalty, best_ridge, ridge_inverse, ridge_inverse_looe, first_variables, stack_rows, paired_cors, store_assays, fit_from_path, diagonal_scaling, transpose_packed, kernel, plot_vars_marked, id_union_sorted, id_union_first, ginv_eig, dual_scores, kernel_looe, stored_region, plot_density)}
 
 
 # ---------------------------------------------------------------- SQL
@@ -618,6 +635,10 @@ def critical_r(n: int, cut: float) -> float:
     return high
 
 
+MONTHS = """WITH po AS (SELECT CAST(l_partkey AS VARCHAR) AS customer, CAST(month(l_shipdate) AS VARCHAR) AS priority, avg(l_extendedprice) AS value FROM lineitem GROUP BY 1, 2),
+mp AS (SELECT c.customer, p.priority, po.value FROM (SELECT DISTINCT customer FROM po) c CROSS JOIN (SELECT CAST(n AS VARCHAR) AS priority FROM range(1, 13) r(n)) p LEFT JOIN po ON po.customer = c.customer AND po.priority = p.priority)"""
+
+
 def _knn(pm: str) -> str:
     """CTEs and the query of nearest-neighbour imputation over ``pm`` (customer, priority, value)."""
     return f"""gaps AS (SELECT customer FROM {pm} GROUP BY 1 HAVING avg(CAST(value IS NULL AS INTEGER)) BETWEEN 0.01 AND 0.5),
@@ -679,6 +700,7 @@ SQL = {
     "range_within": f"{FEATURES} SELECT feature FROM ft WHERE EXISTS (SELECT 1 FROM q WHERE q.chrom = ft.chrom AND ft.st >= q.st AND ft.en <= q.en)",
     "range_semi": f"{FEATURES} SELECT feature, count(*) AS n, sum(l_quantity) AS total FROM ft JOIN lineitem ON feature = CAST(l_partkey AS VARCHAR) WHERE EXISTS (SELECT 1 FROM q WHERE q.chrom = ft.chrom AND ft.st >= q.st AND ft.en <= q.en) GROUP BY 1",
     "knn_impute": f"{MATRIX}, {_knn('pm')}",
+    "knn_impute_parts": f"{MONTHS}, {_knn('mp')}",
     "impute_assay": f"{MATRIX}, px AS (SELECT customer, priority, CASE WHEN value < {LOW_PRICE} THEN NULL ELSE value END AS value FROM pm), py AS (SELECT * FROM px WHERE priority IN (SELECT priority FROM px GROUP BY 1 HAVING avg(CAST(value IS NULL AS INTEGER)) < 0.8)), {_knn('py')}",
     "region_point": f"{FEATURES} SELECT feature, count(*) AS n, sum(l_quantity) AS total FROM ft JOIN lineitem ON feature = CAST(l_partkey AS VARCHAR) WHERE EXISTS (SELECT 1 FROM q WHERE q.chrom = ft.chrom AND ft.st BETWEEN q.st AND q.en) GROUP BY 1",
     "complete_scores_1var": f"{ORDERS}, sc AS (SELECT 'orders' AS \"table\", id, sign(e * w1) * a / stddev_samp(a) OVER () AS s FROM al, sg WHERE comp = 1 UNION ALL SELECT 'lines', id, sign(e * w2) * b / stddev_samp(b) OVER () FROM al, sg WHERE comp = 1) SELECT \"table\", id, {R('s')} AS comp1 FROM sc",
