@@ -351,9 +351,10 @@ def knn_impute_parts(spark, sf):
 
 
 def knn_blocks(spark, sf):
-    """Of each block of parts: blocks that its parts were searched in, of how many, and the parts that asked."""
-    _, near = prep.knn_search(month_prices(spark, sf), k=10, block_rows=256)
-    return near.asked.groupBy("home").agg(F.count("*").alias("blocks_asked"), F.lit(near.blocks).cast("bigint").alias("blocks"), F.max("queries").alias("parts_asking"))
+    """Of each block of customers: those that asked, the blocks in all, and how often one was searched in a block."""
+    _, near = prep.knn_search(price_matrix(spark, sf), k=10, block_rows=256)
+    own = F.sum(F.when(F.col("home") == F.col("block"), F.col("queries")))
+    return near.asked.groupBy("home").agg(own.alias("asking"), F.lit(near.blocks).cast("bigint").alias("blocks"), F.count("*").alias("blocks_asked"), F.sum("queries").alias("searches"))
 
 
 def grid(spark, sf):
