@@ -363,6 +363,13 @@ def grid(spark, sf):
     return prep.grid_frame(spark, values("l_discount"), values("l_tax"))
 
 
+def loo_cv_embeddings(spark, sf):
+    """Leave-one-out over penalties of two tables of 32 dimensions each, all rows."""
+    own = embedding_blocks(spark, sf, 2, 32)
+    _, out = tune.leave_one_out_grid(own["b0"], own["b1"], [0.5, 50.0], [0.5, 50.0], nfac=2)
+    return out.select("lambda1", "lambda2", r6(F.col("mean_ave")).alias("mean_ave"))
+
+
 def loo_cv_1var(spark, sf):
     own = table(spark, sf, "embeddings")
     block = lambda k: Block.wide(own.select(F.col("vec_id").alias("id"), F.col("embedding")[k].cast("double").alias("v")))
@@ -564,7 +571,7 @@ def flagship(spark, sf):
     return result.cors
 
 
-QUERIES = {f.__name__: f for f in (zscore_block, scale_only_block, null_check, id_union, id_intersect, id_absent, align_zero_fill, presence_ksum, gram, weighted_cross_gram, complete_eig_1var, complete_components_1var, complete_eig_2var, complete_eig_packed, incomplete_eig_1var, incomplete_components_1var, penalized_eig_1var, incomplete_eig_wide, complete_eig_wide, many_variables_eig, dual_fit, scores_1var, cors, t_stat, ave, p_values, fit_top_vars_pos, fit_top_vars_neg, fit_top_vars_pcut, fit_significant_vars, top_vars_pos, top_vars_neg, top_vars_pcut, significant_vars, chr_to_num, zero_to_null, drop_sparse_samples, transpose_assay, clean_ids, range_point, range_point_any_chrom, range_within, range_semi, knn_impute, knn_impute_parts, knn_blocks, grid, loo_cv_1var, ridge_solve, ridge_looe, plot_inds, plot_vars, label_of_largest, unit_circle, save_load, impute_assay, region_point, complete_scores_1var, incomplete_eig_3tables, p_of_loadings, best_penalty, best_ridge, ridge_inverse, ridge_inverse_looe, first_variables, stack_rows, paired_cors, store_assays, fit_from_path, diagonal_scaling, transpose_packed, kernel, plot_vars_marked, id_union_sorted, id_union_first, ginv_eig, dual_scores, kernel_looe, stored_region, plot_density)}
+QUERIES = {f.__name__: f for f in (zscore_block, scale_only_block, null_check, id_union, id_intersect, id_absent, align_zero_fill, presence_ksum, gram, weighted_cross_gram, complete_eig_1var, complete_components_1var, complete_eig_2var, complete_eig_packed, incomplete_eig_1var, incomplete_components_1var, penalized_eig_1var, incomplete_eig_wide, complete_eig_wide, many_variables_eig, dual_fit, scores_1var, cors, t_stat, ave, p_values, fit_top_vars_pos, fit_top_vars_neg, fit_top_vars_pcut, fit_significant_vars, top_vars_pos, top_vars_neg, top_vars_pcut, significant_vars, chr_to_num, zero_to_null, drop_sparse_samples, transpose_assay, clean_ids, range_point, range_point_any_chrom, range_within, range_semi, knn_impute, knn_impute_parts, knn_blocks, grid, loo_cv_1var, loo_cv_embeddings, ridge_solve, ridge_looe, plot_inds, plot_vars, label_of_largest, unit_circle, save_load, impute_assay, region_point, complete_scores_1var, incomplete_eig_3tables, p_of_loadings, best_penalty, best_ridge, ridge_inverse, ridge_inverse_looe, first_variables, stack_rows, paired_cors, store_assays, fit_from_path, diagonal_scaling, transpose_packed, kernel, plot_vars_marked, id_union_sorted, id_union_first, ginv_eig, dual_scores, kernel_looe, stored_region, plot_density)}
 
 
 # ---------------------------------------------------------------- SQL

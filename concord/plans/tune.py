@@ -9,10 +9,16 @@ from pyspark.storagelevel import StorageLevel
 
 from concord.model import Block, table_set
 from concord.operators.align import aligned
-from concord.operators.moments import ROW, SQL_LIMIT, aligned_stats, gram, kernel, partial, stack, tree_sum
+from concord.operators.moments import ROW, SQL_LIMIT, aligned_stats, batches_of, gram, kernel, partial, stack, tree_sum
 from concord.operators.prep import grid
+from concord.plans.downdate import whole
 from concord.plans.fit import DRIVER_LIMIT, _z, checked
 
+#: From so many variables on the fits without one row are updates of the fit of all rows.
+UPDATED = 24
+#: Bytes of such fits that a pass over the rows broadcasts; more pairs of penalties take more passes.
+PASS = 1 << 28
+
 
 def default_grid(count: int = 5, low: float = 0.001, high: float = 1.0) -> list[float]:
     return np.linspace(low, high, count).tolist()
@@ -51,16 +57,23 @@ def leave_out(moments: np.ndarray, sums: np.ndarray, m: int, rows: np.ndarray) -
     return centred / (sd[:, :, None] * sd[:, None, :])
 
 
-def leave_one_out_grid(x1: Block | DataFrame, x2: Block | DataFrame, grid1: list[float] | None = None, grid2: list[float] | None = None, nfac: int = 2) -> tuple[tuple[float, float], DataFrame]:
+def leave_one_out_grid(x1: Block | DataFrame, x2: Block | DataFrame, grid1: list[float] | None = None, grid2: list[float] | None = None, nfac: int = 2, solver: str = "auto") -> tuple[tuple[float, float], DataFrame]:
     """The pair of penalties with the best mean outer explained variance over fits that leave
     out one individual each, and (lambda1, lambda2, mean_ave) of the whole grid. Both tables
     have the same individuals. Of equal pairs the first wins, lambda1 varying fastest.
 
-    Each row needs only the moments of all rows and itself, so rows are scored in parallel."""
+    Each row needs only the moments of all rows and itself, so rows are scored in parallel.
+    ``solver``: ``dense`` solves each row's problem, ``updates`` changes the fit of all rows by
+    what the row takes away (and solves densely what that cannot prove); ``auto`` updates from
+    ``UPDATED`` variables on. At most 4096 variables."""
+    if solver not in ("auto", "dense", "updates"):
+        raise ValueError("solver is auto, dense or updates")
     points = grid(grid1 or default_grid(), grid2 or default_grid())
     blocks = table_set({"x1": x1, "x2": x2} if isinstance(x1, Block) else [x1, x2])
     widths = [len(b.variables) for b in blocks.values()]
     p = sum(widths)
+    if p > DRIVER_LIMIT:
+        raise ValueError(f"more than {DRIVER_LIMIT} variables")
     raw = aligned(blocks, p > SQL_LIMIT or any(b.layout == "packed" for b in blocks.values()), keep_missing=True).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         m, most, present, stats = aligned_stats(raw, widths, sql=p <= SQL_LIMIT)
@@ -74,27 +87,44 @@ def leave_one_out_grid(x1: Block | DataFrame, x2: Block | DataFrame, grid1: list
         # moments of z-scores: what is left out is small against them
         rows = _z(raw, np.repeat(np.arange(2), widths), np.concatenate([s["mean"] for s in stats]), np.concatenate([s["sd"] for s in stats]))
         moments = gram(rows, p)
-    except ValueError:
+        updates = 3 * nfac + 2 <= p and m > 2 and (solver == "updates" or (solver == "auto" and p >= UPDATED))
+        some = max(1, PASS // (16 * p * p)) if updates else len(points)
+        parts = [_left_out(rows, moments, widths, points[at : at + some], nfac, m, updates) for at in range(0, len(points), some)]
+    finally:
         raw.unpersist()
-        raise
-    sums, step = np.zeros(p), max(1, (1 << 20) // (p * p))
+    mean_ave = np.concatenate(parts)
+    best = points[int(np.argmax(mean_ave))]
+    frame = raw.sparkSession.createDataFrame([(a, b, float(v)) for (a, b), v in zip(points, mean_ave)], "lambda1 double, lambda2 double, mean_ave double")
+    return best, frame
+
+
+def _left_out(rows: DataFrame, moments: np.ndarray, widths: list[int], points: list[tuple[float, float]], nfac: int, m: int, updates: bool) -> np.ndarray:
+    """The mean explained variance of each pair of penalties: one pass over z-scored rows."""
+    p, spark = len(moments), rows.sparkSession
+    shared = spark.sparkContext.broadcast((moments, [whole(moments, widths, list(point), nfac, m) if updates else None for point in points]))
+    dense, step = max(1, (1 << 20) // (p * p)), max(1, (1 << 21) // (p * (3 * nfac + 2)))
+    sums = np.zeros(p)
+
+    def solved(x, point):
+        g = shared.value[0]
+        return sum(ave_outer(leave_out(g, sums, m, x[at : at + dense]), widths, list(point), nfac).mean(axis=1).sum() for at in range(0, len(x), dense))
 
     def score(batches):
         total = np.zeros(len(points) + 1)
         for batch in batches:
-            x = stack(batch, "x", p)
-            for at in range(0, len(x), step):
-                g = leave_out(moments, sums, m, x[at : at + step])
-                total[:-1] += [ave_outer(g, widths, list(point), nfac).mean(axis=1).sum() for point in points]
-                total[-1] += len(g)
+            whole_batch = stack(batch, "x", p)
+            for at in range(0, len(whole_batch), step):
+                x = whole_batch[at : at + step]
+                for k, (point, fit) in enumerate(zip(points, shared.value[1])):
+                    found, proven = fit.score(x) if fit else (np.zeros((len(x), 1)), np.zeros(len(x), bool))
+                    total[k] += found[proven].mean(axis=1).sum() + solved(x[~proven], point)
+                total[-1] += len(x)
         return total if total[-1] else None
 
-    total = tree_sum(rows.select("x").mapInArrow(partial(score, 1), ROW))
-    raw.unpersist()
-    mean_ave = total[:-1] / total[-1]
-    best = points[int(np.argmax(mean_ave))]
-    frame = raw.sparkSession.createDataFrame([(a, b, float(v)) for (a, b), v in zip(points, mean_ave)], "lambda1 double, lambda2 double, mean_ave double")
-    return best, frame
+    with batches_of(spark, max(1, (1 << 22) // p)):
+        total = tree_sum(rows.select("x").mapInArrow(partial(score, 1), ROW))
+    shared.unpersist()
+    return total[:-1] / total[-1]
 
 
 # ---------------------------------------------------------------- ridge
