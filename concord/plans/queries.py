@@ -14,6 +14,7 @@ from concord.plans import fit as fits
 from concord.plans import tune
 from concord.sources import store
 from concord.sources.paths import shared_path
+from concord.streaming.fits import GrowingFit
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 DIMS = 64  # embedding dimensions
@@ -363,6 +364,15 @@ def grid(spark, sf):
     return prep.grid_frame(spark, values("l_discount"), values("l_tax"))
 
 
+def stream_fit_cors(spark, sf):
+    """Orders as a stream: each customer's last price among finished and among open orders, fitted as two tables."""
+    orders = spark.readStream.schema(table(spark, sf, "orders").schema).option("maxFilesPerTrigger", 1).parquet(f"{sf}/orders.parque[t]")  # a pattern, because a stream's path may not be one file
+    rows = orders.where("o_orderstatus in ('F', 'O')").select(F.lower("o_orderstatus").alias("table"), F.col("o_custkey").alias("id"), F.array("o_totalprice").alias("x"), F.col("o_orderkey").alias("at"))
+    grown = GrowingFit({"f": ["price"], "o": ["price"]}, shared_path(spark, "growing"))
+    grown.start(rows, shared_path(spark, "growing-checkpoint")).awaitTermination()
+    return grown.fit(spark).cors.select("table", "comp", r6(F.col("r")).alias("r"))
+
+
 def loo_cv_embeddings(spark, sf):
     """Leave-one-out over penalties of two tables of 32 dimensions each, all rows."""
     own = embedding_blocks(spark, sf, 2, 32)
@@ -571,7 +581,7 @@ def flagship(spark, sf):
     return result.cors
 
 
-QUERIES = {f.__name__: f for f in (zscore_block, scale_only_block, null_check, id_union, id_intersect, id_absent, align_zero_fill, presence_ksum, gram, weighted_cross_gram, complete_eig_1var, complete_components_1var, complete_eig_2var, complete_eig_packed, incomplete_eig_1var, incomplete_components_1var, penalized_eig_1var, incomplete_eig_wide, complete_eig_wide, many_variables_eig, dual_fit, scores_1var, cors, t_stat, ave, p_values, fit_top_vars_pos, fit_top_vars_neg, fit_top_vars_pcut, fit_significant_vars, top_vars_pos, top_vars_neg, top_vars_pcut, significant_vars, chr_to_num, zero_to_null, drop_sparse_samples, transpose_assay, clean_ids, range_point, range_point_any_chrom, range_within, range_semi, knn_impute, knn_impute_parts, knn_blocks, grid, loo_cv_1var, loo_cv_embeddings, ridge_solve, ridge_looe, plot_inds, plot_vars, label_of_largest, unit_circle, save_load, impute_assay, region_point, complete_scores_1var, incomplete_eig_3tables, p_of_loadings, best_penalty, best_ridge, ridge_inverse, ridge_inverse_looe, first_variables, stack_rows, paired_cors, store_assays, fit_from_path, diagonal_scaling, transpose_packed, kernel, plot_vars_marked, id_union_sorted, id_union_first, ginv_eig, dual_scores, kernel_looe, stored_region, plot_density)}
+QUERIES = {f.__name__: f for f in (zscore_block, scale_only_block, null_check, id_union, id_intersect, id_absent, align_zero_fill, presence_ksum, gram, weighted_cross_gram, complete_eig_1var, complete_components_1var, complete_eig_2var, complete_eig_packed, incomplete_eig_1var, incomplete_components_1var, penalized_eig_1var, incomplete_eig_wide, complete_eig_wide, many_variables_eig, dual_fit, scores_1var, cors, t_stat, ave, p_values, fit_top_vars_pos, fit_top_vars_neg, fit_top_vars_pcut, fit_significant_vars, top_vars_pos, top_vars_neg, top_vars_pcut, significant_vars, chr_to_num, zero_to_null, drop_sparse_samples, transpose_assay, clean_ids, range_point, range_point_any_chrom, range_within, range_semi, knn_impute, knn_impute_parts, knn_blocks, grid, loo_cv_1var, loo_cv_embeddings, stream_fit_cors, ridge_solve, ridge_looe, plot_inds, plot_vars, label_of_largest, unit_circle, save_load, impute_assay, region_point, complete_scores_1var, incomplete_eig_3tables, p_of_loadings, best_penalty, best_ridge, ridge_inverse, ridge_inverse_looe, first_variables, stack_rows, paired_cors, store_assays, fit_from_path, diagonal_scaling, transpose_packed, kernel, plot_vars_marked, id_union_sorted, id_union_first, ginv_eig, dual_scores, kernel_looe, stored_region, plot_density)}
 
 
 # ---------------------------------------------------------------- SQL
@@ -609,6 +619,10 @@ rr AS (SELECT 'f' AS "table", comp, corr(a, y) AS r FROM yy WHERE ina GROUP BY c
 """
 
 
+def _last_price(name: str, status: str) -> str:
+    return f"{name} AS (SELECT CAST(o_custkey AS VARCHAR) AS id, arg_max(o_totalprice, o_orderkey) AS x FROM orders WHERE o_orderstatus = '{status}' GROUP BY 1)"
+
+
 PAIR = _pair(f"{_status('pa', 'F')}, {_status('pb', 'O')}")
 _LINES = "li AS (SELECT l_orderkey, sum(l_quantity) AS quantity, avg(l_discount) AS discount FROM lineitem GROUP BY 1), od AS (SELECT o_orderkey, o_totalprice AS price, CAST(year(o_orderdate) AS DOUBLE) AS yr, quantity, discount FROM orders JOIN li ON o_orderkey = l_orderkey)"
 ORDERS = _pair(f"{_LINES}, pa AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, price AS x FROM od), pb AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, quantity AS x FROM od)")
@@ -686,6 +700,7 @@ SQL = {
     "complete_components_1var": f"{ORDERS} SELECT id, {R('y')} AS comp1 FROM yy WHERE comp = 1",
     "complete_eig_2var": f"{CANON} SELECT comp, {R('v')} AS eigenvalue FROM e",
     "complete_eig_packed": f"{CANON} SELECT comp, {R('v / 2')} AS eigenvalue FROM e",
+    "stream_fit_cors": f"{_pair(_last_price('pa', 'F') + ', ' + _last_price('pb', 'O'))} SELECT \"table\", comp, {R('r')} AS r FROM rr",
     "incomplete_eig_1var": f"{PAIR} SELECT comp, {R('v')} AS eigenvalue FROM ev",
     "incomplete_components_1var": f"{PAIR} SELECT id, {R('max(CASE comp WHEN 1 THEN y END)')} AS comp1, {R('max(CASE comp WHEN 2 THEN y END)')} AS comp2 FROM yy GROUP BY id",
     "penalized_eig_1var": f"{_pair(_status('pa', 'F') + ', ' + _status('pb', 'O'), (75, 100))} SELECT comp, {R('v')} AS eigenvalue FROM ev",

@@ -55,3 +55,10 @@ def discard(*frames: DataFrame) -> None:
     for df in frames:
         if path := getattr(df, "shared_folder", None):
             delete_path(df.sparkSession, path)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders in a folder, none if it is not there."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in system.listStatus(target)] if system.exists(target) else []
