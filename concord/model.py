@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concord.sources.paths import discard
@@ -15,15 +15,30 @@ from concord.sources.paths import discard
 WIDE = 100
 
 
+@dataclass(frozen=True)
+class Part:
+    """Where a block comes from: rows ``where`` of ``source`` (all if null), with ``x`` of each as its
+    values. It stands for the block as long as that has this very ``frame`` and ``variables``."""
+
+    source: DataFrame
+    id: Column
+    where: Column | None
+    x: Column
+    frame: DataFrame
+    variables: tuple[str, ...]
+
+
 @dataclass(frozen=True)
 class Block:
     """One table: individuals in rows. ``layout`` is ``wide`` (a double column for each
-    variable) or ``packed`` (an array column ``x`` in the order of ``variables``)."""
+    variable) or ``packed`` (an array column ``x`` in the order of ``variables``). Blocks made
+    by :meth:`part` from one frame are read in one scan where they are aligned."""
 
     frame: DataFrame
     variables: tuple[str, ...]
     id_col: str = "id"
     layout: str = "wide"
+    origin: Part | None = field(default=None, compare=False, repr=False)
 
     @staticmethod
     def wide(frame: DataFrame, id_col: str = "id", variables: list[str] | None = None) -> Block:
@@ -33,6 +48,32 @@ class Block:
     def packed(frame: DataFrame, variables: list[str], id_col: str = "id", x_col: str = "x") -> Block:
         return Block(frame.select(F.col(id_col).alias("id"), F.col(x_col).cast("array<double>").alias("x")), tuple(variables), "id", "packed")
 
+    @staticmethod
+    def part(source: DataFrame, variables: list[str], id_col: str = "id", where: Column | None = None, x: Column | None = None) -> Block:
+        """The rows ``where`` of a frame that other blocks share: a column for each variable,
+        or the array ``x`` of them."""
+        names, rows = tuple(variables), source if where is None else source.where(where)
+        key = F.col(f"`{id_col}`").alias("id")
+        if x is None:
+            x = F.array(*(F.col(f"`{v}`").cast("double") for v in names))
+            frame, layout = rows.select(key, *(F.col(f"`{v}`") for v in names)), "wide"
+        else:
+            x = x.cast("array<double>")
+            frame, layout = rows.select(key, x.alias("x")), "packed"
+        return Block(frame, names, "id", layout, Part(source, F.col(f"`{id_col}`"), where, x, frame, names))
+
+    def read(self) -> Part:
+        """What to read for this block alone, or with others of the same source."""
+        if self.origin and self.origin.frame is self.frame and self.origin.variables == self.variables:
+            return self.origin
+        x = F.col("x").cast("array<double>") if self.layout == "packed" else F.array(*(F.col(f"`{v}`").cast("double") for v in self.variables))
+        return Part(self.frame, F.col(self.id_col), None, x, self.frame, self.variables)
+
+    def packed_layout(self) -> Block:
+        """The same table in the packed layout."""
+        frame, part = self.arrays(), self.read()
+        return Block(frame, self.variables, "id", "packed", replace(part, frame=frame))
+
     def doubles(self) -> DataFrame:
         """(id string, v0, v1, ...), whatever the layout."""
         key = F.col(self.id_col).cast("string").alias("id")

@@ -85,24 +85,36 @@ def aligned(tables: dict[str, Block], packed: bool, keep_missing: bool = False)
     ``keep_missing``: a missing value of a row that is there stays null.
 
     The tables are stacked and grouped once, instead of being joined one after the other, so
-    there is one shuffle however many tables there are. With few variables in all each is a
-    column of its own while grouping, which keeps the aggregation in generated code."""
+    there is one shuffle however many tables there are; tables that are parts of one frame are
+    made from one scan of it. With few variables in all each is a column of its own while
+    grouping, which keeps the aggregation in generated code."""
     blocks = list(tables.values())
-    counts = [F.sum((F.col("t") == n).cast("int")).alias(f"n{n}") for n in range(len(blocks))]
     widths = [len(b.variables) for b in blocks]
+    starts = [sum(widths[:n]) for n in range(len(blocks))]
+    sources: dict[tuple, list] = {}
+    for n, b in enumerate(blocks):
+        part = b.read()
+        sources.setdefault((id(part.source), str(part.id)), []).append((n, part))
+    stacked = []
+    for parts in sources.values():
+        cells, inside = [], []
+        for n, part in parts:
+            there = F.lit(True) if part.where is None else F.coalesce(part.where, F.lit(False))
+            inside.append(there)
+            cells.append(there.cast("int").alias(f"f{n}"))
+            values = {f"x{n}": part.x} if packed else {f"c{starts[n] + k}": part.x[k] for k in range(widths[n])}
+            cells += [(v if part.where is None else F.when(there, v)).alias(name) for name, v in values.items()]
+        rows = parts[0][1].source
+        if all(part.where is not None for _, part in parts):
+            rows = rows.where(reduce(lambda a, b: a | b, inside))
+        stacked.append(rows.select(parts[0][1].id.cast("string").alias("id"), *cells))
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), stacked)
+    counts = [F.coalesce(F.sum(f"f{n}"), F.lit(0)).alias(f"n{n}") for n in range(len(blocks))]
     if packed:
-        stacked = reduce(DataFrame.unionByName, [b.arrays().withColumn("t", F.lit(n)) for n, b in enumerate(blocks)])
-        own = [F.first(F.when(F.col("t") == n, F.col("x")), ignorenulls=True).alias(f"x{n}") for n in range(len(blocks))]
-        out = stacked.groupBy("id").agg(*counts, *own)
+        out = rows.groupBy("id").agg(*counts, *(F.first(f"x{n}", ignorenulls=True).alias(f"x{n}") for n in range(len(blocks))))
         x = F.concat(*(F.coalesce(f"x{n}", F.array_repeat(F.lit(0.0), w)) for n, w in enumerate(widths)))
     else:
-        starts = [sum(widths[:n]) for n in range(len(blocks))]
-        parts = []
-        for n, (b, start) in enumerate(zip(blocks, starts)):
-            frame = b.doubles()
-            own = {start + k: F.col(f"v{k}") for k in range(widths[n])}
-            parts.append(frame.select("id", F.lit(n).alias("t"), *(own.get(j, F.lit(None).cast("double")).alias(f"c{j}") for j in range(sum(widths)))))
-        out = reduce(DataFrame.unionByName, parts).groupBy("id").agg(*counts, *(F.max(f"c{j}").alias(f"c{j}") for j in range(sum(widths))))
+        out = rows.groupBy("id").agg(*counts, *(F.max(f"c{j}").alias(f"c{j}") for j in range(sum(widths))))
         of = [n for n, w in enumerate(widths) for _ in range(w)]
         x = F.array(*(F.when(F.col(f"n{of[j]}") == 0, 0.0).otherwise(F.col(f"c{j}")) if keep_missing else F.coalesce(f"c{j}", F.lit(0.0)) for j in range(sum(widths))))
     ksum = reduce(lambda a, b: a + b, [F.least(F.col(f"n{n}"), F.lit(1)) for n in range(len(blocks))])

@@ -306,7 +306,7 @@ def fit_incomplete(tables, nfac: int = 2, scale: bool = True, p_values: bool = T
 def fit_packed(tables, *args, outfile: str | None = None, **more) -> FitResult:
     """As :func:`fit_incomplete` for many variables: blocks are packed into arrays before they are
     aligned. ``outfile``: a folder to which the result is written."""
-    packed = {k: Block(b.arrays(), b.variables, "id", "packed") for k, b in table_set(tables).items()}
+    packed = {k: b.packed_layout() for k, b in table_set(tables).items()}
     out = fit_incomplete(packed, *args, **more)
     if outfile:
         out.save(outfile)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,24 +41,26 @@ def status_block(spark, sf, status: str) -> Block:
     return Block.wide(own.groupBy(F.col("o_custkey").alias("id")).agg(F.avg("o_totalprice").alias("price")))
 
 
-def status_blocks(spark, sf) -> dict[str, Block]:
-    return {"f": status_block(spark, sf, "F"), "o": status_block(spark, sf, "O")}
+def status_blocks(spark, sf, statuses: str = "FO") -> dict[str, Block]:
+    """As :func:`status_block` for several statuses, from one pass over the orders."""
+    status = F.col("o_orderstatus")
+    means = [F.avg(F.when(status == s, F.col("o_totalprice"))).alias(f"price_{s}") for s in statuses]
+    own = table(spark, sf, "orders").where(status.isin(*statuses)).groupBy(F.col("o_custkey").alias("id")).agg(*means, *(F.count_if(status == s).alias(f"n_{s}") for s in statuses))
+    of = {s: Block.part(own, ["price"], where=F.col(f"n_{s}") > 0, x=F.array(f"price_{s}")) for s in statuses}
+    return {s.lower(): replace(b, frame=(f := b.frame.select("id", F.col("x")[0].alias("price"))), layout="wide", origin=replace(b.origin, frame=f)) for s, b in of.items()}
 
 
 def order_blocks(spark, sf, two: bool = True) -> dict[str, Block]:
     """Orders that have lines: (price, year) and (quantity, discount)."""
     lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.sum("l_quantity").alias("quantity"), F.avg("l_discount").alias("discount"))
     orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"), F.year("o_orderdate").cast("double").alias("year"))
-    orders = orders.join(lines.select("id"), "id", "left_semi")
-    lines = lines.join(orders.select("id"), "id", "left_semi")
-    if not two:
-        return {"orders": Block.wide(orders.select("id", "price")), "lines": Block.wide(lines.select("id", "quantity"))}
-    return {"orders": Block.wide(orders), "lines": Block.wide(lines)}
+    both = orders.join(lines, "id")
+    return {"orders": Block.part(both, ["price", "year"][: 1 + two]), "lines": Block.part(both, ["quantity", "discount"][: 1 + two])}
 
 
 def embedding_blocks(spark, sf, blocks: int = 4, width: int = 16) -> dict[str, Block]:
-    own = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
-    return {f"b{n}": Block.packed(own.select("id", F.slice("x", n * width + 1, width).alias("x")), [f"e{n * width + k}" for k in range(width)]) for n in range(blocks)}
+    own = table(spark, sf, "embeddings")
+    return {f"b{n}": Block.part(own, [f"e{n * width + k}" for k in range(width)], "vec_id", x=F.slice("embedding", n * width + 1, width)) for n in range(blocks)}
 
 
 def month_blocks(spark, sf) -> dict[str, Block]:
@@ -64,7 +68,7 @@ def month_blocks(spark, sf) -> dict[str, Block]:
     month = F.month("o_orderdate")
     totals = F.array(*(F.sum(F.when(month == k, F.col("o_totalprice")).otherwise(0.0)) for k in range(1, 13)))
     own = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("id"), "o_orderpriority").agg(totals.alias("x"))
-    return {f"p{p[0]}": Block.packed(own.where(F.col("o_orderpriority") == p), [f"m{k}" for k in range(1, 13)]) for p in PRIORITIES}
+    return {f"p{p[0]}": Block.part(own, [f"m{k}" for k in range(1, 13)], where=F.col("o_orderpriority") == p, x=F.col("x")) for p in PRIORITIES}
 
 
 #: Word buckets of each role's table in ``many_variables_eig``.
@@ -154,7 +158,7 @@ def align_zero_fill(spark, sf):
 
 
 def presence_ksum(spark, sf):
-    return align.presence(status_blocks(spark, sf) | {"p": status_block(spark, sf, "P")})
+    return align.presence(status_blocks(spark, sf, "FOP"))
 
 
 def _aligned_status(spark, sf):
@@ -419,7 +423,7 @@ def complete_scores_1var(spark, sf):
 
 
 def incomplete_eig_3tables(spark, sf):
-    return _eig(fits.fit_incomplete(status_blocks(spark, sf) | {"p": status_block(spark, sf, "P")}, nfac=3))
+    return _eig(fits.fit_incomplete(status_blocks(spark, sf, "FOP"), nfac=3))
 
 
 def p_of_loadings(spark, sf):
