@@ -42,8 +42,9 @@ def stack(batch: pa.RecordBatch, column: str, width: int) -> np.ndarray:
 
 def tree_sum(partials: DataFrame, fan_in: int = 16, merge=np.add) -> np.ndarray | None:
     """Add up rows (task, data: doubles of one length) in rounds of ``fan_in`` rows a task,
-    so that neither a task nor the driver gathers the matrices of all tasks. ``merge``: what
-    makes one array of two, in any order, in place of the sum."""
+    so that neither a task nor the driver gathers the matrices of all tasks. Each round is a
+    shuffle: without one, what makes the rows would run in as few tasks as add them. ``merge``:
+    what makes one array of two, in any order, in place of the sum."""
 
     def add(batches):
         total = None
@@ -56,9 +57,9 @@ def tree_sum(partials: DataFrame, fan_in: int = 16, merge=np.add) -> np.ndarray
             yield pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["task", "data"])
 
     parts = partials.rdd.getNumPartitions()
-    while parts > fan_in:
-        parts = -(-parts // fan_in)
-        partials = partials.coalesce(parts).mapInArrow(add, ROW)
+    while parts > 1:
+        parts = 1 if parts <= fan_in else -(-parts // fan_in)
+        partials = partials.repartition(parts, "task").mapInArrow(add, ROW)
     total = None
     for row in partials.toLocalIterator():
         part = np.frombuffer(row["data"])
