@@ -87,3 +87,22 @@ def test_hot_group_of_equal_features_and_empty_ones(spark):
     rows = {(r.feature, r["sample"]): r.value for r in filled.collect()}
     assert len(rows) == len(cells) and rows["e000", "s1"] == 1.0 and not any(v is None for v in rows.values())
     assert [r.neighbour for r in near.found.orderBy("distance", "neighbour").collect()] == ["e001", "e002"]
+
+
+def test_copies_are_searched_once_and_count_as_often_as_there_are(spark):
+    """Each feature up to nine times, their names far apart: neighbours of all are those of all pairs, blocks those of the distinct ones."""
+    base, names = clustered(7, 5, 6, 5, 0.2), {}
+    for f, s, v in base:
+        names.setdefault(f, {})[s] = v
+    copies = [(f"c{c}{f}", s, v) for n, (f, row) in enumerate(names.items()) for c in range(1 + (n * 7) % 9) for s, v in row.items()]
+    search = lambda cells: prep.knn_search(spark.createDataFrame(cells, "feature string, sample string, value double"), k=4, block_rows=5)[1]
+    once, near = search(base), search(copies)
+    got: dict = {}
+    for r in near.found.orderBy("id", "pos", "distance", "neighbour").collect():
+        got.setdefault((r["id"], r.pos), []).append(r.neighbour)
+    want = brute(copies, 4)
+    assert got == {c: n for c, n in want.items() if n}
+    assert near.blocks <= 2 * once.blocks and near.members.count() == len(copies) // 5
+    asking = sum(r.queries for r in near.asked.where("home = block").collect())
+    assert asking == len({f for f, _ in want})
+    once.release(), near.release()
