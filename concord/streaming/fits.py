@@ -1,14 +1,16 @@
 """Fits of a stream whose rows bring the tables of one individual apart.
 
 How much a row weighs depends on how many tables its individual is in, so a table that arrives
-late revises what the individual counted for before. State by id holds the individual's values;
-each change gives two rows, one that takes the old contribution away and one that adds the
+late revises what the individual counted for before. State holds the individuals' values, some
+thousandth of them under one key, as a call for each individual would cost more than what it
+does; each change gives two rows, one that takes the old contribution away and one that adds the
 new one. Contributions are moments, so micro-batches add up, and a fit needs nothing else:
 means, deviations, cross products and sums of components all follow from them.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,7 +26,9 @@ from concord.plans.fit import DRIVER_LIMIT, _z, checked, project, report
 from concord.plans.solve import match_method, penalties, solve
 from concord.sources.paths import delete_path, exists, names_in
 
-_STATE = "held binary, versions binary"
+_STATE = "ids binary, held binary, versions binary"
+#: Keys of state. Individuals of a key are revised at once, in numpy.
+BUCKETS = 4096
 _ROWS = "sign double, ksum double, x array<double>"
 _NEVER = np.iinfo(np.int64).min
 
@@ -72,30 +76,46 @@ class GrowingFit:
         problem = F.when(number.isNull(), F.concat(F.lit("there is no table "), F.coalesce(F.col("table").cast("string"), F.lit("null")))).when(F.col("id").isNull(), F.lit("a row without an id")).when(~whole, F.concat(F.lit("table "), F.col("table"), F.lit(" has missing values: impute them")))
         rows = stream.select(F.when(problem.isNotNull(), F.raise_error(problem).cast("string")).otherwise(F.col("id").cast("string")).alias("id"), number.alias("t"), x.alias("x"), F.coalesce(F.col("at").cast("bigint"), F.lit(_NEVER)).alias("at"))
 
-        def contribution(held, there):
-            flat = np.where(np.repeat(there, widths), held - offset, 0.0)
-            return [1.0, float(there.sum()), np.concatenate([[1.0], there, flat])]
+        def contributions(sign, held, there):
+            flat = np.where(np.repeat(there, widths, axis=1), held - offset, 0.0)
+            x = np.concatenate([np.ones((len(held), 1)), there, flat], axis=1)
+            return pd.DataFrame({"sign": np.full(len(x), sign), "ksum": there.sum(axis=1).astype(float), "x": list(x)})
 
         def revise(key, frames, state):
-            held, versions, there = np.zeros(starts[-1]), np.full(count, _NEVER), np.zeros(count, bool)
-            before = None
+            ids, held, versions, there = [], np.zeros((0, starts[-1])), np.zeros((0, count), np.int64), np.zeros((0, count), bool)
             if state.exists:
-                kept, told = state.get
-                held, told = np.frombuffer(kept).copy(), np.frombuffer(told, np.int64).reshape(2, count).copy()
+                known, kept, told = state.get
+                ids = json.loads(known)
+                held, told = np.frombuffer(kept).reshape(len(ids), -1), np.frombuffer(told, np.int64).reshape(2, len(ids), count)
                 versions, there = told[0], told[1] > 0
-                before = contribution(held, there)
-            changed = False
+            old, place = (held, there), {i: n for n, i in enumerate(ids)}
+            held, versions, there, changed = held.copy(), versions.copy(), there.copy(), set()
             for frame in frames:
-                for t, values, at in zip(frame["t"], frame["x"], frame["at"]):
-                    mine = slice(starts[t], starts[t + 1])
-                    if not there[t] or (at, *values) > (versions[t], *held[mine]):
-                        held[mine], versions[t], there[t], changed = values, at, True, True
+                at_ = np.array([place.setdefault(i, len(place)) for i in frame["id"]], np.int64)
+                if more := len(place) - len(held):
+                    held, versions, there = np.concatenate([held, np.zeros((more, starts[-1]))]), np.concatenate([versions, np.full((more, count), _NEVER)]), np.concatenate([there, np.zeros((more, count), bool)])
+                tables, at = frame["t"].to_numpy(), frame["at"].to_numpy()
+                for t in np.unique(tables).tolist():
+                    own = np.flatnonzero(tables == t)
+                    values = np.stack(frame["x"].iloc[own].to_list())
+                    order = np.lexsort((*values.T[::-1], at[own], at_[own]))  # the greatest row of each individual is its last
+                    order = order[np.append(np.diff(at_[own][order]) != 0, True)]
+                    who, values, when, mine = at_[own][order], values[order], at[own][order], slice(starts[t], starts[t + 1])
+                    now = held[who, mine]
+                    apart = (values != now).argmax(axis=1)[:, None]
+                    greater = (np.take_along_axis(values, apart, 1) > np.take_along_axis(now, apart, 1))[:, 0]
+                    new = ~there[who, t] | (when > versions[who, t]) | ((when == versions[who, t]) & greater)
+                    who = who[new]
+                    held[who, mine], versions[who, t], there[who, t] = values[new], when[new], True
+                    changed.update(who.tolist())
             if changed:
-                state.update((held.tobytes(), np.stack([versions, there.astype(np.int64)]).tobytes()))
-                rows = [] if before is None else [[-1.0, *before[1:]]]
-                yield pd.DataFrame([*rows, contribution(held, there)], columns=["sign", "ksum", "x"])
+                state.update((json.dumps(list(place)).encode(), held.tobytes(), np.stack([versions, there.astype(np.int64)]).tobytes()))
+                rows = np.array(sorted(changed))
+                before = rows[rows < len(old[0])]
+                yield pd.concat([contributions(-1.0, *(a[before] for a in old)), contributions(1.0, held[rows], there[rows])])
 
-        return rows.groupBy("id").applyInPandasWithState(revise, _ROWS, _STATE, "append", "NoTimeout")
+        bucketed = rows.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(BUCKETS)))
+        return bucketed.groupBy("bucket").applyInPandasWithState(revise, _ROWS, _STATE, "append", "NoTimeout")
 
     def add(self, batch: DataFrame, number: int) -> None:
         """For ``foreachBatch``: the totals up to this batch, under its number. A batch that

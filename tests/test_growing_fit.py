@@ -105,3 +105,20 @@ def test_nothing_yet(spark, tmp_path):
         GrowingFit({"a": []}, "")
     with pytest.raises(ValueError, match="about"):
         GrowingFit(TABLES, "", {"a": [1.0]})
+
+
+def test_individuals_of_one_key_are_revised_apart(spark, tmp_path, monkeypatch):
+    """State has fewer keys than there are individuals; whatever shares a key, the fit is the same."""
+    from concord.streaming import fits
+
+    assert fits.BUCKETS <= 4096  # one key an individual took a call of Python for each
+    monkeypatch.setattr(fits, "BUCKETS", 3)
+    parts, whole = rows_of(5)
+    grown = GrowingFit(TABLES, f"{tmp_path}/moments")
+    for part in parts:
+        write(spark, part, f"{tmp_path}/in")
+        grown.start(streamed(spark, f"{tmp_path}/in"), f"{tmp_path}/checkpoint").awaitTermination()
+    tables = blocks(spark, whole)
+    want = fit_incomplete(tables)
+    same(grown.fit(spark, tables=tables), want, spark)
+    want.release()
