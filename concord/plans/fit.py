@@ -313,28 +313,28 @@ def fit_packed(tables, *args, outfile: str | None = None, **more) -> FitResult:
     return out
 
 
-def feature_rows(assay: DataFrame, samples: list[str], name: str) -> DataFrame:
+def feature_rows(assay: DataFrame, samples: list[str], name: str, fill: float | None = None) -> DataFrame:
     """(feature, x) of an assay in long form, z-scores over the samples in one array: one
-    shuffle by feature, written for the passes that follow. ``ValueError`` for a feature
-    that is constant or has not one value for each sample."""
-    cells = placed(assay.select(F.col("feature").cast("string").alias("feature"), F.col("sample").cast("string").alias("sample"), F.col("value").cast("double").alias("value")), "sample", samples)
-    grouped = cells.groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("cells"))
-    rows = grouped.select("feature", F.transform("cells", lambda c: c["pos"]).alias("pos"), F.transform("cells", lambda c: c["value"]).alias("x"))
+    shuffle by feature, written for the passes that follow. Samples that a feature lacks count
+    as ``fill``. ``ValueError`` for a feature that is null, constant, has several values for a
+    sample, or lacks one without ``fill``."""
+    cells = placed(assay, "sample", samples)
+    grouped = cells.groupBy("feature").agg(F.collect_list(F.struct("pos", "value")).alias("cells"))
+    rows = grouped.select(F.col("feature").cast("string").alias("feature"), F.transform("cells", lambda c: c["pos"]).alias("pos"), F.transform("cells", lambda c: c["value"]).alias("x"))
     width = len(samples)
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            whole = np.array(batch.column("pos").value_lengths()) == width
-            x = np.full((batch.num_rows, width), np.nan)
-            if whole.any():
-                chosen = batch.filter(pa.array(whole))
-                pos, values = stack(chosen, "pos", width), stack(chosen, "x", width).astype(float)
-                x[np.flatnonzero(whole)[(pos == np.arange(width)).all(axis=1)]] = values[(pos == np.arange(width)).all(axis=1)]
+            lengths = batch.column("pos").value_lengths().to_numpy(zero_copy_only=False)
+            place = np.repeat(np.arange(batch.num_rows) * width, lengths) + batch.column("pos").flatten().to_numpy(zero_copy_only=False)
+            x, seen = np.full(batch.num_rows * width, np.nan if fill is None else fill), np.zeros(batch.num_rows * width, bool)
+            x[place], seen[place] = batch.column("x").flatten().to_numpy(zero_copy_only=False), True  # null: NaN
+            x, several = x.reshape(-1, width), seen.reshape(-1, width).sum(axis=1) != lengths
             with np.errstate(invalid="ignore", divide="ignore"):
                 sd = x.std(axis=1, ddof=1) if width > 1 else np.zeros(len(x))
-                bad = ~(sd > 1e-15 * np.maximum(1, np.abs(x).max(axis=1)))
+                bad = ~(sd > 1e-15 * np.maximum(1, np.abs(x).max(axis=1))) | several | batch.column("feature").is_null().to_numpy(zero_copy_only=False)
                 z = (x - x.mean(axis=1, keepdims=True)) / sd[:, None]
             if bad.any():
                 raise ValueError(f"assay {name}: feature {batch.column('feature')[int(bad.argmax())]} is constant, or lacks samples or has several values for one")
@@ -344,19 +344,22 @@ def feature_rows(assay: DataFrame, samples: list[str], name: str) -> DataFrame:
     return materialize(rows.mapInArrow(run, "feature string, x array<double>"), "dual-features")
 
 
-def fit_dual(assays: dict[str, DataFrame], lam, nfac: int = 2, p_values: bool = True, scores: bool = False) -> FitResult:
+def fit_dual(assays: dict[str, DataFrame], lam, nfac: int = 2, p_values: bool = True, scores: bool = False, fill: float | None = None) -> FitResult:
     """Penalized fit of assays with many more features than samples, in long form (feature,
     sample, value): only kernels, samples x samples, are formed. Features are z-scored over
     the samples that the assay has; a sample absent from an assay is an absent individual.
-    At most 4096 samples; each must have a value for every feature of its assay. ``scores``
-    come with ``weights``: (table, variable, comp, weight), as many as there are features.
+    At most 4096 samples; each must have a value for every feature of its assay, or counts as
+    ``fill`` there. ``scores`` come with ``weights``: (table, variable, comp, weight), as many
+    as there are features.
 
-    One shuffle an assay makes a row of each feature; a pass adds up kernels, and another
-    makes correlations and weights of each row."""
+    An assay is computed once and written; its samples are found in what was written, and one
+    shuffle makes a row of each feature. A pass adds up kernels, and another makes correlations
+    and weights of each row."""
     names = list(assays)
     values = penalties("penalized", lam, len(names))
     spark = next(iter(assays.values())).sparkSession
-    found = reduce(DataFrame.unionByName, [a.select(F.lit(k).alias("k"), F.col("sample").cast("string").alias("sample")) for k, a in enumerate(assays.values())]).distinct().limit(len(names) * (DRIVER_LIMIT + 1)).collect()
+    cells = [materialize(a.select("feature", F.col("sample").cast("string").alias("sample"), F.col("value").cast("double").alias("value")), "dual-cells") for a in assays.values()]
+    found = reduce(DataFrame.unionByName, [c.select(F.lit(k).alias("k"), "sample") for k, c in enumerate(cells)]).distinct().limit(len(names) * (DRIVER_LIMIT + 1)).collect()
     per = [sorted(r["sample"] for r in found if r["k"] == k) for k in range(len(names))]
     if over := [n for n, own in zip(names, per) if len(own) > DRIVER_LIMIT]:
         raise ValueError(f"assay {over[0]} has more than {DRIVER_LIMIT} samples")
@@ -364,8 +367,9 @@ def fit_dual(assays: dict[str, DataFrame], lam, nfac: int = 2, p_values: bool =
     m, at = len(samples), {s: n for n, s in enumerate(samples)}
     total, ksum = np.zeros((m, m)), np.zeros(m)
     rows, kernels = [], []
-    for name, own, lam_i in zip(names, per, values):
-        rows.append(feature_rows(assays[name], own, name))
+    for name, long, own, lam_i in zip(names, cells, per, values):
+        rows.append(feature_rows(long, own, name, fill))
+        discard(long)
         k, where = gram(rows[-1], len(own)), [at[s] for s in own]
         kernels.append(k)
         total[np.ix_(where, where)] += k @ np.linalg.inv(k + lam_i * np.eye(len(where)))

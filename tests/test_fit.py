@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from concord.functions.stats import correlation_p
 from concord.model import Block, FitResult
 from concord.plans import fit as fits
-from concord.plans import solve
+from concord.plans import queries, solve
 
 
 def frame(spark, ids, x, names=None):
@@ -168,6 +168,46 @@ def test_dual_equals_primal(spark):
     assert all(a[k] == pytest.approx(b[k], rel=1e-6) for k in a)
 
 
+def test_dual_computes_an_assay_once_and_fills(spark):
+    rng = np.random.default_rng(21)
+    schema, counter = "feature long, sample string, value double", spark.sparkContext.accumulator(0)
+    cells = {k: [(f, f"s{j}", float(rng.normal())) for f in range(40) for j in range(6) if (f + j) % 5 or not f] for k in "ab"}
+    zeros = {k: own + [(f, f"s{j}", 0.0) for f in range(1, 40) for j in range(6) if not (f + j) % 5] for k, own in cells.items()}
+
+    def seen(batches):
+        for batch in batches:
+            counter.add(batch.num_rows)
+            yield batch
+
+    gaps = {k: spark.createDataFrame(own, schema) for k, own in cells.items()}
+    got = fits.fit_dual({k: d.mapInArrow(seen, schema) for k, d in gaps.items()}, [3.0, 4.0], nfac=2, fill=0.0)
+    want = fits.fit_dual({k: spark.createDataFrame(own, schema) for k, own in zeros.items()}, [3.0, 4.0], nfac=2)
+    assert np.allclose(got.eigenvalues, want.eigenvalues, atol=1e-12)
+    a, b = ({(r.table, r.variable, r.comp): r.r for r in f.cors.collect()} for f in (got, want))
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
+    assert counter.value == sum(map(len, cells.values()))
+    twice, nameless = (gaps["a"].unionByName(spark.createDataFrame(more, schema)) for more in (cells["a"][:1], [(None, "s0", 1.0)]))
+    for assay, fill in ((gaps["a"], None), (twice, 0.0), (nameless, 0.0)):
+        with pytest.raises(Exception, match="is constant, or lacks samples"):
+            fits.fit_dual({"a": assay, "b": gaps["b"]}, [3.0, 4.0], fill=fill)
+
+
+def test_dual_fit_of_totals(spark, sf):
+    """One shuffle makes the totals; the eigenvalues are those of a literal computation."""
+    orders, lines = (spark.read.parquet(f"{sf}/{n}.parquet").toPandas() for n in ("orders", "lineitem"))
+    lines = lines.merge(orders, left_on="l_orderkey", right_on="o_orderkey")
+    total = 0
+    for own, by, value, lam in ((orders, "o_custkey", "o_totalprice", 5.0), (lines, "l_partkey", "l_extendedprice", 7.0)):
+        x = own.pivot_table(index=by, columns="o_orderpriority", values=value, aggfunc="sum", fill_value=0.0).to_numpy(float)
+        z = (x - x.mean(axis=1, keepdims=True)) / x.std(axis=1, ddof=1, keepdims=True)
+        total = total + z.T @ z @ np.linalg.inv(z.T @ z + lam * np.eye(5)) / 2
+    want = np.linalg.eigvalsh((total + total.T) / 2)[::-1][:3]
+    assert [r.eigenvalue for r in queries.dual_fit(spark, sf).orderBy("comp").collect()] == pytest.approx(want, abs=1e-6)
+    rows = spark.read.parquet(f"{sf}/orders.parquet").selectExpr("o_custkey feature", "o_orderpriority sample", "o_totalprice value")
+    plan = queries.priority_totals(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
 def test_errors(spark):
     tables = random_tables(np.random.default_rng(1), (2, 2), 12, 1)
     a, b = (frame(spark, *t) for t in tables)
