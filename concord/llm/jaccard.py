@@ -7,7 +7,8 @@ cells of other pivots where the triangle inequality leaves a partner possible.
 1. Each text becomes its set of hashed word n-grams. Equal sets form a class, and the row
    with the smallest id stands for it, so copies weigh nothing from here on.
 2. First cells. A bounded sample of documents, no two of them within twice the join
-   distance, are the pivots, at every size of the input. A document's window are the pivots
+   distance, are the pivots: so many that a cell is a quarter of what a task may hold, as long
+   as they are few enough to be sent along. A document's window are the pivots
    no further than its nearest one by more than twice the join distance. Unrelated texts
    have distance 1 from nearly everything, so windows alone would copy most documents to all
    cells; a copy is made only for a cell at home in which there is a document of fitting
@@ -58,7 +59,8 @@ MEETINGS = 3
 class Join:
     """``words`` in a shingle; a pair links when ``per`` * intersection >= ``least`` * union.
     ``pivots`` and ``cell_pivots``: documents that cells lie around, at the first level and
-    within a region. ``cell_shingles`` and ``cell_work`` bound a region for one task: the sum
+    within a region; the first level has up to ``most_pivots`` where the input is large.
+    ``cell_shingles`` and ``cell_work`` bound a region for one task: the sum
     of its set sizes, and that times its number of sets. ``group``: documents of a shingle
     beyond which it is dealt over several tasks."""
 
@@ -70,6 +72,7 @@ class Join:
     pivots: int = 128
     cell_pivots: int = 16
     group: int = 1 << 14
+    most_pivots: int = 4096
 
     def overlap(self, a, b):
         """The least intersection of linked sets of these sizes."""
@@ -78,6 +81,12 @@ class Join:
     def distance(self) -> float:
         return 1 - self.least / self.per
 
+    def pivots_for(self, shingles: int, sets: int) -> int:
+        """Pivots of the first level, whose mean cell has a quarter of what bounds a region:
+        all regions of an input with too few would be split again, text and all."""
+        wanted = max(-(-4 * shingles // self.cell_shingles), int(np.ceil(2 * np.sqrt(shingles * sets / self.cell_work))))
+        return self.pivots and max(self.pivots, min(wanted, self.most_pivots))
+
 
 # ---------------------------------------------------------------- sets
 
@@ -162,14 +171,15 @@ class Pivots:
         self.owner = owner[order]
         self.shingles, first = np.unique(flat[order], return_index=True)
         self.first = np.append(first, len(flat))
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[self.shingles >> U(44)] = True
+        self.bits = min(24, max(20, len(flat).bit_length() + 3))
+        self.maybe = np.zeros(1 << self.bits, bool)
+        self.maybe[self.shingles >> U(64 - self.bits)] = True
 
     def near(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(set, pivot, intersection) of all that share a shingle, by set."""
         sizes = np.fromiter(map(len, sets), np.int64, len(sets))
         flat = np.concatenate(sets) if sets else np.zeros(0, U)
-        here = np.flatnonzero(self.maybe[flat >> U(44)])
+        here = np.flatnonzero(self.maybe[flat >> U(64 - self.bits)])
         at = np.searchsorted(self.shingles, flat[here])
         at[at == len(self.shingles)] = 0
         hit = self.shingles[at] == flat[here] if len(self.shingles) else np.zeros(len(here), bool)
@@ -208,23 +218,53 @@ class Pivots:
 
 def net(sets: list[np.ndarray], most: int, join: Join) -> list[int]:
     """Places of at most ``most`` sets, each further than twice the join distance from those before."""
-    chosen: list[int] = []
-    for n, s in enumerate(sets):
-        if len(chosen) == most:
-            break
-        both = intersections(s, [sets[k] for k in chosen])
-        if not len(both) or (1 - both / (len(s) + np.array([len(sets[k]) for k in chosen]) - both)).min() > 2 * join.distance():
-            chosen.append(n)
+    if not sets:
+        return []
+    around, chosen, taken = Pivots(sets, join), [], np.zeros(len(sets), bool)
+    for start in range(0, len(sets), 64):
+        part = sets[start : start + 64]
+        row, other, both = around.near(part)
+        close = 1 - both / (around.sizes[row + start] + around.sizes[other] - both) <= 2 * join.distance()
+        row, other = row[close], other[close]
+        bounds = np.searchsorted(row, np.arange(len(part) + 1))
+        for n in range(len(part)):
+            if len(chosen) == most:
+                return chosen
+            if not taken[other[bounds[n] : bounds[n + 1]]].any() and not (2 * join.distance() >= 1 and chosen):
+                chosen.append(start + n)
+                taken[start + n] = True
     return chosen
 
 
 def first_pivots(rows: DataFrame, classes: DataFrame, join: Join) -> Pivots:
     """Pivots of the first level: a bounded sample of documents of middling size, chosen by hash."""
-    drawn = classes.where(F.col("n").between(8, 4096)).orderBy(F.xxhash64("h"), "h").limit(4 * join.pivots).select(F.col("rep").alias("id"))
-    texts = rows.join(F.broadcast(drawn.distinct()), "id").groupBy("id").agg(F.min("text").alias("text")).collect()  # 4 * join.pivots documents
+    size = classes.agg(F.sum("n"), F.count("*")).first()
+    wanted = join.pivots_for(size[0] or 0, size[1])
+    number = max(4 * join.pivots, 2 * wanted)  # near copies among them fall out
+    drawn = classes.where(F.col("n").between(8, 4096)).orderBy(F.xxhash64("h"), "h").limit(number).select(F.col("rep").alias("id"))
+    texts = rows.join(F.broadcast(drawn.distinct()), "id").groupBy("id").agg(F.min("text").alias("text")).collect()  # ``number`` documents
     texts = sorted((r for r in texts if r["text"]), key=lambda r: (xxhash.xxh3_64_intdigest(r["text"]), r["id"]))
     sets = [s for s in Shingler(join.words)([r["text"] for r in texts]) if len(s) <= 4096]
-    return Pivots([sets[k] for k in net(sets, join.pivots, join)], join)
+    return Pivots([sets[k] for k in net(sets, wanted, join)], join)
+
+
+#: Bits of a bitmap of ids, and of one row of it.
+ID_BITS, ROW_BITS = 26, 15
+
+
+def parted(rows: DataFrame, column: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose ``column`` is surely none of the ``id`` s of ``ids``, those where it may be
+    one). A bitmap of hashed ids, 8 MB at most whatever their number, tells them apart, so that
+    only the second need be shuffled with their texts to join with ``ids``."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << ID_BITS).cast("bigint"))
+    key, bits = "key of a bitmap", "bits of a bitmap"
+    marks = ids.select(place(F.col("id").cast("bigint")).alias("p")).groupBy(F.shiftright("p", ROW_BITS).alias(key)).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(F.lit((1 << ROW_BITS) - 1))).alias(bits))
+    own = place(rows[column].cast("bigint"))
+    met = rows.withColumn(key, F.shiftright(own, ROW_BITS)).join(F.broadcast(marks), key, "left")
+    at = own.bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("bigint")
+    maybe = F.coalesce(F.getbit(byte, at.bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))
+    return met.where(~maybe).drop(key, bits), met.where(maybe).drop(key, bits)
 
 
 MARKED = pa.schema([("shingle", pa.int64()), ("id", pa.int64()), ("info", pa.int64()), ("more", pa.int64()), ("region", pa.int64())])
@@ -622,12 +662,17 @@ def similar(docs: DataFrame, join: Join, id_col: str = "doc_id", text_col: str =
     classes = sets.where("n > 0 and id is not null").groupBy("h").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
     classes = materialize(classes, "jaccard-classes")
     pivots = first_pivots(rows, classes, join)
-    # both joins with the texts are merged at every size: what a small table could broadcast is
-    # as long as the table
-    texts = rows.join(classes.select(F.col("rep").alias("id")).distinct().hint("merge"), "id").select("id", "text")
+    # texts are shuffled only where a bitmap leaves open whether they are needed; these joins
+    # are merged at every size: what a small table could broadcast is as long as the table
+    reps = classes.select(F.col("rep").alias("id")).distinct()
+    copies = sets.where("n > 0 and id is not null").select("id").distinct().join(reps.hint("merge"), "id", "left_anti")
+    known = rows.where("id is not null and text is not null")
+    sure, maybe = parted(known, "id", copies)
+    texts = sure.unionByName(maybe.join(reps.hint("merge"), "id").select("id", "text"))
     shared = rows.sparkSession.sparkContext.broadcast((order, pivots))
     members = materialize(replicas(marked(texts, shared, join), join).drop("region"), "jaccard-members")
-    inside = rows.where("text is not null").join(members.hint("merge"), "id").select("id", "cell", "text")
+    _, maybe = parted(known, "id", members)
+    inside = maybe.join(members.hint("merge"), "id").select("id", "cell", "text")
     cells = materialize(first_cells(inside, shared, join), "jaccard-cells")
     links = _region_links(cells, shared, join)
     labels = components(links.select(F.col("id").alias("a"), F.col("root").alias("b")), "jaccard-groups").select(F.col("node").alias("id"), "root")
@@ -642,5 +687,6 @@ def representatives(docs: DataFrame, join: Join, id_col: str = "doc_id", text_co
     """The rows, with all their columns, that stand for their group: those with its smallest
     id. Rows with an empty set or a null id stay; rows that repeat the id of one stay with it."""
     found = similar(docs, join, id_col, text_col)
-    others = found.where("component_id != id").select(F.col("id").alias(id_col)).distinct()
-    return docs.join(others.hint("merge"), docs[id_col].cast("bigint") == others[id_col], "left_anti")
+    others = materialize(found.where("component_id != id").select("id").distinct(), "jaccard-others")
+    sure, maybe = parted(docs, id_col, others)
+    return sure.unionByName(maybe.join(others.hint("merge"), maybe[id_col].cast("bigint") == others["id"], "left_anti"))
