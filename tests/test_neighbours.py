@@ -106,3 +106,18 @@ def test_copies_are_searched_once_and_count_as_often_as_there_are(spark):
     asking = sum(r.queries for r in near.asked.where("home = block").collect())
     assert asking == len({f for f, _ in want})
     once.release(), near.release()
+
+
+def test_what_meets_is_not_shuffled(spark):
+    """Features without clusters, nearly all of which ask nearly all blocks: less is shuffled than a tenth of a row for each such pair."""
+    rnd = np.random.default_rng(4)
+    rows = np.where(rnd.random((1500, 5)) < 0.2, np.nan, rnd.random((1500, 5)))
+    frame = spark.createDataFrame([(f"f{n:04d}", f"s{j}", None if np.isnan(v) else float(v)) for n, row in enumerate(rows) for j, v in enumerate(row)], "feature string, sample string, value double")
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before = shuffled()
+    _, near = prep.knn_search(frame, k=3, block_rows=4)
+    found = near.found.collect()
+    took, searches = shuffled() - before, sum(r.queries for r in near.asked.collect())
+    assert len({(r["id"], r.pos) for r in found}) == int(np.isnan(rows[np.isnan(rows).sum(1) <= 2]).sum()) and searches > 50_000
+    assert took < searches * 10
+    near.release()
