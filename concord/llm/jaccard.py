@@ -249,12 +249,12 @@ def first_pivots(rows: DataFrame, classes: DataFrame, join: Join) -> Pivots:
 
 
 #: Bits of a bitmap of ids, and of one row of it.
-ID_BITS, ROW_BITS = 26, 15
+ID_BITS, ROW_BITS = 25, 15
 
 
 def parted(rows: DataFrame, column: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows whose ``column`` is surely none of the ``id`` s of ``ids``, those where it may be
-    one). A bitmap of hashed ids, 8 MB at most whatever their number, tells them apart, so that
+    one). A bitmap of hashed ids, 4 MB at most whatever their number, tells them apart, so that
     only the second need be shuffled with their texts to join with ``ids``."""
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << ID_BITS).cast("bigint"))
     key, bits = "key of a bitmap", "bits of a bitmap"
